@@ -6,6 +6,8 @@ Year-first forms are shared; the two lists differ in how ``a/b/yyyy``-like value
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ YEAR_FIRST_FORMATS = (
     "yyyy/MM/dd",
     "yyyy/MM/dd HH:mm:ss",
     "yyyyMMdd",
+    "yyyy-M-d",
+    "yyyy/M/d",
 )
 MONTH_FIRST_FORMATS = (
     "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy", "M.d.yyyy", "M/d/yy",
@@ -29,13 +33,46 @@ DAY_FIRST_FORMATS = (
 )
 
 
+def _shape(fmt: str) -> str:
+    """A regex that every text readable by ``fmt`` matches: pattern letters become digit or
+    letter runs of the widths Spark accepts, literals stay literal."""
+    out, i = ["^"], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch == "'":
+            j = fmt.index("'", i + 1)
+            out.append(re.escape(fmt[i + 1:j]))
+            i = j + 1
+            continue
+        if ch == "[":  # optional fraction "[.SSSSSS]"
+            j = fmt.index("]", i)
+            out.append(r"(\.[0-9]{1,6})?")
+            i = j + 1
+            continue
+        j = i
+        while j < len(fmt) and fmt[j] == ch:
+            j += 1
+        n = j - i
+        if ch == "M" and n >= 3:
+            out.append("[A-Za-z]{3}" if n == 3 else "[A-Za-z]{3,9}")
+        elif ch in "yMdHms":
+            out.append(f"[0-9]{{{n}}}" if n > 1 and ch != "y" or ch == "y" else "[0-9]{1,2}")
+        else:
+            out.append(re.escape(fmt[i:j]))
+        i = j
+    out.append("$")
+    return "".join(out)
+
+
 def parse_timestamp(c: Column, day_first: bool = False) -> Column:
-    """TIMESTAMP_NTZ from text, NULL when no listed pattern reads the trimmed value."""
+    """TIMESTAMP_NTZ from text, NULL when no listed pattern reads the trimmed value.
+
+    Each pattern is only attempted on values whose shape (regex) fits it, so a value costs one
+    parse, not one failed parse (an exception inside Spark) per listed pattern."""
     s = F.trim(c.cast("string"))
     fmts = YEAR_FIRST_FORMATS + (DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS)
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts])
-    # Cheap guard: a value without any digit is never a date.
-    return F.when(s.rlike("[0-9]"), parsed.cast("timestamp_ntz"))
+    parsed = F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in fmts])
+    return parsed.cast("timestamp_ntz")
 
 
 def as_timestamp(c: Column, dtype) -> Column:

@@ -360,3 +360,289 @@ def q_t6(spark, sf_dir):
     # sequence of values is fully defined.
     return TS.time_to_limit(li, "l_extendedprice", ["l_orderkey", "l_linenumber", "l_extendedprice"],
                             lims.select("ucl").scalar(), lims.select("lcl").scalar())
+
+
+# ---------------------------------------------------------------------------------------------
+# P: profiling and column roles
+# ---------------------------------------------------------------------------------------------
+
+from sheetwise.operators import clean as C  # noqa: E402
+from sheetwise.operators import profile as P  # noqa: E402
+from sheetwise.plans.tables import MESSY_LINEITEM_SQL, messy_lineitem  # noqa: E402
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+           "l_discount", "l_tax"]
+
+
+def _stats_sql(table_name: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", round_even(CAST(COUNT({c}) AS DOUBLE), 3) AS count, "
+            f"round_even(AVG({x}), 3) AS mean, round_even(stddev_samp({x}), 3) AS std, "
+            f"round_even(MIN({x}), 3) AS min, round_even(quantile_cont({x}, 0.25), 3) AS p25, "
+            f"round_even(quantile_cont({x}, 0.5), 3) AS p50, round_even(quantile_cont({x}, 0.75), 3) AS p75, "
+            f"round_even(MAX({x}), 3) AS max FROM {table_name}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("p1_stats_lineitem", _stats_sql("lineitem", _LI_NUM))
+def q_p1(spark, sf_dir):
+    return P.compute_stats(table(spark, sf_dir, "lineitem"))
+
+
+def _corr_sql(table_name: str, cols: list[str]) -> str:
+    parts = []
+    for a in cols:
+        for b in cols:
+            xa, xb = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+            parts.append(
+                f"SELECT '{a}' AS x, '{b}' AS y, round_even(covar_pop({xa}, {xb}) / "
+                f"NULLIF(stddev_pop({xa}) * stddev_pop({xb}), 0), 2) AS r FROM {table_name} "
+                f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("p2_correlations_lineitem", _corr_sql("lineitem", _LI_NUM))
+def q_p2(spark, sf_dir):
+    return P.correlations(table(spark, sf_dir, "lineitem"))
+
+
+@register("p3_category_breakdown_part_brand", """
+SELECT p_brand, COUNT(*) AS count FROM part WHERE p_brand IS NOT NULL
+GROUP BY p_brand ORDER BY count DESC, p_brand LIMIT 15
+""")
+def q_p3(spark, sf_dir):
+    return P.category_breakdown(table(spark, sf_dir, "part"), "p_brand", 15)
+
+
+@register("p4_histogram_extendedprice", """
+WITH d AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem WHERE l_extendedprice IS NOT NULL AND NOT isnan(l_extendedprice)),
+b AS (SELECT MIN(x) AS lo, MAX(x) AS hi FROM d),
+w AS (SELECT lo, hi, CASE WHEN hi > lo THEN (hi - lo) / 40 ELSE 1.0 END AS w FROM b),
+c AS (SELECT LEAST(CAST(floor((x - lo) / w) AS INTEGER), 39) AS bin, COUNT(*) AS n FROM d, w GROUP BY 1)
+SELECT s.bin AS bin, round_even(lo + s.bin * w, 4) AS lo, round_even(lo + (s.bin + 1) * w, 4) AS hi,
+       COALESCE(c.n, 0) AS count
+FROM w, range(0, 40) AS s(bin) LEFT JOIN c ON c.bin = s.bin
+""")
+def q_p4(spark, sf_dir):
+    out = P.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 40)
+    return _r(out.withColumn("bin", F.col("bin").cast("long")), 4, "lo", "hi")
+
+
+@register("p5_box_extendedprice_by_returnflag", """
+WITH d AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem
+           WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL),
+q AS (SELECT l_returnflag, COUNT(*) AS n, MIN(v) AS min, quantile_cont(v, 0.25) AS q1,
+             quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, MAX(v) AS max
+      FROM d GROUP BY l_returnflag),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT f.l_returnflag, n, min, round_even(q1, 4) AS q1, round_even(median, 4) AS median, round_even(q3, 4) AS q3,
+       max, round_even(lower_fence, 5) AS lower_fence, round_even(upper_fence, 5) AS upper_fence,
+       MIN(v) FILTER (WHERE v BETWEEN lower_fence AND upper_fence) AS whisker_low,
+       MAX(v) FILTER (WHERE v BETWEEN lower_fence AND upper_fence) AS whisker_high,
+       COUNT(*) FILTER (WHERE NOT (v BETWEEN lower_fence AND upper_fence)) AS outliers
+FROM f JOIN d ON d.l_returnflag = f.l_returnflag
+GROUP BY ALL
+""")
+def q_p5(spark, sf_dir):
+    out = P.box_summary(table(spark, sf_dir, "lineitem"), "l_extendedprice", by="l_returnflag")
+    # quartiles of 2-decimal prices have at most 4 decimals, fences at most 5: no rounding ties
+    return _r(_r(out, 4, "q1", "median", "q3"), 5, "lower_fence", "upper_fence")
+
+
+@register("p5_box_quantity_overall", """
+WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS v FROM lineitem WHERE l_quantity IS NOT NULL),
+f AS (SELECT COUNT(*) AS n, MIN(v) AS min, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+             quantile_cont(v, 0.75) AS q3, MAX(v) AS max FROM d),
+g AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM f)
+SELECT n, min, round_even(q1, 4) AS q1, round_even(median, 4) AS median, round_even(q3, 4) AS q3, max,
+       round_even(lower_fence, 5) AS lower_fence, round_even(upper_fence, 5) AS upper_fence,
+       MIN(v) FILTER (WHERE v BETWEEN lower_fence AND upper_fence) AS whisker_low,
+       MAX(v) FILTER (WHERE v BETWEEN lower_fence AND upper_fence) AS whisker_high,
+       COUNT(*) FILTER (WHERE NOT (v BETWEEN lower_fence AND upper_fence)) AS outliers
+FROM g, d GROUP BY ALL
+""")
+def q_p5_overall(spark, sf_dir):
+    out = P.box_summary(table(spark, sf_dir, "lineitem"), "l_quantity")
+    return _r(_r(out, 4, "q1", "median", "q3"), 5, "lower_fence", "upper_fence")
+
+
+def _numprof_sql(table_name: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", round_even(AVG({x}), 2) AS mean, round_even(MIN({x}), 2) AS min, "
+            f"round_even(MAX({x}), 2) AS max, round_even(stddev_samp({x}), 2) AS std, "
+            f"round_even(SUM({x}), 2) AS sum, COUNT({x}) AS count FROM {table_name}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("p6_numeric_profile_lineitem", _numprof_sql("lineitem", _LI_NUM))
+def q_p6(spark, sf_dir):
+    return P.numeric_profile(table(spark, sf_dir, "lineitem"))
+
+
+@register("p6_category_profile_orders", """
+WITH l AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders
+           UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
+c AS (SELECT "column", value, COUNT(*) AS count FROM l WHERE value IS NOT NULL GROUP BY ALL)
+SELECT "column", value, count, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM c)
+WHERE rank <= 5
+""")
+def q_p6_cat(spark, sf_dir):
+    return P.category_profile(table(spark, sf_dir, "orders"))
+
+
+def _sample_sql(table_name: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(
+            f"SELECT '{c}' AS \"column\", CAST(rn AS INTEGER) AS rank, CAST(v AS VARCHAR) AS value FROM ("
+            f"SELECT v, row_number() OVER (ORDER BY v) AS rn FROM (SELECT DISTINCT {c} AS v FROM {table_name} "
+            f"WHERE {c} IS NOT NULL)) WHERE rn <= 3")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("p7_sample_values_part", _sample_sql(
+    "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]))
+def q_p7(spark, sf_dir):
+    return P.sample_values(table(spark, sf_dir, "part"), 3)
+
+
+@register("p8_roles_customer", """
+WITH c AS (
+  SELECT COUNT(DISTINCT c_name) AS d_name, COUNT(DISTINCT c_mktsegment) AS d_seg,
+         COUNT(DISTINCT c_custkey) * 1.0 / COUNT(c_custkey) AS r_cust,
+         COUNT(DISTINCT c_nationkey) * 1.0 / COUNT(c_nationkey) AS r_nation,
+         COUNT(DISTINCT c_acctbal) * 1.0 / COUNT(c_acctbal) AS r_bal FROM customer)
+SELECT
+  CASE WHEN d_name BETWEEN 2 AND 50 AND (d_seg NOT BETWEEN 2 AND 50 OR d_name >= d_seg) THEN 'c_name'
+       WHEN d_seg BETWEEN 2 AND 50 THEN 'c_mktsegment' ELSE 'c_name' END AS category,
+  CASE WHEN r_cust <= 0.95 THEN 'c_custkey' WHEN r_nation <= 0.95 THEN 'c_nationkey'
+       WHEN r_bal <= 0.95 THEN 'c_acctbal' ELSE 'c_custkey' END AS metric
+FROM c
+""")
+def q_p8(spark, sf_dir):
+    roles = P.suggest_roles(table(spark, sf_dir, "customer"))
+    return spark.createDataFrame([(roles["category"], roles["metric"])], "category string, metric string")
+
+
+def _flags_sql(table_name: str, cols: list[tuple[str, bool]]) -> str:
+    parts = []
+    for c, is_cat in cols:
+        ident = "true" if P.N.has_identifier_name(c) else \
+            f"COUNT(DISTINCT {c}) * 1.0 / NULLIF(COUNT({c}), 0) > 0.95"
+        binary = f"COUNT(DISTINCT {c}) = 2" if is_cat else "false"
+        parts.append(f"SELECT '{c}' AS \"column\", COALESCE({ident}, false) AS is_identifier, "
+                     f"{binary} AS is_binary FROM {table_name}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("p9_p11_column_flags_orders", _flags_sql("orders", [
+    ("o_orderstatus", True), ("o_orderpriority", True), ("o_orderkey", False), ("o_custkey", False),
+    ("o_totalprice", False)]))
+def q_p9(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    roles = P.suggest_roles(orders)
+    rows = []
+    for r in roles["cardinality"].collect():
+        is_cat = r["column"] in P.N.category_columns(orders)
+        rows.append((r["column"], P.looks_like_identifier(r["column"], r["n_distinct"], r["n_nonnull"]),
+                     r["column"] in roles["binary"] if is_cat else False))
+    return spark.createDataFrame(rows, "column string, is_identifier boolean, is_binary boolean")
+
+
+@register("p16_relabel_customer", """
+SELECT c_custkey AS "C Custkey", c_name AS "C Name", c_nationkey AS "C Nationkey",
+       c_acctbal AS "C Acctbal", c_mktsegment AS "C Mktsegment" FROM customer
+""")
+def q_p16(spark, sf_dir):
+    return P.relabel(table(spark, sf_dir, "customer"))
+
+
+# ---------------------------------------------------------------------------------------------
+# C: cleaning, on the spreadsheet-like rewrite of lineitem
+# ---------------------------------------------------------------------------------------------
+
+_CLEAN_CTE = "WITH " + MESSY_LINEITEM_SQL.strip() + """,
+d AS (SELECT DISTINCT * FROM messy),
+t AS (SELECT l_orderkey, l_linenumber,
+        CAST(replace(replace(price_text, '$', ''), ',', '') AS DOUBLE) AS "price_text (USD)",
+        CAST(replace(discount_text, '%', '') AS DOUBLE) AS "discount_text (%)",
+        CASE lower(trim(returned)) WHEN 'yes' THEN true WHEN 'no' THEN false END AS returned,
+        ship_text, status, qty, part_ref FROM d)
+"""
+
+
+@register("c12_clean_messy_lineitem", _CLEAN_CTE + """,
+med AS (SELECT median("price_text (USD)") AS mp, median("discount_text (%)") AS md, median(qty) AS mq,
+               COUNT(*) FILTER (WHERE returned) AS bt, COUNT(*) FILTER (WHERE NOT returned) AS bf FROM t),
+ms AS (SELECT ship_text AS v FROM t WHERE ship_text IS NOT NULL GROUP BY ship_text ORDER BY COUNT(*) DESC, ship_text LIMIT 1),
+mt AS (SELECT status AS v FROM t WHERE status IS NOT NULL GROUP BY status ORDER BY COUNT(*) DESC, status LIMIT 1)
+SELECT l_orderkey, l_linenumber,
+       COALESCE("price_text (USD)", mp) AS "price_text (USD)",
+       COALESCE("discount_text (%)", md) AS "discount_text (%)",
+       COALESCE(returned, bt > bf) AS returned,
+       strptime(COALESCE(ship_text, ms.v), '%d/%m/%Y') AS ship_text,
+       COALESCE(status, mt.v) AS status, COALESCE(qty, mq) AS qty, part_ref
+FROM t, med, ms, mt
+""")
+def q_c12(spark, sf_dir):
+    cleaned, _, _ = C.clean(messy_lineitem(spark, sf_dir))
+    return cleaned
+
+
+@register("c12_clean_report_counts", _CLEAN_CTE + """
+SELECT (SELECT COUNT(*) FROM messy) AS original_rows, 9 AS original_cols,
+       (SELECT COUNT(*) FROM messy) - (SELECT COUNT(*) FROM d) AS duplicates_removed,
+       (SELECT COUNT(*) - COUNT("price_text (USD)") + COUNT(*) - COUNT("discount_text (%)")
+             + COUNT(*) - COUNT(returned) + COUNT(*) - COUNT(ship_text) + COUNT(*) - COUNT(status)
+             + COUNT(*) - COUNT(qty) + COUNT(*) - COUNT(part_ref) + COUNT(*) - COUNT(l_orderkey)
+             + COUNT(*) - COUNT(l_linenumber) FROM t) AS total_missing,
+       (SELECT COUNT(*) FROM d) AS cleaned_rows
+""")
+def q_c12_report(spark, sf_dir):
+    _, report_df, _ = C.clean(messy_lineitem(spark, sf_dir))
+    return report_df.select("original_rows", F.col("original_cols").cast("int"), "duplicates_removed",
+                            "total_missing", "cleaned_rows")
+
+
+@register("c1_duplicates_lineitem_flags_quantity", """
+SELECT COUNT(*) AS rows_before, (SELECT COUNT(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem)) AS rows_after,
+       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem)) AS duplicates_removed
+FROM lineitem
+""")
+def q_c1(spark, sf_dir):
+    src = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    dedup, before, removed = C.drop_duplicates(src)
+    return spark.createDataFrame([(before, before - removed, removed)],
+                                 "rows_before long, rows_after long, duplicates_removed long")
+
+
+@register("p13_p14_quality_recommendations", _CLEAN_CTE + """,
+m AS (SELECT (SELECT COUNT(*) FROM messy) AS original_rows, 9 AS original_cols,
+             (SELECT COUNT(*) FROM messy) - (SELECT COUNT(*) FROM d) AS duplicates_removed,
+             (SELECT COUNT(*) * 9 - COUNT("price_text (USD)") - COUNT("discount_text (%)") - COUNT(returned)
+                     - COUNT(ship_text) - COUNT(status) - COUNT(qty) - COUNT(part_ref) - COUNT(l_orderkey)
+                     - COUNT(l_linenumber) FROM t) AS total_missing),
+s AS (SELECT round_even(100 - total_missing * 100.0 / (original_rows * original_cols), 1) AS completeness,
+             round_even(duplicates_removed * 100.0 / original_rows, 1) AS duplicate_rate, 0.0 AS anomaly_rate,
+             total_missing, duplicates_removed FROM m)
+SELECT 'Missing data detected' AS title, CASE WHEN completeness < 80 THEN 'High' ELSE 'Medium' END AS severity,
+       'Data Quality' AS category, completeness FROM s WHERE completeness < 95
+UNION ALL
+SELECT 'Duplicate rows found', CASE WHEN duplicate_rate > 10 THEN 'High' ELSE 'Medium' END, 'Data Quality', completeness
+FROM s WHERE duplicate_rate > 0
+UNION ALL
+SELECT 'Data looks healthy', 'Low', 'Data Quality', completeness FROM s
+WHERE NOT (completeness < 95 OR duplicate_rate > 0 OR anomaly_rate > 0)
+""")
+def q_p13(spark, sf_dir):
+    _, report_df, _ = C.clean(messy_lineitem(spark, sf_dir))
+    scores = P.quality_scores(report_df)
+    c = scores.select("completeness").scalar()
+    return P.recommendations(scores).select("title", "severity", "category", c.alias("completeness"))
