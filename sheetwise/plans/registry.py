@@ -399,7 +399,7 @@ def _corr_sql(table_name: str, cols: list[str]) -> str:
             xa, xb = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
             parts.append(
                 f"SELECT '{a}' AS x, '{b}' AS y, round_even(covar_pop({xa}, {xb}) / "
-                f"NULLIF(stddev_pop({xa}) * stddev_pop({xb}), 0), 2) AS r FROM {table_name} "
+                f"NULLIF(stddev_pop({xa}) * stddev_pop({xb}), 0), 2) + 0.0 AS r FROM {table_name} "
                 f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
     return "\nUNION ALL\n".join(parts)
 
@@ -646,3 +646,55 @@ def q_p13(spark, sf_dir):
     scores = P.quality_scores(report_df)
     c = scores.select("completeness").scalar()
     return P.recommendations(scores).select("title", "severity", "category", c.alias("completeness"))
+
+
+# ---------------------------------------------------------------------------------------------
+# A: anomalies, segments, outcome risk, chart samples (no SQL form: rows-only checks)
+# ---------------------------------------------------------------------------------------------
+
+from sheetwise.operators import anomaly as AN  # noqa: E402
+from sheetwise.operators import ml as ML  # noqa: E402
+
+
+@register("a1_anomaly_summary_lineitem")
+def q_a1(spark, sf_dir):
+    _, summary = AN.detect_anomalies(table(spark, sf_dir, "lineitem"))
+    return summary
+
+
+@register("a2_strangest_rows_lineitem")
+def q_a2(spark, sf_dir):
+    scored, _ = AN.detect_anomalies(table(spark, sf_dir, "lineitem"))
+    return AN.strangest_rows(scored, 20)
+
+
+@register("a2_anomalous_rows_orders")
+def q_a2_rows(spark, sf_dir):
+    scored, _ = AN.detect_anomalies(table(spark, sf_dir, "orders"))
+    return AN.anomalous_rows(scored)
+
+
+@register("a3_segments_part_brand")
+def q_a3(spark, sf_dir):
+    seg = ML.segment_categories(table(spark, sf_dir, "part"), "p_brand", ["p_retailprice", "p_size"], 3)
+    return seg["profile"]
+
+
+@register("a4_outcome_risk_order_status")
+def q_a4(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O"))
+    res = ML.binary_outcome_risk_model(orders, "o_orderstatus", ["o_totalprice", "o_custkey"])
+    return res["feature_importances"]
+
+
+@register("a5_chart_sample_lineitem")
+def q_a5(spark, sf_dir):
+    sample, _ = ML.sample_for_chart(table(spark, sf_dir, "lineitem"), 5000)
+    return sample
+
+
+@register("a6_chart_sample_keeps_anomalies")
+def q_a6(spark, sf_dir):
+    scored, _ = AN.detect_anomalies(table(spark, sf_dir, "lineitem"))
+    sample, _ = ML.sample_for_chart_preserving_flag(scored, "_anomaly", 5000)
+    return sample
