@@ -698,3 +698,138 @@ def q_a6(spark, sf_dir):
     scored, _ = AN.detect_anomalies(table(spark, sf_dir, "lineitem"))
     sample, _ = ML.sample_for_chart_preserving_flag(scored, "_anomaly", 5000)
     return sample
+
+
+# ---------------------------------------------------------------------------------------------
+# P12 industry of the given tables; S sources and sinks; J jobs; streaming usage report
+# ---------------------------------------------------------------------------------------------
+
+from sheetwise.operators import industry as IND  # noqa: E402
+from sheetwise.plans import jobs as J  # noqa: E402
+from sheetwise.sources import io as IO  # noqa: E402
+from sheetwise.streaming import activity as ST  # noqa: E402
+
+GIVEN_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+                "pages benchmark labels conversations").split()
+
+
+def _keyword_values_sql() -> str:
+    rows = [f"('{ind}', '{kw}', {IND.STRONG_POINTS if kind == 'strong' else IND.WEAK_POINTS})"
+            for ind, kinds in IND.INDUSTRY_KEYWORDS.items() for kind, kws in kinds.items() for kw in kws]
+    return "VALUES " + ", ".join(rows)
+
+
+@register("p12_industry_of_given_tables", f"""
+WITH cat AS (SELECT table_name AS "table", column_name AS col FROM information_schema.columns
+             WHERE table_name IN ({", ".join(f"'{t}'" for t in GIVEN_TABLES)}) AND NOT starts_with(column_name, '_')),
+tok AS (SELECT DISTINCT "table", t AS keyword FROM (
+          SELECT "table", unnest(regexp_split_to_array(lower(regexp_replace(col, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS t
+          FROM cat) WHERE t <> ''),
+kw AS (SELECT * FROM ({_keyword_values_sql()}) AS k(industry, keyword, points)),
+sc AS (SELECT "table", industry, SUM(points) AS score, list_sort(list(tok.keyword)) AS matched
+       FROM tok JOIN kw USING (keyword) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY score DESC,
+                  CASE industry WHEN 'sales_retail' THEN 1 WHEN 'finance_banking' THEN 2
+                                WHEN 'engineering_manufacturing' THEN 3 ELSE 4 END) AS r FROM sc),
+best AS (SELECT a."table", a.industry, a.score, a.matched, COALESCE(b.score, 0) AS runner
+         FROM rk a LEFT JOIN rk b ON a."table" = b."table" AND b.r = 2 WHERE a.r = 1),
+t AS (SELECT DISTINCT "table" FROM cat)
+SELECT t."table",
+       CASE WHEN score >= 3 AND score >= runner + 2 THEN industry END AS industry,
+       CAST(COALESCE(score, 0) AS BIGINT) AS score,
+       CASE WHEN score >= 3 AND score >= runner + 2 THEN array_to_string(matched, ',') END AS matched
+FROM t LEFT JOIN best ON t."table" = best."table"
+""")
+def q_p12(spark, sf_dir):
+    catalog = IND.catalog_of({t: table(spark, sf_dir, t) for t in GIVEN_TABLES})
+    return IND.classify_tables(catalog).withColumn("matched", F.array_join("matched", ","))
+
+
+@register("s1_csv_roundtrip_orders", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders
+""")
+def q_s1(spark, sf_dir):
+    path = IO.scratch_dir(spark, "csv")
+    IO.export_csv(table(spark, sf_dir, "orders"), path)
+    return IO.read_table(spark, path, format="csv")
+
+
+@register("s3_combine_orders_by_status", """
+SELECT CASE WHEN o_orderstatus = 'F' THEN 'orders_finished' ELSE 'orders_open' END AS source_file,
+       COUNT(*) AS rows
+FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1
+""")
+def q_s3(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    finished = orders.where(F.col("o_orderstatus") == "F")
+    other = orders.where(F.col("o_orderstatus") != "F").drop("o_orderpriority") \
+        .withColumn("o_note", F.lit("open"))
+    _, counts, _ = IO.combine([("orders_finished", finished), ("orders_open", other)])
+    return counts
+
+
+def _rank_sql() -> str:
+    from sheetwise.plans.tables import GIVEN_SCHEMAS
+    parts = []
+    for t, cols in GIVEN_SCHEMAS.items():
+        k = len(cols)
+        nulls = " + ".join(f"(COUNT(*) - COUNT({c}))" for c in cols)
+        parts.append(
+            f"SELECT '{t}' AS name, CASE WHEN COUNT(*) * {k} > 0 THEN round_even(LEAST(COUNT(*), 1000) * {min(k, 20)} "
+            f"* GREATEST(1 - ({nulls}) / (COUNT(*) * {k}.0), 0.1), 2) ELSE 0.0 END AS score FROM {t}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("s4_rank_given_tables", _rank_sql())
+def q_s4(spark, sf_dir):
+    return IO.rank_tables({t: table(spark, sf_dir, t) for t in GIVEN_TABLES})
+
+
+@register("s7_s9_saved_analysis_roundtrip_customer", "SELECT * FROM customer")
+def q_s7(spark, sf_dir):
+    root = IO.scratch_dir(spark, "saved")
+    cust = table(spark, sf_dir, "customer")
+    report = {"cleaned_rows": cust.count(), "original_cols": len(cust.columns)}
+    aid = IO.save_analysis(spark, root, "user-1", "customers", cust, report)
+    listed = IO.list_saved_analyses(spark, root, "user-1").collect()
+    assert [r["analysis_id"] for r in listed] == [aid]
+    data, _ = IO.load_analysis(spark, root, "user-1", aid)
+    return data
+
+
+@register("j1_analyze_orders_quality")
+def q_j1(spark, sf_dir):
+    return J.analyze(table(spark, sf_dir, "orders"))["quality"]
+
+
+@register("j2_autopilot_orders_forecast", ORACLE_SQL["t2_forecast_orders_daily_revenue"])
+def q_j2(spark, sf_dir):
+    analysis = J.analyze(table(spark, sf_dir, "orders"))
+    res = J.autopilot(analysis, goal="how will totalprice develop")
+    return _r(res["forecast"]["series"], 2, "o_totalprice", "lower", "upper")
+
+
+@register("j3_retail_insights_lineitem_kpis", """
+WITH g AS (SELECT l_returnflag, CAST(COALESCE(SUM(l_quantity), 0) AS DOUBLE) AS total
+           FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag),
+s AS (SELECT SUM(total) AS gs, COUNT(*) AS cc FROM g),
+t AS (SELECT l_returnflag AS top_category, total AS top_total FROM g ORDER BY total DESC, l_returnflag LIMIT 1)
+SELECT round_even(gs, 2) AS total, cc AS category_count, top_category,
+       CASE WHEN gs <> 0 THEN round_even(top_total / gs * 100, 1) ELSE 0.0 END AS top_category_share_pct,
+       round_even(gs / cc, 2) AS avg_per_category, 'sum' AS agg
+FROM s, t
+""")
+def q_j3(spark, sf_dir):
+    res = J.industry_insights(table(spark, sf_dir, "lineitem"), "sales_retail")
+    return res["kpis"]
+
+
+@register("u3_daily_activity_streaming", """
+SELECT CAST(ts AS DATE) AS day, COUNT(*) AS events, COUNT(DISTINCT user_id) AS sessions
+FROM events GROUP BY 1
+""")
+def q_u3_stream(spark, sf_dir):
+    out = IO.scratch_dir(spark, "activity")
+    # the stream source watches a folder or a glob of files; here the glob names the one file
+    return ST.daily_activity(spark, f"{sf_dir.rstrip('/')}/events*.parquet", out, ts="ts", session="user_id")
