@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Parquet timestamps written without a zone are read as TIMESTAMP_NTZ.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # lets the CSV reader decode windows-1252 (Spark 4 otherwise allows a short charset list)
+    "spark.sql.legacy.javaCharsets": "true",
 }
 
 

@@ -69,10 +69,17 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
     return clean.select(*sel)
 
 
+def fallback_encoding(spark: SparkSession) -> str:
+    """windows-1252 when the session allows Java charsets (``spark.sql.legacy.javaCharsets``),
+    else ISO-8859-1 (the same for every byte but 0x80-0x9F)."""
+    legacy = str(spark.conf.get("spark.sql.legacy.javaCharsets", "false")).lower() == "true"
+    return FALLBACK_ENCODING if legacy else "ISO-8859-1"
+
+
 def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = True) -> DataFrame:
     """CSV with a header, read as UTF-8 (a byte-order mark is dropped from the first header);
-    files whose UTF-8 decoding produced U+FFFD are re-read as windows-1252, decided per file by
-    one aggregate over ``_metadata.file_path``."""
+    files whose UTF-8 decoding produced U+FFFD are re-read as windows-1252 (see
+    :func:`fallback_encoding`), decided per file by one aggregate over ``_metadata.file_path``."""
     paths = [path] if isinstance(path, str) else list(path)
     raw = _read_csv_raw(spark, paths, "UTF-8")
     first = raw.columns[0] if raw.columns else None
@@ -87,7 +94,7 @@ def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = Tru
     bad_files = [r["_f"] for r in per_file if r["bad"]]
     if bad_files:
         good = raw.where(~F.col("_metadata.file_path").isin(bad_files))
-        redo = _read_csv_raw(spark, bad_files, FALLBACK_ENCODING)
+        redo = _read_csv_raw(spark, bad_files, fallback_encoding(spark))
         redo_first = redo.columns[0]
         if redo_first.startswith("﻿") or redo_first.startswith("ï»¿"):
             redo = redo.withColumnRenamed(redo_first, redo_first.replace("ï»¿", "").lstrip("﻿"))
