@@ -78,7 +78,7 @@ def with_numeric_parse(df: DataFrame, cols: dict[str, str]) -> DataFrame:
         # that contain some currency word at all
         st2 += [((F.length(s) <= 4) & F.lower(s).isin(*NULL_TOKENS)).alias(f"{t}_null"),
                 sym.alias(f"{t}_sym"),
-                F.when(s.rlike(_ANY_WORD), word).alias(f"{t}_word")]
+                F.when(s.rlike("[A-Za-z]") & s.rlike(_ANY_WORD), word).alias(f"{t}_word")]
     df = df.select("*", *st2)
     # stage 3: text without the currency marker; currency code
     word_to_code = F.create_map(*[x for w, code in CURRENCY_WORDS for x in (F.lit(w), F.lit(code))])
@@ -95,7 +95,7 @@ def with_numeric_parse(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     # stage 4: percent flag, separators dropped
     df = df.select("*", *[x for t in tmp.values() for x in (
         F.col(f"{t}_r").contains("%").alias(f"{t}_pct"),
-        strip_ws(F.regexp_replace(F.col(f"{t}_r"), "[%,]", "")).alias(f"{t}_r2"))])
+        strip_ws(F.translate(F.col(f"{t}_r"), "%,", "")).alias(f"{t}_r2"))])
     # stage 5: accounting negatives, strict number check, the struct
     out = []
     for src, t in tmp.items():
@@ -114,7 +114,7 @@ def with_numeric_parse(df: DataFrame, cols: dict[str, str]) -> DataFrame:
 
 def _middle(s: Column) -> Column:
     """``s`` without its first and last character, then trimmed."""
-    return strip_ws(F.regexp_replace(s, r"(?s)^.(.*).$", "$1"))
+    return strip_ws(F.substring(s, F.lit(2), F.length(s) - 2))
 
 
 def normalise_bool_text(c: Column) -> Column:

@@ -62,29 +62,65 @@ def correlations(df: DataFrame, cols: list[str] | None = None, max_cols: int = 1
                  digits: int | None = 2) -> DataFrame:
     """Pearson correlation ``[x, y, r]`` for every ordered pair of the first ``max_cols``
     numeric columns, pairwise-complete (a row counts for a pair when both values are present).
-    A constant column gives NULL, never a division error. One aggregate for all pairs."""
+    A constant column gives NULL, never a division error.
+
+    Two passes of plain sums: the first gets each column's mean and NULL count, the second sums
+    products of values centred on those means (well conditioned, and a multiply-add per pair
+    instead of a full covariance state). Pairs of columns without NULLs share per-column sums;
+    pairs with NULLs carry their own masked sums and are corrected to their pairwise means."""
     cols = (cols or N.numeric_columns(df))[:max_cols]
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa = F.when(both, F.col(a).cast("double"))
-            xb = F.when(both, F.col(b).cast("double"))
-            r = F.try_divide(F.covar_pop(xa, xb),
-                             F.nullif(F.stddev_pop(xa) * F.stddev_pop(xb), F.lit(0.0)))
-            aggs.append(r.alias(f"r{i}_{j}"))
-            pairs.append((i, j))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double")
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    first = df.agg(F.count("*").alias("n"),
+                   *[F.count(x[c]).alias(f"k{i}") for i, c in enumerate(cols)],
+                   *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    n = first["n"]
+    full = {c: first[f"k{i}"] == n for i, c in enumerate(cols)}
+    d = {c: x[c] - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
+    aggs = []
+    for i, a_ in enumerate(cols):
+        aggs.append(F.sum(d[a_] * d[a_]).alias(f"ss{i}"))
+        for j in range(i + 1, len(cols)):
+            b_ = cols[j]
+            if full[a_] and full[b_]:
+                aggs.append(F.sum(d[a_] * d[b_]).alias(f"sp{i}_{j}"))
+            else:
+                both = x[a_].isNotNull() & x[b_].isNotNull()
+                da, db = F.when(both, d[a_]), F.when(both, d[b_])
+                aggs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(da).alias(f"sa{i}_{j}"),
+                         F.sum(db).alias(f"sb{i}_{j}"), F.sum(da * db).alias(f"sp{i}_{j}"),
+                         F.sum(da * da).alias(f"saa{i}_{j}"), F.sum(db * db).alias(f"sbb{i}_{j}")]
     wide = df.agg(*aggs)
+
+    def r_expr(i, j):
+        a_, b_ = cols[i], cols[j]
+        if i == j:
+            if full[a_]:
+                num, va = F.col(f"ss{i}") / n, F.col(f"ss{i}") / n
+                return F.try_divide(num, F.nullif(va, F.lit(0.0)))
+            k = first[f"k{i}"]
+            va = F.try_divide(F.col(f"ss{i}"), F.lit(k)) if k else F.lit(None).cast("double")
+            return F.try_divide(va, F.nullif(va, F.lit(0.0)))
+        if full[a_] and full[b_]:
+            cov = F.col(f"sp{i}_{j}") / n
+            va, vb = F.col(f"ss{i}") / n, F.col(f"ss{j}") / n
+        else:
+            m = F.col(f"n{i}_{j}").cast("double")
+            ma, mb = F.try_divide(F.col(f"sa{i}_{j}"), m), F.try_divide(F.col(f"sb{i}_{j}"), m)
+            cov = F.try_divide(F.col(f"sp{i}_{j}"), m) - ma * mb
+            va = F.try_divide(F.col(f"saa{i}_{j}"), m) - ma * ma
+            vb = F.try_divide(F.col(f"sbb{i}_{j}"), m) - mb * mb
+        den = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
+        return F.try_divide(cov, F.nullif(den, F.lit(0.0)))
+
     args = []
-    for i, j in pairs:
-        for x, y in {(cols[i], cols[j]), (cols[j], cols[i])}:
-            r = F.col(f"r{i}_{j}")
-            # "+ 0.0" turns a rounded -0.0 into 0.0
-            args += [F.lit(x), F.lit(y), (F.bround(r, digits) + F.lit(0.0)) if digits is not None else r]
-    n_rows = len(args) // 3
-    return wide.select(F.stack(F.lit(n_rows), *args).alias("x", "y", "r"))
+    for i in range(len(cols)):
+        for j in range(len(cols)):
+            r = r_expr(min(i, j), max(i, j))
+            r = (F.bround(r, digits) + F.lit(0.0)) if digits is not None else r  # no -0.0
+            args += [F.lit(cols[i]), F.lit(cols[j]), r]
+    return wide.select(F.stack(F.lit(len(cols) * len(cols)), *args).alias("x", "y", "r"))
 
 
 def category_breakdown(df: DataFrame, column: str, top_n: int = 15) -> DataFrame:
@@ -234,7 +270,7 @@ def column_cardinality(df: DataFrame, cols: list[str] | None = None, thresholds=
     category limits and 95 % of the non-NULL count), so Spark expands rows for a handful of
     columns rather than all of them."""
     cols = cols or list(df.columns)
-    est = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"a{i}") for i, c in enumerate(cols)],
+    est = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.02).alias(f"a{i}") for i, c in enumerate(cols)],
                  *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     exact_needed = []
     for i, c in enumerate(cols):
@@ -244,7 +280,12 @@ def column_cardinality(df: DataFrame, cols: list[str] | None = None, thresholds=
             exact_needed.append(i)
     exact = {}
     if exact_needed:
-        row = df.agg(*[F.count_distinct(cols[i]).alias(f"e{i}") for i in exact_needed]).first()
+        # a column estimated at a few hundred values or fewer is counted exactly with a bounded
+        # set (no row expansion); larger ones need COUNT(DISTINCT)
+        small = [i for i in exact_needed if est[f"a{i}"] <= 1000]
+        large = [i for i in exact_needed if est[f"a{i}"] > 1000]
+        row = df.agg(*[F.size(F.collect_set(cols[i])).alias(f"e{i}") for i in small],
+                     *[F.count_distinct(cols[i]).alias(f"e{i}") for i in large]).first()
         exact = {i: row[f"e{i}"] for i in exact_needed}
     rows = [(c, int(exact.get(i, est[f"a{i}"])), int(est[f"n{i}"]), i in exact) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "column string, n_distinct long, n_nonnull long, exact boolean")

@@ -45,15 +45,22 @@ def autopilot(analysis: dict, goal: str | None = None, periods: int = 30) -> dic
     return {"recommendations": recs, "forecast_metric": metric, "forecast": fc}
 
 
+ANALYSES = ("kpis", "top_performers", "concentration", "trend", "segments", "forecast",
+            "strangest_rows", "control_chart", "histogram", "time_to_limit", "outcome_risk")
+
+
 def industry_insights(df: DataFrame, industry: str, category: str | None = None,
                       metric: str | None = None, date_col: str | None = None,
-                      sequence_cols: list[str] | None = None, outcome: str | None = None) -> dict:
+                      sequence_cols: list[str] | None = None, outcome: str | None = None,
+                      include: tuple[str, ...] = ANALYSES) -> dict:
     """The fixed set of analyses of one industry view.
 
     retail: KPIs, top performers, trend, segments, forecast; finance: KPIs, concentration,
     trend, strangest rows; engineering: control chart, histogram, time to limit; healthcare:
     KPIs, ranking, trend, control chart, forecast, outcome risk. Category and metric default to
-    the P8 suggestion, the date to P10."""
+    the P8 suggestion, the date to P10. ``include`` limits the work to the named analyses (the
+    model-fitting ones run eagerly)."""
+    want = set(include)
     if industry not in IND.INDUSTRY_OPTIONS:
         raise ValueError(f"industry must be one of {list(IND.INDUSTRY_OPTIONS)}")
     if category is None or metric is None:
@@ -62,38 +69,39 @@ def industry_insights(df: DataFrame, industry: str, category: str | None = None,
         metric = metric or roles["metric"]
     date_col = date_col or N.default_date_column(df)
     out: dict = {"category": category, "metric": metric, "date_col": date_col}
-    if industry in ("sales_retail", "finance_banking", "healthcare") and category and metric:
+    if "kpis" in want and industry in ("sales_retail", "finance_banking", "healthcare") and category and metric:
         out["kpis"] = G.kpi_summary(df, category, metric)
-    if industry in ("sales_retail", "healthcare") and category and metric:
+    if "top_performers" in want and industry in ("sales_retail", "healthcare") and category and metric:
         out["top_performers"] = G.top_performers(df, category, metric)
-    if industry == "finance_banking" and category and metric:
+    if "concentration" in want and industry == "finance_banking" and category and metric:
         out["concentration"] = G.concentration_risk(df, category, metric)
-    if industry in ("sales_retail", "finance_banking", "healthcare") and date_col and metric:
+    if "trend" in want and industry in ("sales_retail", "finance_banking", "healthcare") and date_col and metric:
         out["trend"] = TS.time_trend(df, date_col, metric, "D")
-    if industry == "sales_retail" and category and metric:
+    if "segments" in want and industry == "sales_retail" and category and metric:
         nums = [c for c in N.numeric_columns(df) if c != category][:4]
         try:
             out["segments"] = ML.segment_categories(df, category, nums or [metric])
         except ValueError as e:
             out["segments_error"] = str(e)
-    if industry in ("sales_retail", "healthcare") and date_col and metric:
+    if "forecast" in want and industry in ("sales_retail", "healthcare") and date_col and metric:
         out["forecast"] = TS.forecast(df, date_col, metric, 30)
-    if industry == "finance_banking" and "_anomaly_score" in df.columns:
+    if "strangest_rows" in want and industry == "finance_banking" and "_anomaly_score" in df.columns:
         out["strangest_rows"] = AN.strangest_rows(df, 20)
-    if industry in ("engineering_manufacturing", "healthcare") and metric:
+    if want & {"control_chart", "histogram", "time_to_limit"} and \
+            industry in ("engineering_manufacturing", "healthcare") and metric:
         seq = sequence_cols or ([date_col] if date_col else None)
         cc = TS.control_chart(df, metric, seq[0] if seq else None)
         out["control_chart"] = cc
         if industry == "engineering_manufacturing":
             out["histogram"] = P.histogram(df, metric, 30)
-            if seq:
+            if seq and "time_to_limit" in want:
                 lims = cc["limits"]
                 try:
                     out["time_to_limit"] = TS.time_to_limit(df, metric, seq, lims.select("ucl").scalar(),
                                                             lims.select("lcl").scalar())
                 except ValueError as e:
                     out["time_to_limit_error"] = str(e)
-    if industry == "healthcare":
+    if "outcome_risk" in want and industry == "healthcare":
         roles = P.suggest_roles(df)
         target = outcome or (roles["binary"][0] if roles["binary"] else None)
         feats = [c for c in N.numeric_columns(df) if c != target][:6]
