@@ -8,8 +8,9 @@
 * trees grown per tree group with ``groupBy(tree).applyInPandas`` (at most ``psi`` rows each);
 * the forest (at most ``n_trees * (2 psi - 1)`` nodes, a proven bound) is collected once and
   shipped with a vectorised pandas UDF that scores Arrow batches of the feature columns only;
-* the cut is the ``contamination`` quantile of the scores (exact below a distinct-count bound,
-  sketch above), and a row is flagged when its score is below it.
+* the cut is the ``contamination`` quantile of the scores - exact from the k smallest scores (a
+  bounded top-k) while k is at most a million, from the sketch beyond - and a row is flagged
+  when its score is below it.
 
 Splits are uniform between a node's minimum and maximum, so the forest does not depend on
 per-column affine scaling; the reference's standardisation step is therefore not needed.
@@ -88,29 +89,43 @@ def _tree_builder(cols: list[str], psi: int, seed: int):
 
 
 def _forest_arrays(nodes: pd.DataFrame):
-    trees = []
-    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-                      g["right"].to_numpy(), g["leaf_depth"].to_numpy()))
-    return trees
-
-
-def _path_lengths(x: np.ndarray, trees) -> np.ndarray:
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for feature, threshold, left, right, leaf_depth in trees:
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            f = feature[node]
+    """All trees in one set of node arrays; child links become global node ids."""
+    nodes = nodes.sort_values(["tree", "node"])
+    sizes = nodes.groupby("tree")["node"].count().to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    tree_off = np.repeat(offsets, sizes)
+    left = nodes["left"].to_numpy().astype(np.int64)
+    right = nodes["right"].to_numpy().astype(np.int64)
+    return {"roots": offsets,
+            "feature": nodes["feature"].to_numpy().astype(np.int64),
+            "threshold": nodes["threshold"].to_numpy(),
+            "left": np.where(left >= 0, left + tree_off, -1),
+            "right": np.where(right >= 0, right + tree_off, -1),
+            "leaf_depth": nodes["leaf_depth"].to_numpy()}
+
+
+def _path_lengths(x: np.ndarray, forest) -> np.ndarray:
+    """Mean path length of every row over all trees. Per tree, the rows still at inner nodes
+    descend one level per step (the active set shrinks as rows reach leaves)."""
+    n = len(x)
+    total = np.zeros(n)
+    rows = np.arange(n)
+    feature, threshold = forest["feature"], forest["threshold"]
+    left, right, leaf_depth = forest["left"], forest["right"], forest["leaf_depth"]
+    for root in forest["roots"]:
+        node = np.full(n, root, dtype=np.int64)
+        active = rows
+        while len(active):
+            f = feature[node[active]]
             inner = f >= 0
-            if not inner.any():
+            active, f = active[inner], f[inner]
+            if not len(active):
                 break
-            r = rows[inner]
-            n = node[inner]
-            go_left = x[r, f[inner]] < threshold[n]
-            node[inner] = np.where(go_left, left[n], right[n])
+            nd = node[active]
+            go_left = x[active, f] < threshold[nd]
+            node[active] = np.where(go_left, left[nd], right[nd])
         total += leaf_depth[node]
-    return total / max(len(trees), 1)
+    return total / max(len(forest["roots"]), 1)
 
 
 def training_sample(df: DataFrame, cols: list[str], n_rows: int, n_trees: int, psi: int,
@@ -143,7 +158,7 @@ def fit_forest(df: DataFrame, cols: list[str], n_trees: int = 100, psi: int = 25
 
 def score_column(cols: list[str], trees, psi: int, fill: dict[str, float]):
     """A pandas UDF: sklearn-style ``score_samples`` (-2^(-E[h]/c(psi)); lower is stranger)."""
-    spark_trees = trees
+    forest = trees
     c = average_path(psi) or 1.0
     fills = np.array([fill.get(k, 0.0) for k in cols], dtype="float64")
 
@@ -153,7 +168,7 @@ def score_column(cols: list[str], trees, psi: int, fill: dict[str, float]):
         nan = np.isnan(x)
         if nan.any():
             x = np.where(nan, fills[None, :], x)
-        return pd.Series(-np.power(2.0, -_path_lengths(x, spark_trees) / c))
+        return pd.Series(-np.power(2.0, -_path_lengths(x, forest) / c))
 
     return score
 
@@ -176,8 +191,7 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.05, n_trees: int =
     score = score_column(cols, trees, psi_eff, fill)
     scored = df.withColumn("_anomaly_score", score(*[F.col(f"`{c}`").cast("double") for c in cols]))
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    acc = choose_accuracy(scored, ["_anomaly_score"], accuracy)["_anomaly_score"]
-    cut = scored.agg(quantile("_anomaly_score", contamination, acc).alias("cut")).first()["cut"]
+    cut = low_quantile(scored, "_anomaly_score", contamination, n, accuracy)
     out = scored.withColumn("_anomaly", F.col("_anomaly_score") < F.lit(cut))
     cols_order = [c for c in df.columns] + ["_anomaly", "_anomaly_score"]
     out = out.select(*[F.col(f"`{c}`") for c in cols_order])
@@ -189,6 +203,29 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.05, n_trees: int =
     return out, summary
 
 
+EXACT_TOPK_MAX_ROWS = 1_000_000
+
+
+def low_quantile(df: DataFrame, col: str, q: float, n: int, accuracy="auto") -> float | None:
+    """The ``q`` quantile (linear interpolation, as NumPy) of ``col``.
+
+    A low quantile only depends on the ``floor(q*(n-1)) + 2`` smallest values, so while that is
+    at most ``EXACT_TOPK_MAX_ROWS`` it is taken exactly from a top-k (each task keeps k values,
+    no value map); beyond it the sketch is used (``accuracy`` None forces exact)."""
+    if n == 0:
+        return None
+    pos = q * (n - 1)
+    lo = int(math.floor(pos))
+    k = min(lo + 2, n)
+    if accuracy is None or (accuracy == "auto" and k <= EXACT_TOPK_MAX_ROWS):
+        vals = [r[0] for r in df.select(col).orderBy(F.col(col).asc()).limit(k).collect()]
+        frac = pos - lo
+        hi_v = vals[lo + 1] if lo + 1 < len(vals) else vals[lo]
+        return float(vals[lo] + (hi_v - vals[lo]) * frac)
+    acc = accuracy if isinstance(accuracy, int) else choose_accuracy(df, [col], "auto")[col]
+    return df.agg(quantile(col, q, acc).alias("q")).first()["q"]
+
+
 def anomalous_rows(df: DataFrame) -> DataFrame:
     """A2: the flagged rows with the internal columns dropped."""
     return df.where(F.col("_anomaly")).drop("_anomaly", "_anomaly_score")

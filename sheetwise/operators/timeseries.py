@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,6 +125,9 @@ def forecast(df: DataFrame, date_col: str, value_col: str, periods: int = 30) ->
                         F.col(value_col).cast("double").alias(value_col))
                 .where(F.col(date_col).isNotNull() & F.col(value_col).isNotNull())
                 .groupBy(date_col).agg(F.sum(value_col).alias(value_col)))
+    # one row per distinct timestamp, read by several small passes below: kept after the first
+    # one instead of re-scanning and re-shuffling the input each time
+    series = series.persist(StorageLevel.MEMORY_AND_DISK)
     s = series.agg(F.count("*").alias("n"), F.min(date_col).alias("lo"), F.max(date_col).alias("hi")).first()
     n = s["n"]
     if n < 5:

@@ -53,3 +53,21 @@ def test_samples(spark):
     assert s2.count() == 2000 and s2.where("_anomaly").count() == 20
     small, flag = ML.sample_for_chart(df.limit(10), 2000)
     assert not flag and small.count() == 10
+
+
+def test_forest_scores_match_direct_evaluation(spark):
+    """Brute force: the distributed scoring UDF and cut agree with evaluating the same forest
+    directly in NumPy on the collected rows."""
+    import numpy as np
+
+    rows = [(float(i % 13), float((i * 7) % 11)) for i in range(300)] + [(90.0, 90.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    trees, psi = AN.fit_forest(df, ["a", "b"], n_trees=20, psi=64, seed=7, n_rows=len(rows))
+    c = AN.average_path(psi)
+    x = np.array(rows)
+    direct = -np.power(2.0, -AN._path_lengths(x, trees) / c)
+    udf = AN.score_column(["a", "b"], trees, psi, {"a": 0.0, "b": 0.0})
+    got = [r[0] for r in df.select(udf("a", "b")).collect()]
+    assert np.allclose(sorted(got), sorted(direct))
+    assert AN.low_quantile(df.select(udf("a", "b").alias("s")), "s", 0.05, len(rows)) == pytest.approx(np.percentile(direct, 5))
+    assert min(got) == pytest.approx(direct[-1])  # the far point is the strangest
