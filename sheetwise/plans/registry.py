@@ -834,3 +834,39 @@ def q_u3_stream(spark, sf_dir):
     out = IO.scratch_dir(spark, "activity")
     # the stream source watches a folder or a glob of files; here the glob names the one file
     return ST.daily_activity(spark, f"{sf_dir.rstrip('/')}/events*.parquet", out, ts="ts", session="user_id")
+
+
+# Count-level properties of the sampled / flagged outputs, checkable in SQL: the cut flags the
+# rows strictly below the interpolated 5 % quantile (floor(0.05 (n-1)) + 1 rows when scores are
+# distinct); a chart sample has exactly min(n, budget) rows; the flag-keeping sample keeps
+# every flagged row and fills the rest of the budget.
+
+_FLAGGED = "CAST(floor(0.05 * (COUNT(*) - 1)) + 1 AS BIGINT)"
+
+
+@register("a1_anomaly_count_lineitem", f"""
+SELECT {_FLAGGED} AS total_anomalies,
+       round_even(({_FLAGGED}) * 100.0 / COUNT(*), 1) AS anomaly_pct
+FROM lineitem
+""")
+def q_a1_count(spark, sf_dir):
+    _, summary = AN.detect_anomalies(table(spark, sf_dir, "lineitem"))
+    return summary.select("total_anomalies", "anomaly_pct")
+
+
+@register("a5_chart_sample_size_lineitem", """
+SELECT CAST(LEAST(COUNT(*), 5000) AS BIGINT) AS rows, COUNT(*) > 5000 AS sampled FROM lineitem
+""")
+def q_a5_size(spark, sf_dir):
+    sample, sampled = ML.sample_for_chart(table(spark, sf_dir, "lineitem"), 5000)
+    return sample.agg(F.count("*").alias("rows")).withColumn("sampled", F.lit(sampled))
+
+
+@register("a6_chart_sample_flag_counts_lineitem", f"""
+WITH c AS (SELECT COUNT(*) AS n, {_FLAGGED} AS f FROM lineitem)
+SELECT CAST(f + LEAST(GREATEST(5000 - f, 0), n - f) AS BIGINT) AS rows, f AS flagged FROM c
+""")
+def q_a6_counts(spark, sf_dir):
+    scored, _ = AN.detect_anomalies(table(spark, sf_dir, "lineitem"))
+    sample, _ = ML.sample_for_chart_preserving_flag(scored, "_anomaly", 5000)
+    return sample.agg(F.count("*").alias("rows"), F.count_if("_anomaly").alias("flagged"))
