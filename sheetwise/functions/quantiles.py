@@ -1,10 +1,11 @@
-"""Quantile expressions with a checked size bound.
+"""Quantiles with a checked size bound.
 
 Spark's exact ``percentile`` keeps a value->count map per group; for a column with billions of
 distinct values that map cannot fit in one task. ``choose_accuracy`` runs one cheap
-``approx_count_distinct`` pass and keeps the exact form only where the estimated number of
-distinct values is under ``EXACT_MAX_DISTINCT``; above it the quantile is ``percentile_approx``
-with a fine accuracy (rank error about n / accuracy).
+``approx_count_distinct`` pass and keeps Spark's ``percentile`` only where the estimated number
+of distinct values is under ``EXACT_MAX_DISTINCT``. Whole-table quantiles above it use
+:func:`exact_quantiles` (sketch brackets + counts: still exact, memory bounded); per-group
+quantiles above it use ``percentile_approx`` with a fine accuracy (rank error ~ n / accuracy).
 """
 
 from __future__ import annotations
@@ -41,3 +42,129 @@ def choose_accuracy(df: DataFrame, cols: list[str], accuracy="auto") -> dict[str
     est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     return {c: (None if est[f"d{i}"] <= EXACT_MAX_DISTINCT else APPROX_ACCURACY)
             for i, c in enumerate(cols)}
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10_000,
+                    max_bracket: int = 200_000, max_rounds: int = 8) -> dict[str, list[float | None]]:
+    """Exact quantiles (linear interpolation between order statistics, as NumPy / pandas) of
+    several columns, with bounded memory at any table size.
+
+    1. One aggregate: non-NULL counts and, per (column, p), a sketch bracket
+       ``percentile_approx(c, [p - d, p + d])`` around the target ranks.
+    2. One aggregate per refinement round: rows below and inside every bracket; a bracket still
+       holding more than ``max_bracket`` rows is narrowed by a sketch over its own rows.
+    3. One grouped count of the rows inside the brackets per (bracket, value) - ties collapse to
+       one row each - from which the order statistics are read.
+
+    A bracket the sketch misplaced (the target rank outside it) falls back to the exact
+    ``percentile`` of that column."""
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    d = 2.0 / accuracy
+    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.percentile_approx(x[c], sorted({min(1.0, max(0.0, q)) for p in probs
+                                                       for q in (p - d, p + d)}), accuracy).alias(f"a{i}")
+                     for i, c in enumerate(cols)]).first()
+    tasks = []
+    for i, c in enumerate(cols):
+        n = first[f"n{i}"]
+        qs = sorted({min(1.0, max(0.0, q)) for p in probs for q in (p - d, p + d)})
+        approx = dict(zip(qs, first[f"a{i}"] or []))
+        for j, p in enumerate(probs):
+            if n == 0:
+                tasks.append({"i": i, "j": j, "n": 0})
+                continue
+            pos = p * (n - 1)
+            r0 = int(pos // 1)
+            tasks.append({"i": i, "j": j, "n": n, "r0": r0, "r1": min(r0 + 1, n - 1), "frac": pos - r0,
+                          "lo": approx.get(min(1.0, max(0.0, p - d))),
+                          "hi": approx.get(min(1.0, max(0.0, p + d))), "ok": True})
+    live = [t for t in tasks if t["n"] > 0]
+
+    def inside(t):
+        c = x[cols[t["i"]]]
+        return (c >= F.lit(t["lo"])) & (c <= F.lit(t["hi"]))
+
+    for _ in range(max_rounds):
+        cnt = df.agg(*[F.count_if(x[cols[t["i"]]] < F.lit(t["lo"])).alias(f"b{k}") for k, t in enumerate(live)],
+                     *[F.count_if(inside(t)).alias(f"w{k}") for k, t in enumerate(live)]).first()
+        narrow = []
+        for k, t in enumerate(live):
+            t["below"], t["inside"] = cnt[f"b{k}"], cnt[f"w{k}"]
+            if not (t["below"] <= t["r0"] and t["below"] + t["inside"] >= t["r1"] + 1):
+                t["ok"] = False
+            elif t["inside"] > max_bracket and t["lo"] < t["hi"]:
+                narrow.append(t)
+        if not narrow:
+            break
+        aggs = []
+        for k, t in enumerate(narrow):
+            span = max(t["inside"] - 1, 1)
+            q0 = max(0.0, (t["r0"] - t["below"]) / span - d)
+            q1 = min(1.0, (t["r1"] - t["below"]) / span + d)
+            aggs.append(F.percentile_approx(F.when(inside(t), x[cols[t["i"]]]), [q0, q1], accuracy).alias(f"q{k}"))
+        res = df.agg(*aggs).first()
+        for k, t in enumerate(narrow):
+            t["lo"], t["hi"] = res[f"q{k}"][0], res[f"q{k}"][1]
+
+    good = [t for t in live if t["ok"]]
+    hist: dict[int, list[tuple[float, int]]] = {k: [] for k in range(len(good))}
+    if good:
+        entries = F.filter(F.array(*[F.when(inside(t), F.struct(F.lit(k).alias("k"), x[cols[t["i"]]].alias("v")))
+                                     for k, t in enumerate(good)]), lambda e: e.isNotNull())
+        rows = (df.select(F.explode(entries).alias("e")).select("e.k", "e.v")
+                  .groupBy("k", "v").agg(F.count("*").alias("m")).collect())
+        for r in rows:
+            hist[r["k"]].append((r["v"], r["m"]))
+    out = {c: [None] * len(probs) for c in cols}
+    fallback = sorted({t["i"] for t in live if not t["ok"]})
+    for k, t in enumerate(good):
+        vals = sorted(hist[k])
+
+        def at(rank, _vals=vals, _t=t):
+            cum = _t["below"]
+            for v, m in _vals:
+                cum += m
+                if cum > rank:
+                    return v
+            return _vals[-1][0]
+        v0, v1 = at(t["r0"]), at(t["r1"])
+        out[cols[t["i"]]][t["j"]] = v0 + (v1 - v0) * t["frac"]
+    if fallback:
+        row = df.agg(*[F.percentile(x[cols[i]], F.array(*[F.lit(float(p)) for p in probs])).alias(f"f{i}")
+                       for i in fallback]).first()
+        for i in fallback:
+            out[cols[i]] = list(row[f"f{i}"])
+    return out
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy="auto",
+                     distinct: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Whole-table quantiles per column: Spark's exact ``percentile`` for columns under the
+    distinct-value bound (one aggregate for all of them), :func:`exact_quantiles` above it;
+    ``accuracy`` an int gives the sketch everywhere, ``None`` Spark's exact form everywhere.
+    ``distinct`` may carry estimates already computed elsewhere."""
+    if not cols:
+        return {}
+    if isinstance(accuracy, int) and not isinstance(accuracy, bool):
+        row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), list(probs), accuracy).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
+    if accuracy is None:
+        small, big = list(cols), []
+    else:
+        if distinct is None or any(c not in distinct for c in cols):
+            est = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}")
+                           for i, c in enumerate(cols)]).first()
+            distinct = {c: est[f"d{i}"] for i, c in enumerate(cols)}
+        small = [c for c in cols if distinct[c] <= EXACT_MAX_DISTINCT]
+        big = [c for c in cols if distinct[c] > EXACT_MAX_DISTINCT]
+    out: dict[str, list[float | None]] = {}
+    if small:
+        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"),
+                                    F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
+                       for i, c in enumerate(small)]).first()
+        for i, c in enumerate(small):
+            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
+    if big:
+        out.update(exact_quantiles(df, big, list(probs)))
+    return out

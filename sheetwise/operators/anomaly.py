@@ -8,9 +8,9 @@
 * trees grown per tree group with ``groupBy(tree).applyInPandas`` (at most ``psi`` rows each);
 * the forest (at most ``n_trees * (2 psi - 1)`` nodes, a proven bound) is collected once and
   shipped with a vectorised pandas UDF that scores Arrow batches of the feature columns only;
-* the cut is the ``contamination`` quantile of the scores - exact from the k smallest scores (a
-  bounded top-k) while k is at most a million, from the sketch beyond - and a row is flagged
-  when its score is below it.
+* the cut is the ``contamination`` quantile of the scores - exact: from the k smallest scores (a
+  bounded top-k) while k is at most a million, from sketch brackets and counts beyond - and a
+  row is flagged when its score is below it.
 
 Splits are uniform between a node's minimum and maximum, so the forest does not depend on
 per-column affine scaling; the reference's standardisation step is therefore not needed.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import naming as N
-from sheetwise.functions.quantiles import choose_accuracy, quantile
+from sheetwise.functions.quantiles import exact_quantiles, quantile
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -211,7 +211,8 @@ def low_quantile(df: DataFrame, col: str, q: float, n: int, accuracy="auto") ->
 
     A low quantile only depends on the ``floor(q*(n-1)) + 2`` smallest values, so while that is
     at most ``EXACT_TOPK_MAX_ROWS`` it is taken exactly from a top-k (each task keeps k values,
-    no value map); beyond it the sketch is used (``accuracy`` None forces exact)."""
+    no value map); beyond it by sketch brackets (:func:`exact_quantiles`, still exact); an int
+    ``accuracy`` gives the sketch's value."""
     if n == 0:
         return None
     pos = q * (n - 1)
@@ -222,8 +223,9 @@ def low_quantile(df: DataFrame, col: str, q: float, n: int, accuracy="auto") ->
         frac = pos - lo
         hi_v = vals[lo + 1] if lo + 1 < len(vals) else vals[lo]
         return float(vals[lo] + (hi_v - vals[lo]) * frac)
-    acc = accuracy if isinstance(accuracy, int) else choose_accuracy(df, [col], "auto")[col]
-    return df.agg(quantile(col, q, acc).alias("q")).first()["q"]
+    if isinstance(accuracy, int) and not isinstance(accuracy, bool):
+        return df.agg(quantile(col, q, accuracy).alias("q")).first()["q"]
+    return exact_quantiles(df, [col], [q])[col][0]
 
 
 def anomalous_rows(df: DataFrame) -> DataFrame:

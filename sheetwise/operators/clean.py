@@ -24,7 +24,7 @@ from sheetwise.functions import naming as N
 from sheetwise.functions.dates import parse_timestamp
 from sheetwise.functions.numeric_text import (bool_tokens, normalise_bool_text, parse_bool_text,
                                               with_numeric_parse)
-from sheetwise.functions.quantiles import EXACT_MAX_DISTINCT, APPROX_ACCURACY, quantile
+from sheetwise.functions.quantiles import EXACT_MAX_DISTINCT, exact_quantiles, quantile
 
 NUMERIC_SHARE = 0.7   # share of non-NULL values that must read as numbers
 DATE_SHARE = 0.7      # share of values that must read as dates (strictly more)
@@ -168,14 +168,19 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     bool_cols = [n for n, t in fields.items() if isinstance(t, T.BooleanType)]
     orig_of = {v: k for k, v in names.items()}
 
-    # Pass 2: medians, boolean counts, date parse counts.
-    aggs, med_cols = [], []
+    # Pass 2: medians (exact; columns over the distinct-value bound by sketch brackets),
+    # boolean counts, date parse counts.
+    aggs, med_cols, big_med = [], [], []
     for j, c in enumerate(num_cols):
         if missing.get(c, 0) > 0 and prof["nonnull"][orig_of[c]] > 0:
             d = prof["distinct"].get(orig_of[c], 0) or 0
-            acc = None if (accuracy is None or (accuracy == "auto" and d <= EXACT_MAX_DISTINCT)) else (
-                accuracy if isinstance(accuracy, int) else APPROX_ACCURACY)
-            aggs.append(quantile(_q(c), 0.5, acc).alias(f"med{j}"))
+            if isinstance(accuracy, int) and not isinstance(accuracy, bool):
+                aggs.append(quantile(_q(c), 0.5, accuracy).alias(f"med{j}"))
+            elif accuracy is None or d <= EXACT_MAX_DISTINCT:
+                aggs.append(quantile(_q(c), 0.5, None).alias(f"med{j}"))
+            else:
+                big_med.append(c)
+                continue
             med_cols.append((j, c))
     for j, c in enumerate(bool_cols):
         if missing.get(c, 0) > 0:
@@ -190,6 +195,10 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     for j, c in med_cols:
         if stats[f"med{j}"] is not None:
             fills[c] = float(stats[f"med{j}"])
+    if big_med:
+        for c, qv in exact_quantiles(typed, big_med, [0.5]).items():
+            if qv[0] is not None:
+                fills[c] = float(qv[0])
     for j, c in enumerate(bool_cols):
         if missing.get(c, 0) > 0:
             t_, f_ = stats[f"bt{j}"], stats[f"bf{j}"]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions import naming as N
-from sheetwise.functions.quantiles import choose_accuracy, quantile
+from sheetwise.functions.quantiles import choose_accuracy, column_quantiles, quantile
 
 STAT_COLUMNS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
@@ -34,28 +34,35 @@ def _long_form(one_row: DataFrame, per_col: dict[str, list[str]], names: list[st
 
 def compute_stats(df: DataFrame, accuracy="auto", digits: int = 3) -> DataFrame | None:
     """Per numeric column ``count, mean, std (sample), min, p25, p50, p75, max`` rounded to
-    ``digits``; ``_anomaly_score`` is left out. ``None`` when there is no numeric column."""
+    ``digits``; ``_anomaly_score`` is left out. ``None`` when there is no numeric column.
+
+    One aggregate for the moments, quartiles by :func:`column_quantiles` (exact at any size);
+    the result has one row per column, built from those bounded figures."""
     cols = [c for c in N.numeric_columns(df, include_internal=True) if c != "_anomaly_score"]
     if not cols:
         return None
-    acc = choose_accuracy(df, cols, accuracy)
-    aggs, per_col = [], {}
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        q = quantile(x, [0.25, 0.5, 0.75], acc[c])
-        aggs += [F.count(x).cast("double").alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), q.alias(f"q{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    sel = []
+    aggs = []
     for i, c in enumerate(cols):
-        for name, e in (("n", F.col(f"n{i}")), ("m", F.col(f"m{i}")), ("s", F.col(f"s{i}")),
-                        ("lo", F.col(f"lo{i}")), ("q25", F.col(f"q{i}")[0]),
-                        ("q50", F.col(f"q{i}")[1]), ("q75", F.col(f"q{i}")[2]),
-                        ("hi", F.col(f"hi{i}"))):
-            sel.append(F.bround(e, digits).alias(f"{name}_{i}"))
-        per_col[c] = [f"{k}_{i}" for k in ("n", "m", "s", "lo", "q25", "q50", "q75", "hi")]
-    return _long_form(wide.select(*sel), per_col, list(STAT_COLUMNS))
+        x = F.col(f"`{c}`").cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    base = df.agg(*aggs).first()
+    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
+
+    def r(v):
+        return None if v is None else _round_half_even(float(v), digits)
+    rows = [(c, r(base[f"n{i}"]), r(base[f"m{i}"]), r(base[f"s{i}"]), r(base[f"lo{i}"]),
+             r(qs[c][0]), r(qs[c][1]), r(qs[c][2]), r(base[f"hi{i}"])) for i, c in enumerate(cols)]
+    schema = "column string, " + ", ".join(f"{k} double" for k in STAT_COLUMNS)
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _round_half_even(v: float, digits: int) -> float:
+    """Half-to-even rounding on the decimal form of ``v`` (as Spark's ``bround``)."""
+    from decimal import ROUND_HALF_EVEN, Decimal
+    if v != v or v in (float("inf"), float("-inf")):
+        return v
+    return float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_EVEN))
 
 
 def correlations(df: DataFrame, cols: list[str] | None = None, max_cols: int = 12,
@@ -157,14 +164,32 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 def box_summary(df: DataFrame, column: str, by: str | None = None, accuracy="auto") -> DataFrame:
     """P5: five-number summary per group (or overall): ``[by], n, min, q1, median, q3, max,
     lower_fence, upper_fence, whisker_low, whisker_high, outliers`` with 1.5 IQR fences; whiskers
-    are the most extreme values inside the fences. Two aggregates: quartiles per group, then
-    fences joined back on the group key for the whisker/outlier pass."""
+    are the most extreme values inside the fences. Overall: exact quartiles at any size, then one
+    whisker aggregate. Per group: quartiles per group, then fences joined back on the group key
+    for the whisker/outlier pass."""
     N.require_columns(df, column, by)
     keys = [by] if by else []
     x = F.col(column).cast("double")
     data = df.select(*keys, x.alias("v")).where(F.col("v").isNotNull())
     if by:
         data = data.where(F.col(by).isNotNull())
+    if not by:
+        # whole-table quartiles: exact at any size (see column_quantiles)
+        base = data.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max")).first()
+        q1, med, q3 = column_quantiles(data, ["v"], [0.25, 0.5, 0.75], accuracy)["v"]
+        iqr = (q3 - q1) if q1 is not None else None
+        lf = q1 - 1.5 * iqr if iqr is not None else None
+        uf = q3 + 1.5 * iqr if iqr is not None else None
+        inside = (F.col("v") >= F.lit(lf)) & (F.col("v") <= F.lit(uf))
+        return (data.agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
+                         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+                         F.count_if(~inside).alias("outliers"))
+                    .select(F.lit(base["n"]).cast("long").alias("n"), F.lit(base["min"]).cast("double").alias("min"),
+                            F.lit(q1).cast("double").alias("q1"), F.lit(med).cast("double").alias("median"),
+                            F.lit(q3).cast("double").alias("q3"), F.lit(base["max"]).cast("double").alias("max"),
+                            F.lit(lf).cast("double").alias("lower_fence"), F.lit(uf).cast("double").alias("upper_fence"),
+                            "whisker_low", "whisker_high", "outliers"))
+    # per group: Spark's exact percentile under the distinct-value bound, the sketch above it
     acc = choose_accuracy(data, ["v"], accuracy)["v"]
     q = quantile("v", [0.25, 0.5, 0.75], acc)
     qs = (data.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("min"), q.alias("_q"),
@@ -177,22 +202,10 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, accuracy="aut
     whisker_aggs = [F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
                     F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
                     F.count_if(~inside).alias("outliers")]
-    if by:
-        # One row per group on the right; AQE broadcasts it when its measured size is small and
-        # splits a hot group's partition when it is not.
-        joined = data.join(qs.select(by, "lower_fence", "upper_fence"), by)
-        return qs.join(joined.groupBy(by).agg(*whisker_aggs), by)
-    # Overall: the one-row quartile summary is a bounded result, read once on the driver.
-    q = qs.first()
-    if q is None:
-        return qs.select(*qs.columns, *[F.lit(None).cast(t).alias(n) for n, t in
-                                        (("whisker_low", "double"), ("whisker_high", "double"),
-                                         ("outliers", "long"))])
-    lits = [F.lit(q[c]).alias(c) for c in qs.columns]
-    return (data.select("v", F.lit(q["lower_fence"]).alias("lower_fence"),
-                        F.lit(q["upper_fence"]).alias("upper_fence"))
-                .agg(*whisker_aggs)
-                .select(*lits, "whisker_low", "whisker_high", "outliers"))
+    # One row per group on the right; AQE broadcasts it when its measured size is small and
+    # splits a hot group's partition when it is not.
+    joined = data.join(qs.select(by, "lower_fence", "upper_fence"), by)
+    return qs.join(joined.groupBy(by).agg(*whisker_aggs), by)
 
 
 def numeric_profile(df: DataFrame, max_cols: int = 8, digits: int = 2) -> DataFrame:

@@ -57,3 +57,14 @@ def test_quality_and_recommendations(spark):
     assert recs == {"Missing data detected": "Medium", "Duplicate rows found": "High"}
     ok = spark.createDataFrame([(100, 4, 0, 0)], "original_rows long, original_cols int, total_missing long, duplicates_removed long")
     assert [r["severity"] for r in P.recommendations(P.quality_scores(ok)).collect()] == ["Low"]
+
+
+def test_exact_quantiles_brackets_match_numpy(spark):
+    import numpy as np
+
+    from sheetwise.functions.quantiles import exact_quantiles
+    vals = [float((i * 7919) % 1000) / 7.0 for i in range(5000)] + [0.0] * 3000  # many ties
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = exact_quantiles(df, ["x"], [0.05, 0.25, 0.5, 0.9], accuracy=100, max_bracket=50)["x"]
+    want = [float(np.percentile(vals, p)) for p in (5, 25, 50, 90)]
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
