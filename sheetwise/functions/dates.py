@@ -64,6 +64,9 @@ def _shape(fmt: str) -> str:
     return "".join(out)
 
 
+_ANY_SHAPE = r"^[0-9A-Za-z][0-9A-Za-z ,/.:'T-]*[0-9][0-9A-Za-z ,/.:'T-]*$"
+
+
 def parse_timestamp(c: Column, day_first: bool = False) -> Column:
     """TIMESTAMP_NTZ from text, NULL when no listed pattern reads the trimmed value.
 
@@ -72,7 +75,10 @@ def parse_timestamp(c: Column, day_first: bool = False) -> Column:
     s = F.trim(c.cast("string"))
     fmts = YEAR_FIRST_FORMATS + (DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS)
     parsed = F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in fmts])
-    return parsed.cast("timestamp_ntz")
+    # one cheap test first: every listed form is 6-29 characters of digits, letters and the
+    # separators below, with a digit among them; anything else skips the per-pattern tests
+    could_be = (F.length(s).between(6, 29) & s.rlike(_ANY_SHAPE))
+    return F.when(could_be, parsed).cast("timestamp_ntz")
 
 
 def as_timestamp(c: Column, dtype) -> Column:

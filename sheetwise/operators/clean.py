@@ -63,10 +63,19 @@ def convert_column_types(df: DataFrame, accuracy="auto", _profile=None) -> tuple
     return _apply_types(df, prof), prof["report"]
 
 
-def _profile_pass(df: DataFrame) -> dict:
+def _parse_map(df: DataFrame) -> dict[str, str]:
+    """Text columns that may hold numbers (identifier names skip) -> their parse column."""
     text = N.text_columns(df, include_internal=True)
-    parse_map = {c: f"__p{i}" for i, c in enumerate(text) if not N.has_identifier_name(c)}
-    parsed = with_numeric_parse(df, parse_map) if parse_map else df
+    return {c: f"__p{i}" for i, c in enumerate(text) if not N.has_identifier_name(c)}
+
+
+def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
+    """One aggregate over every column. ``parsed`` may be ``df`` with the parse columns already
+    added (and persisted), so the text is parsed once for all later passes."""
+    text = N.text_columns(df, include_internal=True)
+    parse_map = _parse_map(df)
+    if parsed is None:
+        parsed = with_numeric_parse(df, parse_map) if parse_map else df
     tokens = bool_tokens()
     aggs = [F.count("*").alias("rows")]
     idx = {c: i for i, c in enumerate(df.columns)}
@@ -122,9 +131,12 @@ def _profile_pass(df: DataFrame) -> dict:
                        "boolean_columns_converted": boolean_cols}}
 
 
-def _apply_types(df: DataFrame, prof: dict) -> DataFrame:
+def _apply_types(df: DataFrame, prof: dict, parsed: DataFrame | None = None) -> DataFrame:
     nums = {c: prof["parse_map"][c] for c, k in prof["kinds"].items() if k == "num"}
-    base = with_numeric_parse(df, nums) if nums else df
+    if parsed is not None:
+        base = parsed
+    else:
+        base = with_numeric_parse(df, nums) if nums else df
     sel = []
     for c in df.columns:
         k, name = prof["kinds"][c], prof["names"][c]
@@ -148,12 +160,15 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     original_cols = len(df.columns)
     src = nan_to_null(df)
     dedup = src.dropDuplicates()
+    pmap = _parse_map(dedup)
+    # the de-duplicated rows with every number-text column parsed once, kept for all passes
+    parsed = with_numeric_parse(dedup, pmap) if pmap else dedup
     if persist:
-        dedup = dedup.persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
     original_rows = df.count()
-    prof = _profile_pass(dedup)
+    prof = _profile_pass(dedup, parsed)
     rows = prof["rows"]
-    typed = _apply_types(dedup, prof)
+    typed = _apply_types(dedup, prof, parsed)
     names = prof["names"]
 
     # NULLs after type recovery.
