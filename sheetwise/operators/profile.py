@@ -45,9 +45,11 @@ def compute_stats(df: DataFrame, accuracy="auto", digits: int = 3) -> DataFrame
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                 F.approx_count_distinct(x, 0.05).alias(f"d{i}")]
     base = df.agg(*aggs).first()
-    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
+    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy,
+                          distinct={c: base[f"d{i}"] for i, c in enumerate(cols)})
 
     def r(v):
         return None if v is None else _round_half_even(float(v), digits)
@@ -175,8 +177,9 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, accuracy="aut
         data = data.where(F.col(by).isNotNull())
     if not by:
         # whole-table quartiles: exact at any size (see column_quantiles)
-        base = data.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max")).first()
-        q1, med, q3 = column_quantiles(data, ["v"], [0.25, 0.5, 0.75], accuracy)["v"]
+        base = data.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+                        F.approx_count_distinct("v", 0.05).alias("d")).first()
+        q1, med, q3 = column_quantiles(data, ["v"], [0.25, 0.5, 0.75], accuracy, distinct={"v": base["d"]})["v"]
         iqr = (q3 - q1) if q1 is not None else None
         lf = q1 - 1.5 * iqr if iqr is not None else None
         uf = q3 + 1.5 * iqr if iqr is not None else None
