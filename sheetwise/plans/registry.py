@@ -870,3 +870,13 @@ def q_a6_counts(spark, sf_dir):
     scored, _ = AN.detect_anomalies(table(spark, sf_dir, "lineitem"))
     sample, _ = ML.sample_for_chart_preserving_flag(scored, "_anomaly", 5000)
     return sample.agg(F.count("*").alias("rows"), F.count_if("_anomaly").alias("flagged"))
+
+
+@register("s3_combine_files_orders_customer", """
+SELECT 'orders.parquet' AS source_file, COUNT(*) AS rows FROM orders
+UNION ALL SELECT 'customer.parquet', COUNT(*) FROM customer
+""")
+def q_s3_files(spark, sf_dir):
+    base = sf_dir.rstrip("/")
+    _, counts, _ = IO.combine_files(spark, [f"{base}/orders.parquet", f"{base}/customer.parquet"])
+    return counts

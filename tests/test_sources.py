@@ -60,3 +60,13 @@ def test_industry_by_names(spark):
                                   "Unemployment"]] + [("misc", "a"), ("misc", "b")], "table string, column string")
     got = {r["table"]: r["industry"] for r in IND.classify_tables(cat).collect()}
     assert got == {"walmart": "sales_retail", "misc": None}
+
+
+def test_combine_files_single_scan(spark, tmp_dir):
+    a = spark.createDataFrame([("n", 1)], "region string, revenue long")
+    b = spark.createDataFrame([("s", 2, 5), ("e", 3, 6)], "region string, revenue long, cost long")
+    a.write.parquet(os.path.join(tmp_dir, "jan"))
+    b.write.parquet(os.path.join(tmp_dir, "feb"))
+    combined, counts, summary = IO.combine_files(spark, [os.path.join(tmp_dir, "jan"), os.path.join(tmp_dir, "feb")])
+    assert summary["total_rows"] == 3 and summary["columns_matched"] is False
+    assert combined.where("cost IS NULL").count() == 1 and "source_file" in combined.columns
