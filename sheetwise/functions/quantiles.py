@@ -45,14 +45,15 @@ def choose_accuracy(df: DataFrame, cols: list[str], accuracy="auto") -> dict[str
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10_000,
-                    max_bracket: int = 200_000, max_rounds: int = 8) -> dict[str, list[float | None]]:
+                    max_bracket: int = 50_000, max_rounds: int = 8) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation between order statistics, as NumPy / pandas) of
     several columns, with bounded memory at any table size.
 
     1. One aggregate: non-NULL counts and, per (column, p), a sketch bracket
        ``percentile_approx(c, [p - d, p + d])`` around the target ranks.
     2. One aggregate per refinement round: rows below and inside every bracket; a bracket still
-       holding more than ``max_bracket`` rows is narrowed by a sketch over its own rows.
+       holding more than ``max_bracket`` rows is narrowed by a sketch over its own rows (so at
+       most ``max_bracket`` distinct values per bracket reach the driver).
     3. One grouped count of the rows inside the brackets per (bracket, value) - ties collapse to
        one row each - from which the order statistics are read.
 

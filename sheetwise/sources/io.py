@@ -33,9 +33,9 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
-def _read_csv_raw(spark: SparkSession, paths, encoding: str) -> DataFrame:
+def _read_csv_raw(spark: SparkSession, paths, encoding: str, multi_line: bool = True) -> DataFrame:
     return (spark.read.option("header", True).option("encoding", encoding)
-                 .option("multiLine", True).option("escape", '"')
+                 .option("multiLine", multi_line).option("escape", '"')
                  .csv(paths))
 
 
@@ -76,12 +76,17 @@ def fallback_encoding(spark: SparkSession) -> str:
     return FALLBACK_ENCODING if legacy else "ISO-8859-1"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = True,
+             multi_line: bool = True) -> DataFrame:
     """CSV with a header, read as UTF-8 (a byte-order mark is dropped from the first header);
     files whose UTF-8 decoding produced U+FFFD are re-read as windows-1252 (see
-    :func:`fallback_encoding`), decided per file by one aggregate over ``_metadata.file_path``."""
+    :func:`fallback_encoding`), decided per file by one aggregate over ``_metadata.file_path``.
+
+    ``multi_line`` (default, as pandas) keeps quoted line breaks inside values; such files are
+    read whole by one task each, so for a few very large files without embedded line breaks
+    pass ``multi_line=False`` to let Spark split them."""
     paths = [path] if isinstance(path, str) else list(path)
-    raw = _read_csv_raw(spark, paths, "UTF-8")
+    raw = _read_csv_raw(spark, paths, "UTF-8", multi_line)
     first = raw.columns[0] if raw.columns else None
     if first and first.startswith("﻿"):
         raw = raw.withColumnRenamed(first, first.lstrip("﻿"))
@@ -94,7 +99,7 @@ def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = Tru
     bad_files = [r["_f"] for r in per_file if r["bad"]]
     if bad_files:
         good = raw.where(~F.col("_metadata.file_path").isin(bad_files))
-        redo = _read_csv_raw(spark, bad_files, fallback_encoding(spark))
+        redo = _read_csv_raw(spark, bad_files, fallback_encoding(spark), multi_line)
         redo_first = redo.columns[0]
         if redo_first.startswith("﻿") or redo_first.startswith("ï»¿"):
             redo = redo.withColumnRenamed(redo_first, redo_first.replace("ï»¿", "").lstrip("﻿"))
