@@ -71,3 +71,30 @@ def test_forest_scores_match_direct_evaluation(spark):
     assert np.allclose(sorted(got), sorted(direct))
     assert AN.low_quantile(df.select(udf("a", "b").alias("s")), "s", 0.05, len(rows)) == pytest.approx(np.percentile(direct, 5))
     assert min(got) == pytest.approx(direct[-1])  # the far point is the strangest
+
+
+def test_logistic_penalty_matches_direct_newton_solve(spark):
+    """Brute force: with every row in training, the coefficients equal a NumPy Newton solve of
+    0.5 |w|^2 + C * sum(log-loss) on population-standardised features (intercept unpenalised)."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2)) * [3.0, 0.5] + [10.0, -2.0]
+    logits = 0.8 * (x[:, 0] - 10) / 3 - 1.2 * (x[:, 1] + 2) / 0.5
+    y = (rng.random(200) < 1 / (1 + np.exp(-logits))).astype(int)
+    rows = [(float(a), float(b), "yes" if t else "no") for (a, b), t in zip(x, y)]
+    df = spark.createDataFrame(rows, "f1 double, f2 double, outcome string")
+    res = ML.binary_outcome_risk_model(df, "outcome", ["f1", "f2"], C=1.0, test_fraction=0.0)
+    got = {r["feature"]: r["weight"] for r in res["feature_importances"].collect()}
+
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    a = np.column_stack([np.ones(len(z)), z])
+    w = np.zeros(3)
+    reg = np.diag([0.0, 1.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        grad = a.T @ (p - y) + reg @ w
+        hess = a.T @ (a * (p * (1 - p))[:, None]) + reg
+        w -= np.linalg.solve(hess, grad)
+    assert got["f1"] == pytest.approx(round(w[1], 4), abs=2e-4)
+    assert got["f2"] == pytest.approx(round(w[2], 4), abs=2e-4)
