@@ -18,10 +18,6 @@ from sheetwise.functions.quantiles import choose_accuracy, column_quantiles, qua
 STAT_COLUMNS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def _stack(rows: list, schema: str, spark) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def _long_form(one_row: DataFrame, per_col: dict[str, list[str]], names: list[str]) -> DataFrame:
     """Turn a one-row wide aggregate into one row per column with ``names`` fields, using
     ``stack`` (a generator, no shuffle)."""

@@ -15,7 +15,6 @@ import datetime as _dt
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sheetwise.functions.dates import as_timestamp
 from sheetwise.functions.naming import is_rate_like, require_columns

@@ -13,7 +13,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sheetwise.functions import naming as N
 from sheetwise.session import checkpoint_dir
