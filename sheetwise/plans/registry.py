@@ -880,3 +880,39 @@ def q_s3_files(spark, sf_dir):
     base = sf_dir.rstrip("/")
     _, counts, _ = IO.combine_files(spark, [f"{base}/orders.parquet", f"{base}/customer.parquet"])
     return counts
+
+
+# Whole texts: the cleaning and profiling operators over the prose tables (values up to tens of
+# thousands of characters go through the number-text, yes/no and date checks unabridged).
+
+@register("c12_clean_documents", "SELECT DISTINCT * FROM documents")
+def q_c12_docs(spark, sf_dir):
+    cleaned, _, _ = C.clean(table(spark, sf_dir, "documents"))
+    return cleaned
+
+
+@register("p6_category_profile_documents", """
+WITH l AS (SELECT 'text' AS "column", text AS value FROM documents
+           UNION ALL SELECT 'lang', lang FROM documents
+           UNION ALL SELECT 'source', source FROM documents),
+c AS (SELECT "column", value, COUNT(*) AS count FROM l WHERE value IS NOT NULL GROUP BY ALL)
+SELECT "column", value, count, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM c)
+WHERE rank <= 5
+""")
+def q_p6_docs(spark, sf_dir):
+    return P.category_profile(table(spark, sf_dir, "documents"))
+
+
+@register("p7_sample_values_pages", """
+SELECT 'page_id' AS "column", CAST(rn AS INTEGER) AS rank, CAST(v AS VARCHAR) AS value FROM (
+  SELECT v, row_number() OVER (ORDER BY v) AS rn FROM (SELECT DISTINCT page_id AS v FROM pages)) WHERE rn <= 3
+UNION ALL
+SELECT 'url', CAST(rn AS INTEGER), v FROM (
+  SELECT v, row_number() OVER (ORDER BY v) AS rn FROM (SELECT DISTINCT url AS v FROM pages WHERE url IS NOT NULL)) WHERE rn <= 3
+UNION ALL
+SELECT 'html', CAST(rn AS INTEGER), v FROM (
+  SELECT v, row_number() OVER (ORDER BY v) AS rn FROM (SELECT DISTINCT html AS v FROM pages WHERE html IS NOT NULL)) WHERE rn <= 3
+""")
+def q_p7_pages(spark, sf_dir):
+    return P.sample_values(table(spark, sf_dir, "pages"), 3)
