@@ -798,9 +798,22 @@ def q_s7(spark, sf_dir):
     return data
 
 
-@register("j1_analyze_orders_quality")
+@register("j1_analyze_orders_quality", """
+WITH c AS (SELECT COUNT(*) AS n,
+                  (COUNT(*) - COUNT(o_orderkey)) + (COUNT(*) - COUNT(o_custkey)) + (COUNT(*) - COUNT(o_orderstatus))
+                  + (COUNT(*) - COUNT(o_totalprice)) + (COUNT(*) - COUNT(o_orderdate))
+                  + (COUNT(*) - COUNT(o_orderpriority)) AS missing FROM orders),
+d AS (SELECT COUNT(*) AS n_distinct FROM (SELECT DISTINCT * FROM orders))
+SELECT round_even(100 - missing * 100.0 / (n * 6), 1) AS completeness,
+       round_even((n - n_distinct) * 100.0 / n, 1) AS duplicate_rate,
+       missing AS total_missing, n - n_distinct AS duplicates_removed,
+       round_even((floor(0.05 * (n_distinct - 1)) + 1) * 100.0 / n_distinct, 1) AS anomaly_rate
+FROM c, d
+""")
 def q_j1(spark, sf_dir):
-    return J.analyze(table(spark, sf_dir, "orders"))["quality"]
+    q = J.analyze(table(spark, sf_dir, "orders"))["quality"]
+    return q.select("completeness", "duplicate_rate", F.col("total_missing").cast("long"),
+                    F.col("duplicates_removed").cast("long"), "anomaly_rate")
 
 
 @register("j2_autopilot_orders_forecast", ORACLE_SQL["t2_forecast_orders_daily_revenue"])
