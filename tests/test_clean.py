@@ -94,3 +94,9 @@ def test_all_null_text_column_gets_unknown(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "a long, t string")
     cleaned, _, rep = C.clean(df)
     assert {r["t"] for r in cleaned.collect()} == {"Unknown"} and rep["missing_by_col"] == {"t": 2}
+
+
+def test_longest_currency_word_wins(spark):
+    out = parse(spark, ["7 dollars and 3 pounds sterling", "4 rupees pounds", "3 pounds sterling", "6 Dollar"])
+    assert [o[1] for o in out] == ["GBP", "GBP", "GBP", "USD"]
+    assert out[2][0] == 3.0 and out[0][0] is None
