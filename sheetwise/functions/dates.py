@@ -25,12 +25,15 @@ YEAR_FIRST_FORMATS = (
 )
 MONTH_FIRST_FORMATS = (
     "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy", "M.d.yyyy", "M/d/yy",
-    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy",
 )
 DAY_FIRST_FORMATS = (
     "d/M/yyyy", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "d-M-yyyy", "d.M.yyyy", "d/M/yy",
-    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy",
 )
+MONTH_NAME_FORMATS = (
+    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy",
+)
+# A value fits at most one of the numeric-order groups or the month-name group, so only the
+# MONTH_FIRST / DAY_FIRST choice depends on the reading order; the other patterns are shared.
 
 
 def _shape(fmt: str) -> str:
@@ -67,18 +70,35 @@ def _shape(fmt: str) -> str:
 _ANY_SHAPE = r"^[0-9A-Za-z][0-9A-Za-z ,/.:'T-]*[0-9][0-9A-Za-z ,/.:'T-]*$"
 
 
+def _parse_with(s: Column, fmts) -> Column:
+    return F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in fmts])
+
+
+def _could_be_date(s: Column) -> Column:
+    # one cheap test first: every listed form is 6-29 characters of digits, letters and the
+    # separators below, with a digit among them; anything else skips the per-pattern tests
+    return F.length(s).between(6, 29) & s.rlike(_ANY_SHAPE)
+
+
 def parse_timestamp(c: Column, day_first: bool = False) -> Column:
     """TIMESTAMP_NTZ from text, NULL when no listed pattern reads the trimmed value.
 
     Each pattern is only attempted on values whose shape (regex) fits it, so a value costs one
     parse, not one failed parse (an exception inside Spark) per listed pattern."""
     s = F.trim(c.cast("string"))
-    fmts = YEAR_FIRST_FORMATS + (DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS)
-    parsed = F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in fmts])
-    # one cheap test first: every listed form is 6-29 characters of digits, letters and the
-    # separators below, with a digit among them; anything else skips the per-pattern tests
-    could_be = (F.length(s).between(6, 29) & s.rlike(_ANY_SHAPE))
-    return F.when(could_be, parsed).cast("timestamp_ntz")
+    fmts = YEAR_FIRST_FORMATS + (DAY_FIRST_FORMATS if day_first else MONTH_FIRST_FORMATS) + MONTH_NAME_FORMATS
+    return F.when(_could_be_date(s), _parse_with(s, fmts)).cast("timestamp_ntz")
+
+
+def date_reading_flags(c: Column) -> tuple[Column, Column, Column]:
+    """(reads with the shared patterns, reads month-first, reads day-first) for one text value:
+    the date-detection counts evaluate the shared patterns once instead of once per order."""
+    s = F.trim(c.cast("string"))
+    ok = _could_be_date(s)
+    shared = F.when(ok, _parse_with(s, YEAR_FIRST_FORMATS + MONTH_NAME_FORMATS)).isNotNull()
+    mf = F.when(ok, _parse_with(s, MONTH_FIRST_FORMATS)).isNotNull()
+    dfo = F.when(ok, _parse_with(s, DAY_FIRST_FORMATS)).isNotNull()
+    return shared, mf, dfo
 
 
 def as_timestamp(c: Column, dtype) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetwise.functions import naming as N
-from sheetwise.functions.dates import parse_timestamp
+from sheetwise.functions.dates import date_reading_flags, parse_timestamp
 from sheetwise.functions.numeric_text import (bool_tokens, normalise_bool_text, parse_bool_text,
                                               with_numeric_parse)
 from sheetwise.functions.quantiles import EXACT_MAX_DISTINCT, exact_quantiles, quantile
@@ -200,11 +200,17 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     for j, c in enumerate(bool_cols):
         if missing.get(c, 0) > 0:
             aggs += [F.count_if(_q(c)).alias(f"bt{j}"), F.count_if(~_q(c)).alias(f"bf{j}")]
+    # date readings as a projection first (each text value is tried against the shared patterns
+    # once), then counted in the same aggregate
+    flag_cols = []
     for j, c in enumerate(cat_cols):
-        nn = F.col(f"`{c}`").isNotNull()
-        aggs += [F.count_if(nn & parse_timestamp(_q(c), False).isNotNull()).alias(f"mf{j}"),
-                 F.count_if(nn & parse_timestamp(_q(c), True).isNotNull()).alias(f"df{j}")]
-    stats = typed.agg(*aggs).first().asDict() if aggs else {}
+        shared, mf, dfo = date_reading_flags(_q(c))
+        flag_cols += [shared.alias(f"__ds{j}"), mf.alias(f"__dm{j}"), dfo.alias(f"__dd{j}")]
+        nn = _q(c).isNotNull()
+        aggs += [F.count_if(nn & (F.col(f"__ds{j}") | F.col(f"__dm{j}"))).alias(f"mf{j}"),
+                 F.count_if(nn & (F.col(f"__ds{j}") | F.col(f"__dd{j}"))).alias(f"df{j}")]
+    stats_src = typed.select("*", *flag_cols) if flag_cols else typed
+    stats = stats_src.agg(*aggs).first().asDict() if aggs else {}
 
     fills: dict[str, object] = {}
     for j, c in med_cols:
