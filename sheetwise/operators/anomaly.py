@@ -2,15 +2,14 @@
 
 ``pyspark.ml`` has no isolation forest, so it is built from Spark pieces (Liu, Ting & Zhou 2008):
 
-* one training sample: rows ordered by a seeded hash, the first ``n_trees * psi`` kept
-  (TakeOrderedAndProject: each task keeps that many rows; nothing else moves), dealt out to the
+* one training sample: the ``n_trees * psi`` rows with the smallest seeded hash (a hash
+  threshold first, so each task forwards only a few rows to the final top-k), dealt out to the
   trees in hash order (small tables: every tree ranks all rows by its own hash instead);
 * trees grown per tree group with ``groupBy(tree).applyInPandas`` (at most ``psi`` rows each);
 * the forest (at most ``n_trees * (2 psi - 1)`` nodes, a proven bound) is collected once and
   shipped with a vectorised pandas UDF that scores Arrow batches of the feature columns only;
-* the cut is the ``contamination`` quantile of the scores - exact: from the k smallest scores (a
-  bounded top-k) while k is at most a million, from sketch brackets and counts beyond - and a
-  row is flagged when its score is below it.
+* the cut is the ``contamination`` quantile of the scores - exact, from sketch brackets and
+  counts - and a row is flagged when its score is below it.
 
 Splits are uniform between a node's minimum and maximum, so the forest does not depend on
 per-column affine scaling; the reference's standardisation step is therefore not needed.
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions import naming as N
 from sheetwise.functions.quantiles import exact_quantiles, quantile
+from sheetwise.operators.topk import smallest_by_hash
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -134,8 +134,8 @@ def training_sample(df: DataFrame, cols: list[str], n_rows: int, n_trees: int, p
     feats = [F.col(f"`{c}`").cast("double").alias(c) for c in cols]
     if n_rows > n_trees * psi:
         h = F.xxhash64(*[F.col(f"`{c}`") for c in cols], F.lit(seed))
-        top = df.select(h.alias("_h"), *feats).orderBy("_h").limit(n_trees * psi)
-        # the limited table has n_trees * psi rows: a bounded single-partition window
+        top = smallest_by_hash(df.select(*feats), h, n_trees * psi, n_rows)
+        # the sample has n_trees * psi rows: a bounded single-partition window
         w = Window.orderBy("_h")
         return top.withColumn("tree", ((F.row_number().over(w) - 1) % n_trees).cast("int")).drop("_h")
     # small tables: each tree draws its own psi rows (rank by a per-tree hash)
@@ -203,26 +203,12 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.05, n_trees: int =
     return out, summary
 
 
-EXACT_TOPK_MAX_ROWS = 1_000_000
-
-
 def low_quantile(df: DataFrame, col: str, q: float, n: int, accuracy="auto") -> float | None:
-    """The ``q`` quantile (linear interpolation, as NumPy) of ``col``.
-
-    A low quantile only depends on the ``floor(q*(n-1)) + 2`` smallest values, so while that is
-    at most ``EXACT_TOPK_MAX_ROWS`` it is taken exactly from a top-k (each task keeps k values,
-    no value map); beyond it by sketch brackets (:func:`exact_quantiles`, still exact); an int
+    """The ``q`` quantile (linear interpolation, as NumPy) of ``col``, exact with bounded memory
+    (:func:`exact_quantiles`: sketch brackets and counts, no top-k funnel into one task); an int
     ``accuracy`` gives the sketch's value."""
     if n == 0:
         return None
-    pos = q * (n - 1)
-    lo = int(math.floor(pos))
-    k = min(lo + 2, n)
-    if accuracy is None or (accuracy == "auto" and k <= EXACT_TOPK_MAX_ROWS):
-        vals = [r[0] for r in df.select(col).orderBy(F.col(col).asc()).limit(k).collect()]
-        frac = pos - lo
-        hi_v = vals[lo + 1] if lo + 1 < len(vals) else vals[lo]
-        return float(vals[lo] + (hi_v - vals[lo]) * frac)
     if isinstance(accuracy, int) and not isinstance(accuracy, bool):
         return df.agg(quantile(col, q, accuracy).alias("q")).first()["q"]
     return exact_quantiles(df, [col], [q])[col][0]

@@ -98,3 +98,12 @@ def test_logistic_penalty_matches_direct_newton_solve(spark):
         w -= np.linalg.solve(hess, grad)
     assert got["f1"] == pytest.approx(round(w[1], 4), abs=2e-4)
     assert got["f2"] == pytest.approx(round(w[2], 4), abs=2e-4)
+
+
+def test_smallest_by_hash_equals_plain_top_k(spark):
+    from sheetwise.operators.topk import smallest_by_hash
+    df = spark.range(20000).withColumn("g", F.col("id") % 7)
+    h = F.xxhash64("id", "g", F.lit(42))
+    got = sorted(r["id"] for r in smallest_by_hash(df, h, 1000, 20000).collect())
+    want = sorted(r["id"] for r in df.withColumn("_h", h).orderBy("_h").limit(1000).collect())
+    assert got == want
