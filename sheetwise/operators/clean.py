@@ -46,10 +46,22 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*sel)
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Whole-row de-duplication that also accepts map columns (Spark cannot group on maps):
+    each map takes part in the key as its entries sorted by key, so rows are equal exactly when
+    every value, map contents included, is equal."""
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    if not maps:
+        return df.dropDuplicates()
+    keyed = df.select("*", *[F.array_sort(F.map_entries(_q(m))).alias(f"__mk{i}") for i, m in enumerate(maps)])
+    subset = [c for c in df.columns if c not in maps] + [f"__mk{i}" for i in range(len(maps))]
+    return keyed.dropDuplicates(subset).select(*[_q(c) for c in df.columns])
+
+
 def drop_duplicates(df: DataFrame) -> tuple[DataFrame, int, int]:
     """Whole-row duplicates removed (NULLs equal). Returns (table, rows before, removed)."""
     before = df.count()
-    dedup = df.dropDuplicates()
+    dedup = distinct_rows(df)
     after = dedup.count()
     return dedup, before, before - after
 
@@ -159,7 +171,7 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     spark = df.sparkSession
     original_cols = len(df.columns)
     src = nan_to_null(df)
-    dedup = src.dropDuplicates()
+    dedup = distinct_rows(src)
     pmap = _parse_map(dedup)
     # the de-duplicated rows with every number-text column parsed once, kept for all passes
     parsed = with_numeric_parse(dedup, pmap) if pmap else dedup

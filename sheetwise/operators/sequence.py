@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetwise.operators.topk import row_hash
 from sheetwise.session import checkpoint_dir
 
 
@@ -25,7 +26,7 @@ def with_position(df: DataFrame, order_cols: list[str], name: str = "t",
     checkpoint_dir(spark)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(order_cols) + ["_tb"]
-    stamped = (df.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
+    stamped = (df.withColumn("_tb", row_hash(df, 42))
                  .repartitionByRange(n_parts, *keys)
                  .sortWithinPartitions(*keys)
                  .withColumn("_pid", F.spark_partition_id())

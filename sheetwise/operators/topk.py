@@ -30,3 +30,19 @@ def smallest_by_hash(df: DataFrame, h: Column, k: int, n: int, name: str = "_h")
             return top
         top.unpersist()
     return keyed.orderBy(name).limit(k).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def hashable_columns(df: DataFrame) -> list[Column]:
+    """Every column as something ``xxhash64`` accepts: a map takes part as its entries sorted by
+    key (Spark does not hash maps), so equal rows hash equally."""
+    from pyspark.sql import types as T
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        out.append(F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c)
+    return out
+
+
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """A seeded 64-bit hash of the whole row."""
+    return F.xxhash64(*hashable_columns(df), F.lit(seed))

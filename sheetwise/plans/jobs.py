@@ -17,6 +17,7 @@ from sheetwise.operators import industry as IND
 from sheetwise.operators import ml as ML
 from sheetwise.operators import profile as P
 from sheetwise.operators import timeseries as TS
+from sheetwise.operators.topk import row_hash
 
 
 def analyze(df: DataFrame, accuracy="auto") -> dict:
@@ -116,4 +117,4 @@ def industry_insights(df: DataFrame, industry: str, category: str | None = None,
 def with_sequence(df: DataFrame, name: str = "_seq") -> DataFrame:
     """A repeatable sequence column for tables without one (hash of the row): use it only when
     the order of rows carries no meaning."""
-    return df.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.withColumn(name, row_hash(df, 42))

@@ -100,3 +100,11 @@ def test_longest_currency_word_wins(spark):
     out = parse(spark, ["7 dollars and 3 pounds sterling", "4 rupees pounds", "3 pounds sterling", "6 Dollar"])
     assert [o[1] for o in out] == ["GBP", "GBP", "GBP", "USD"]
     assert out[2][0] == 3.0 and out[0][0] is None
+
+
+def test_nested_columns_pass_through(spark):
+    df = spark.createDataFrame([({"a": 1}, [1.0, 2.0], "x"), ({"a": 1}, [1.0, 2.0], "x"), ({"b": 2}, [3.0], "x")],
+                               "m map<string,int>, v array<double>, t string")
+    cleaned, _, rep = C.clean(df)
+    assert rep["duplicates_removed"] == 1 and cleaned.count() == 2
+    assert dict(cleaned.dtypes)["m"] == "map<string,int>" and dict(cleaned.dtypes)["v"] == "array<double>"

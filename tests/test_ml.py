@@ -107,3 +107,9 @@ def test_smallest_by_hash_equals_plain_top_k(spark):
     got = sorted(r["id"] for r in smallest_by_hash(df, h, 1000, 20000).collect())
     want = sorted(r["id"] for r in df.withColumn("_h", h).orderBy("_h").limit(1000).collect())
     assert got == want
+
+
+def test_samples_with_map_columns(spark):
+    df = spark.range(3000).select("id", F.create_map(F.lit("k"), F.col("id") % 5).alias("m"))
+    s, sampled = ML.sample_for_chart(df, 100)
+    assert sampled and s.count() == 100
