@@ -3,14 +3,15 @@
 Spark's exact ``percentile`` keeps a value->count map per group; for a column with billions of
 distinct values that map cannot fit in one task. ``choose_accuracy`` runs one cheap
 ``approx_count_distinct`` pass and keeps Spark's ``percentile`` only where the estimated number
-of distinct values is under ``EXACT_MAX_DISTINCT``. Whole-table quantiles above it use
-:func:`exact_quantiles` (sketch brackets + counts: still exact, memory bounded); per-group
-quantiles above it use ``percentile_approx`` with a fine accuracy (rank error ~ n / accuracy).
+of distinct values is under ``EXACT_MAX_DISTINCT``. Above it, whole-table quantiles use
+:func:`exact_quantiles` and per-group quantiles :func:`grouped_quantiles` (sketch brackets +
+counts: still exact, memory bounded). ``percentile_approx`` is used only when a caller asks for
+an accuracy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT_MAX_DISTINCT = 2_000_000
@@ -169,3 +170,79 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accurac
     if big:
         out.update(exact_quantiles(df, big, list(probs)))
     return out
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], accuracy="auto",
+                      sketch_accuracy: int = 10_000, force_brackets: bool = False,
+                      extra: tuple = ()) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation) as a DataFrame ``keys + [q0, q1, ...]``.
+
+    Under the distinct-value bound (or ``accuracy=None``) this is Spark's grouped ``percentile``.
+    Above it, everything stays distributed: a per-group sketch bracket around each target rank,
+    the brackets joined back on the keys (AQE broadcasts a small bracket table, splits a hot
+    group's partition), rows below each bracket counted per group, rows inside it counted per
+    (group, value) - ties collapse - and a running sum over that small table picks the order
+    statistics. A bracket that misses its rank (outside the sketch guarantee) gives the sketch
+    value. An int ``accuracy`` gives the sketch everywhere. ``extra`` are more aggregates over
+    ``_v`` (the non-NULL values) computed in the same grouped pass and passed through."""
+    v = F.col(f"`{col}`").cast("double")
+    data = df.select(*[F.col(f"`{k}`") for k in keys], v.alias("_v")).where(F.col("_v").isNotNull())
+    ex = list(extra)
+    names = [f"q{j}" for j in range(len(probs))]
+    if isinstance(accuracy, int) and not isinstance(accuracy, bool):
+        q = F.percentile_approx("_v", list(probs), accuracy)
+        g = data.groupBy(*keys).agg(q.alias("_q"), *ex)
+        return g.select(*[c for c in g.columns if c != "_q"], *[F.col("_q")[j].alias(n) for j, n in enumerate(names)])
+    if not force_brackets:
+        big = accuracy == "auto" and data.agg(F.approx_count_distinct("_v", 0.05)).first()[0] > EXACT_MAX_DISTINCT
+        if not big:
+            q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
+            g = data.groupBy(*keys).agg(q.alias("_q"), *ex)
+            return g.select(*[c for c in g.columns if c != "_q"], *[F.col("_q")[j].alias(n) for j, n in enumerate(names)])
+    d = 2.0 / sketch_accuracy
+    lo_p = [min(1.0, max(0.0, p - d)) for p in probs]
+    hi_p = [min(1.0, max(0.0, p + d)) for p in probs]
+    mid = list(probs)
+    sk = F.percentile_approx("_v", lo_p + hi_p + mid, sketch_accuracy)
+    m = len(probs)
+    brackets = data.groupBy(*keys).agg(F.count("*").alias("_n"), sk.alias("_s"), *ex)
+    extra_cols = [c for c in brackets.columns if c not in set(keys) | {"_n", "_s"}]
+    sel = [*keys, "_n", *extra_cols]
+    for j, p in enumerate(probs):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        sel += [F.col("_s")[j].alias(f"_lo{j}"), F.col("_s")[m + j].alias(f"_hi{j}"),
+                F.col("_s")[2 * m + j].alias(f"_ap{j}"),
+                F.floor(pos).cast("long").alias(f"_r0{j}"),
+                F.least(F.floor(pos).cast("long") + 1, F.col("_n") - 1).alias(f"_r1{j}"),
+                (pos - F.floor(pos)).alias(f"_fr{j}")]
+    brackets = brackets.select(*sel)
+    joined = data.join(brackets, keys)
+    below = joined.groupBy(*keys).agg(
+        *[F.count_if(F.col("_v") < F.col(f"_lo{j}")).alias(f"_b{j}") for j in range(m)],
+        *[F.count_if((F.col("_v") >= F.col(f"_lo{j}")) & (F.col("_v") <= F.col(f"_hi{j}"))).alias(f"_w{j}")
+          for j in range(m)])
+    entries = F.filter(F.array(*[
+        F.when((F.col("_v") >= F.col(f"_lo{j}")) & (F.col("_v") <= F.col(f"_hi{j}")),
+               F.struct(F.lit(j).alias("j"), F.col("_v").alias("v"))) for j in range(m)]), lambda e: e.isNotNull())
+    hist = (joined.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.j", "e.v")
+                  .groupBy(*keys, "j", "v").agg(F.count("*").alias("_c")))
+    w = Window.partitionBy(*keys, "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_cum", F.sum("_c").over(w))
+    info = brackets.join(below, keys)
+    per_j = []
+    for j in range(m):
+        hj = (hist.where(F.col("j") == j).join(info.select(*keys, f"_b{j}", f"_r0{j}", f"_r1{j}"), keys)
+                  .withColumn("_rank_end", F.col("_cum") + F.col(f"_b{j}"))
+                  .groupBy(*keys)
+                  .agg(F.min(F.when(F.col("_rank_end") > F.col(f"_r0{j}"), F.col("v"))).alias(f"_v0{j}"),
+                       F.min(F.when(F.col("_rank_end") > F.col(f"_r1{j}"), F.col("v"))).alias(f"_v1{j}")))
+        per_j.append(hj)
+    out = info
+    for hj in per_j:
+        out = out.join(hj, keys, "left")
+    res = [*keys, *extra_cols]
+    for j in range(m):
+        ok = (F.col(f"_b{j}") <= F.col(f"_r0{j}")) & (F.col(f"_b{j}") + F.col(f"_w{j}") >= F.col(f"_r1{j}") + 1)
+        exact = F.col(f"_v0{j}") + (F.col(f"_v1{j}") - F.col(f"_v0{j}")) * F.col(f"_fr{j}")
+        res.append(F.when(ok, exact).otherwise(F.col(f"_ap{j}")).alias(names[j]))
+    return out.select(*res)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.naming import is_rate_like, require_columns
+from sheetwise.functions.quantiles import grouped_quantiles
 
 AGGREGATES = ("sum", "mean", "count", "min", "max", "median")
 
@@ -150,10 +151,14 @@ def chart_aggregate(df: DataFrame, x: str, y: str, color: str | None = None, agg
     cond = None
     for k in keys:
         cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
-    grouped = (df.select(*dict.fromkeys(keys + [y]))
-                 .where(cond)
-                 .groupBy(*keys)
-                 .agg(metric_agg(y, how, accuracy).alias(y)))
+    src = df.select(*dict.fromkeys(keys + [y])).where(cond)
+    if how == "median":
+        # exact at any size (sketch brackets above the distinct-value bound); groups whose values
+        # are all NULL get NULL, as the other aggregates do
+        med = grouped_quantiles(src, keys, y, [0.5], accuracy if accuracy else "auto").withColumnRenamed("q0", y)
+        grouped = src.select(*keys).distinct().join(med, keys, "left")
+    else:
+        grouped = src.groupBy(*keys).agg(metric_agg(y, how, accuracy).alias(y))
     if not top_n:
         return grouped
     top_x = (grouped.groupBy(x).agg(F.sum(y).alias("_rank_total"))

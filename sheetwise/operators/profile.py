@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions import naming as N
-from sheetwise.functions.quantiles import choose_accuracy, column_quantiles, quantile
+from sheetwise.functions.quantiles import column_quantiles, grouped_quantiles
 
 STAT_COLUMNS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
@@ -188,13 +188,11 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, accuracy="aut
                             F.lit(q3).cast("double").alias("q3"), F.lit(base["max"]).cast("double").alias("max"),
                             F.lit(lf).cast("double").alias("lower_fence"), F.lit(uf).cast("double").alias("upper_fence"),
                             "whisker_low", "whisker_high", "outliers"))
-    # per group: Spark's exact percentile under the distinct-value bound, the sketch above it
-    acc = choose_accuracy(data, ["v"], accuracy)["v"]
-    q = quantile("v", [0.25, 0.5, 0.75], acc)
-    qs = (data.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("min"), q.alias("_q"),
-                                   F.max("v").alias("max"))
-              .select(*keys, "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                      F.col("_q")[2].alias("q3"), "max")
+    # per group: exact quartiles at any size (see grouped_quantiles), counts in the same pass
+    qs = (grouped_quantiles(data, keys, "v", [0.25, 0.5, 0.75], accuracy,
+                            extra=(F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max")))
+              .select(*keys, "n", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                      F.col("q2").alias("q3"), "max")
               .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
               .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     inside = (F.col("v") >= F.col("lower_fence")) & (F.col("v") <= F.col("upper_fence"))

@@ -68,3 +68,19 @@ def test_exact_quantiles_brackets_match_numpy(spark):
     got = exact_quantiles(df, ["x"], [0.05, 0.25, 0.5, 0.9], accuracy=100, max_bracket=50)["x"]
     want = [float(np.percentile(vals, p)) for p in (5, 25, 50, 90)]
     assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_grouped_quantiles_brackets_match_percentile(spark):
+    from pyspark.sql import functions as F
+
+    from sheetwise.functions.quantiles import grouped_quantiles
+    rows = [("hot" if i % 3 == 0 else f"g{i % 4}", float((i * 7919) % 1013) / 3.0) for i in range(6000)]
+    rows += [("hot", 0.0)] * 500  # ties
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: (r["q0"], r["q1"], r["q2"])
+           for r in grouped_quantiles(df, ["k"], "x", [0.05, 0.5, 0.9], sketch_accuracy=100, force_brackets=True).collect()}
+    want = {r["k"]: tuple(r["p"]) for r in df.groupBy("k").agg(
+        F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.9))).alias("p")).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want[k])), (k, got[k], want[k])
