@@ -1,9 +1,9 @@
 """Quantiles with a checked size bound.
 
 Spark's exact ``percentile`` keeps a value->count map per group; for a column with billions of
-distinct values that map cannot fit in one task. ``choose_accuracy`` runs one cheap
-``approx_count_distinct`` pass and keeps Spark's ``percentile`` only where the estimated number
-of distinct values is under ``EXACT_MAX_DISTINCT``. Above it, whole-table quantiles use
+distinct values that map cannot fit in one task. One cheap ``approx_count_distinct`` estimate
+keeps Spark's ``percentile`` only where the number of distinct values is under
+``EXACT_MAX_DISTINCT``. Above it, whole-table quantiles use
 :func:`exact_quantiles` and per-group quantiles :func:`grouped_quantiles` (sketch brackets +
 counts: still exact, memory bounded). ``percentile_approx`` is used only when a caller asks for
 an accuracy.
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT_MAX_DISTINCT = 2_000_000
-APPROX_ACCURACY = 1_000_000
 
 
 def quantile(col: Column | str, probs, accuracy: int | None = None) -> Column:
@@ -31,20 +30,6 @@ def quantile(col: Column | str, probs, accuracy: int | None = None) -> Column:
     return F.percentile(c.cast("double"), F.lit(float(probs))).cast("double")
 
 
-def choose_accuracy(df: DataFrame, cols: list[str], accuracy="auto") -> dict[str, int | None]:
-    """Per column: ``None`` for the exact quantile, or an accuracy for the sketch.
-
-    ``accuracy`` may be ``None`` (exact everywhere), an int (sketch everywhere) or ``"auto"``
-    (one distinct-count estimate pass decides per column)."""
-    if accuracy is None or isinstance(accuracy, int):
-        return {c: accuracy for c in cols}
-    if not cols:
-        return {}
-    est = df.agg(*[F.approx_count_distinct(c, 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return {c: (None if est[f"d{i}"] <= EXACT_MAX_DISTINCT else APPROX_ACCURACY)
-            for i, c in enumerate(cols)}
-
-
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10_000,
                     max_bracket: int = 50_000, max_rounds: int = 8) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation between order statistics, as NumPy / pandas) of
