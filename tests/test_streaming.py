@@ -18,3 +18,18 @@ def test_streaming_daily_activity_equals_batch(spark, tmp_dir):
     # a second run over the same folder resumes from the checkpoint and changes nothing
     again = ST.daily_activity(spark, src, out, ts="ts", session="session_id")
     assert again.count() == streamed.count()
+
+
+def test_bounded_state_stream_emits_closed_days(spark, tmp_dir):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(hours=5 * i), i % 4, "view") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, session_id long, event_type string")
+    src = os.path.join(tmp_dir, "events")
+    df.write.parquet(src)
+    out = os.path.join(tmp_dir, "closed_days")
+    q = ST.run_daily_activity_bounded(spark, src, out, ts="ts", session="session_id", watermark="1 hour")
+    q.awaitTermination()
+    got = {r["day"]: (r["events"], r["sessions"]) for r in spark.read.parquet(out).collect()}
+    want = {r["day"]: (r["events"], r["sessions"]) for r in U.activity_over_time(df, "ts", "session_id").collect()}
+    assert got and all(got[d] == want[d] for d in got)
+    assert max(want) not in got or got[max(want)] == want[max(want)]
