@@ -931,3 +931,17 @@ SELECT 'html', CAST(rn AS INTEGER), v FROM (
 """)
 def q_p7_pages(spark, sf_dir):
     return P.sample_values(table(spark, sf_dir, "pages"), 3)
+
+
+@register("s6_export_report_cleaned_orders", """
+SELECT o_orderkey AS "O Orderkey", o_custkey AS "O Custkey", o_orderstatus AS "O Orderstatus",
+       o_totalprice AS "O Totalprice", strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "O Orderdate",
+       o_orderpriority AS "O Orderpriority"
+FROM orders
+""")
+def q_s6(spark, sf_dir):
+    base = IO.scratch_dir(spark, "report")
+    orders = table(spark, sf_dir, "orders")
+    stats = P.compute_stats(orders)
+    paths = IO.export_report(base, orders, stats=stats)
+    return IO.read_table(spark, paths[0], format="csv")
