@@ -49,7 +49,8 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
         v = F.trim(_q(c))
         nn = _q(c).isNotNull()
         aggs += [F.count(_q(c)).alias(f"n{i}"),
-                 F.count_if(nn & v.rlike(_INT)).alias(f"i{i}"),
+                 # integers that also fit a LONG (larger ones are read as DOUBLE, not lost)
+                 F.count_if(nn & v.rlike(_INT) & v.try_cast("long").isNotNull()).alias(f"i{i}"),
                  F.count_if(nn & v.rlike(_FLOAT)).alias(f"f{i}"),
                  F.count_if(nn & v.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b{i}")]
     r = clean.agg(*aggs).first()

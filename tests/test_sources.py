@@ -70,3 +70,11 @@ def test_combine_files_single_scan(spark, tmp_dir):
     combined, counts, summary = IO.combine_files(spark, [os.path.join(tmp_dir, "jan"), os.path.join(tmp_dir, "feb")])
     assert summary["total_rows"] == 3 and summary["columns_matched"] is False
     assert combined.where("cost IS NULL").count() == 1 and "source_file" in combined.columns
+
+
+def test_csv_huge_integers_are_not_lost(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "big.csv")
+    with open(p, "w") as fh:
+        fh.write("id,n\n1,99999999999999999999\n2,5\n")
+    rows = sorted(tuple(r) for r in IO.read_table(spark, p).collect())
+    assert rows[0][0] == 1 and rows[0][1] == 1e20 and rows[1][1] == 5.0
