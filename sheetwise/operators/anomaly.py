@@ -186,6 +186,11 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.05, n_trees: int =
     stats = df.agg(F.count("*").alias("n"), *[F.avg(F.col(f"`{c}`")).alias(f"m{i}")
                                              for i, c in enumerate(cols)]).first()
     n = stats["n"]
+    if n == 0:  # nothing to learn from: the flag columns exist, every count is 0
+        out = df.withColumn("_anomaly", F.lit(False)).withColumn("_anomaly_score", F.lit(None).cast("double"))
+        summary = df.sparkSession.createDataFrame([(0, 0.0, list(cols))],
+                                                  "total_anomalies long, anomaly_pct double, cols_used array<string>")
+        return out, summary
     fill = {c: float(stats[f"m{i}"]) if stats[f"m{i}"] is not None else 0.0 for i, c in enumerate(cols)}
     trees, psi_eff = fit_forest(df, cols, n_trees, psi, seed, n)
     score = score_column(cols, trees, psi_eff, fill)
