@@ -43,8 +43,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     3. One grouped count of the rows inside the brackets per (bracket, value) - ties collapse to
        one row each - from which the order statistics are read.
 
-    A bracket the sketch misplaced (the target rank outside it) falls back to the exact
-    ``percentile`` of that column."""
+    A narrowed bracket the sketch misplaced (target rank outside it) is replaced by the previous,
+    still valid one; only a misplaced first bracket falls back to Spark's ``percentile``."""
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     d = 2.0 / accuracy
     first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
@@ -76,10 +76,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
                      *[F.count_if(inside(t)).alias(f"w{k}") for k, t in enumerate(live)]).first()
         narrow = []
         for k, t in enumerate(live):
-            t["below"], t["inside"] = cnt[f"b{k}"], cnt[f"w{k}"]
-            if not (t["below"] <= t["r0"] and t["below"] + t["inside"] >= t["r1"] + 1):
-                t["ok"] = False
-            elif t["inside"] > max_bracket and t["lo"] < t["hi"]:
+            below, inside_n = cnt[f"b{k}"], cnt[f"w{k}"]
+            if not (below <= t["r0"] and below + inside_n >= t["r1"] + 1):
+                if "prev" in t:  # a narrowed bracket missed: keep the last valid one
+                    t["lo"], t["hi"], t["below"], t["inside"] = t.pop("prev")
+                    t["done"] = True
+                else:
+                    t["ok"] = False
+                continue
+            t["below"], t["inside"] = below, inside_n
+            if t["inside"] > max_bracket and t["lo"] < t["hi"] and not t.get("done"):
                 narrow.append(t)
         if not narrow:
             break
@@ -91,6 +97,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
             aggs.append(F.percentile_approx(F.when(inside(t), x[cols[t["i"]]]), [q0, q1], accuracy).alias(f"q{k}"))
         res = df.agg(*aggs).first()
         for k, t in enumerate(narrow):
+            t["prev"] = (t["lo"], t["hi"], t["below"], t["inside"])
             t["lo"], t["hi"] = res[f"q{k}"][0], res[f"q{k}"][1]
 
     good = [t for t in live if t["ok"]]
