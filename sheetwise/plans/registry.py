@@ -945,3 +945,38 @@ def q_s6(spark, sf_dir):
     stats = P.compute_stats(orders)
     paths = IO.export_report(base, orders, stats=stats)
     return IO.read_table(spark, paths[0], format="csv")
+
+
+@register("j3_engineering_histogram_extendedprice", """
+WITH d AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem WHERE l_extendedprice IS NOT NULL AND NOT isnan(l_extendedprice)),
+b AS (SELECT MIN(x) AS lo, MAX(x) AS hi FROM d),
+w AS (SELECT lo, hi, CASE WHEN hi > lo THEN (hi - lo) / 30 ELSE 1.0 END AS w FROM b),
+c AS (SELECT LEAST(CAST(floor((x - lo) / w) AS INTEGER), 29) AS bin, COUNT(*) AS n FROM d, w GROUP BY 1)
+SELECT s.bin AS bin, round_even(lo + s.bin * w, 4) AS lo, round_even(lo + (s.bin + 1) * w, 4) AS hi,
+       COALESCE(c.n, 0) AS count
+FROM w, range(0, 30) AS s(bin) LEFT JOIN c ON c.bin = s.bin
+""")
+def q_j3_eng(spark, sf_dir):
+    res = J.industry_insights(table(spark, sf_dir, "lineitem"), "engineering_manufacturing",
+                              category="l_returnflag", metric="l_extendedprice",
+                              sequence_cols=["l_orderkey", "l_linenumber", "l_extendedprice"],
+                              include=("control_chart", "histogram"))
+    return _r(res["histogram"].withColumn("bin", F.col("bin").cast("long")), 4, "lo", "hi")
+
+
+@register("j3_finance_concentration_customer_segments", """
+WITH g AS (SELECT c_mktsegment, CAST(COALESCE(SUM(c_acctbal), 0) AS DOUBLE) AS total
+           FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment),
+s AS (SELECT SUM(total) AS grand FROM g),
+h AS (SELECT SUM((total / grand) * (total / grand)) AS hhi FROM g, s),
+t AS (SELECT c_mktsegment AS top_category, total AS top_total FROM g ORDER BY total DESC, c_mktsegment LIMIT 1)
+SELECT round_even(hhi, 4) AS hhi,
+       CASE WHEN hhi < 0.15 THEN 'Low' WHEN hhi < 0.25 THEN 'Moderate' ELSE 'High' END AS risk_level,
+       top_category,
+       CASE WHEN grand <> 0 THEN round_even(top_total / grand * 100, 1) ELSE 0.0 END AS top_category_share_pct
+FROM h, t, s
+""")
+def q_j3_fin(spark, sf_dir):
+    res = J.industry_insights(table(spark, sf_dir, "customer"), "finance_banking",
+                              category="c_mktsegment", metric="c_acctbal", include=("concentration",))
+    return res["concentration"]["summary"]
