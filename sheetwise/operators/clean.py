@@ -58,6 +58,20 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return keyed.dropDuplicates(subset).select(*[_q(c) for c in df.columns])
 
 
+def distinct_rows_counted(df: DataFrame, name: str = "__dup_n") -> DataFrame:
+    """The distinct rows of ``df`` plus ``name``: how many input rows each stands for. One
+    grouped aggregate on all columns - the same shuffle as ``dropDuplicates``, with map-side
+    combining - so the input row count comes for free as the sum of ``name``."""
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    if not maps:
+        return df.groupBy(*[_q(c) for c in df.columns]).agg(F.count("*").alias(name))
+    keyed = df.select("*", *[F.array_sort(F.map_entries(_q(m))).alias(f"__mk{i}") for i, m in enumerate(maps)])
+    subset = [c for c in df.columns if c not in maps] + [f"__mk{i}" for i in range(len(maps))]
+    grouped = keyed.groupBy(*[_q(c) for c in subset]).agg(*[F.first(_q(m)).alias(m) for m in maps],
+                                                            F.count("*").alias(name))
+    return grouped.select(*[_q(c) for c in df.columns], name)
+
+
 def drop_duplicates(df: DataFrame) -> tuple[DataFrame, int, int]:
     """Whole-row duplicates removed (NULLs equal). Returns (table, rows before, removed)."""
     before = df.count()
@@ -90,6 +104,8 @@ def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
         parsed = with_numeric_parse(df, parse_map) if parse_map else df
     tokens = bool_tokens()
     aggs = [F.count("*").alias("rows")]
+    if "__dup_n" in parsed.columns:
+        aggs.append(F.coalesce(F.sum("__dup_n"), F.lit(0)).alias("input_rows"))
     idx = {c: i for i, c in enumerate(df.columns)}
     for c, i in idx.items():
         aggs.append(F.count(_q(c)).alias(f"n{i}"))
@@ -136,7 +152,8 @@ def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
             elif row[f"pct{i}"]:
                 names[c] = f"{c} (%)"
                 percent_cols.append(names[c])
-    return {"rows": rows, "kinds": kinds, "names": names, "nonnull": nonnull, "distinct": distinct,
+    return {"rows": rows, "input_rows": row.get("input_rows", rows),
+            "kinds": kinds, "names": names, "nonnull": nonnull, "distinct": distinct,
             "parse_map": parse_map,
             "report": {"currency_columns_converted": currency_cols,
                        "percent_columns_converted": percent_cols,
@@ -171,15 +188,17 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     spark = df.sparkSession
     original_cols = len(df.columns)
     src = nan_to_null(df)
-    dedup = distinct_rows(src)
+    # distinct rows with their multiplicity: the original row count is their sum (no extra scan)
+    counted = distinct_rows_counted(src)
+    dedup = counted.drop("__dup_n")
     pmap = _parse_map(dedup)
     # the de-duplicated rows with every number-text column parsed once, kept for all passes
-    parsed = with_numeric_parse(dedup, pmap) if pmap else dedup
+    parsed = with_numeric_parse(counted, pmap) if pmap else counted
     if persist:
         parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    original_rows = df.count()
     prof = _profile_pass(dedup, parsed)
     rows = prof["rows"]
+    original_rows = prof["input_rows"]
     typed = _apply_types(dedup, prof, parsed)
     names = prof["names"]
 
