@@ -73,11 +73,11 @@ def distinct_rows_counted(df: DataFrame, name: str = "__dup_n") -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> tuple[DataFrame, int, int]:
-    """Whole-row duplicates removed (NULLs equal). Returns (table, rows before, removed)."""
-    before = df.count()
-    dedup = distinct_rows(df)
-    after = dedup.count()
-    return dedup, before, before - after
+    """Whole-row duplicates removed (NULLs equal). Returns (table, rows before, removed).
+    One pass over the input: the de-duplicating aggregate also counts the rows it collapses."""
+    counted = distinct_rows_counted(df).persist(StorageLevel.MEMORY_AND_DISK)
+    r = counted.agg(F.count("*").alias("after"), F.coalesce(F.sum("__dup_n"), F.lit(0)).alias("before")).first()
+    return counted.drop("__dup_n"), int(r["before"]), int(r["before"] - r["after"])
 
 
 def convert_column_types(df: DataFrame, accuracy="auto", _profile=None) -> tuple[DataFrame, dict]:
