@@ -1,8 +1,9 @@
 """Cleaning and type recovery: C1 duplicates, C3/C5/C6 numeric and yes/no text detection,
 C7 dates, C8 missing profile, C9-C11 fills, C12 the whole ``clean``.
 
-Plan: NaN -> NULL, ``dropDuplicates`` (hash aggregate with map-side combine: a hot repeated row
-collapses inside each task before the shuffle), persisted; then
+Plan: NaN -> NULL, a group-by on all columns with a row count (hash aggregate with map-side
+combine: a hot repeated row collapses inside each task before the shuffle; the input row count is
+the sum of the counts), parsed once and persisted; then
 
 1. one profile aggregate over every column (counts, yes/no checks, numeric parse rates,
    currency sets of at most six codes, distinct-count estimates for the median choice);
@@ -46,22 +47,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*sel)
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Whole-row de-duplication that also accepts map columns (Spark cannot group on maps):
-    each map takes part in the key as its entries sorted by key, so rows are equal exactly when
-    every value, map contents included, is equal."""
-    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
-    if not maps:
-        return df.dropDuplicates()
-    keyed = df.select("*", *[F.array_sort(F.map_entries(_q(m))).alias(f"__mk{i}") for i, m in enumerate(maps)])
-    subset = [c for c in df.columns if c not in maps] + [f"__mk{i}" for i in range(len(maps))]
-    return keyed.dropDuplicates(subset).select(*[_q(c) for c in df.columns])
-
-
 def distinct_rows_counted(df: DataFrame, name: str = "__dup_n") -> DataFrame:
     """The distinct rows of ``df`` plus ``name``: how many input rows each stands for. One
     grouped aggregate on all columns - the same shuffle as ``dropDuplicates``, with map-side
-    combining - so the input row count comes for free as the sum of ``name``."""
+    combining - so the input row count comes for free as the sum of ``name``. Map columns (Spark
+    cannot group on maps) take part in the key as their entries sorted by key, so rows are equal
+    exactly when every value, map contents included, is equal."""
     maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
     if not maps:
         return df.groupBy(*[_q(c) for c in df.columns]).agg(F.count("*").alias(name))
