@@ -78,3 +78,11 @@ def test_csv_huge_integers_are_not_lost(spark, tmp_dir):
         fh.write("id,n\n1,99999999999999999999\n2,5\n")
     rows = sorted(tuple(r) for r in IO.read_table(spark, p).collect())
     assert rows[0][0] == 1 and rows[0][1] == 1e20 and rows[1][1] == 5.0
+
+
+def test_read_csv_drops_byte_order_mark(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "bom.csv")
+    with open(p, "wb") as fh:
+        fh.write("﻿region,revenue\nnorth,10\nsouth,20\n".encode("utf-8"))
+    df = IO.read_table(spark, p)
+    assert df.columns == ["region", "revenue"] and dict(df.dtypes)["revenue"] == "bigint"
