@@ -64,8 +64,10 @@ def industry_insights(df: DataFrame, industry: str, category: str | None = None,
     want = set(include)
     if industry not in IND.INDUSTRY_OPTIONS:
         raise ValueError(f"industry must be one of {list(IND.INDUSTRY_OPTIONS)}")
+    roles = None
+    if category is None or metric is None or ("outcome_risk" in want and industry == "healthcare" and not outcome):
+        roles = P.suggest_roles(df)  # one cardinality pass serves the category, metric and outcome
     if category is None or metric is None:
-        roles = P.suggest_roles(df)
         category = category or roles["category"]
         metric = metric or roles["metric"]
     date_col = date_col or N.default_date_column(df)
@@ -103,8 +105,7 @@ def industry_insights(df: DataFrame, industry: str, category: str | None = None,
                 except ValueError as e:
                     out["time_to_limit_error"] = str(e)
     if "outcome_risk" in want and industry == "healthcare":
-        roles = P.suggest_roles(df)
-        target = outcome or (roles["binary"][0] if roles["binary"] else None)
+        target = outcome or (roles["binary"][0] if roles and roles["binary"] else None)
         feats = [c for c in N.numeric_columns(df) if c != target][:6]
         if target and feats:
             try:

@@ -980,3 +980,10 @@ def q_j3_fin(spark, sf_dir):
     res = J.industry_insights(table(spark, sf_dir, "customer"), "finance_banking",
                               category="c_mktsegment", metric="c_acctbal", include=("concentration",))
     return res["concentration"]["summary"]
+
+
+@register("j3_healthcare_kpis_with_outcome_risk", ORACLE_SQL["j3_retail_insights_lineitem_kpis"])
+def q_j3_health(spark, sf_dir):
+    res = J.industry_insights(table(spark, sf_dir, "lineitem"), "healthcare", include=("kpis", "outcome_risk"))
+    assert "outcome_risk" in res, res.get("outcome_risk_error")  # fitted on the binary column P11 finds
+    return res["kpis"]
