@@ -83,30 +83,45 @@ def time_trend(df: DataFrame, date_col: str, metric: str, freq: str = "D") -> Da
 # T2 forecast
 # ---------------------------------------------------------------------------------------------
 
+def _business_days(lo: _dt.date, hi: _dt.date) -> int:
+    """Weekdays (Monday-Friday) from ``lo`` to ``hi`` inclusive."""
+    days = (hi - lo).days + 1
+    full, rem = divmod(days, 7)
+    start = lo.weekday()
+    return full * 5 + sum(1 for i in range(rem) if (start + i) % 7 < 5)
+
+
 def _infer_step(series: DataFrame, date_col: str, n: int, lo, hi) -> tuple[str, object]:
     """Regular spacing of the sorted distinct timestamps, decided by one aggregate:
-    ('tick', seconds) when all gaps are equal, ('ME'|'MS', None) for consecutive month ends /
-    month starts, else ('D', None) (irregular: daily future, positions by ranking)."""
+    ('tick', microseconds) when all gaps are equal; ('ME'|'MS', m) for month ends / month starts
+    every m months (monthly, quarterly, yearly...); ('B', None) for every business day between
+    the first and last date; else ('D', None) (irregular: daily future, positions by ranking)."""
     span = int((hi - lo) / _dt.timedelta(microseconds=1))
     secs = _us(F.col(date_col)) - _us(_ts_lit(lo))
     month_idx = F.year(date_col) * 12 + F.month(date_col)
+    lo_m, hi_m = lo.year * 12 + lo.month, hi.year * 12 + hi.month
     checks = [F.count_if(F.to_date(date_col) == F.last_day(date_col)).alias("n_end"),
               F.count_if(F.dayofmonth(date_col) == 1).alias("n_start"),
               F.count_if(F.col(date_col).cast("timestamp_ntz") != F.date_trunc("day", date_col).cast("timestamp_ntz")).alias("n_time"),
-              (F.max(month_idx) - F.min(month_idx)).alias("month_span"),
-              F.count_distinct(month_idx).alias("n_months")]
+              F.count_distinct(month_idx).alias("n_months"),
+              F.count_if(F.weekday(date_col) >= 5).alias("n_weekend")]
     step_us = None
     if n > 1 and span % (n - 1) == 0:
         step_us = span // (n - 1)
         checks.append(F.count_if((secs % F.lit(step_us)) != 0).alias("off_grid"))
+    m_step = (hi_m - lo_m) // (n - 1) if n > 1 and (hi_m - lo_m) % (n - 1) == 0 and hi_m > lo_m else None
+    if m_step:
+        checks.append(F.count_if(((month_idx - F.lit(lo_m)) % F.lit(m_step)) != 0).alias("off_months"))
     r = series.agg(*checks).first()
     if step_us and r["off_grid"] == 0:
         return "tick", step_us
-    if r["n_time"] == 0 and r["n_months"] == n and r["month_span"] == n - 1:
+    if m_step and r["n_time"] == 0 and r["n_months"] == n and r["off_months"] == 0:
         if r["n_end"] == n:
-            return "ME", None
+            return "ME", m_step
         if r["n_start"] == n:
-            return "MS", None
+            return "MS", m_step
+    if r["n_time"] == 0 and r["n_weekend"] == 0 and n == _business_days(lo.date(), hi.date()):
+        return "B", None
     return "D", None
 
 
@@ -138,7 +153,13 @@ def forecast(df: DataFrame, date_col: str, value_col: str, periods: int = 30) ->
         positioned = series.withColumn("t", t)
     elif kind in ("ME", "MS"):
         positioned = series.withColumn(
-            "t", (F.year(date_col) * 12 + F.month(date_col) - (lo.year * 12 + lo.month)).cast("long"))
+            "t", ((F.year(date_col) * 12 + F.month(date_col) - (lo.year * 12 + lo.month)) / F.lit(step_us)).cast("long"))
+    elif kind == "B":
+        # every business day is present: the position is the count of weekdays since the first
+        days = F.datediff(F.to_date(date_col), F.lit(lo.date()))
+        rem = days % 7
+        crossed = F.when(F.lit(lo.weekday()) + rem >= 5, F.lit(2)).otherwise(F.lit(0))
+        positioned = series.withColumn("t", (F.floor(days / 7) * 5 + rem - crossed).cast("long"))
     else:
         positioned = with_position(series, [date_col], name="t")
     fit = positioned.agg(F.regr_slope(value_col, "t").alias("slope"),
@@ -159,9 +180,12 @@ def forecast(df: DataFrame, date_col: str, value_col: str, periods: int = 30) ->
     if kind == "tick":
         fdate = F.timestamp_micros(_us(_ts_lit(hi)) + k * F.lit(step_us)).cast("timestamp_ntz")
     elif kind == "ME":
-        fdate = F.last_day(F.add_months(F.to_date(_ts_lit(hi)), k.cast("int"))).cast("timestamp_ntz")
+        fdate = F.last_day(F.add_months(F.to_date(_ts_lit(hi)), (k * step_us).cast("int"))).cast("timestamp_ntz")
     elif kind == "MS":
-        fdate = F.add_months(F.to_date(_ts_lit(hi)), k.cast("int")).cast("timestamp_ntz")
+        fdate = F.add_months(F.to_date(_ts_lit(hi)), (k * step_us).cast("int")).cast("timestamp_ntz")
+    elif kind == "B":
+        full_weeks = F.floor((F.lit(hi.weekday()) + k) / 5)
+        fdate = _ts_lit(hi) + F.make_dt_interval(days=(k + 2 * full_weeks).cast("int"))
     else:
         fdate = _ts_lit(hi) + F.make_dt_interval(days=k.cast("int"))
     season_map = F.create_map(*[x for d, v in sorted(seasonal.items()) for x in (F.lit(d), F.lit(v))])
@@ -176,7 +200,7 @@ def forecast(df: DataFrame, date_col: str, value_col: str, periods: int = 30) ->
     history = series.select(F.col(date_col).cast("timestamp_ntz").alias(date_col), value_col,
                             F.lit("Actual").alias("type"),
                             F.col(value_col).alias("lower"), F.col(value_col).alias("upper"))
-    freq = {"tick": f"{step_us}us", "ME": "ME", "MS": "MS", "D": "D"}[kind]
+    freq = {"tick": f"{step_us}us", "ME": f"{step_us}ME", "MS": f"{step_us}MS", "B": "B", "D": "D"}[kind]
     direction = trend_direction(slope)
     meta = spark.createDataFrame(
         [(slope, direction, freq, int(n), resid_std)],

@@ -70,3 +70,22 @@ def test_with_position_matches_sort(spark):
     got = sorted((r["t"], r["k"], r["v"]) for r in rows)
     want = sorted(((x % 7), x) for x in range(200))
     assert [(k, v) for _, k, v in got] == want and [t for t, _, _ in got] == list(range(200))
+
+
+def test_forecast_quarterly_and_business_day_frequencies(spark):
+    import calendar
+    qe = [dt.datetime(2020 + (3 * i) // 12, (3 * i) % 12 + 3, 1) for i in range(8)]
+    qe = [d.replace(day=calendar.monthrange(d.year, d.month)[1]) for d in qe]  # quarter ends
+    df = spark.createDataFrame([(d, float(10 * i)) for i, d in enumerate(qe)], "date timestamp, value double")
+    res = TS.forecast(df, "date", "value", periods=2)
+    assert res["meta"].first()["freq"] == "3ME"
+    fut = [r["date"] for r in res["series"].where(F.col("type") == "Forecast").orderBy("date").collect()]
+    assert fut == [dt.datetime(2022, 3, 31), dt.datetime(2022, 6, 30)]
+    assert res["meta"].first()["slope"] == pytest.approx(10.0)
+
+    bdays = [d for d in days(21, dt.datetime(2024, 1, 1)) if d.weekday() < 5]  # 15 weekdays
+    df2 = spark.createDataFrame([(d, float(i)) for i, d in enumerate(bdays)], "date timestamp, value double")
+    res2 = TS.forecast(df2, "date", "value", periods=3)
+    assert res2["meta"].first()["freq"] == "B" and res2["meta"].first()["slope"] == pytest.approx(1.0)
+    fut2 = [r["date"] for r in res2["series"].where(F.col("type") == "Forecast").orderBy("date").collect()]
+    assert fut2 == [dt.datetime(2024, 1, 22), dt.datetime(2024, 1, 23), dt.datetime(2024, 1, 24)]
