@@ -8,6 +8,7 @@ when it is unset (``ensure_checkpoint_dir(..., allow_local=True)``).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -60,11 +61,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str:
     """Return the session's checkpoint folder. Test and bench entry points pass
-    ``allow_local=True`` so that an unset setting is filled with a fresh local folder."""
+    ``allow_local=True`` so that an unset setting is filled with a fresh local folder when the
+    master is ``local`` or ``local[...]``."""
     try:
         return checkpoint_dir(spark)
     except RuntimeError:
-        if not allow_local:
+        # one machine only: elsewhere executors would not see the driver's own folder
+        if not allow_local or not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise
         path = tempfile.mkdtemp(prefix="sheetwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(path)
