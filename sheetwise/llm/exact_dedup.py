@@ -90,7 +90,8 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     groups = (again.groupBy(F.col("text_sha256").alias("_sha"))
               .agg(F.min(F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"),
                                   F.col("_id").alias("id"))).alias("_best"),
-                   F.count(F.lit(1)).alias("group_size")))
+                   F.count(F.lit(1)).alias("group_size"))
+              .checkpoint())  # a plain table beside the join, so that a hot group's side can be split
     grouped = (again.join(groups, F.col("text_sha256") == F.col("_sha"))
                .select(*[F.col(f"`{c}`") for c in src.columns], F.col("_best.id").alias("keep_id"),
                        "group_size",

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.llm import bpe_automaton, token_counts
 from sheetwise.llm.common import table
 from sheetwise.llm.exact_dedup import exact_dedup
 
+BPE_FILE = "byte_bpe_50k.json"
+TOKEN_LIMIT = 512
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -23,6 +27,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_path(name: str = BPE_FILE) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op2_token_counts")
+def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token count of every whole document, from the prefix counts of its words."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    counted = token_counts.count_tokens(docs, tokenizer_path(), drop_text=True)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @register("op6_exact_dedup", sql=r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,
@@ -41,3 +60,15 @@ def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-pass Bloom exact dedup of every document: which row of equal texts stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register("op8_bpe_encode_decode")
+def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded by the tokenization automaton and decoded again."""
+    path = tokenizer_path()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe_automaton.decode(bpe_automaton.encode(docs, path, drop_text=True), path)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
