@@ -18,8 +18,9 @@ Decoding emits the byte label of every arc.
 
 from __future__ import annotations
 
-from itertools import chain
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -45,7 +46,15 @@ class TokenAutomaton:
         self._lost: dict[int, dict[int, int]] = {}
         self._spine: dict[int, list[tuple[int, float]]] = {}
         self._arcs: dict[int, bool] = {}
-        self._shorter: dict[int, int | None] = {}
+        # byte transitions of the tokens' labels: node << 8 | byte -> node, and the token a node ends
+        self._step: dict[int, int] = {}
+        self._token_at: dict[int, int] = {}
+        self._size = {t: len(b) for t, b in tables.labels.items()}
+        for label, token in tables.ids.items():
+            node = 0
+            for byte in label:
+                node = self._step.setdefault(node << 8 | byte, len(self._step) + 1)
+            self._token_at[node] = token
 
     def lost(self, token: int) -> dict[int, int]:
         """Arcs missing from the state after ``token``: symbol -> order of the merge that took it.
@@ -87,64 +96,60 @@ class TokenAutomaton:
             self._arcs[key] = got
         return got
 
-    def path(self, word: bytes) -> tuple[int, ...]:
+    def path(self, word: bytes) -> list[int]:
         """The only accepted token path over ``word``: a depth-first walk, longest arc first. Of
         all paths to one place in the word only one is accepted, so a place once left without
         success stays closed."""
-        ids, arcs, arc, shorter = self.tables.ids, self._arcs, self.arc, self.shorter
-        n, longest = len(word), self.tables.longest
+        step, token_at, size = self._step, self._token_at, self._size
+        arcs, arc = self._arcs, self.arc
+        n = len(word)
         out: list[int] = []
-        ends: list[int] = []
+        places: list[tuple[int, list[int]]] = []
         closed: set[int] = set()
-        at, token, back = 0, None, False
+        at, fits, last = 0, None, -1
         while at < n:
-            if not back:
-                end = n if n - at <= longest else at + longest
-                token = ids.get(word[at:end])
-                while token is None:
-                    end -= 1
-                    token = ids.get(word[at:end])
-            while token is not None:
-                end = at + len(self.labels[token])
-                if end not in closed:
-                    if not out:
+            if fits is None:  # the tokens that start here, shortest first
+                fits, node, i = [], 0, at
+                while i < n:
+                    node = step.get(node << 8 | word[i])
+                    if node is None:
                         break
-                    ok = arcs.get(out[-1] << 20 | token)
-                    if ok or ok is None and arc(out[-1], token):
-                        break
-                token = shorter(token)
-            if token is None:
-                closed.add(at)
-                token, at, back = shorter(out.pop()), ends.pop(), True
-            else:
+                    i += 1
+                    if node in token_at:
+                        fits.append(token_at[node])
+            while fits:
+                token = fits.pop()
+                end = at + size[token]
+                if end in closed:
+                    continue
+                if last >= 0:
+                    ok = arcs.get(last << 20 | token)
+                    if ok is None:
+                        ok = arc(last, token)
+                    if not ok:
+                        continue
                 out.append(token)
-                ends.append(at)
-                at, back = end, False
-        return tuple(out)
-
-    def shorter(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of ``token``'s label."""
-        got = self._shorter.get(token, -1)
-        if got == -1:
-            label, got = self.labels[token], None
-            for end in range(len(label) - 1, 0, -1):
-                if label[:end] in self.tables.ids:
-                    got = self.tables.ids[label[:end]]
-                    break
-            self._shorter[token] = got
-        return got
+                places.append((at, fits))
+                at, fits, last = end, None, token
+                break
+            else:
+                closed.add(at)
+                out.pop()
+                at, fits = places.pop()
+                last = out[-1] if out else -1
+        return out
 
 
 class _Words(dict):
-    """word -> path, filled on a miss. When full, the table becomes the older generation and an
+    """word -> path (packed 32-bit ids), filled on a miss. When full, the table becomes the older generation and an
     empty one takes its place: words still in use move over, the rest go with the next change."""
 
     def __init__(self, automaton: TokenAutomaton):
         super().__init__()
         self._path, self._older = automaton.path, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        got = self._older.get(word) or self._path(word.encode())
+    def __missing__(self, word: str) -> bytes:
+        got = self._older.get(word) or array("i", self._path(word.encode())).tobytes()
         if len(word) <= 64:
             if len(self) >= MAX_WORDS:
                 self._older = dict(self)
@@ -159,20 +164,36 @@ class Encoder:
         self.automaton = TokenAutomaton(self.tables)
         self._words = _Words(self.automaton)
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str | None) -> np.ndarray:
+        """Token ids (32-bit) of a whole text."""
+        parts = []
         for i, part in enumerate(self.tables.segments(text or "")):
             if i % 2:
-                out.append(self.tables.special[part])
+                parts.append(array("i", [self.tables.special[part]]).tobytes())
             else:
-                out.extend(chain.from_iterable(map(self._words.__getitem__, split_words(part))))
-        return out
+                parts.extend(map(self._words.__getitem__, split_words(part)))
+        return np.frombuffer(b"".join(parts), np.int32)
+
+
+class Decoder:
+    def __init__(self, path: str):
+        labels = bpe_tables(path).labels
+        by_id = [labels.get(i, b"") for i in range(max(labels) + 1)]
+        self._size = np.array([len(b) for b in by_id], np.int64)
+        self._start = np.cumsum(self._size) - self._size
+        self._bytes = np.frombuffer(b"".join(by_id), np.uint8)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.tables.labels.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """The labels of the ids one after another, as text."""
+        size = self._size[ids]
+        total = int(size.sum())
+        first = np.cumsum(size) - size
+        at = np.repeat(self._start[ids] - first, size) + np.arange(total)
+        return self._bytes[at].tobytes().decode("utf-8", "replace")
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -182,17 +203,31 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def decoder(path: str) -> Decoder:
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    return _DECODERS[path]
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
            drop_text: bool = False) -> DataFrame:
     """``df`` with ``ids_col``: the token ids of the whole text (NULL counts as empty), special
     strings inside texts as their special ids, nothing added, cut or padded. A column of that name
     is replaced, and ``drop_text`` leaves the text out; all rows and other columns stay."""
-    return map_column(df, text_col, lambda texts: [list(map(encoder(path).encode, texts))],
-                      (ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), drop_source=drop_text)
+    def run(column: pa.Array) -> list[pa.Array]:
+        ids = [encoder(path).encode(t) for t in column.to_pylist()]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+
+    return map_column(df, text_col, run, (ids_col, T.ArrayType(T.IntegerType())), drop_source=drop_text)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of the ids, special tokens included, bytes that are not
-    UTF-8 replaced; NULL ids give the empty text."""
-    return map_column(df, ids_col, lambda rows: [[encoder(path).decode(r or []) for r in rows]],
-                      (text_col, T.StringType(), pa.string()))
+    UTF-8 replaced; NULL ids give the empty text, an id outside the vocabulary an error."""
+    def run(column: pa.Array) -> list[pa.Array]:
+        none = np.zeros(0, np.int32)
+        return [pa.array([decoder(path).decode(row.values.to_numpy() if row.is_valid else none)
+                          for row in column], pa.string())]
+
+    return map_column(df, ids_col, run, (text_col, T.StringType()))

@@ -48,24 +48,29 @@ def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def map_column(df: DataFrame, source: str, fn: Callable[[list], list | tuple], *targets: tuple[str, T.DataType, pa.DataType],
-               drop_source: bool = False) -> DataFrame:
-    """``df`` with columns computed from the values of ``source``, an Arrow batch at a time: ``fn``
-    takes a list of values and returns one list for each of ``targets`` (name, Spark type, Arrow
-    type). Columns of ``df`` named as a target are replaced."""
+#: Rows that `map_column` hands over at a time: bounds what a worker holds beside its Arrow batch.
+ROWS_AT_ONCE = 64
+
+
+def map_column(df: DataFrame, source: str, fn: Callable[[pa.Array], list[pa.Array]],
+               *targets: tuple[str, T.DataType], drop_source: bool = False) -> DataFrame:
+    """``df`` with columns computed from the values of ``source``, some Arrow rows at a time: ``fn``
+    takes an Arrow array and returns one for each of ``targets`` (name, Spark type). Columns of
+    ``df`` named as a target are replaced."""
     names = [t[0] for t in targets]
     src = "__source"
     while src.lower() in {c.lower() for c in df.columns}:
         src += "_"
     rest = drop_columns(df, *names, *([source] if drop_source else []))
     rows = df.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(f"`{source}`").alias(src))
-    schema = T.StructType([*rest.schema.fields, *[T.StructField(n, t) for n, t, _ in targets]])
+    schema = T.StructType([*rest.schema.fields, *[T.StructField(n, t) for n, t in targets]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = fn(batch.column(batch.num_columns - 1).to_pylist())
-            new = [pa.array(v, kind) for v, (_, _, kind) in zip(got, targets, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new],
-                                             names=[*batch.schema.names[:-1], *names])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], *fn(batch.column(batch.num_columns - 1))],
+                    names=[*batch.schema.names[:-1], *names])
 
     return rows.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import bpe_automaton, token_counts
+from sheetwise.llm import bpe_automaton, language_id, ngram_join, token_counts
 from sheetwise.llm.common import table
 from sheetwise.llm.exact_dedup import exact_dedup
 
@@ -42,6 +42,20 @@ def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@register("op3_ngram_jaccard_join")
+def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets reach Jaccard 0.85, by PartEnum."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op5_language_id")
+def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document by PPM code length; a quarter of the ids is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    got = language_id.learn_and_identify(spark, docs, drop_text=True)
+    return got.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @register("op6_exact_dedup", sql=r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,

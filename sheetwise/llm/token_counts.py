@@ -142,19 +142,22 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", out_col: str
     """``df`` with the token count of every whole text (NULL and empty: 0), special strings inside
     texts as one token, nothing added, cut or padded. A column named ``out_col`` is replaced; all
     rows stay, repeated ones too."""
-    return map_column(df, text_col, lambda texts: [list(map(counter(path).total, texts))],
-                      (out_col, T.LongType(), pa.int64()), drop_source=drop_text)
+    return map_column(df, text_col, lambda texts: [pa.array(map(counter(path).total, texts.to_pylist()), pa.int64())],
+                      (out_col, T.LongType()), drop_source=drop_text)
 
 
 def prefix_counts(df: DataFrame, path: str, text_col: str = "text", out_col: str = "prefix_tokens") -> DataFrame:
     """``df`` with the token counts of all prefixes, by code points from 0 to the whole text."""
-    return map_column(df, text_col, lambda texts: [list(map(counter(path).prefixes, texts))],
-                      (out_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
+    def run(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(map(counter(path).prefixes, texts.to_pylist()), pa.list_(pa.int32()))]
+
+    return map_column(df, text_col, run, (out_col, T.ArrayType(T.IntegerType())))
 
 
 def truncate(df: DataFrame, path: str, budget: int, text_col: str = "text", out_col: str = "truncated") -> DataFrame:
     """``df`` with the longest prefix of the text that stays within ``budget`` tokens throughout."""
-    def cut(texts):
-        return [[None if t is None else t[:counter(path).fitting(t, budget)] for t in texts]]
+    def cut(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([None if t is None else t[:counter(path).fitting(t, budget)]
+                          for t in texts.to_pylist()], pa.string())]
 
-    return map_column(df, text_col, cut, (out_col, T.StringType(), pa.string()))
+    return map_column(df, text_col, cut, (out_col, T.StringType()))
