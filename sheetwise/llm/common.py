@@ -74,3 +74,14 @@ def map_column(df: DataFrame, source: str, fn: Callable[[pa.Array], list[pa.Arra
                     names=[*batch.schema.names[:-1], *names])
 
     return rows.mapInArrow(run, schema)
+
+
+#: Up to so many ids (of a long, 8 bytes each) `without_ids` broadcasts.
+MAX_BROADCAST_IDS = 500_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is not in ``ids`` (a column of that name). The ids are counted:
+    up to :data:`MAX_BROADCAST_IDS` are broadcast, more are joined by a shuffle."""
+    ids = ids.select(F.col(f"`{id_col}`")).distinct().checkpoint()
+    return df.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, id_col, "left_anti")

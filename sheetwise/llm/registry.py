@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import bpe_automaton, language_id, ngram_join, token_counts
+from sheetwise.llm import bpe_automaton, decontaminate, language_id, ngram_join, token_counts
 from sheetwise.llm.common import table
 from sheetwise.llm.exact_dedup import exact_dedup
 
@@ -48,6 +48,13 @@ def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@register("op4_decontamination")
+def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item with a window of weighted five-word similarity 0.8."""
+    return decontaminate.find_contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op5_language_id")
 def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document by PPM code length; a quarter of the ids is held out."""
