@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import bpe_automaton, chat_format, decontaminate, language_id, ngram_join, token_counts
-from sheetwise.llm.common import table
+from sheetwise.llm import bpe_automaton, chat_format, decontaminate, language_id, ngram_join, token_counts, warc
+from sheetwise.llm.common import shared_path, table
 from sheetwise.llm.exact_dedup import exact_dedup
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -128,3 +128,23 @@ def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op10_warc", sql=r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+""")
+def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as seekable WARC bundles, equal payloads as revisits, and read back."""
+    folder = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
