@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import bpe_automaton, chat_format, decontaminate, language_id, ngram_join, token_counts, warc
+from sheetwise.llm import bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join, token_counts, warc
 from sheetwise.llm.common import shared_path, table
 from sheetwise.llm.exact_dedup import exact_dedup
 
@@ -32,6 +32,12 @@ def tokenizer_path(name: str = BPE_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_html_extract")
+def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by wrappers induced for every host."""
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @register("op2_token_counts")
 def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token count of every whole document, from the prefix counts of its words."""
