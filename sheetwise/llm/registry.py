@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join, token_counts, warc
+from sheetwise.llm import bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join, suffix_dedup, token_counts, warc
 from sheetwise.llm.common import shared_path, table
 from sheetwise.llm.exact_dedup import exact_dedup
 
@@ -136,6 +136,12 @@ def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@register("op9_suffix_array_dedup")
+def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 or more words that occur in several documents, by a sparse suffix array."""
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op10_warc", sql=r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
