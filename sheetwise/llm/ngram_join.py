@@ -1,12 +1,12 @@
 """N-gram Jaccard join with PartEnum signatures, and the components its links form.
 
-**Signatures.** Sets are cut into size bands. Within a band two sets whose Jaccard similarity
-reaches the threshold differ in at most ``k`` elements, where ``k`` follows from the band's largest
-size. The hash domain is cut into ``n1`` partitions of three sub-partitions each, with ``n1`` more
+**Signatures.** Sets are cut into size bands. Within a band, or across the end of one, two sets whose
+Jaccard similarity reaches the threshold differ in at most ``k`` elements, where ``k`` follows from the
+largest sizes there. The hash domain is cut into ``n1`` partitions of three sub-partitions each, with ``n1`` more
 than ``k / 2``: so at least one partition holds at most one differing element, and of the three
 subsets of two sub-partitions one holds none. A signature is a set's projection onto such a subset;
-sufficiently similar sets share one. A set gives the signatures of its own band and of the next
-one where a partner of that size is possible. ``n1`` has a few spare partitions, so that empty
+sufficiently similar sets share one. A set gives the signatures of its own band and of the band
+ends across which a partner is possible. ``n1`` has a few spare partitions, so that empty
 projections (which everything shares) are only needed of sets with more empty ones than spare.
 
 **Links.** Sets with one digest are one vertex. Within a signature's bucket every member is
@@ -40,27 +40,40 @@ _U = np.uint64
 
 
 class Bands:
-    """Size bands and their signature parameters for similarity ``num / den``."""
+    """Size bands for similarity ``num / den``, each half as wide again as its smallest size. A pair of
+    similar sets lies inside a band or has one set on either side of a band's lower end."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self._low, self._high = [1], [1]
 
-    def of(self, size: int) -> list[int]:
-        """The bands a set of ``size`` gives signatures for (those of its possible larger partners)."""
+    def _differ(self, sizes: int) -> int:
+        """The most elements in which similar sets of ``sizes`` elements together can differ."""
+        return (self.den - self.num) * sizes // (self.den + self.num)
+
+    def of(self, size: int) -> list[tuple[int, int]]:
+        """(number, largest difference) of the classes a set of ``size`` gives signatures for: its
+        band, and the ends of bands across which it can have a partner."""
         while self._high[-1] * self.num < size * self.den:
             low = self._high[-1] + 1
             self._low.append(low)
             self._high.append(max(low, low * 3 // 2))
-        return [i for i, (lo, hi) in enumerate(zip(self._low, self._high, strict=True))
-                if size <= hi and size * self.den >= lo * self.num]
+        out = []
+        for i, (low, high) in enumerate(zip(self._low, self._high, strict=True)):
+            if low <= size <= high:
+                out.append((2 * i, self._differ(2 * high)))
+            most = (low - 1) * self.den // self.num  # of a partner of the largest smaller set
+            if low * self.num <= size * self.den and size <= most and low <= most:
+                out.append((2 * i + 1, self._differ(low - 1 + most)))
+        return out
+
 
-    def parameters(self, band: int) -> tuple[int, int, int]:
-        """(k, partitions, spare partitions): the largest difference of similar sets in the band."""
-        k = 2 * (self.den - self.num) * self._high[band] // (self.den + self.num)
-        n1 = k // 2 + 1
-        spare = 0 if n1 < 4 else 1 + n1 // 8
-        return k, n1 + spare, spare
+def partitions(k: int) -> tuple[int, int]:
+    """(partitions, spare ones among them) for sets that differ in at most ``k`` elements. So many
+    spare ones that hardly a set has more empty projections than them."""
+    n1 = k // 2 + 1
+    spare = 0 if n1 < 4 else 2 + n1 // 8
+    return n1 + spare, spare
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -68,10 +81,10 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     be similar: those are one vertex already)."""
     out = []
     scrambled = np.concatenate([np.zeros(1, _U), np.cumsum(mix(s ^ _U(0x2545F4914F6CDD1D)))])
-    for band in bands.of(len(s)) if len(s) else ():
-        k, n1, spare = bands.parameters(band)
+    for band, k in bands.of(len(s)) if len(s) else ():
         if k == 0:
             continue
+        n1, spare = partitions(k)
         part = ((s >> _U(32)) * _U(3 * n1)) >> _U(32)
         at = np.searchsorted(part, np.arange(3 * n1 + 1, dtype=_U))
         total = (scrambled[at[1:]] - scrambled[at[:-1]]).reshape(n1, 3)
