@@ -89,31 +89,27 @@ def default_date_column(df: DataFrame) -> str | None:
     return None
 
 
+#: What a readable label is cut from: runs of separators, and the places where a word starts.
+_SEPARATORS = str.maketrans("_-", "  ")
+_WORD_START = re.compile(r"(?<=[^A-Z0-9\s])(?=[A-Z])")
+
+
 def humanize(name) -> str:
-    """P16: '_'/'-' runs become a space, a capital that follows a lower-case letter starts a new
-    word, then every word is capitalised ("fuelPrice" -> "Fuel Price")."""
-    text = re.sub(r"[_\-]+", " ", str(name)).strip()
-    out = []
-    for i, ch in enumerate(text):
-        prev = text[i - 1] if i else ""
-        if i and ch.isupper() and ch.isascii() and not (prev.isupper() and prev.isascii()) \
-                and not (prev.isdigit() and prev.isascii()) and prev != " ":
-            out.append(" ")
-        out.append(ch)
-    return "".join(out).title()
+    """Separators become spaces, a capital after a lower-case letter starts a new word, and words
+    are capitalised ("fuelPrice" -> "Fuel Price", "net_SALES" -> "Net Sales")."""
+    words = _WORD_START.sub(" ", str(name).translate(_SEPARATORS)).split(" ")
+    return " ".join(w for w in words if w).title()
 
 
 def pick_forecast_metric(numeric_cols: list[str], labels: dict | None, goal: str | None) -> str | None:
-    """T4: the first numeric column having a label word of three or more letters that occurs
-    inside the goal text; otherwise the first numeric column."""
-    labels = labels or {}
-    if goal:
-        goal_l = goal.lower()
-        for c in numeric_cols:
-            words = re.findall(r"\w+", str(labels.get(c, c)).lower())
-            if any(len(w) > 2 and w in goal_l for w in words):
-                return c
-    return numeric_cols[0] if numeric_cols else None
+    """T4: of the numeric columns, the first one of which a label word (three letters or more) occurs
+    in the goal text; the first one when none does or there is no goal."""
+    def named(column: str) -> bool:
+        label = (labels or {}).get(column, column)
+        long_words = (w for w in re.split(r"\W+", str(label).casefold()) if len(w) >= 3)
+        return any(map((goal or "").casefold().__contains__, long_words))
+
+    return next(filter(named, numeric_cols), next(iter(numeric_cols), None))
 
 
 def require_columns(df: DataFrame, *cols: str | None) -> None:

@@ -1,12 +1,9 @@
-"""Quantiles with a checked size bound.
-
-Spark's exact ``percentile`` keeps a value->count map per group; for a column with billions of
-distinct values that map cannot fit in one task. One cheap ``approx_count_distinct`` estimate
-keeps Spark's ``percentile`` only where the number of distinct values is under
-``EXACT_MAX_DISTINCT``. Above it, whole-table quantiles use
-:func:`exact_quantiles` and per-group quantiles :func:`grouped_quantiles` (sketch brackets +
-counts: still exact, memory bounded). ``percentile_approx`` is used only when a caller asks for
-an accuracy.
+"""Exact quantiles with bounded memory, one method for every table size.
+
+Spark's exact ``percentile`` keeps a value->count map per group, which cannot fit in one task for
+billions of distinct values. Here a sketch only *proposes* a bracket around the wanted rank; counts
+of the rows below and inside it decide, and the order statistics are read from value counts inside
+a settled bracket. ``percentile_approx`` values are returned only when a caller asks for an accuracy.
 """
 
 from __future__ import annotations
@@ -14,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_MAX_DISTINCT = 2_000_000
-
 
 def quantile(col: Column | str, probs, accuracy: int | None = None) -> Column:
     """Quantile(s) of ``col`` with linear interpolation (exact, ``accuracy=None``) or from the
@@ -30,211 +25,183 @@ def quantile(col: Column | str, probs, accuracy: int | None = None) -> Column:
     return F.percentile(c.cast("double"), F.lit(float(probs))).cast("double")
 
 
+class _Rank:
+    """One wanted rank of one column and the bracket [lo, hi] that holds it: ``below`` rows are
+    smaller than ``lo``, ``inside`` rows lie in the bracket, so below <= rank < below + inside."""
+
+    def __init__(self, col: int, rank: int, lo: float, hi: float, n: int):
+        self.col, self.rank, self.lo, self.hi, self.below, self.inside = col, rank, lo, hi, 0, n
+
+    def settled(self, max_bracket: int) -> bool:
+        return self.inside <= max_bracket or self.lo == self.hi
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10_000,
-                    max_bracket: int = 50_000, max_rounds: int = 8) -> dict[str, list[float | None]]:
+                    max_bracket: int = 50_000) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation between order statistics, as NumPy / pandas) of
-    several columns, with bounded memory at any table size.
-
-    1. One aggregate: non-NULL counts and, per (column, p), a sketch bracket
-       ``percentile_approx(c, [p - d, p + d])`` around the target ranks.
-    2. One aggregate per refinement round: rows below and inside every bracket; a bracket still
-       holding more than ``max_bracket`` rows is narrowed by a sketch over its own rows (so at
-       most ``max_bracket`` distinct values per bracket reach the driver).
-    3. One grouped count of the rows inside the brackets per (bracket, value) - ties collapse to
-       one row each - from which the order statistics are read.
-
-    A narrowed bracket the sketch misplaced (target rank outside it) is replaced by the previous,
-    still valid one; only a misplaced first bracket falls back to Spark's ``percentile``."""
-    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    d = 2.0 / accuracy
-    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.percentile_approx(x[c], sorted({min(1.0, max(0.0, q)) for p in probs
-                                                       for q in (p - d, p + d)}), accuracy).alias(f"a{i}")
-                     for i, c in enumerate(cols)]).first()
-    tasks = []
-    for i, c in enumerate(cols):
+    several columns, with bounded memory at any table size. NULL and NaN are left out.
+
+    Each order statistic needed has a bracket, first the column's whole range. While a bracket holds
+    more than ``max_bracket`` rows, one aggregate proposes a narrower one (a sketch over the bracket's
+    own rows) and one counts the rows before, inside and after the proposal: the rank lies in exactly
+    one of the three, which becomes the bracket, with its counts. So brackets always hold their rank
+    and shrink every round until few rows or one value are left. A last grouped count gives the values
+    inside (at most ``max_bracket`` a bracket), from which the statistics are read."""
+    x = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in cols]
+    first = df.agg(*[a for i, v in enumerate(x) for a in (F.count(v).alias(f"n{i}"), F.min(v).alias(f"l{i}"),
+                                                         F.max(v).alias(f"h{i}"))]).first() if cols else None
+    ranks: dict[tuple[int, int], _Rank] = {}
+    for i in range(len(cols)):
         n = first[f"n{i}"]
-        qs = sorted({min(1.0, max(0.0, q)) for p in probs for q in (p - d, p + d)})
-        approx = dict(zip(qs, first[f"a{i}"] or []))
-        for j, p in enumerate(probs):
-            if n == 0:
-                tasks.append({"i": i, "j": j, "n": 0})
-                continue
-            pos = p * (n - 1)
-            r0 = int(pos // 1)
-            tasks.append({"i": i, "j": j, "n": n, "r0": r0, "r1": min(r0 + 1, n - 1), "frac": pos - r0,
-                          "lo": approx.get(min(1.0, max(0.0, p - d))),
-                          "hi": approx.get(min(1.0, max(0.0, p + d))), "ok": True})
-    live = [t for t in tasks if t["n"] > 0]
-
-    def inside(t):
-        c = x[cols[t["i"]]]
-        return (c >= F.lit(t["lo"])) & (c <= F.lit(t["hi"]))
-
-    for _ in range(max_rounds):
-        cnt = df.agg(*[F.count_if(x[cols[t["i"]]] < F.lit(t["lo"])).alias(f"b{k}") for k, t in enumerate(live)],
-                     *[F.count_if(inside(t)).alias(f"w{k}") for k, t in enumerate(live)]).first()
-        narrow = []
-        for k, t in enumerate(live):
-            below, inside_n = cnt[f"b{k}"], cnt[f"w{k}"]
-            if not (below <= t["r0"] and below + inside_n >= t["r1"] + 1):
-                if "prev" in t:  # a narrowed bracket missed: keep the last valid one
-                    t["lo"], t["hi"], t["below"], t["inside"] = t.pop("prev")
-                    t["done"] = True
-                else:
-                    t["ok"] = False
-                continue
-            t["below"], t["inside"] = below, inside_n
-            if t["inside"] > max_bracket and t["lo"] < t["hi"] and not t.get("done"):
-                narrow.append(t)
-        if not narrow:
-            break
+        for p in probs if n else ():
+            for r in {int(p * (n - 1) // 1), min(int(p * (n - 1) // 1) + 1, n - 1)}:
+                ranks[i, r] = _Rank(i, r, first[f"l{i}"], first[f"h{i}"], n)
+    while open_ := [t for t in ranks.values() if not t.settled(max_bracket)]:
+        inside = [(x[t.col] >= t.lo) & (x[t.col] <= t.hi) for t in open_]
+        proposals = []
+        for t, here in zip(open_, inside, strict=True):
+            q, d = (t.rank - t.below) / max(t.inside - 1, 1), 2.0 / accuracy
+            proposals.append(F.percentile_approx(F.when(here, x[t.col]), [max(0.0, q - d), min(1.0, q + d)], accuracy))
+        got = df.agg(*[a.alias(f"q{k}") for k, a in enumerate(proposals)]).first()
         aggs = []
-        for k, t in enumerate(narrow):
-            span = max(t["inside"] - 1, 1)
-            q0 = max(0.0, (t["r0"] - t["below"]) / span - d)
-            q1 = min(1.0, (t["r1"] - t["below"]) / span + d)
-            aggs.append(F.percentile_approx(F.when(inside(t), x[cols[t["i"]]]), [q0, q1], accuracy).alias(f"q{k}"))
-        res = df.agg(*aggs).first()
-        for k, t in enumerate(narrow):
-            t["prev"] = (t["lo"], t["hi"], t["below"], t["inside"])
-            t["lo"], t["hi"] = res[f"q{k}"][0], res[f"q{k}"][1]
-
-    good = [t for t in live if t["ok"]]
-    hist: dict[int, list[tuple[float, int]]] = {k: [] for k in range(len(good))}
-    if good:
-        entries = F.filter(F.array(*[F.when(inside(t), F.struct(F.lit(k).alias("k"), x[cols[t["i"]]].alias("v")))
-                                     for k, t in enumerate(good)]), lambda e: e.isNotNull())
-        rows = (df.select(F.explode(entries).alias("e")).select("e.k", "e.v")
-                  .groupBy("k", "v").agg(F.count("*").alias("m")).collect())
-        for r in rows:
-            hist[r["k"]].append((r["v"], r["m"]))
-    out = {c: [None] * len(probs) for c in cols}
-    fallback = sorted({t["i"] for t in live if not t["ok"]})
-    for k, t in enumerate(good):
-        vals = sorted(hist[k])
-
-        def at(rank, _vals=vals, _t=t):
-            cum = _t["below"]
-            for v, m in _vals:
-                cum += m
-                if cum > rank:
-                    return v
-            return _vals[-1][0]
-        v0, v1 = at(t["r0"]), at(t["r1"])
-        out[cols[t["i"]]][t["j"]] = v0 + (v1 - v0) * t["frac"]
-    if fallback:
-        row = df.agg(*[F.percentile(x[cols[i]], F.array(*[F.lit(float(p)) for p in probs])).alias(f"f{i}")
-                       for i in fallback]).first()
-        for i in fallback:
-            out[cols[i]] = list(row[f"f{i}"])
+        for k, (t, here) in enumerate(zip(open_, inside, strict=True)):
+            lo, hi = got[f"q{k}"]
+            v = x[t.col]
+            before, after = here & (v < lo), here & (v > hi)
+            aggs += [F.count_if(before).alias(f"b{k}"), F.count_if(after).alias(f"a{k}"),
+                     F.max(F.when(before, v)).alias(f"lb{k}"), F.min(F.when(after, v)).alias(f"fa{k}")]
+        count = df.agg(*aggs).first()
+        for k, t in enumerate(open_):
+            lo, hi = got[f"q{k}"]
+            n_before, n_after = count[f"b{k}"], count[f"a{k}"]
+            n_in, at = t.inside - n_before - n_after, t.rank - t.below
+            if at < n_before:
+                t.hi, t.inside = count[f"lb{k}"], n_before
+            elif at < n_before + n_in:
+                t.lo, t.hi, t.below, t.inside = lo, hi, t.below + n_before, n_in
+            else:
+                t.lo, t.below, t.inside = count[f"fa{k}"], t.below + n_before + n_in, n_after
+    values = _values_at(df, x, list(ranks.values()))
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        n, out[c] = first[f"n{i}"], []
+        for p in probs:
+            pos = p * (n - 1) if n else 0.0
+            if not n:
+                out[c].append(None)
+                continue
+            v0, v1 = values[i, int(pos // 1)], values[i, min(int(pos // 1) + 1, n - 1)]
+            out[c].append(v0 + (v1 - v0) * (pos - int(pos // 1)))
     return out
 
 
-def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy="auto",
-                     distinct: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Whole-table quantiles per column: Spark's exact ``percentile`` for columns under the
-    distinct-value bound (one aggregate for all of them), :func:`exact_quantiles` above it;
-    ``accuracy`` an int gives the sketch everywhere, ``None`` Spark's exact form everywhere.
-    ``distinct`` may carry estimates already computed elsewhere."""
+def _values_at(df: DataFrame, x: list[Column], ranks: list[_Rank]) -> dict[tuple[int, int], float]:
+    """The value at every rank, from counts of the values inside its settled bracket."""
+    out = {(t.col, t.rank): t.lo for t in ranks if t.lo == t.hi}
+    open_ = [t for t in ranks if t.lo != t.hi]
+    if open_:
+        entry = F.filter(F.array(*[
+            F.when((x[t.col] >= t.lo) & (x[t.col] <= t.hi), F.struct(F.lit(k).alias("k"), x[t.col].alias("v")))
+            for k, t in enumerate(open_)]), lambda e: e.isNotNull())
+        counted = (df.select(F.explode(entry).alias("e")).select("e.k", "e.v").groupBy("k", "v")
+                   .agg(F.count("*").alias("m")).orderBy("k", "v").collect())
+        seen = [t.below for t in open_]
+        for r in counted:
+            t = open_[r["k"]]
+            seen[r["k"]] += r["m"]
+            if seen[r["k"]] > t.rank:
+                out.setdefault((t.col, t.rank), r["v"])
+    return out
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy="auto") -> dict[str, list[float | None]]:
+    """Whole-table quantiles per column, exact (:func:`exact_quantiles`); an int ``accuracy`` gives the
+    sketch's values instead."""
     if not cols:
         return {}
     if isinstance(accuracy, int) and not isinstance(accuracy, bool):
         row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), list(probs), accuracy).alias(f"q{i}")
                        for i, c in enumerate(cols)]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
-    if accuracy is None:
-        small, big = list(cols), []
-    else:
-        if distinct is None or any(c not in distinct for c in cols):
-            est = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}")
-                           for i, c in enumerate(cols)]).first()
-            distinct = {c: est[f"d{i}"] for i, c in enumerate(cols)}
-        small = [c for c in cols if distinct[c] <= EXACT_MAX_DISTINCT]
-        big = [c for c in cols if distinct[c] > EXACT_MAX_DISTINCT]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"),
-                                    F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    if big:
-        out.update(exact_quantiles(df, big, list(probs)))
-    return out
+    return exact_quantiles(df, cols, list(probs))
+
+
+#: Value ranges that a group's bracket is counted in before single values are.
+_STEPS = 256
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], accuracy="auto",
-                      sketch_accuracy: int = 10_000, force_brackets: bool = False,
-                      extra: tuple = ()) -> DataFrame:
+                      sketch_accuracy: int = 10_000, extra: tuple = ()) -> DataFrame:
     """Exact per-group quantiles (linear interpolation) as a DataFrame ``keys + [q0, q1, ...]``.
 
-    Under the distinct-value bound (or ``accuracy=None``) this is Spark's grouped ``percentile``.
-    Above it, everything stays distributed: a per-group sketch bracket around each target rank,
-    the brackets joined back on the keys (AQE broadcasts a small bracket table, splits a hot
-    group's partition), rows below each bracket counted per group, rows inside it counted per
-    (group, value) - ties collapse - and a running sum over that small table picks the order
-    statistics. A bracket that misses its rank (outside the sketch guarantee) gives the sketch
-    value. An int ``accuracy`` gives the sketch everywhere. ``extra`` are more aggregates over
-    ``_v`` (the non-NULL values) computed in the same grouped pass and passed through."""
-    v = F.col(f"`{col}`").cast("double")
+    Everything stays distributed: a per-group sketch proposes a bracket around each wanted rank, the
+    brackets are joined back on the keys (AQE splits a hot group's partition), and rows below and
+    inside are counted. Inside, rows are counted by steps of the bracket first, then by value in the
+    step that holds the rank, so a hot group's values do not meet in one task. Groups of which a
+    bracket misses its rank are done again with brackets ten times as wide, in the end their whole
+    range. An int ``accuracy`` gives the sketch instead. ``extra`` are more aggregates over ``_v`` (the
+    non-missing values), computed in the same grouped pass."""
+    v = F.nanvl(F.col(f"`{col}`").cast("double"), F.lit(None))
     data = df.select(*[F.col(f"`{k}`") for k in keys], v.alias("_v")).where(F.col("_v").isNotNull())
-    ex = list(extra)
     names = [f"q{j}" for j in range(len(probs))]
     if isinstance(accuracy, int) and not isinstance(accuracy, bool):
-        q = F.percentile_approx("_v", list(probs), accuracy)
-        g = data.groupBy(*keys).agg(q.alias("_q"), *ex)
+        g = data.groupBy(*keys).agg(F.percentile_approx("_v", list(probs), accuracy).alias("_q"), *extra)
         return g.select(*[c for c in g.columns if c != "_q"], *[F.col("_q")[j].alias(n) for j, n in enumerate(names)])
-    if not force_brackets:
-        big = accuracy == "auto" and data.agg(F.approx_count_distinct("_v", 0.05)).first()[0] > EXACT_MAX_DISTINCT
-        if not big:
-            q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
-            g = data.groupBy(*keys).agg(q.alias("_q"), *ex)
-            return g.select(*[c for c in g.columns if c != "_q"], *[F.col("_q")[j].alias(n) for j, n in enumerate(names)])
-    d = 2.0 / sketch_accuracy
-    lo_p = [min(1.0, max(0.0, p - d)) for p in probs]
-    hi_p = [min(1.0, max(0.0, p + d)) for p in probs]
-    mid = list(probs)
-    sk = F.percentile_approx("_v", lo_p + hi_p + mid, sketch_accuracy)
+    return _bracketed(data, keys, list(probs), 2.0 / sketch_accuracy, sketch_accuracy, tuple(extra))
+
+
+def _bracketed(data: DataFrame, keys: list[str], probs: list[float], d: float, accuracy: int, extra: tuple) -> DataFrame:
     m = len(probs)
-    brackets = data.groupBy(*keys).agg(F.count("*").alias("_n"), sk.alias("_s"), *ex)
-    extra_cols = [c for c in brackets.columns if c not in set(keys) | {"_n", "_s"}]
-    sel = [*keys, "_n", *extra_cols]
+    ends = [min(1.0, max(0.0, p + s * d)) for p in probs for s in (-1, 1)]
+    # a sketch may miss by more than its error only at the ends of the range: take those exactly
+    sketch = F.percentile_approx("_v", ends, accuracy)
+    info = data.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                   sketch.alias("_s"), *extra)
+    more = [c for c in info.columns if c not in {*keys, "_n", "_min", "_max", "_s"}]
+    cols = [*keys, *more, "_n"]
     for j, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        sel += [F.col("_s")[j].alias(f"_lo{j}"), F.col("_s")[m + j].alias(f"_hi{j}"),
-                F.col("_s")[2 * m + j].alias(f"_ap{j}"),
-                F.floor(pos).cast("long").alias(f"_r0{j}"),
-                F.least(F.floor(pos).cast("long") + 1, F.col("_n") - 1).alias(f"_r1{j}"),
-                (pos - F.floor(pos)).alias(f"_fr{j}")]
-    brackets = brackets.select(*sel)
-    joined = data.join(brackets, keys)
+        at = F.floor(F.lit(p) * (F.col("_n") - 1)).cast("long")
+        low = F.col("_min") if ends[2 * j] <= 0 else F.col("_s")[2 * j]
+        high = F.col("_max") if ends[2 * j + 1] >= 1 else F.col("_s")[2 * j + 1]
+        cols += [low.alias(f"_lo{j}"), high.alias(f"_hi{j}"), at.alias(f"_r{j}"),
+                 (F.lit(p) * (F.col("_n") - 1) - at).alias(f"_f{j}")]
+    info = info.select(*cols).checkpoint()
+    joined = data.join(info.drop(*more), keys)
+    inside = [(F.col("_v") >= F.col(f"_lo{j}")) & (F.col("_v") <= F.col(f"_hi{j}")) for j in range(m)]
     below = joined.groupBy(*keys).agg(
         *[F.count_if(F.col("_v") < F.col(f"_lo{j}")).alias(f"_b{j}") for j in range(m)],
-        *[F.count_if((F.col("_v") >= F.col(f"_lo{j}")) & (F.col("_v") <= F.col(f"_hi{j}"))).alias(f"_w{j}")
-          for j in range(m)])
-    entries = F.filter(F.array(*[
-        F.when((F.col("_v") >= F.col(f"_lo{j}")) & (F.col("_v") <= F.col(f"_hi{j}")),
-               F.struct(F.lit(j).alias("j"), F.col("_v").alias("v"))) for j in range(m)]), lambda e: e.isNotNull())
-    hist = (joined.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.j", "e.v")
-                  .groupBy(*keys, "j", "v").agg(F.count("*").alias("_c")))
-    w = Window.partitionBy(*keys, "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_cum", F.sum("_c").over(w))
-    info = brackets.join(below, keys)
-    per_j = []
+        *[F.count_if(inside[j]).alias(f"_w{j}") for j in range(m)])
+    info = info.join(below, keys).checkpoint()
+    missed = F.lit(False)
     for j in range(m):
-        hj = (hist.where(F.col("j") == j).join(info.select(*keys, f"_b{j}", f"_r0{j}", f"_r1{j}"), keys)
-                  .withColumn("_rank_end", F.col("_cum") + F.col(f"_b{j}"))
-                  .groupBy(*keys)
-                  .agg(F.min(F.when(F.col("_rank_end") > F.col(f"_r0{j}"), F.col("v"))).alias(f"_v0{j}"),
-                       F.min(F.when(F.col("_rank_end") > F.col(f"_r1{j}"), F.col("v"))).alias(f"_v1{j}")))
-        per_j.append(hj)
-    out = info
-    for hj in per_j:
-        out = out.join(hj, keys, "left")
-    res = [*keys, *extra_cols]
-    for j in range(m):
-        ok = (F.col(f"_b{j}") <= F.col(f"_r0{j}")) & (F.col(f"_b{j}") + F.col(f"_w{j}") >= F.col(f"_r1{j}") + 1)
-        exact = F.col(f"_v0{j}") + (F.col(f"_v1{j}") - F.col(f"_v0{j}")) * F.col(f"_fr{j}")
-        res.append(F.when(ok, exact).otherwise(F.col(f"_ap{j}")).alias(names[j]))
-    return out.select(*res)
+        missed = missed | (F.col(f"_b{j}") > F.col(f"_r{j}")) | (
+            F.col(f"_b{j}") + F.col(f"_w{j}") <= F.least(F.col(f"_r{j}") + 1, F.col("_n") - 1))
+    again = info.where(missed).select(*keys)
+    target = F.filter(F.array(*[
+        F.when(inside[j], F.struct(F.lit(j).alias("j"), F.col("_v").alias("v"), F.col(f"_lo{j}").alias("lo"),
+                                   F.col(f"_hi{j}").alias("hi"))) for j in range(m)]), lambda e: e.isNotNull())
+    step = F.when(F.col("hi") > F.col("lo"), F.least(
+        F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _STEPS), F.lit(_STEPS - 1))).otherwise(F.lit(0)).cast("int")
+    hist = (joined.select(*keys, F.explode(target).alias("e")).select(*keys, "e.*").withColumn("step", step)
+            .groupBy(*keys, "j", "step", "v").agg(F.count("*").alias("c")))
+    wanted = info.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.col(f"_b{j}").alias("below"), F.col(f"_r{j}").alias("r0"),
+                 F.least(F.col(f"_r{j}") + 1, F.col("_n") - 1).alias("r1")) for j in range(m)])).alias("t")).select(*keys, "t.*")
+    before = Window.partitionBy(*keys, "j").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = (hist.groupBy(*keys, "j", "step").agg(F.sum("c").alias("sc")).join(wanted, [*keys, "j"])
+             .withColumn("from", F.col("below") + F.coalesce(F.sum("sc").over(before), F.lit(0))))
+    held = F.lit(False)
+    for r in ("r0", "r1"):
+        held = held | ((F.col("from") <= F.col(r)) & (F.col(r) < F.col("from") + F.col("sc")))
+    run = Window.partitionBy(*keys, "j", "step").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = (hist.join(steps.where(held).drop("sc", "below"), [*keys, "j", "step"])
+            .withColumn("end", F.col("from") + F.sum("c").over(run)))
+    at = [F.min(F.when((F.col("j") == j) & (F.col("end") > F.col(r)), F.col("v"))).alias(f"_{r}{j}")
+          for j in range(m) for r in ("r0", "r1")]
+    found = upto.groupBy(*keys).agg(*[a.alias(f"_v{k}") for k, a in enumerate(at)])
+    out = info.where(~missed).join(found, keys).select(*keys, *more, *[
+        (F.col(f"_v{2 * j}") + (F.col(f"_v{2 * j + 1}") - F.col(f"_v{2 * j}")) * F.col(f"_f{j}")).alias(f"q{j}")
+        for j in range(m)])
+    if d < 1 and not again.isEmpty():
+        out = out.unionByName(_bracketed(data.join(again, keys, "left_semi"), keys, probs, d * 10, accuracy, extra))
+    return out

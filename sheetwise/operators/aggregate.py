@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.functions.missing import nan_to_null
 from sheetwise.functions.naming import is_rate_like, require_columns
 from sheetwise.functions.quantiles import grouped_quantiles
 
@@ -45,7 +46,7 @@ def metric_agg(metric: str, how: str, accuracy: int | None = None) -> Column:
 
 
 def _grouped(df: DataFrame, category: str, metric: str, how: str) -> DataFrame:
-    return (df.select(category, metric)
+    return (nan_to_null(df.select(category, metric), metric)
               .where(F.col(category).isNotNull())
               .groupBy(category)
               .agg(metric_agg(metric, how).alias("total")))
@@ -108,7 +109,7 @@ def kpi_summary(df: DataFrame, category: str, metric: str) -> DataFrame:
     require_columns(df, category, metric)
     how = auto_agg(metric)
     m = F.col(metric)
-    per_cat = (df.select(category, metric)
+    per_cat = (nan_to_null(df.select(category, metric), metric)
                  .groupBy(category)
                  .agg(F.sum(m).cast("double").alias("s"), F.count(m).alias("n")))
     keyed = F.col(category).isNotNull()
@@ -151,12 +152,11 @@ def chart_aggregate(df: DataFrame, x: str, y: str, color: str | None = None, agg
     cond = None
     for k in keys:
         cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
-    src = df.select(*dict.fromkeys(keys + [y])).where(cond)
+    src = nan_to_null(df.select(*dict.fromkeys(keys + [y])), y).where(cond)
     if how == "median":
-        # exact at any size (sketch brackets above the distinct-value bound); groups whose values
-        # are all NULL get NULL, as the other aggregates do
+        # exact at any size; groups whose values are all NULL get NULL, as the other aggregates do
         med = grouped_quantiles(src, keys, y, [0.5], accuracy if accuracy else "auto").withColumnRenamed("q0", y)
-        grouped = src.select(*keys).distinct().join(med, keys, "left")
+        grouped = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).drop("_n").join(med, keys, "left").checkpoint()
     else:
         grouped = src.groupBy(*keys).agg(metric_agg(y, how, accuracy).alias(y))
     if not top_n:

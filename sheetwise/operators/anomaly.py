@@ -2,9 +2,8 @@
 
 ``pyspark.ml`` has no isolation forest, so it is built from Spark pieces (Liu, Ting & Zhou 2008):
 
-* one training sample: the ``n_trees * psi`` rows with the smallest seeded hash (a hash
-  threshold first, so each task forwards only a few rows to the final top-k), dealt out to the
-  trees in hash order (small tables: every tree ranks all rows by its own hash instead);
+* training rows drawn at random whatever their values (:func:`random_rows`): ``n_trees * psi`` rows
+  dealt out to the trees (tables with fewer rows: every tree draws its own ``psi`` of them);
 * trees grown per tree group with ``groupBy(tree).applyInPandas`` (at most ``psi`` rows each);
 * the forest (at most ``n_trees * (2 psi - 1)`` nodes, a proven bound) is collected once and
   shipped with a vectorised pandas UDF that scores Arrow batches of the feature columns only;
@@ -21,13 +20,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import naming as N
 from sheetwise.functions.quantiles import exact_quantiles, quantile
-from sheetwise.operators.topk import smallest_by_hash
+from sheetwise.operators.topk import random_rows
+from sheetwise.session import written
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -130,19 +129,20 @@ def _path_lengths(x: np.ndarray, forest) -> np.ndarray:
 
 def training_sample(df: DataFrame, cols: list[str], n_rows: int, n_trees: int, psi: int,
                     seed: int) -> DataFrame:
-    """``tree`` + feature columns: ``psi`` rows per tree."""
-    feats = [F.col(f"`{c}`").cast("double").alias(c) for c in cols]
-    if n_rows > n_trees * psi:
-        h = F.xxhash64(*[F.col(f"`{c}`") for c in cols], F.lit(seed))
-        top = smallest_by_hash(df.select(*feats), h, n_trees * psi, n_rows)
+    """``tree`` + feature columns: ``psi`` rows per tree, drawn without replacement and without
+    regard to their values, so that frequent values are drawn as often as they occur."""
+    feats = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    if n_rows >= n_trees * psi:
+        top = random_rows(feats, n_trees * psi, n_rows, seed)
         # the sample has n_trees * psi rows: a bounded single-partition window
-        w = Window.orderBy("_h")
-        return top.withColumn("tree", ((F.row_number().over(w) - 1) % n_trees).cast("int")).drop("_h")
-    # small tables: each tree draws its own psi rows (rank by a per-tree hash)
-    trees = df.select(*feats).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in cols], F.col("tree"), F.lit(seed))
-    w = Window.partitionBy("tree").orderBy(h)
-    return trees.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
+        turn = F.row_number().over(Window.orderBy("_u")) - 1
+        return top.withColumn("tree", (turn % n_trees).cast("int")).drop("_u")
+    # fewer rows than the trees need together: each tree draws from all of them (at most
+    # n_trees * n_trees * psi rows here)
+    drawn = (feats.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+             .withColumn("_u", F.rand(seed)).checkpoint())
+    w = Window.partitionBy("tree").orderBy("_u")
+    return drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_u")
 
 
 def fit_forest(df: DataFrame, cols: list[str], n_trees: int = 100, psi: int = 256, seed: int = 42,
@@ -195,8 +195,8 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.05, n_trees: int =
     trees, psi_eff = fit_forest(df, cols, n_trees, psi, seed, n)
     score = score_column(cols, trees, psi_eff, fill)
     scored = df.withColumn("_anomaly_score", score(*[F.col(f"`{c}`").cast("double") for c in cols]))
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    cut = low_quantile(scored, "_anomaly_score", contamination, n, accuracy)
+    # the cut needs several passes over the scores: they alone are kept (8 bytes a row)
+    cut = low_quantile(written(scored.select("_anomaly_score"), "scores"), "_anomaly_score", contamination, n, accuracy)
     out = scored.withColumn("_anomaly", F.col("_anomaly_score") < F.lit(cut))
     cols_order = [c for c in df.columns] + ["_anomaly", "_anomaly_score"]
     out = out.select(*[F.col(f"`{c}`") for c in cols_order])

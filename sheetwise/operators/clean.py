@@ -6,8 +6,8 @@ combine: a hot repeated row collapses inside each task before the shuffle; the i
 the sum of the counts), parsed once and persisted; then
 
 1. one profile aggregate over every column (counts, yes/no checks, numeric parse rates,
-   currency sets of at most six codes, distinct-count estimates for the median choice);
-2. one fill-statistics aggregate (medians, boolean counts, date parse counts) plus one grouped
+   currency sets of at most six codes);
+2. one fill-statistics aggregate (boolean counts, date parse counts), the medians, and one grouped
    count for text modes (unpivot -> count per value -> top-1 per column);
 3. one final ``select`` that converts, renames, fills and parses.
 
@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from sheetwise.functions import naming as N
 from sheetwise.functions.dates import date_reading_flags, parse_timestamp
+from sheetwise.functions.missing import nan_to_null
 from sheetwise.functions.numeric_text import (bool_tokens, normalise_bool_text, parse_bool_text,
                                               with_numeric_parse)
-from sheetwise.functions.quantiles import EXACT_MAX_DISTINCT, exact_quantiles, quantile
+from sheetwise.functions.quantiles import column_quantiles
 
 NUMERIC_SHARE = 0.7   # share of non-NULL values that must read as numbers
 DATE_SHARE = 0.7      # share of values that must read as dates (strictly more)
@@ -36,17 +37,6 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN in float columns becomes NULL (one missing-value notion, as in pandas)."""
-    sel = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            sel.append(F.nanvl(_q(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
-        else:
-            sel.append(_q(f.name))
-    return df.select(*sel)
-
-
 def distinct_rows_counted(df: DataFrame, name: str = "__dup_n") -> DataFrame:
     """The distinct rows of ``df`` plus ``name``: how many input rows each stands for. One
     grouped aggregate on all columns - the same shuffle as ``dropDuplicates``, with map-side
@@ -100,9 +90,6 @@ def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
     idx = {c: i for i, c in enumerate(df.columns)}
     for c, i in idx.items():
         aggs.append(F.count(_q(c)).alias(f"n{i}"))
-    numeric_src = N.numeric_columns(df, include_internal=True)
-    for c in numeric_src:
-        aggs.append(F.approx_count_distinct(_q(c), 0.05).alias(f"d{idx[c]}"))
     for c in text:
         i = idx[c]
         norm = F.when(_q(c).isNotNull(), normalise_bool_text(_q(c)))
@@ -112,17 +99,14 @@ def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
             p = F.col(parse_map[c])
             aggs += [F.count(p["value"]).alias(f"ok{i}"),
                      F.collect_set(p["currency"]).alias(f"cur{i}"),  # at most six codes
-                     F.bool_or(p["is_percent"]).alias(f"pct{i}"),
-                     F.approx_count_distinct(p["value"], 0.05).alias(f"d{i}")]
+                     F.bool_or(p["is_percent"]).alias(f"pct{i}")]
     row = parsed.agg(*aggs).first().asDict()
     rows = row["rows"]
-    kinds, names, nonnull, distinct = {}, {}, {}, {}
+    kinds, names, nonnull = {}, {}, {}
     currency_cols, percent_cols, boolean_cols = {}, [], []
     for c, i in idx.items():
         n = row[f"n{i}"]
         kinds[c], names[c], nonnull[c] = "keep", c, n
-        if c in numeric_src:
-            distinct[c] = row[f"d{i}"]
         if c not in text or n == 0:
             continue
         if row[f"ball{i}"] and row[f"bmin{i}"] != row[f"bmax{i}"]:
@@ -135,7 +119,6 @@ def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
         if ok / n >= NUMERIC_SHARE:
             kinds[c] = "num"
             nonnull[c] = ok
-            distinct[c] = row[f"d{i}"]
             codes = row[f"cur{i}"] or []
             if len(codes) == 1:
                 names[c] = f"{c} ({codes[0]})"
@@ -144,7 +127,7 @@ def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
                 names[c] = f"{c} (%)"
                 percent_cols.append(names[c])
     return {"rows": rows, "input_rows": row.get("input_rows", rows),
-            "kinds": kinds, "names": names, "nonnull": nonnull, "distinct": distinct,
+            "kinds": kinds, "names": names, "nonnull": nonnull,
             "parse_map": parse_map,
             "report": {"currency_columns_converted": currency_cols,
                        "percent_columns_converted": percent_cols,
@@ -205,20 +188,9 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     bool_cols = [n for n, t in fields.items() if isinstance(t, T.BooleanType)]
     orig_of = {v: k for k, v in names.items()}
 
-    # Pass 2: medians (exact; columns over the distinct-value bound by sketch brackets),
-    # boolean counts, date parse counts.
-    aggs, med_cols, big_med = [], [], []
-    for j, c in enumerate(num_cols):
-        if missing.get(c, 0) > 0 and prof["nonnull"][orig_of[c]] > 0:
-            d = prof["distinct"].get(orig_of[c], 0) or 0
-            if isinstance(accuracy, int) and not isinstance(accuracy, bool):
-                aggs.append(quantile(_q(c), 0.5, accuracy).alias(f"med{j}"))
-            elif accuracy is None or d <= EXACT_MAX_DISTINCT:
-                aggs.append(quantile(_q(c), 0.5, None).alias(f"med{j}"))
-            else:
-                big_med.append(c)
-                continue
-            med_cols.append((j, c))
+    # Pass 2: medians (exact, by narrowing brackets), boolean counts, date parse counts.
+    aggs = []
+    need_median = [c for c in num_cols if missing.get(c, 0) > 0 and prof["nonnull"][orig_of[c]] > 0]
     for j, c in enumerate(bool_cols):
         if missing.get(c, 0) > 0:
             aggs += [F.count_if(_q(c)).alias(f"bt{j}"), F.count_if(~_q(c)).alias(f"bf{j}")]
@@ -235,13 +207,9 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     stats = stats_src.agg(*aggs).first().asDict() if aggs else {}
 
     fills: dict[str, object] = {}
-    for j, c in med_cols:
-        if stats[f"med{j}"] is not None:
-            fills[c] = float(stats[f"med{j}"])
-    if big_med:
-        for c, qv in exact_quantiles(typed, big_med, [0.5]).items():
-            if qv[0] is not None:
-                fills[c] = float(qv[0])
+    for c, q in column_quantiles(typed.select(*[_q(c) for c in need_median]), need_median, [0.5], accuracy).items():
+        if q[0] is not None:
+            fills[c] = float(q[0])
     for j, c in enumerate(bool_cols):
         if missing.get(c, 0) > 0:
             t_, f_ = stats[f"bt{j}"], stats[f"bf{j}"]

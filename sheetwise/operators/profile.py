@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions import naming as N
+from sheetwise.functions.missing import nan_to_null
 from sheetwise.functions.quantiles import column_quantiles, grouped_quantiles
 
 STAT_COLUMNS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -37,15 +38,14 @@ def compute_stats(df: DataFrame, accuracy="auto", digits: int = 3) -> DataFrame
     cols = [c for c in N.numeric_columns(df, include_internal=True) if c != "_anomaly_score"]
     if not cols:
         return None
+    df = nan_to_null(df.select(*[F.col(f"`{c}`") for c in cols]))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.approx_count_distinct(x, 0.05).alias(f"d{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     base = df.agg(*aggs).first()
-    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy,
-                          distinct={c: base[f"d{i}"] for i, c in enumerate(cols)})
+    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
 
     def r(v):
         return None if v is None else _round_half_even(float(v), digits)
@@ -63,19 +63,23 @@ def _round_half_even(v: float, digits: int) -> float:
     return float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_EVEN))
 
 
-def correlations(df: DataFrame, cols: list[str] | None = None, max_cols: int = 12,
-                 digits: int | None = 2) -> DataFrame:
-    """Pearson correlation ``[x, y, r]`` for every ordered pair of the first ``max_cols``
-    numeric columns, pairwise-complete (a row counts for a pair when both values are present).
-    A constant column gives NULL, never a division error.
+#: Column pairs summed in one aggregate of `correlations`.
+PAIRS_AT_ONCE = 300
+
+
+def correlations(df: DataFrame, cols: list[str] | None = None, digits: int | None = 2) -> DataFrame:
+    """Pearson correlation ``[x, y, r]`` for every ordered pair of the numeric columns (or of
+    ``cols``), pairwise-complete (a row counts for a pair when both values are present; NaN is
+    missing). Many columns are taken in blocks of pairs, one aggregate each. A constant column gives NULL, never a division error.
 
     Two passes of plain sums: the first gets each column's mean and NULL count, the second sums
     products of values centred on those means (well conditioned, and a multiply-add per pair
     instead of a full covariance state). Pairs of columns without NULLs share per-column sums;
     pairs with NULLs carry their own masked sums and are corrected to their pairwise means."""
-    cols = (cols or N.numeric_columns(df))[:max_cols]
+    cols = cols or N.numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "x string, y string, r double")
+    df = nan_to_null(df.select(*[F.col(f"`{c}`") for c in cols]))
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
     first = df.agg(F.count("*").alias("n"),
                    *[F.count(x[c]).alias(f"k{i}") for i, c in enumerate(cols)],
@@ -83,33 +87,24 @@ def correlations(df: DataFrame, cols: list[str] | None = None, max_cols: int = 1
     n = first["n"]
     full = {c: first[f"k{i}"] == n for i, c in enumerate(cols)}
     d = {c: x[c] - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
-    aggs = []
-    for i, a_ in enumerate(cols):
-        aggs.append(F.sum(d[a_] * d[a_]).alias(f"ss{i}"))
-        for j in range(i + 1, len(cols)):
-            b_ = cols[j]
-            if full[a_] and full[b_]:
-                aggs.append(F.sum(d[a_] * d[b_]).alias(f"sp{i}_{j}"))
-            else:
-                both = x[a_].isNotNull() & x[b_].isNotNull()
-                da, db = F.when(both, d[a_]), F.when(both, d[b_])
-                aggs += [F.count_if(both).alias(f"n{i}_{j}"), F.sum(da).alias(f"sa{i}_{j}"),
-                         F.sum(db).alias(f"sb{i}_{j}"), F.sum(da * db).alias(f"sp{i}_{j}"),
-                         F.sum(da * da).alias(f"saa{i}_{j}"), F.sum(db * db).alias(f"sbb{i}_{j}")]
-    wide = df.agg(*aggs)
+    def sums(i, j):
+        a_, b_ = cols[i], cols[j]
+        if full[a_] and full[b_] or i == j:
+            return [F.sum(d[a_] * d[b_]).alias(f"sp{i}_{j}")]
+        both = x[a_].isNotNull() & x[b_].isNotNull()
+        da, db = F.when(both, d[a_]), F.when(both, d[b_])
+        return [F.count_if(both).alias(f"n{i}_{j}"), F.sum(da).alias(f"sa{i}_{j}"), F.sum(db).alias(f"sb{i}_{j}"),
+                F.sum(da * db).alias(f"sp{i}_{j}"), F.sum(da * da).alias(f"saa{i}_{j}"), F.sum(db * db).alias(f"sbb{i}_{j}")]
 
     def r_expr(i, j):
         a_, b_ = cols[i], cols[j]
         if i == j:
-            if full[a_]:
-                num, va = F.col(f"ss{i}") / n, F.col(f"ss{i}") / n
-                return F.try_divide(num, F.nullif(va, F.lit(0.0)))
             k = first[f"k{i}"]
-            va = F.try_divide(F.col(f"ss{i}"), F.lit(k)) if k else F.lit(None).cast("double")
+            va = F.try_divide(F.col(f"sp{i}_{i}"), F.lit(k)) if k else F.lit(None).cast("double")
             return F.try_divide(va, F.nullif(va, F.lit(0.0)))
         if full[a_] and full[b_]:
             cov = F.col(f"sp{i}_{j}") / n
-            va, vb = F.col(f"ss{i}") / n, F.col(f"ss{j}") / n
+            va, vb = F.col(f"sp{i}_{i}") / n, F.col(f"sp{j}_{j}") / n
         else:
             m = F.col(f"n{i}_{j}").cast("double")
             ma, mb = F.try_divide(F.col(f"sa{i}_{j}"), m), F.try_divide(F.col(f"sb{i}_{j}"), m)
@@ -119,13 +114,23 @@ def correlations(df: DataFrame, cols: list[str] | None = None, max_cols: int = 1
         den = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
         return F.try_divide(cov, F.nullif(den, F.lit(0.0)))
 
-    args = []
-    for i in range(len(cols)):
-        for j in range(len(cols)):
-            r = r_expr(min(i, j), max(i, j))
+    def block(pairs):
+        diagonal = sorted({k for p in pairs for k in p})
+        wide = df.agg(*[a for k in diagonal for a in sums(k, k)], *[a for i, j in pairs if i != j for a in sums(i, j)])
+        rows = []
+        for i, j in pairs:
+            r = r_expr(i, j)
             r = (F.bround(r, digits) + F.lit(0.0)) if digits is not None else r  # no -0.0
-            args += [F.lit(cols[i]), F.lit(cols[j]), r]
-    return wide.select(F.stack(F.lit(len(cols) * len(cols)), *args).alias("x", "y", "r"))
+            for a_, b_ in {(cols[i], cols[j]), (cols[j], cols[i])}:
+                rows += [F.lit(a_), F.lit(b_), r]
+        return wide.select(F.stack(F.lit(len(rows) // 3), *rows).alias("x", "y", "r"))
+
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    out = None
+    for start in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = block(pairs[start:start + PAIRS_AT_ONCE])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def category_breakdown(df: DataFrame, column: str, top_n: int = 15) -> DataFrame:
@@ -167,15 +172,14 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, accuracy="aut
     for the whisker/outlier pass."""
     N.require_columns(df, column, by)
     keys = [by] if by else []
-    x = F.col(column).cast("double")
+    x = F.nanvl(F.col(column).cast("double"), F.lit(None))
     data = df.select(*keys, x.alias("v")).where(F.col("v").isNotNull())
     if by:
         data = data.where(F.col(by).isNotNull())
     if not by:
         # whole-table quartiles: exact at any size (see column_quantiles)
-        base = data.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-                        F.approx_count_distinct("v", 0.05).alias("d")).first()
-        q1, med, q3 = column_quantiles(data, ["v"], [0.25, 0.5, 0.75], accuracy, distinct={"v": base["d"]})["v"]
+        base = data.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max")).first()
+        q1, med, q3 = column_quantiles(data, ["v"], [0.25, 0.5, 0.75], accuracy)["v"]
         iqr = (q3 - q1) if q1 is not None else None
         lf = q1 - 1.5 * iqr if iqr is not None else None
         uf = q3 + 1.5 * iqr if iqr is not None else None
@@ -194,7 +198,8 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, accuracy="aut
               .select(*keys, "n", "min", F.col("q0").alias("q1"), F.col("q1").alias("median"),
                       F.col("q2").alias("q3"), "max")
               .withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
-              .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
+              .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+              .checkpoint())  # one row per group, joined twice below
     inside = (F.col("v") >= F.col("lower_fence")) & (F.col("v") <= F.col("upper_fence"))
     whisker_aggs = [F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
                     F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
@@ -205,16 +210,16 @@ def box_summary(df: DataFrame, column: str, by: str | None = None, accuracy="aut
     return qs.join(joined.groupBy(by).agg(*whisker_aggs), by)
 
 
-def numeric_profile(df: DataFrame, max_cols: int = 8, digits: int = 2) -> DataFrame:
-    """P6 (numbers): for the first ``max_cols`` numeric columns ``column, mean, min, max, std,
-    sum, count`` rounded to ``digits``, NULLs ignored."""
-    cols = N.numeric_columns(df)[:max_cols]
+def numeric_profile(df: DataFrame, cols: list[str] | None = None, digits: int = 2) -> DataFrame:
+    """P6 (numbers): for the numeric columns (or ``cols``) ``column, mean, min, max, std, sum, count``
+    rounded to ``digits``, NULLs and NaN ignored."""
+    cols = cols or N.numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, mean double, min double, max double, std double, sum double, count long")
     aggs, per_col = [], {}
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))
         aggs += [F.bround(F.avg(x), digits).alias(f"a{i}"), F.bround(F.min(x), digits).alias(f"b{i}"),
                  F.bround(F.max(x), digits).alias(f"c{i}"), F.bround(F.stddev_samp(x), digits).alias(f"d{i}"),
                  F.bround(F.sum(x), digits).alias(f"e{i}"), F.count(x).alias(f"f{i}")]
@@ -222,12 +227,12 @@ def numeric_profile(df: DataFrame, max_cols: int = 8, digits: int = 2) -> DataFr
     return _long_form(df.agg(*aggs), per_col, ["mean", "min", "max", "std", "sum", "count"])
 
 
-def category_profile(df: DataFrame, max_cols: int = 4, top_n: int = 5) -> DataFrame:
+def category_profile(df: DataFrame, cols: list[str] | None = None, top_n: int = 5) -> DataFrame:
     """P6 (categories): ``column, value, count, rank`` of the ``top_n`` most frequent values of
-    the first ``max_cols`` text/boolean columns. One unpivot, one grouped count, then a
+    the text/boolean columns (or ``cols``). One unpivot, one grouped count, then a
     per-column ``row_number`` limit (Spark prunes it per partition before the shuffle)."""
     from pyspark.sql import Window
-    cols = N.category_columns(df)[:max_cols]
+    cols = cols or N.category_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, count long, rank int")
     long = df.select(F.explode(F.array(*[
@@ -239,103 +244,97 @@ def category_profile(df: DataFrame, max_cols: int = 4, top_n: int = 5) -> DataFr
 
 
 def sample_values(df: DataFrame, k: int = 3, cols: list[str] | None = None) -> DataFrame:
-    """``column, rank, value`` - the ``k`` smallest distinct non-NULL values of each column
-    (as text). Deterministic stand-in for "first k distinct": ``k`` aggregate passes, each one
-    ``min`` per column above the previous minimum, so nothing is shuffled but one row per
-    task and no value set is ever collected."""
+    """``column, rank, value`` - the ``k`` smallest distinct non-NULL values of each column, as
+    text. One pass over the table: each task keeps ``k`` values a column (Arrow batches, sorted as the
+    column's type), and only those are shuffled and ranked."""
+    from pyspark.sql import Window
     from pyspark.sql import types as T
     nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
     cols = cols or [f.name for f in df.schema.fields
                     if not N.is_internal(f.name) and not isinstance(f.dataType, nested)]
-    prev = {}
-    found: list[tuple[str, int, object]] = []
-    for r in range(1, k + 1):
-        aggs = []
-        for i, c in enumerate(cols):
-            cond = F.col(c).isNotNull()
-            if c in prev:
-                if prev[c] is None:
-                    continue
-                cond = cond & (F.col(c) > F.lit(prev[c]))
-            aggs.append(F.min(F.when(cond, F.col(c))).alias(f"v{i}"))
-        if not aggs:
-            break
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(cols):
-            key = f"v{i}"
-            if key in row.asDict():
-                prev[c] = row[key]
-                if row[key] is not None:
-                    found.append((c, r, row[key]))
-    spark = df.sparkSession
-    return spark.createDataFrame([(c, r, str(v) if not isinstance(v, bool) else str(v).lower())
-                                  for c, r, v in found], "column string, rank int, value string")
-
-
-def column_cardinality(df: DataFrame, cols: list[str] | None = None, thresholds=(2, 50)) -> DataFrame:
-    """P8/P9/P11 input: ``column, n_distinct, n_nonnull`` per column.
-
-    Two stages: one pass of ``approx_count_distinct`` for every column, then exact
-    ``count(DISTINCT)`` only for columns whose estimate lies near a decision threshold (the
-    category limits and 95 % of the non-NULL count), so Spark expands rows for a handful of
-    columns rather than all of them."""
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, rank int, value string")
+    data = nan_to_null(df.select(*[F.col(f"`{c}`") for c in cols])).select(*[
+        (F.col(f"`{c}`").cast("string") if isinstance(df.schema[c].dataType, T.BooleanType) else F.col(f"`{c}`")).alias(f"c{i}")
+        for i, c in enumerate(cols)])
+
+    def smallest(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        kept: list = [None] * len(cols)
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                values = pc.unique(column.drop_null())
+                if kept[i] is not None:
+                    values = pc.unique(pa.concat_arrays([kept[i], values]))
+                kept[i] = values.take(pc.sort_indices(values)[:k])
+        kinds = [None if v is None else v.type for v in kept]
+        for i, v in enumerate(kept):
+            if v is not None and len(v):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * len(v), pa.int32()),
+                     *[v if j == i else pa.nulls(len(v), kind) for j, kind in enumerate(kinds)]],
+                    names=["i", *[f"c{j}" for j in range(len(cols))]])
+
+    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(data.schema.fields))
+    few = data.mapInArrow(smallest, f"i int, {fields}").distinct()
+    order = Window.partitionBy("i").orderBy(*[f"c{i}" for i in range(len(cols))])
+    names = F.array(*[F.lit(c) for c in cols])
+    return (few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .select(names[F.col("i")].alias("column"), "rank",
+                    F.coalesce(*[F.col(f"c{i}").cast("string") for i in range(len(cols))]).alias("value")))
+
+
+def column_cardinality(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """P8/P9/P11 input: ``column, n_distinct, n_nonnull`` per column, exact at any size: (column,
+    value) pairs are grouped once, as text, with map-side combining, then counted per column."""
     cols = cols or list(df.columns)
-    est = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.02).alias(f"a{i}") for i, c in enumerate(cols)],
-                 *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    exact_needed = []
-    for i, c in enumerate(cols):
-        a, n = est[f"a{i}"], est[f"n{i}"]
-        near = any(0.85 * t <= a <= 1.15 * t + 1 for t in list(thresholds) + [0.95 * n])
-        if near or a <= 64:
-            exact_needed.append(i)
-    exact = {}
-    if exact_needed:
-        # a column estimated at a few hundred values or fewer is counted exactly with a bounded
-        # set (no row expansion); larger ones need COUNT(DISTINCT)
-        small = [i for i in exact_needed if est[f"a{i}"] <= 1000]
-        large = [i for i in exact_needed if est[f"a{i}"] > 1000]
-        row = df.agg(*[F.size(F.collect_set(cols[i])).alias(f"e{i}") for i in small],
-                     *[F.count_distinct(cols[i]).alias(f"e{i}") for i in large]).first()
-        exact = {i: row[f"e{i}"] for i in exact_needed}
-    rows = [(c, int(exact.get(i, est[f"a{i}"])), int(est[f"n{i}"]), i in exact) for i, c in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "column string, n_distinct long, n_nonnull long, exact boolean")
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, n_distinct long, n_nonnull long")
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
+                               for c in cols]))
+    counted = (df.select(pair.alias("p")).select("p.*").groupBy("column", "value").agg(F.count("*").alias("n"))
+               .groupBy("column").agg(F.count("value").alias("n_distinct"),
+                                      F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_nonnull")))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return every.join(counted, "column", "left").na.fill(0, ["n_distinct", "n_nonnull"])
+
+
+#: A column whose values are distinct on more than this share of its non-NULL rows identifies rows.
+IDENTIFIER_SHARE = 0.95
+#: Distinct values of a column that rows can usefully be grouped by.
+CATEGORY_SIZES = range(2, 51)
 
 
 def looks_like_identifier(name: str, n_distinct: int, n_nonnull: int) -> bool:
     """Identifier by name, or nearly all values distinct (> 95 % of the non-NULL ones)."""
-    if N.has_identifier_name(name):
-        return True
-    if n_nonnull == 0:
-        return False
-    return n_distinct / n_nonnull > 0.95
+    return N.has_identifier_name(name) or n_distinct > IDENTIFIER_SHARE * n_nonnull
 
 
 def suggest_roles(df: DataFrame) -> dict:
-    """Default ``category`` (most distinct values within 2..50, first such on ties, else the
-    first category column) and ``metric`` (non-identifier numeric column named like a tier-1,
-    then tier-2 measure, else the first non-identifier, else the first numeric column). Also
-    returns ``binary`` (P11: category columns with exactly two values) and the cardinality
-    table it was decided on."""
-    cats = N.category_columns(df)
-    nums = N.numeric_columns(df)
-    card = column_cardinality(df, cats + nums)
-    info = {r["column"]: (r["n_distinct"], r["n_nonnull"]) for r in card.collect()}
-    workable = [(c, info[c][0]) for c in cats if 2 <= info[c][0] <= 50]
-    if workable:
-        best = max(n for _, n in workable)
-        category = next(c for c, n in workable if n == best)
-    else:
-        category = cats[0] if cats else None
-    non_id = [c for c in nums if not looks_like_identifier(c, *info[c])]
-    metric = None
-    for hints in (N.METRIC_NAME_HINTS_TIER1, N.METRIC_NAME_HINTS_TIER2):
-        metric = next((c for c in non_id if hints.intersection(N.name_tokens(c))), None)
-        if metric:
-            break
-    if metric is None:
-        metric = non_id[0] if non_id else (nums[0] if nums else None)
-    binary = [c for c in cats if info[c][0] == 2]
-    return {"category": category, "metric": metric, "binary": binary, "cardinality": card}
+    """Default ``category`` and ``metric`` with ``binary`` (P11: category columns with exactly two
+    values) and the cardinality table they were decided on.
+
+    The category is the groupable column with the most distinct values (2 to 50), or else the first
+    category column. Metrics are ranked: measures named like money or volume totals first, then like
+    quantities or prices, then other columns that do not identify rows, then the rest; of equals the
+    first column."""
+    cats, nums = N.category_columns(df), N.numeric_columns(df)
+    card = column_cardinality(df, cats + nums).checkpoint()
+    size = {r["column"]: (r["n_distinct"], r["n_nonnull"]) for r in card.collect()}
+
+    def category_rank(c):
+        return size[c][0] if size[c][0] in CATEGORY_SIZES else 0
+
+    def metric_rank(c):
+        if looks_like_identifier(c, *size[c]):
+            return 3
+        words = set(N.name_tokens(c))
+        tiers = [words & N.METRIC_NAME_HINTS_TIER1, words & N.METRIC_NAME_HINTS_TIER2, True]
+        return next(i for i, hit in enumerate(tiers) if hit)
+
+    return {"category": max(cats, key=category_rank, default=None), "metric": min(nums, key=metric_rank, default=None),
+            "binary": [c for c in cats if size[c][0] == 2], "cardinality": card}
 
 
 def quality_scores(report: DataFrame, anomaly: DataFrame | None = None) -> DataFrame:

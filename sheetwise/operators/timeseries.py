@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.dates import as_timestamp
+from sheetwise.functions.missing import nan_to_null
 from sheetwise.functions.naming import is_rate_like, require_columns
 from sheetwise.operators.sequence import with_position
 
@@ -64,13 +64,14 @@ def time_trend(df: DataFrame, date_col: str, metric: str, freq: str = "D") -> Da
         raise ValueError(f"freq must be one of {FREQS}")
     how = "mean" if is_rate_like(metric) else "sum"
     dtype = df.schema[date_col].dataType
-    data = (df.select(date_col, metric)
+    data = (nan_to_null(df.select(date_col, metric), metric)
               .where(F.col(date_col).isNotNull() & F.col(metric).isNotNull())
               .select(_period(as_timestamp(F.col(date_col), dtype), freq).alias("period"),
                       F.col(metric).cast("double").alias("m"))
               .where(F.col("period").isNotNull()))
     agg = F.sum("m") if how == "sum" else F.avg("m")
-    grouped = data.groupBy("period").agg(agg.alias("total"))
+    # one row per period, read twice (bounds and totals): computed once
+    grouped = data.groupBy("period").agg(agg.alias("total")).checkpoint()
     bounds = grouped.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
     cal = _calendar(bounds, freq)
     total = F.coalesce(F.col("total"), F.lit(0.0)) if how == "sum" else F.col("total")
@@ -135,13 +136,13 @@ def forecast(df: DataFrame, date_col: str, value_col: str, periods: int = 30) ->
     require_columns(df, date_col, value_col)
     spark = df.sparkSession
     dtype = df.schema[date_col].dataType
-    series = (df.select(as_timestamp(F.col(date_col), dtype).alias(date_col),
+    series = (nan_to_null(df.select(date_col, value_col), value_col)
+                .select(as_timestamp(F.col(date_col), dtype).alias(date_col),
                         F.col(value_col).cast("double").alias(value_col))
                 .where(F.col(date_col).isNotNull() & F.col(value_col).isNotNull())
                 .groupBy(date_col).agg(F.sum(value_col).alias(value_col)))
-    # one row per distinct timestamp, read by several small passes below: kept after the first
-    # one instead of re-scanning and re-shuffling the input each time
-    series = series.persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per distinct timestamp, read by several small passes below
+    series = series.checkpoint()
     s = series.agg(F.count("*").alias("n"), F.min(date_col).alias("lo"), F.max(date_col).alias("hi")).first()
     n = s["n"]
     if n < 5:
@@ -208,6 +209,15 @@ def forecast(df: DataFrame, date_col: str, value_col: str, periods: int = 30) ->
     return {"series": history.unionByName(future), "meta": meta}
 
 
+def unread_dates(df: DataFrame, date_col: str) -> DataFrame:
+    """One row ``rows, unread``: how many rows have a date and how many of those no listed pattern
+    reads (T1 and T2 leave them out)."""
+    require_columns(df, date_col)
+    read = as_timestamp(F.col(date_col), df.schema[date_col].dataType)
+    there = F.col(date_col).isNotNull()
+    return df.agg(F.count_if(there).alias("rows"), F.count_if(there & read.isNull()).alias("unread"))
+
+
 def trend_direction(slope: float) -> str:
     """Increasing above 0.01, decreasing below -0.01, else flat."""
     return "increasing" if slope > 0.01 else ("decreasing" if slope < -0.01 else "flat")
@@ -226,7 +236,7 @@ def control_chart(df: DataFrame, metric: str, sequence_col: str | None = None) -
     The limits are scalar subqueries over one aggregate; flagging is a projection (no shuffle)."""
     require_columns(df, metric)
     cols = [metric] + ([sequence_col] if sequence_col and sequence_col in df.columns else [])
-    data = df.select(*cols).dropna()
+    data = nan_to_null(df.select(*cols)).dropna()
     lims = data.agg(F.coalesce(F.avg(metric), F.lit(0.0)).alias("mean"),
                     F.when(F.count(metric) > 1, F.stddev_samp(metric)).otherwise(F.lit(0.0)).alias("std"))
     lims = lims.select("mean", "std", (F.col("mean") + 3 * F.col("std")).alias("ucl"),
@@ -253,12 +263,12 @@ def time_to_limit(points: DataFrame, metric: str, order_cols: list[str], ucl, lc
     NULL when negative. Raises ValueError below 5 points. ``ucl``/``lcl`` may be numbers or
     one-value Columns (e.g. scalar subqueries of :func:`control_chart`'s ``limits``)."""
     require_columns(points, metric, *order_cols)
-    data = points.select(*order_cols, metric).where(F.col(metric).isNotNull())
+    data = nan_to_null(points.select(*dict.fromkeys([*order_cols, metric])), metric).where(F.col(metric).isNotNull())
     pos = with_position(data, list(order_cols), name="t")
     fit = pos.agg(F.count("*").alias("n"), F.regr_slope(metric, "t").alias("b"),
                   F.max_by(F.col(metric), F.col("t")).cast("double").alias("cur"))
     if fit.select("n").first()[0] < 5:
-        raise ValueError("Need at least 5 data points to estimate a trend")
+        raise ValueError("a trend takes five points or more")
     u = ucl if isinstance(ucl, Column) else F.lit(float(ucl))
     low = lcl if isinstance(lcl, Column) else F.lit(float(lcl))
     b = F.coalesce(F.col("b"), F.lit(0.0))

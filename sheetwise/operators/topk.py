@@ -1,35 +1,31 @@
-"""Exact "k rows with the smallest seeded hash" without a k-per-task funnel.
-
-``orderBy(h).limit(k)`` keeps k rows per task and merges all of them in one task: with 800,000
-scan tasks and k = 25,600 that is 20 billion rows for one reducer. A seeded 64-bit hash is
-uniform, so a row is among the k smallest only if its hash is small: keeping rows below the
-threshold that ~4k of the n rows are expected to pass leaves each task a handful of rows; the
-exact top-k of those is the exact top-k of all rows whenever at least k passed, which is checked
-(else the plain top-k runs).
+"""Exact-size random samples of rows, independent of the rows' values.
+
+Every row draws a number from Spark's seeded generator, which depends on the row's partition and
+its place in it, never on its content: equal rows are drawn independently. The ``k`` smallest draws
+are the sample. Only rows under a threshold that about ``4 k`` of the ``n`` rows pass are sorted, so
+no task forwards ``k`` rows for the sake of a few; if fewer than ``k`` pass (a chance of practically
+nil) the threshold is raised. The sample is checkpointed: it is the same for every later reader.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OVERSAMPLE = 4
 
 
-def smallest_by_hash(df: DataFrame, h: Column, k: int, n: int, name: str = "_h") -> DataFrame:
-    """The ``k`` rows of ``df`` (``n`` rows in total) with the smallest ``h`` (a seeded
-    ``xxhash64``), with column ``name`` holding the hash; persisted (at most k rows)."""
-    keyed = df.withColumn(name, h)
-    if n > OVERSAMPLE * k:
-        frac = OVERSAMPLE * k / n
-        cut = int(-(2 ** 63) + frac * (2 ** 64))
-        pre = keyed.where(F.col(name) < F.lit(cut))
-        top = pre.orderBy(name).limit(k).persist(StorageLevel.MEMORY_AND_DISK)
-        if top.count() >= k:
+def random_rows(df: DataFrame, k: int, n: int, seed: int, name: str = "_u") -> DataFrame:
+    """``k`` of the ``n`` rows of ``df``, every set of ``k`` rows equally likely, with column ``name``
+    holding the draws. Repeatable for the same input files and the same plan."""
+    share = OVERSAMPLE * (k + 16) / max(n, 1)
+    drawn = df.withColumn(name, F.rand(seed))
+    while True:
+        few = drawn if share >= 1 else drawn.where(F.col(name) < share)
+        top = few.orderBy(name).limit(k).checkpoint()
+        if share >= 1 or top.count() >= k:
             return top
-        top.unpersist()
-    return keyed.orderBy(name).limit(k).persist(StorageLevel.MEMORY_AND_DISK)
+        share *= OVERSAMPLE
 
 
 def hashable_columns(df: DataFrame) -> list[Column]:

@@ -81,15 +81,18 @@ def industry_insights(df: DataFrame, industry: str, category: str | None = None,
     if "trend" in want and industry in ("sales_retail", "finance_banking", "healthcare") and date_col and metric:
         out["trend"] = TS.time_trend(df, date_col, metric, "D")
     if "segments" in want and industry == "sales_retail" and category and metric:
-        nums = [c for c in N.numeric_columns(df) if c != category][:4]
+        nums = [c for c in N.numeric_columns(df) if c != category]
         try:
             out["segments"] = ML.segment_categories(df, category, nums or [metric])
         except ValueError as e:
             out["segments_error"] = str(e)
     if "forecast" in want and industry in ("sales_retail", "healthcare") and date_col and metric:
         out["forecast"] = TS.forecast(df, date_col, metric, 30)
-    if "strangest_rows" in want and industry == "finance_banking" and "_anomaly_score" in df.columns:
-        out["strangest_rows"] = AN.strangest_rows(df, 20)
+    if "strangest_rows" in want and industry == "finance_banking":
+        # tables that were not scored yet are scored here (no numeric column: no such analysis)
+        scored = df if "_anomaly_score" in df.columns else AN.detect_anomalies(df)[0]
+        if "_anomaly_score" in scored.columns:
+            out["strangest_rows"] = AN.strangest_rows(scored, 20)
     if want & {"control_chart", "histogram", "time_to_limit"} and \
             industry in ("engineering_manufacturing", "healthcare") and metric:
         seq = sequence_cols or ([date_col] if date_col else None)
@@ -106,7 +109,7 @@ def industry_insights(df: DataFrame, industry: str, category: str | None = None,
                     out["time_to_limit_error"] = str(e)
     if "outcome_risk" in want and industry == "healthcare":
         target = outcome or (roles["binary"][0] if roles and roles["binary"] else None)
-        feats = [c for c in N.numeric_columns(df) if c != target][:6]
+        feats = [c for c in N.numeric_columns(df) if c != target]
         if target and feats:
             try:
                 out["outcome_risk"] = ML.binary_outcome_risk_model(df, target, feats)

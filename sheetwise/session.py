@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,3 +73,12 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
         path = tempfile.mkdtemp(prefix="sheetwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext.getCheckpointDir()
+
+
+def written(df, purpose: str):
+    """``df`` written as Parquet into the session's checkpoint folder and read back: one computation
+    for several readers, in files that outlive any executor."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sheetwise-{purpose}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -100,13 +100,30 @@ def test_logistic_penalty_matches_direct_newton_solve(spark):
     assert got["f2"] == pytest.approx(round(w[2], 4), abs=2e-4)
 
 
-def test_smallest_by_hash_equals_plain_top_k(spark):
-    from sheetwise.operators.topk import smallest_by_hash
-    df = spark.range(20000).withColumn("g", F.col("id") % 7)
-    h = F.xxhash64("id", "g", F.lit(42))
-    got = sorted(r["id"] for r in smallest_by_hash(df, h, 1000, 20000).collect())
-    want = sorted(r["id"] for r in df.withColumn("_h", h).orderBy("_h").limit(1000).collect())
-    assert got == want
+def test_random_rows_do_not_depend_on_values(spark):
+    from sheetwise.operators.topk import random_rows
+    df = spark.range(40000, numPartitions=4).select((F.col("id") % 4).alias("v"))
+    rows = random_rows(df, 2000, 40000, 42)
+    counts = [r["count"] for r in rows.groupBy("v").count().collect()]
+    assert sum(counts) == 2000 and len(counts) == 4 and min(counts) > 400  # equal rows are drawn one by one
+    assert random_rows(df, 50000, 40000, 1).count() == 40000
+
+
+def test_forest_learns_from_frequent_values(spark):
+    df = spark.range(60000, numPartitions=4).select(
+        F.when(F.col("id") < 300, 500.0).otherwise((F.col("id") % 10).cast("double")).alias("v"))
+    out, summary = AN.detect_anomalies(df, n_trees=50)
+    flagged = out.where("_anomaly").groupBy("v").count().collect()
+    assert {r["v"]: r["count"] for r in flagged}.get(500.0) == 300
+
+
+def test_split_is_stratified_on_a_binary_feature(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("f"), F.when(F.col("id") % 2 == 1, "y").otherwise("n").alias("o"))
+    for seed in (1, 5, 42):
+        res = ML.binary_outcome_risk_model(df, "o", ["f"], seed=seed)
+        assert res["accuracy"] == 1.0
+        assert {(r["positive"], r["test"]): r["n"] for r in res["split"].collect()} == {
+            (True, True): 125, (True, False): 375, (False, True): 125, (False, False): 375}
 
 
 def test_samples_with_map_columns(spark):

@@ -78,9 +78,38 @@ def test_grouped_quantiles_brackets_match_percentile(spark):
     rows += [("hot", 0.0)] * 500  # ties
     df = spark.createDataFrame(rows, "k string, x double")
     got = {r["k"]: (r["q0"], r["q1"], r["q2"])
-           for r in grouped_quantiles(df, ["k"], "x", [0.05, 0.5, 0.9], sketch_accuracy=100, force_brackets=True).collect()}
+           for r in grouped_quantiles(df, ["k"], "x", [0.05, 0.5, 0.9], sketch_accuracy=100).collect()}
     want = {r["k"]: tuple(r["p"]) for r in df.groupBy("k").agg(
         F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.9))).alias("p")).collect()}
     assert set(got) == set(want)
     for k in want:
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want[k])), (k, got[k], want[k])
+
+
+def test_exact_quantiles_settle_from_any_sketch(spark):
+    import numpy as np
+
+    from sheetwise.functions.quantiles import exact_quantiles
+    vals = [((i * 7919) % 20011) / 3.0 for i in range(20000)] + [float("nan"), None]
+    df = spark.createDataFrame([(v, 1.0) for v in vals], "x double, y double")
+    got = exact_quantiles(df, ["x", "y"], [0.0, 0.37, 1.0], accuracy=20, max_bracket=20)
+    want = np.percentile([v for v in vals if v is not None and v == v], [0, 37, 100])
+    assert np.allclose(got["x"], want) and got["y"] == [1.0, 1.0, 1.0]
+
+
+def test_all_columns_take_part(spark):
+    df = spark.createDataFrame([tuple(float(i * j % 7) for j in range(30)) for i in range(20)],
+                               ", ".join(f"c{j} double" for j in range(30)))
+    assert P.numeric_profile(df).count() == 30
+    assert P.correlations(df).count() == 900
+
+
+def test_sample_values_of_every_type(spark):
+    df = spark.sql("SELECT * FROM VALUES (3, 'b', true, 2.5D, DATE'2020-01-02'), (1, 'a', false, double('NaN'), NULL), "
+                   "(2, 'b', true, -1.0D, DATE'2020-01-01'), (1, NULL, NULL, 7.0D, NULL) AS t(n, s, f, d, w)").repartition(3)
+    got = {}
+    for r in P.sample_values(df, 2).collect():
+        got.setdefault(r["column"], {})[r["rank"]] = r["value"]
+    assert got == {"n": {1: "1", 2: "2"}, "s": {1: "a", 2: "b"}, "f": {1: "false", 2: "true"},
+                   "d": {1: "-1.0", 2: "2.5"}, "w": {1: "2020-01-01", 2: "2020-01-02"}}
+    assert P.sample_values(df.limit(0)).count() == 0
