@@ -29,8 +29,8 @@ from sheetwise.llm.bpe_tables import BpeTables, bpe_tables, split_words
 from sheetwise.llm.common import map_column
 
 #: Bounds of the per-worker memo tables (entries); a full table is emptied, results do not change.
-MAX_WORDS = 300_000
-MAX_ARCS = 500_000
+MAX_WORDS = 150_000
+MAX_ARCS = 400_000
 
 
 class TokenAutomaton:
@@ -209,25 +209,39 @@ def decoder(path: str) -> Decoder:
     return _DECODERS[path]
 
 
+def _encoded(column: pa.Array, path: str) -> pa.ListArray:
+    ids = [encoder(path).encode(t) for t in column.to_pylist()]
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+
+
+def _decoded(column: pa.ListArray, path: str) -> pa.Array:
+    none = np.zeros(0, np.int32)
+    return pa.array([decoder(path).decode(row.values.to_numpy() if row.is_valid else none) for row in column], pa.string())
+
+
+_IDS = T.ArrayType(T.IntegerType())
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
            drop_text: bool = False) -> DataFrame:
     """``df`` with ``ids_col``: the token ids of the whole text (NULL counts as empty), special
     strings inside texts as their special ids, nothing added, cut or padded. A column of that name
     is replaced, and ``drop_text`` leaves the text out; all rows and other columns stay."""
-    def run(column: pa.Array) -> list[pa.Array]:
-        ids = [encoder(path).encode(t) for t in column.to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
-
-    return map_column(df, text_col, run, (ids_col, T.ArrayType(T.IntegerType())), drop_source=drop_text)
+    return map_column(df, text_col, lambda c: [_encoded(c, path)], (ids_col, _IDS), drop_source=drop_text)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of the ids, special tokens included, bytes that are not
     UTF-8 replaced; NULL ids give the empty text, an id outside the vocabulary an error."""
+    return map_column(df, ids_col, lambda c: [_decoded(c, path)], (text_col, T.StringType()))
+
+
+def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
+                      decoded_col: str = "decoded", drop_text: bool = False) -> DataFrame:
+    """:func:`encode` and :func:`decode` of what it gave, in one pass over the rows."""
     def run(column: pa.Array) -> list[pa.Array]:
-        none = np.zeros(0, np.int32)
-        return [pa.array([decoder(path).decode(row.values.to_numpy() if row.is_valid else none)
-                          for row in column], pa.string())]
+        ids = _encoded(column, path)
+        return [ids, _decoded(ids, path)]
 
-    return map_column(df, ids_col, run, (text_col, T.StringType()))
+    return map_column(df, text_col, run, (ids_col, _IDS), (decoded_col, T.StringType()), drop_source=drop_text)

@@ -129,7 +129,7 @@ def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded by the tokenization automaton and decoded again."""
     path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_automaton.decode(bpe_automaton.encode(docs, path, drop_text=True), path)
+    coded = bpe_automaton.encode_and_decode(docs, path, drop_text=True)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

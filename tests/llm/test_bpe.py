@@ -92,6 +92,9 @@ def test_frames_with_nulls_ties_and_clashing_columns(spark, path):
     assert coded.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
     got = sorted((r.doc_id, len(r.ids), r.decoded) for r in coded.collect())
     assert got == [(1, 0, ""), (2, 0, ""), (3, 2, "the thing"), (3, 2, "the thing")]
+    both = bpe_automaton.encode_and_decode(df, path)
+    assert both.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
+    assert sorted((r.doc_id, len(r.ids), r.decoded) for r in both.collect()) == got
     counted = token_counts.count_tokens(df, path)
     assert sorted((r.doc_id, r.n_tokens) for r in counted.collect()) == [(1, 0), (2, 0), (3, 2), (3, 2)]
     assert token_counts.truncate(df, path, 1).where("doc_id = 3").first().truncated == "the"
