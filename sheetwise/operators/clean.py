@@ -3,7 +3,7 @@ C7 dates, C8 missing profile, C9-C11 fills, C12 the whole ``clean``.
 
 Plan: NaN -> NULL, a group-by on all columns with a row count (hash aggregate with map-side
 combine: a hot repeated row collapses inside each task before the shuffle; the input row count is
-the sum of the counts), parsed once and persisted; then
+the sum of the counts), parsed once and checkpointed; then
 
 1. one profile aggregate over every column (counts, yes/no checks, numeric parse rates,
    currency sets of at most six codes);
@@ -16,7 +16,6 @@ Only per-column scalars reach the driver.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +55,7 @@ def distinct_rows_counted(df: DataFrame, name: str = "__dup_n") -> DataFrame:
 def drop_duplicates(df: DataFrame) -> tuple[DataFrame, int, int]:
     """Whole-row duplicates removed (NULLs equal). Returns (table, rows before, removed).
     One pass over the input: the de-duplicating aggregate also counts the rows it collapses."""
-    counted = distinct_rows_counted(df).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = distinct_rows_counted(df).checkpoint()
     r = counted.agg(F.count("*").alias("after"), F.coalesce(F.sum("__dup_n"), F.lit(0)).alias("before")).first()
     return counted.drop("__dup_n"), int(r["before"]), int(r["before"] - r["after"])
 
@@ -168,8 +167,8 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     pmap = _parse_map(dedup)
     # the de-duplicated rows with every number-text column parsed once, kept for all passes
     parsed = with_numeric_parse(counted, pmap) if pmap else counted
-    if persist:
-        parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist:  # read by every pass below: kept in the cluster's checkpoint folder, not on executors
+        parsed = parsed.checkpoint()
     prof = _profile_pass(dedup, parsed)
     rows = prof["rows"]
     original_rows = prof["input_rows"]

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.functions.dates import parse_timestamp
 from sheetwise.operators import aggregate as G
 from sheetwise.operators import timeseries as TS
 from sheetwise.operators import usage as U
@@ -1239,3 +1240,97 @@ def q_u1_industry(spark, sf_dir):
     industry = (F.when(kind == "purchase", "sales_retail").when(kind == "view", "finance_banking")
                 .when(kind == "signup", "healthcare"))
     return U.events_by(table(spark, sf_dir, "events").withColumn("industry", industry), "industry", drop_null=True)
+
+
+# ---------------------------------------------------------------------------------------------
+# Dates as text in many forms, CSV files that differ in header and encoding
+# ---------------------------------------------------------------------------------------------
+
+def orders_with_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` with the day written in another form for every priority."""
+    def form(pattern):
+        return F.date_format("o_orderdate", pattern)
+
+    p = F.col("o_orderpriority").substr(1, 1)
+    text = (F.when(p == "1", form("dd-MMM-yyyy"))
+            .when(p == "2", F.concat(form("yyyy-MM-dd"), F.lit("T01:30:00+01:30")))
+            .when(p == "3", F.concat(form("M/d/yyyy"), F.lit(" 11:15 PM")))
+            .when(p == "4", F.concat(form("yyyy-MM-dd"), F.lit(" 10:00:00.123456789")))
+            .otherwise(form("MMMM d, yyyy")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", text.alias("day"))
+
+
+@register("t1_daily_from_text_dates", ORACLE_SQL["t1_orders_daily_revenue"])
+def q_t1_text(spark, sf_dir):
+    return _r(TS.time_trend(orders_with_text_dates(spark, sf_dir), "day", "o_totalprice", "D"), 2, "total")
+
+
+@register("c7_text_dates_read", """
+SELECT o_orderpriority, COUNT(*) AS rows, COUNT(*) AS read, MIN(CAST(o_orderdate AS DATE)) AS first_day,
+       MAX(CAST(o_orderdate AS DATE)) AS last_day
+FROM orders GROUP BY 1
+""")
+def q_c7_forms(spark, sf_dir):
+    read = F.to_date(parse_timestamp(F.col("day")))
+    return orders_with_text_dates(spark, sf_dir).groupBy("o_orderpriority").agg(
+        F.count("*").alias("rows"), F.count(read).alias("read"), F.min(read).alias("first_day"), F.max(read).alias("last_day"))
+
+
+@register("t1_unread_dates_are_counted", """
+SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE o_orderpriority LIKE '5%') AS unread FROM orders
+""")
+def q_t1_unread(spark, sf_dir):
+    odd = orders_with_text_dates(spark, sf_dir).withColumn(
+        "day", F.when(F.col("o_orderpriority").startswith("5"), "some day soon").otherwise(F.col("day")))
+    return TS.unread_dates(odd, "day")
+
+
+@register("s1_csv_mixed_headers", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority FROM orders
+""")
+def q_s1_headers(spark, sf_dir):
+    """Two folders of CSV files with columns in another order, one column missing in some."""
+    orders, base = table(spark, sf_dir, "orders"), IO.scratch_dir(spark, "csv-headers")
+    done = orders.where("o_orderstatus = 'F'").select("o_totalprice", "o_orderstatus", "o_orderdate", "o_custkey", "o_orderkey")
+    IO.export_csv(done, f"{base}/done")
+    IO.export_csv(orders.where("o_orderstatus <> 'F'"), f"{base}/other")
+    return IO.read_csv(spark, [f"{base}/done", f"{base}/other"])
+
+
+@register("s1_csv_mixed_encodings", r"""
+SELECT doc_id, regexp_replace(text, '[\s"\\\\]+', ' ', 'g') AS "text é" FROM documents WHERE text IS NOT NULL
+""")
+def q_s1_encodings(spark, sf_dir):
+    """Documents on one line each, under a header with a letter beyond ASCII: the French and Spanish ones
+    in latin-1, the others in UTF-8."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
+        "doc_id", F.regexp_replace("text", r'[\s"\\]+', " ").alias("text é"), "lang")
+    base = IO.scratch_dir(spark, "csv-encodings")
+    narrow = F.col("lang").isin("fr", "es") & ~F.col("text é").rlike("[^\x00-\xff]")
+    for folder, encoding, rows in (("narrow", "ISO-8859-1", docs.where(narrow)), ("wide", "UTF-8", docs.where(~narrow))):
+        (rows.drop("lang").write.option("header", True).option("encoding", encoding)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{folder}"))
+    return IO.read_csv(spark, [f"{base}/narrow", f"{base}/wide"])
+
+
+@register("s9_deleted_analysis_is_gone", "SELECT * FROM customer")
+def q_s9_delete(spark, sf_dir):
+    root, cust = IO.scratch_dir(spark, "deleted"), table(spark, sf_dir, "customer")
+    report = {"cleaned_rows": cust.count(), "original_cols": len(cust.columns)}
+    gone, kept = (IO.save_analysis(spark, root, "user-1", name, cust, report) for name in ("first", "second"))
+    assert IO.delete_analysis(spark, root, "user-1", gone) and not IO.delete_analysis(spark, root, "user-1", gone)
+    assert [r["analysis_id"] for r in IO.list_saved_analyses(spark, root, "user-1").collect()] == [kept]
+    return IO.load_analysis(spark, root, "user-1", kept)[0]
+
+
+@register("u3_closed_days_streaming", """
+SELECT CAST(ts AS DATE) AS day, COUNT(*) AS events, COUNT(DISTINCT user_id) AS sessions
+FROM events WHERE CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT MAX(ts) FROM events) GROUP BY 1
+""")
+def q_u3_closed(spark, sf_dir):
+    """The bounded-state stream: a day is reported once, when it ended a day before the newest event."""
+    out = IO.scratch_dir(spark, "closed-days")
+    query = ST.run_daily_activity_bounded(spark, f"{sf_dir.rstrip('/')}/events*.parquet", out, ts="ts", session="user_id")
+    query.awaitTermination()
+    return spark.read.parquet(out)

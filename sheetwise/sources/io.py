@@ -7,12 +7,15 @@ numbers) come from one aggregate each. Writers split files by record count, neve
 
 from __future__ import annotations
 
+import csv
 import datetime as _dt
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetwise.functions import naming as N
 from sheetwise.session import checkpoint_dir
@@ -21,7 +24,6 @@ from sheetwise.session import checkpoint_dir
 PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 EXCEL_MAX_ROWS_PER_SHEET = 1_048_575
-REPLACEMENT_CHAR = "�"
 FALLBACK_ENCODING = "windows-1252"
 
 _INT = r"^[+-]?[0-9]+$"
@@ -32,12 +34,6 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
-def _read_csv_raw(spark: SparkSession, paths, encoding: str, multi_line: bool = True) -> DataFrame:
-    return (spark.read.option("header", True).option("encoding", encoding)
-                 .option("multiLine", multi_line).option("escape", '"')
-                 .csv(paths))
-
-
 def infer_csv_types(df: DataFrame) -> DataFrame:
     """Text columns as the pandas reader types them: NA tokens become NULL, then a column whose
     non-NULL values are all integers becomes LONG, all numbers DOUBLE, all True/False BOOLEAN;
@@ -69,6 +65,11 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
     return clean.select(*sel)
 
 
+#: Bytes that windows-1252 leaves undefined: a file with one of them that is not UTF-8 is latin-1.
+_NOT_1252 = "[\u0081\u008d\u008f\u0090\u009d]"
+_BOM = "\ufeff"
+
+
 def fallback_encoding(spark: SparkSession) -> str:
     """windows-1252 when the session allows Java charsets (``spark.sql.legacy.javaCharsets``),
     else ISO-8859-1 (the same for every byte but 0x80-0x9F)."""
@@ -76,35 +77,68 @@ def fallback_encoding(spark: SparkSession) -> str:
     return FALLBACK_ENCODING if legacy else "ISO-8859-1"
 
 
+def header_names(header: str) -> list[str]:
+    """Column names of a header line; empty ones get ``_c<place>``, repeated ones their place."""
+    names = next(csv.reader([header.lstrip(_BOM)]), [])
+    out = [n if n else f"_c{i}" for i, n in enumerate(names)]
+    low = [n.lower() for n in out]
+    return [f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(out)]
+
+
 def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = True,
-             multi_line: bool = True) -> DataFrame:
-    """CSV with a header, read as UTF-8 (a byte-order mark is dropped from the first header);
-    files whose UTF-8 decoding produced U+FFFD are re-read as windows-1252 (see
-    :func:`fallback_encoding`), decided per file by one aggregate over ``_metadata.file_path``.
-
-    ``multi_line`` (default, as pandas) keeps quoted line breaks inside values; such files are
-    read whole by one task each, so for a few very large files without embedded line breaks
-    pass ``multi_line=False`` to let Spark split them."""
+             multi_line: bool = False) -> DataFrame:
+    """CSV files, each with a header line of its own, stacked by column name (a column that a file
+    lacks is NULL there, whatever the order of its columns).
+
+    Files are read as lines of bytes, so Spark splits large ones. One aggregate decides, for each file,
+    its header and its encoding: UTF-8 when every line is valid UTF-8, header included, else
+    windows-1252 (see :func:`fallback_encoding`), else, with bytes that windows-1252 leaves undefined,
+    latin-1. The decisions stay a table joined to the lines; only the different headers reach the
+    driver. A byte-order mark is dropped. Blank lines are skipped.
+
+    ``multi_line=True`` keeps quoted line breaks inside values; the files, which then must be UTF-8 with
+    one header, are read whole by one task each."""
     paths = [path] if isinstance(path, str) else list(path)
-    raw = _read_csv_raw(spark, paths, "UTF-8", multi_line)
-    first = raw.columns[0] if raw.columns else None
-    if first and first.startswith("﻿"):
-        raw = raw.withColumnRenamed(first, first.lstrip("﻿"))
-    cols = raw.columns
-    bad_expr = F.max(F.greatest(*[F.coalesce(_q(c).contains(REPLACEMENT_CHAR), F.lit(False))
-                                  for c in cols])) if len(cols) > 1 else \
-        F.max(F.coalesce(_q(cols[0]).contains(REPLACEMENT_CHAR), F.lit(False)))
-    per_file = (raw.select("*", F.col("_metadata.file_path").alias("_f"))
-                   .groupBy("_f").agg(bad_expr.alias("bad")).collect())  # one row per file
-    bad_files = [r["_f"] for r in per_file if r["bad"]]
-    if bad_files:
-        good = raw.where(~F.col("_metadata.file_path").isin(bad_files))
-        redo = _read_csv_raw(spark, bad_files, fallback_encoding(spark), multi_line)
-        redo_first = redo.columns[0]
-        if redo_first.startswith("﻿") or redo_first.startswith("ï»¿"):
-            redo = redo.withColumnRenamed(redo_first, redo_first.replace("ï»¿", "").lstrip("﻿"))
-        raw = good.unionByName(redo, allowMissingColumns=True)
-    return infer_csv_types(raw) if infer_types else raw
+    if multi_line:
+        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
+        raw = raw.toDF(*[c.lstrip(_BOM) for c in raw.columns])
+        return infer_csv_types(raw) if infer_types else raw
+    # the text source hands over a line's bytes as they are
+    lines = (spark.read.text(paths)
+             .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+             .where(F.decode("value", "ISO-8859-1").rlike(r"\S")))
+    place = F.struct("block", "line")
+    first = F.min_by(F.struct("line", "value"), place)
+    files = (lines.groupBy("file").agg(
+        first.alias("first"),
+        F.bool_and(F.is_valid_utf8(F.col("value").cast("string"))).alias("utf8"),
+        F.bool_or(F.decode("value", "ISO-8859-1").rlike(_NOT_1252)).alias("odd")))
+    encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("odd"), "ISO-8859-1").otherwise(fallback_encoding(spark))
+    files = files.select("file", F.col("first.line").alias("header_line"), encoding.alias("encoding"),
+                         F.col("first.value").alias("header_bytes"))
+
+    def decoded(column):
+        out = F.lit(None).cast("string")
+        for name in ("UTF-8", fallback_encoding(spark), "ISO-8859-1"):
+            out = F.when(F.col("encoding") == name, F.decode(column, name)).otherwise(out)
+        return out
+
+    files = files.withColumn("header", decoded(F.col("header_bytes"))).drop("header_bytes").checkpoint()
+    headers = [r["header"] for r in files.groupBy("header").count().orderBy(F.col("count").desc(), "header").collect()]
+    rows = (lines.join(files, "file").where(F.col("line") != F.col("header_line"))
+            .select("header", decoded(F.col("value")).alias("text")))
+    out = None
+    for header in headers:
+        names = header_names(header)
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        parsed = F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "mode": "PERMISSIVE"})
+        part = (rows.where(F.col("header") == header).select(parsed.alias("r"))
+                .select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no lines in {paths}")
+    return infer_csv_types(out) if infer_types else out
 
 
 def read_table(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
@@ -138,13 +172,12 @@ def combine(named: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame, d
     return combined, counts, summary
 
 
-def combine_files(spark: SparkSession, paths: list[str], format: str = "parquet",
-                  schema_check_limit: int = 100) -> tuple[DataFrame, DataFrame, dict]:
+def combine_files(spark: SparkSession, paths: list[str], format: str = "parquet") -> tuple[DataFrame, DataFrame, dict]:
     """S3 for many files: one scan over all of them (schemas merged by name, absent columns
     NULL) with ``source_file`` taken from the scan's ``_metadata.file_name`` - a single plan
     whatever the number of files, instead of one union branch per file. Returns (combined,
     per-file row counts, summary). ``columns_matched`` compares the files' own schemas (footer
-    reads only) when there are at most ``schema_check_limit`` files, else it is None."""
+    reads only, several at a time)."""
     if not paths:
         raise ValueError("No files to combine")
     fmt = format.lower()
@@ -155,9 +188,9 @@ def combine_files(spark: SparkSession, paths: list[str], format: str = "parquet"
     combined = raw.withColumn("source_file", F.col("_metadata.file_name"))
     counts = combined.groupBy("source_file").agg(F.count("*").alias("rows"))
     per_file = {r["source_file"]: r["rows"] for r in counts.collect()}  # one row per file
-    matched = None
-    if len(paths) <= schema_check_limit:
-        matched = len({frozenset(spark.read.format(fmt).load(p).columns) for p in paths}) == 1
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        schemas = set(pool.map(lambda p: frozenset(spark.read.format(fmt).load(p).columns), paths))
+    matched = len(schemas) == 1
     summary = {"files_combined": len(paths), "file_row_counts": per_file, "columns_matched": matched,
                "total_rows": int(sum(per_file.values()))}
     return combined, counts, summary
@@ -262,6 +295,20 @@ def load_analysis(spark: SparkSession, root: str, user_id: str, analysis_id: str
     return data, json.loads(meta["report"])
 
 
+def delete_analysis(spark: SparkSession, root: str, user_id: str, analysis_id: str) -> bool:
+    """Remove one user's saved analysis; False when the user has none of that id. The user's
+    metadata is rewritten without it (other users' partitions are not touched), then its table goes."""
+    meta = spark.read.parquet(f"{root.rstrip('/')}/meta").where(F.col("user_id") == str(user_id))
+    if meta.where(F.col("analysis_id") == analysis_id).isEmpty():
+        return False
+    kept = meta.where(F.col("analysis_id") != analysis_id).drop("user_id").checkpoint()
+    folder = f"{root.rstrip('/')}/meta/user_id={user_id}"
+    kept.write.mode("overwrite").parquet(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/data/analysis_id={analysis_id}")
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return True
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's checkpoint folder (shared by all executors)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/sheetwise-{purpose}-{uuid.uuid4().hex}"

@@ -2,8 +2,10 @@
 
 The activity log only ever grows (one row per logged event), so the daily activity report (U3)
 can be maintained incrementally: the stream keeps one state row per (day, session) - exactly what
-an exact distinct-session count needs - and each micro-batch rewrites the small per-day report
-from that state. The checkpoint lives in the cluster's checkpoint folder, so a restarted query
+an exact distinct-session count needs - and each micro-batch writes a new version of the small
+per-day report from that state; readers take the newest complete version, so a report is never
+missing or half-written. State grows with the log; :func:`daily_activity_windows` is the form
+with bounded state. The checkpoint lives in the cluster's checkpoint folder, so a restarted query
 resumes where it stopped (exactly-once through the file source and sink commit logs).
 """
 
@@ -27,8 +29,9 @@ def run_daily_activity(spark: SparkSession, events_path: str, out_path: str, ts:
                        session: str = "session_id", checkpoint: str | None = None,
                        available_now: bool = True):
     """Start (and, with ``available_now``, finish) the incremental U3 report over the parquet
-    files under ``events_path``; the report ``[day, events, sessions]`` is rewritten under
-    ``out_path`` after every micro-batch. Returns the StreamingQuery."""
+    files under ``events_path``; every micro-batch writes the report ``[day, events, sessions]`` to a
+    folder of its own under ``out_path`` (a repeated batch to the same one). Returns the StreamingQuery;
+    :func:`latest_report` reads the report."""
     schema = spark.read.parquet(events_path).schema
     stream = spark.readStream.schema(schema).parquet(events_path)
     per_session = daily_activity_stream(stream, ts, session)
@@ -36,7 +39,7 @@ def run_daily_activity(spark: SparkSession, events_path: str, out_path: str, ts:
     def publish(batch: DataFrame, batch_id: int) -> None:
         (batch.groupBy("day")
               .agg(F.sum("events").alias("events"), F.count("session").alias("sessions"))
-              .write.mode("overwrite").parquet(out_path))
+              .write.mode("overwrite").parquet(f"{out_path}/report={batch_id:012d}"))
 
     tag = hashlib.sha1(out_path.encode()).hexdigest()[:16]
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/daily-activity-{tag}"
@@ -52,7 +55,18 @@ def daily_activity(spark: SparkSession, events_path: str, out_path: str, ts: str
     """Run the stream over everything present now, then read the published report."""
     q = run_daily_activity(spark, events_path, out_path, ts, session, available_now=True)
     q.awaitTermination()
-    return spark.read.parquet(out_path).orderBy("day")
+    return latest_report(spark, out_path).orderBy("day")
+
+
+def latest_report(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest version of the report whose write was committed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(out_path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [str(f.getPath()) for f in store.listStatus(folder) if store.exists(hadoop.Path(f.getPath(), "_SUCCESS"))]
+    if not done:
+        raise ValueError(f"no report under {out_path}")
+    return spark.read.parquet(max(done))
 
 
 def daily_activity_windows(events: DataFrame, ts: str = "ts", session: str = "session_id",
