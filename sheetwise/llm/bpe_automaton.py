@@ -46,15 +46,7 @@ class TokenAutomaton:
         self._lost: dict[int, dict[int, int]] = {}
         self._spine: dict[int, list[tuple[int, float]]] = {}
         self._arcs: dict[int, bool] = {}
-        # byte transitions of the tokens' labels: node << 8 | byte -> node, and the token a node ends
-        self._step: dict[int, int] = {}
-        self._token_at: dict[int, int] = {}
         self._size = {t: len(b) for t, b in tables.labels.items()}
-        for label, token in tables.ids.items():
-            node = 0
-            for byte in label:
-                node = self._step.setdefault(node << 8 | byte, len(self._step) + 1)
-            self._token_at[node] = token
 
     def lost(self, token: int) -> dict[int, int]:
         """Arcs missing from the state after ``token``: symbol -> order of the merge that took it.
@@ -100,7 +92,7 @@ class TokenAutomaton:
         """The only accepted token path over ``word``: a depth-first walk, longest arc first. Of
         all paths to one place in the word only one is accepted, so a place once left without
         success stays closed."""
-        step, token_at, size = self._step, self._token_at, self._size
+        step, token_at, size = self.tables.step, self.tables.token_at, self._size
         arcs, arc = self._arcs, self.arc
         n = len(word)
         out: list[int] = []

@@ -95,7 +95,14 @@ class BpeTables:
                 raise ValueError(f"special token with strip or single-word rules: {t['content']}")
             self.special[t["content"]] = t["id"]
             self.labels[t["id"]] = t["content"].encode()
-        self.longest = max(map(len, self.ids))
+        # byte transitions of the pieces' labels: node << 8 | byte -> node, and the token a node ends
+        self.step: dict[int, int] = {}
+        self.token_at: dict[int, int] = {}
+        for label, token in self.ids.items():
+            node = 0
+            for byte in label:
+                node = self.step.setdefault(node << 8 | byte, len(self.step) + 1)
+            self.token_at[node] = token
         strings = sorted(self.special, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
 

@@ -20,7 +20,7 @@ from sheetwise.llm.bpe_tables import BpeTables, bpe_tables, split_words
 from sheetwise.llm.common import map_column
 
 #: Bounds of the per-worker memo tables (entries); results do not depend on them.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 MAX_PAIRS = 500_000
 _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 
@@ -45,27 +45,31 @@ class _WordCounts(dict):
 
     def _count(self, word: str):
         data, t, apart = word.encode(), self._tables, self._apart
-        ids, longest = t.ids, t.longest
-        last, count = [-1], [0]
-        for end in range(1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ids.get(data[begin:end])
-                if token is None:
+        step, token_at = t.step, t.token_at
+        n = len(data)
+        last, count = [-1] * (n + 1), [0] * (n + 1)
+        for begin in range(n):  # every token that can follow the encoding of the first `begin` bytes
+            before, node, end = last[begin] << 20, 0, begin
+            while end < n:
+                node = step.get(node << 8 | data[end])
+                if node is None:
+                    break
+                end += 1
+                token = token_at.get(node)
+                if token is None or last[end] >= 0:
                     continue
                 if begin:
-                    key = last[begin] << 20 | token
-                    ok = apart.get(key)
+                    ok = apart.get(before | token)
                     if ok is None:
                         if len(apart) >= MAX_PAIRS:
                             apart.clear()
-                        ok = apart[key] = t.stay_apart(last[begin], token)
+                        ok = apart[before | token] = t.stay_apart(last[begin], token)
                     if not ok:
                         continue
-                last.append(token)
-                count.append(count[begin] + 1)
-                break
+                last[end] = token
+                count[end] = count[begin] + 1
         if len(data) != len(word):  # code points end before a byte that starts the next one
-            count = [c for i, c in enumerate(count) if i == len(data) or i == 0 or data[i] & 0xC0 != 0x80]
+            count = [c for i, c in enumerate(count) if i == n or i == 0 or data[i] & 0xC0 != 0x80]
         return bytes(count[1:]) if count[-1] < 256 else tuple(count[1:])
 
 
