@@ -52,7 +52,7 @@ def test_passages(spark, monkeypatch):
         rows = corpus(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         assert sorted(map(tuple, repeated_passages(df).collect())) == brute(rows)
-    monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST_PLACES", 0)
     assert sorted(map(tuple, repeated_passages(df).collect())) == brute(rows)
 
 
