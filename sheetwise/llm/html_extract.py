@@ -9,8 +9,8 @@ partials meet in one task at once.
 
 **Extraction.** A page is aligned with its host's template. Slots whose text is the same on nearly
 all pages are template; slots inside navigation, notices and the like are, by their element or
-the names that their author gave them, furniture; the other slots vary and are content. Where the template has
-an article or main element, content is what lies inside it.
+the names that their author gave them, furniture; the other slots vary and are content. Where a page has an
+article or main element, content is what lies inside it.
 """
 
 from __future__ import annotations
@@ -206,7 +206,6 @@ class Template:
     def __init__(self, root: Slot | None = None):
         self.root = root or Slot("#page")
         self._room = [MAX_SLOTS]
-        self._article: bool | None = None
 
     def add_page(self, page: Node) -> None:
         fold(self.root, Shape("#page", [page]), {}, self._room)
@@ -221,18 +220,11 @@ class Template:
     def loads(text: str) -> Template:
         return Template(Slot.unpack(json.loads(text)))
 
-    def has_article(self) -> bool:
-        """Whether pages of this host mark their main text (an article or main element with text
-        on at least half of the pages)."""
-        if self._article is None:
-            self._article = _marked(self.root, self.root.pages)
-        return self._article
-
     def main_text(self, page: Node) -> str:
         """The page's varying slots in page order, without template and furniture."""
         shape = Shape("#page", [page])
         self._place(self.root, shape, {})
-        inside_only = self.has_article() and _has_main(page)
+        inside_only = _has_main(page)
         out: list[str] = []
         self._collect(page, out, False, inside_only)
         return " ".join("".join(out).split())
@@ -277,13 +269,6 @@ def _has_main(page: Node) -> bool:
     return False
 
 
-def _marked(slot: Slot, pages: int) -> bool:
-    tag, *marks = slot.key.split(".")
-    if (tag in ("article", "main") or not CONTENT_MARKS.isdisjoint(marks)) and 2 * slot.pages >= pages:
-        return True
-    return any(_marked(k, pages) for k in slot.kids)
-
-
 def host_of(url: Column) -> Column:
     """The host of a URL, lower case; empty where there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")),
