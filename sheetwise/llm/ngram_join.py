@@ -10,8 +10,8 @@ ends across which a partner is possible. ``n1`` has a few spare partitions, so t
 projections (which everything shares) are only needed of sets with more empty ones than spare.
 
 **Links.** Sets with one digest are one vertex. Within a signature's bucket every member is
-compared, on the exact sets, with one pivot only. Members not linked to their pivot are then
-compared with the rest of the pivot's members through their *differences* from the pivot, which are
+compared, on the exact sets, with one pivot only. Where a bucket has more members, those not linked
+to their pivot are then compared with the rest of the pivot's members through their *differences* from the pivot, which are
 small and give the exact intersection of any two members; that runs in blocks of bounded size and
 returns a spanning forest of links, so no pair list of a group is ever formed and no link between
 components is lost.
@@ -92,9 +92,10 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         tag = mix(np.arange(n1, dtype=_U) * _U(4) + _U(band << 40))
         sig = np.stack([mix(mix(total[:, a] + tag * _U(3)) + mix(total[:, b] + tag) * _U(5) + _U(a + b))
                         for a, b in ((0, 1), (0, 2), (1, 2))], 1)
-        empty = np.stack([count[:, a] + count[:, b] == 0 for a, b in ((0, 1), (0, 2), (1, 2))], 1)
-        if empty.any(1).sum() <= spare:
-            sig = sig[~empty]
+        held = np.stack([count[:, a] + count[:, b] for a, b in ((0, 1), (0, 2), (1, 2))], 1)
+        # the least elements that more than `spare` partitions have in their thinnest projection
+        least = np.partition(held.min(1), spare)[spare]
+        sig = sig[held >= least]
         out.append(sig.ravel())
     return np.concatenate(out) if out else np.zeros(0, _U)
 
@@ -151,21 +152,23 @@ def signature_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def pivot_pairs(sigs: DataFrame) -> DataFrame:
-    """(pivot, vertex): every member of a bucket with the bucket's smallest vertex, once."""
+    """(pivot, vertex, crowded): every member of a bucket with the bucket's smallest vertex, once;
+    ``crowded`` where they met in a bucket with a third member, so that there is more to compare."""
     bucket = Window.partitionBy("sig")
-    return (sigs.withColumn("pivot", F.min("vertex").over(bucket)).where("pivot <> vertex")
-            .select("pivot", "vertex").distinct())
+    return (sigs.withColumn("pivot", F.min("vertex").over(bucket))
+            .withColumn("crowded", F.count(F.lit(1)).over(bucket) > 2).where("pivot <> vertex")
+            .groupBy("pivot", "vertex").agg(F.max("crowded").alias("crowded")))
 
 
 def compare_with_pivot(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(pivot, vertex, size, linked, diff): exact comparison of every pair; ``diff`` is the symmetric
-    difference of the two sets."""
+    difference of the two sets of a crowded pair, NULL of others."""
     def run(batches):
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
         for batch in batches:
-            p, v, tp, tv = (c.to_pylist() for c in batch.columns)
+            p, v, crowd, tp, tv = (c.to_pylist() for c in batch.columns)
             size, linked, diff = [], [], []
-            for pivot, text_p, text_v in zip(p, tp, tv, strict=True):
+            for pivot, crowded, text_p, text_v in zip(p, crowd, tp, tv, strict=True):
                 if pivot not in recent:
                     recent[pivot] = shingle_set(text_p, n)
                     if len(recent) > 32:
@@ -175,7 +178,7 @@ def compare_with_pivot(pairs: DataFrame, texts: DataFrame, n: int, num: int, den
                 inter, union = (len(a) + len(b) - len(d)) // 2, (len(a) + len(b) + len(d)) // 2
                 size.append(len(b))
                 linked.append(inter * den >= union * num)
-                diff.append(d.view(np.int64))
+                diff.append(d.view(np.int64) if crowded else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(p, pa.int64()), pa.array(v, pa.int64()), pa.array(size, pa.int64()),
                  pa.array(linked, pa.bool_()), pa.array(diff, pa.list_(pa.int64()))],
@@ -183,7 +186,7 @@ def compare_with_pivot(pairs: DataFrame, texts: DataFrame, n: int, num: int, den
 
     rows = (pairs.join(texts.withColumnRenamed("text", "text_v"), "vertex")
             .join(texts.select(F.col("vertex").alias("pivot"), F.col("text").alias("text_p")), "pivot")
-            .select("pivot", "vertex", "text_p", "text_v"))
+            .select("pivot", "vertex", "crowded", "text_p", "text_v"))
     return rows.mapInArrow(run, "pivot long, vertex long, size long, linked boolean, diff array<long>")
 
 
@@ -242,6 +245,7 @@ def links_in_block(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int
 
 def links_among_members(stars: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): links between members of one pivot that no chain of pivot links gives yet."""
+    stars = stars.where("diff IS NOT NULL")
     sizes = (stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("linked").alias("all_linked"))
              .where("m > 1 and not all_linked").select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     members = (stars.join(sizes, "pivot").join(roots, stars.vertex == roots.v, "left")
