@@ -29,9 +29,6 @@ from sheetwise.llm.shingles import POWERS, mix, shingles, word_hashes
 
 MIN_WORDS = 50
 K = 16
-#: Up to so many suffixes to extend, their places are broadcast (about 30 bytes each); more are joined
-#: with the documents by a shuffle.
-MAX_BROADCAST_PLACES = 500_000
 
 
 class RunHashes:
@@ -110,8 +107,7 @@ def retained_suffixes(docs: DataFrame, min_words: int, k: int) -> DataFrame:
 def runs_around(chosen: DataFrame, docs: DataFrame, min_words: int, k: int) -> DataFrame:
     """(run, doc, hi, start, pos, edge): every run of ``min_words`` words whose minimiser is a chosen
     suffix. ``chosen``: doc, and its suffixes ``at`` as array of (pos, hi, edge)."""
-    few = (chosen.agg(F.sum(F.size("at"))).first()[0] or 0) <= MAX_BROADCAST_PLACES
-    rows = docs.join(F.broadcast(chosen) if few else chosen, "doc").select("doc", "text", "at")
+    rows = docs.join(chosen, "doc").select("doc", "text", "at")
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):

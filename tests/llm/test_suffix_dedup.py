@@ -5,7 +5,6 @@ from collections import defaultdict
 
 import numpy as np
 
-from sheetwise.llm import suffix_dedup
 from sheetwise.llm.shingles import word_hashes
 from sheetwise.llm.suffix_dedup import minimisers, repeated_passages, without_repeats
 
@@ -47,13 +46,11 @@ def corpus(seed):
     return rows
 
 
-def test_passages(spark, monkeypatch):
+def test_passages(spark):
     for seed in (1, 2):
         rows = corpus(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         assert sorted(map(tuple, repeated_passages(df).collect())) == brute(rows)
-    monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST_PLACES", 0)
-    assert sorted(map(tuple, repeated_passages(df).collect())) == brute(rows)
 
 
 def test_minimisers_are_the_leftmost_lowest():
