@@ -153,7 +153,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
 def _bracketed(data: DataFrame, keys: list[str], probs: list[float], d: float, accuracy: int, extra: tuple) -> DataFrame:
     m = len(probs)
     ends = [min(1.0, max(0.0, p + s * d)) for p in probs for s in (-1, 1)]
-    # a sketch may miss by more than its error only at the ends of the range: take those exactly
+    # at the ends of the range the bracket takes the smallest and largest value themselves
     sketch = F.percentile_approx("_v", ends, accuracy)
     info = data.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                                    sketch.alias("_s"), *extra)
@@ -167,23 +167,26 @@ def _bracketed(data: DataFrame, keys: list[str], probs: list[float], d: float, a
                  (F.lit(p) * (F.col("_n") - 1) - at).alias(f"_f{j}")]
     info = info.select(*cols).checkpoint()
     joined = data.join(info.drop(*more), keys)
-    inside = [(F.col("_v") >= F.col(f"_lo{j}")) & (F.col("_v") <= F.col(f"_hi{j}")) for j in range(m)]
-    below = joined.groupBy(*keys).agg(
-        *[F.count_if(F.col("_v") < F.col(f"_lo{j}")).alias(f"_b{j}") for j in range(m)],
-        *[F.count_if(inside[j]).alias(f"_w{j}") for j in range(m)])
+    # one pass: of every row, for each bracket, that it lies below (step -1) or its step and value
+    below_or_inside = []
+    for j in range(m):
+        lo, hi, x = F.col(f"_lo{j}"), F.col(f"_hi{j}"), F.col("_v")
+        step = F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * _STEPS), F.lit(_STEPS - 1))).otherwise(F.lit(0))
+        below_or_inside.append(
+            F.when(x < lo, F.struct(F.lit(j).alias("j"), F.lit(-1).alias("step"), F.lit(None).cast("double").alias("v")))
+            .when(x <= hi, F.struct(F.lit(j).alias("j"), step.cast("int").alias("step"), x.alias("v"))))
+    hist = (joined.select(*keys, F.explode(F.filter(F.array(*below_or_inside), lambda e: e.isNotNull())).alias("e"))
+            .select(*keys, "e.*").groupBy(*keys, "j", "step", "v").agg(F.count("*").alias("c")).checkpoint())
+    below = hist.groupBy(*keys).agg(
+        *[F.sum(F.when((F.col("j") == j) & (F.col("step") < 0), F.col("c")).otherwise(0)).alias(f"_b{j}") for j in range(m)],
+        *[F.sum(F.when((F.col("j") == j) & (F.col("step") >= 0), F.col("c")).otherwise(0)).alias(f"_w{j}") for j in range(m)])
+    hist = hist.where("step >= 0")
     info = info.join(below, keys).checkpoint()
     missed = F.lit(False)
     for j in range(m):
         missed = missed | (F.col(f"_b{j}") > F.col(f"_r{j}")) | (
             F.col(f"_b{j}") + F.col(f"_w{j}") <= F.least(F.col(f"_r{j}") + 1, F.col("_n") - 1))
     again = info.where(missed).select(*keys)
-    target = F.filter(F.array(*[
-        F.when(inside[j], F.struct(F.lit(j).alias("j"), F.col("_v").alias("v"), F.col(f"_lo{j}").alias("lo"),
-                                   F.col(f"_hi{j}").alias("hi"))) for j in range(m)]), lambda e: e.isNotNull())
-    step = F.when(F.col("hi") > F.col("lo"), F.least(
-        F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _STEPS), F.lit(_STEPS - 1))).otherwise(F.lit(0)).cast("int")
-    hist = (joined.select(*keys, F.explode(target).alias("e")).select(*keys, "e.*").withColumn("step", step)
-            .groupBy(*keys, "j", "step", "v").agg(F.count("*").alias("c")))
     wanted = info.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(j).alias("j"), F.col(f"_b{j}").alias("below"), F.col(f"_r{j}").alias("r0"),
                  F.least(F.col(f"_r{j}") + 1, F.col("_n") - 1).alias("r1")) for j in range(m)])).alias("t")).select(*keys, "t.*")
