@@ -29,7 +29,7 @@ from sheetwise.llm.bpe_tables import BpeTables, bpe_tables, split_words
 from sheetwise.llm.common import map_column
 
 #: Bounds of the per-worker memo tables (entries); a full table is emptied, results do not change.
-MAX_WORDS = 150_000
+MAX_WORDS = 250_000
 MAX_ARCS = 400_000
 
 

@@ -20,7 +20,7 @@ from sheetwise.llm.bpe_tables import BpeTables, bpe_tables, split_words
 from sheetwise.llm.common import map_column
 
 #: Bounds of the per-worker memo tables (entries); results do not depend on them.
-MAX_WORDS = 200_000
+MAX_WORDS = 500_000
 MAX_PAIRS = 500_000
 _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 
