@@ -157,13 +157,16 @@ def repeated_passages(df: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     chosen = (sorted_out.where("several").groupBy(F.col("lo").alias("doc"))
               .agg(F.collect_list(F.struct("pos", "hi", (F.col("lo") == F.col("hi")).alias("edge"))).alias("at")))
-    order = Window.partitionBy("run")
+    runs = written(runs_around(written(chosen, "chosen"), docs, min_words, k), "runs")
+    # grouped with map-side combining and joined back, so that a run that very many documents share
+    # does not meet in one task
+    repeated = (runs.groupBy("run").agg(F.min("doc").alias("a"), F.max("hi").alias("b")).where("a <> b")
+                .select("run", "a").checkpoint())
     # the repeated runs around a suffix all hold it, and so are one stretch of words
     extended = written(
-        runs_around(written(chosen, "chosen"), docs, min_words, k)
-        .withColumn("a", F.min("doc").over(order)).withColumn("b", F.max("hi").over(order)).where("a <> b")
-        .groupBy("doc", "pos").agg(F.min("start").alias("start"), (F.max("start") + min_words).alias("end"),
-                                   F.min("a").alias("first_id"), F.min("edge").alias("edge")), "extended")
+        runs.join(repeated, "run").groupBy("doc", "pos").agg(
+            F.min("start").alias("start"), (F.max("start") + min_words).alias("end"),
+            F.min("a").alias("first_id"), F.min("edge").alias("edge")), "extended")
 
     elsewhere = extended.select(F.col("doc").alias("lo"), "pos", "first_id")
     repeats = (sorted_out.where("lo <> hi").join(elsewhere, ["lo", "pos"], "left")
