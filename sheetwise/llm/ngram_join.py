@@ -247,7 +247,8 @@ def links_among_members(stars: DataFrame, roots: DataFrame, num: int, den: int)
     """(u, v): links between members of one pivot that no chain of pivot links gives yet."""
     stars = stars.where("diff IS NOT NULL")
     sizes = (stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("linked").alias("all_linked"))
-             .where("m > 1 and not all_linked").select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+             .where("m > 1 and not all_linked").select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+             .checkpoint())  # a plain table beside the join, so that a hot pivot's side can be split
     members = (stars.join(sizes, "pivot").join(roots, stars.vertex == roots.v, "left")
                .withColumn("root", F.coalesce("root", "vertex")).drop("v")
                .withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
