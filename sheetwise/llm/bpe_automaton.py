@@ -167,6 +167,13 @@ class Encoder:
         return np.frombuffer(b"".join(parts), np.int32)
 
 
+    def forget(self) -> None:
+        """Empty the memo tables (a worker goes on to other tasks)."""
+        self._words.clear()
+        self._words._older = {}
+        self.automaton._arcs.clear()
+
+
 class Decoder:
     def __init__(self, path: str):
         labels = bpe_tables(path).labels
@@ -220,7 +227,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     """``df`` with ``ids_col``: the token ids of the whole text (NULL counts as empty), special
     strings inside texts as their special ids, nothing added, cut or padded. A column of that name
     is replaced, and ``drop_text`` leaves the text out; all rows and other columns stay."""
-    return map_column(df, text_col, lambda c: [_encoded(c, path)], (ids_col, _IDS), drop_source=drop_text)
+    return map_column(df, text_col, lambda c: [_encoded(c, path)], (ids_col, _IDS), drop_source=drop_text,
+                      after=lambda: encoder(path).forget())
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -236,4 +244,5 @@ def encode_and_decode(df: DataFrame, path: str, text_col: str = "text", ids_col:
         ids = _encoded(column, path)
         return [ids, _decoded(ids, path)]
 
-    return map_column(df, text_col, run, (ids_col, _IDS), (decoded_col, T.StringType()), drop_source=drop_text)
+    return map_column(df, text_col, run, (ids_col, _IDS), (decoded_col, T.StringType()), drop_source=drop_text,
+                      after=lambda: encoder(path).forget())

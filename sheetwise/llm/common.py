@@ -53,10 +53,11 @@ ROWS_AT_ONCE = 64
 
 
 def map_column(df: DataFrame, source: str, fn: Callable[[pa.Array], list[pa.Array]],
-               *targets: tuple[str, T.DataType], drop_source: bool = False) -> DataFrame:
+               *targets: tuple[str, T.DataType], drop_source: bool = False,
+               after: Callable[[], None] | None = None) -> DataFrame:
     """``df`` with columns computed from the values of ``source``, some Arrow rows at a time: ``fn``
     takes an Arrow array and returns one for each of ``targets`` (name, Spark type). Columns of
-    ``df`` named as a target are replaced."""
+    ``df`` named as a target are replaced. ``after`` runs at the end of every task."""
     names = [t[0] for t in targets]
     src = "__source"
     while src.lower() in {c.lower() for c in df.columns}:
@@ -72,6 +73,8 @@ def map_column(df: DataFrame, source: str, fn: Callable[[pa.Array], list[pa.Arra
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], *fn(batch.column(batch.num_columns - 1))],
                     names=[*batch.schema.names[:-1], *names])
+        if after is not None:
+            after()
 
     return rows.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetwise.llm.common import map_column
+from sheetwise.llm.common import ROWS_AT_ONCE, map_column
 
 ORDER = 3
 #: Labelled texts a language is learnt from: about this many, chosen by a hash of the id.
@@ -37,15 +37,17 @@ def gram_counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     schema = "lang string, gram long, n long"
 
     def run(batches):
-        for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(text.encode())
-            for lang, texts in by_lang.items():
-                grams, n = np.unique(np.concatenate([_grams(t) for t in texts]), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)),
-                     pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4 * ROWS_AT_ONCE):
+                batch = whole.slice(start, 4 * ROWS_AT_ONCE)
+                by_lang: dict[str, list[np.ndarray]] = {}
+                for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    by_lang.setdefault(lang, []).append(_grams(text.encode()))
+                for lang, runs in by_lang.items():
+                    grams, n = np.unique(np.concatenate(runs), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)),
+                         pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     rows = sample.select(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")).where(
         F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
@@ -81,38 +83,41 @@ class PpmModel:
         symbol[seen] = np.arange(1, len(seen) + 1)
         size, n_lang = len(seen) + 1, len(self.langs)
         parts = [symbol[p] for p in parts]
-        # `root`: every byte equally likely; a distribution over symbols, where symbol 0 is one
-        # of the bytes it stands for.
-        others = 256 - len(seen)
+        others = 256 - len(seen)  # the bytes that symbol 0 stands for
 
         def mixed(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-            """[nodes, symbols, languages] probabilities from counts and the shorter context's."""
+            """[nodes, symbols] probabilities of a byte from counts and the shorter context's."""
             total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            mass = lower.copy()
+            mass = np.where(counts > 0, 0, lower)
             mass[:, 0] *= others
-            open_mass = (mass * (counts == 0)).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(counts > 0, counts / (total + distinct),
-                             lower * (distinct / (total + distinct)) / np.maximum(open_mass, 1e-300))
+            open_mass = mass.sum(1, keepdims=True)
+            escape = distinct / np.maximum(total + distinct, 1) / np.maximum(open_mass, 1e-300)
+            p = np.where(counts > 0, counts / np.maximum(total + distinct, 1), lower * escape)
             full = (open_mass <= 0) & (distinct > 0)  # nothing left to escape to
             p = np.where(full, counts / np.maximum(total, 1), p)
             return np.where(total > 0, p, lower)
 
-        nodes = [np.zeros((1, size, n_lang))]
-        np.add.at(nodes[0], (0, parts[ORDER]), self._counts)
-        table = [mixed(nodes[0], np.full((1, size, n_lang), 1 / 256))]
         # ids of contexts by order: a context's key is its symbols, oldest first, in base `size`
-        keys = [np.zeros(1, np.int64)]
+        keys, places = [np.zeros(1, np.int64)], [np.zeros(len(self._grams), np.int64)]
         for order in range(1, ORDER + 1):
             key = np.zeros(len(self._grams), np.int64)
             for p in parts[ORDER - order:ORDER]:
                 key = key * size + p
             distinct, at = np.unique(key, return_inverse=True)
-            counts = np.zeros((len(distinct), size, n_lang))
-            np.add.at(counts, (at, parts[ORDER]), self._counts)
-            shorter = np.searchsorted(keys[-1], distinct % size ** (order - 1))
-            table.append(mixed(counts, table[-1][shorter]))
             keys.append(distinct)
+            places.append(at)
+        table = np.empty((sum(map(len, keys)) * size, n_lang), np.float32)
+        for lang in range(n_lang):  # one at a time: the working arrays are the largest part
+            lower, start = np.full((1, size), 1 / 256), 0
+            for order in range(ORDER + 1):
+                counts = np.zeros((len(keys[order]), size))
+                np.add.at(counts, (places[order], parts[ORDER]), self._counts[:, lang])
+                if order:
+                    lower = lower[np.searchsorted(keys[order - 1], keys[order] % size ** (order - 1))]
+                lower = mixed(counts, lower)
+                end = start + lower.size
+                table[start:end, lang] = -np.log2(np.maximum(lower, 1e-300)).ravel()
+                start = end
         # deepest known context of any ORDER symbols
         node = np.zeros(1, np.int64)
         first = 0
@@ -122,8 +127,7 @@ class PpmModel:
             node[keys[order]] = first + np.arange(len(keys[order]))
         self._size, self._symbol = size, symbol.astype(np.int32)
         self._node = (node * size).astype(np.int32)
-        p = np.concatenate(table).reshape(-1, n_lang)
-        self._table = -np.log2(np.maximum(p, 1e-300)).astype(np.float32)
+        self._table = table
 
     def code_lengths(self, text: str) -> np.ndarray:
         """Bits of the whole text's UTF-8 under each language."""
