@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join, suffix_dedup, token_counts, warc
+from sheetwise.llm import (bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join,
+                           suffix_dedup, token_counts, warc)
 from sheetwise.llm.common import shared_path, table
 from sheetwise.llm.exact_dedup import exact_dedup
 
@@ -27,6 +28,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+#: Lower-cased (A-Z) words of a table's texts, as lists, in DuckDB SQL.
+_WORDS_SQL = r"""
+  SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x20\x09-\x0D]+') AS ws FROM {table}
+"""
+_DOC_WORDS = _WORDS_SQL.format(id="doc_id", table="documents")
+
+
 def tokenizer_path(name: str = BPE_FILE) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -48,13 +57,42 @@ def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-@register("op3_ngram_jaccard_join")
+@register("op3_ngram_jaccard_join", sql=f"""
+WITH RECURSIVE w AS ({_DOC_WORDS}),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh
+      FROM w, unnest(generate_series(1, greatest(1, len(ws) - 3))) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+""")
 def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets reach Jaccard 0.85, by PartEnum."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@register("op4_decontamination")
+@register("op4_decontamination", sql=f"""
+WITH d AS ({_DOC_WORDS}), b AS ({_WORDS_SQL.format(id="item_id", table="benchmark")}),
+ds AS (SELECT doc_id, len(ws) AS n, i - 1 AS place, array_to_string(ws[i:i + 4], ' ') AS sh
+       FROM d, unnest(generate_series(1, len(ws) - 4)) AS t(i)),
+bs AS (SELECT item_id, len(ws) AS n, array_to_string(ws[i:i + 4], ' ') AS sh, count(*) AS c
+       FROM b, unnest(generate_series(1, len(ws) - 4)) AS t(i) GROUP BY ALL),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.n AS dn, bs.n AS bn, place FROM ds JOIN bs USING (sh)),
+starts AS (SELECT DISTINCT doc_id, item_id, dn, bn, least(greatest(place - k, 0), greatest(dn - bn, 0)) AS p
+           FROM hits, unnest(generate_series(0, bn - 5)) AS t(k)),
+common AS (SELECT doc_id, item_id, dn, bn, p, sh, c, count(*) AS cw
+           FROM starts JOIN ds USING (doc_id) JOIN bs USING (item_id, sh)
+           WHERE place BETWEEN p AND least(p + bn, dn) - 5 GROUP BY ALL),
+sims AS (SELECT doc_id, item_id, p, least(bn, dn - p) AS words, sum(least(c, cw)) AS low,
+                (bn - 4) + (least(bn, dn - p) - 4) AS total FROM common GROUP BY ALL),
+best AS (SELECT *, low / (total - low) AS similarity,
+                row_number() OVER (PARTITION BY doc_id, item_id ORDER BY low / (total - low) DESC, p) AS r FROM sims)
+SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(p AS INTEGER) AS first_word, CAST(words AS INTEGER) AS n_words
+FROM best WHERE r = 1 AND 5 * low >= 4 * (total - low)
+""")
 def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item with a window of weighted five-word similarity 0.8."""
     return decontaminate.find_contamination(
@@ -136,7 +174,17 @@ def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-@register("op9_suffix_array_dedup")
+@register("op9_suffix_array_dedup", sql=f"""
+WITH w AS ({_DOC_WORDS}),
+r AS (SELECT doc_id, i AS s, array_to_string(ws[i + 1:i + 50], ' ') AS run
+      FROM w, unnest(generate_series(0, len(ws) - 50)) AS t(i)),
+k AS (SELECT run, min(doc_id) AS lo FROM r GROUP BY run HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, s, lo, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh
+      FROM r JOIN k USING (run)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS passage FROM m)
+SELECT doc_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s) + 50 - min(s) AS INTEGER) AS n_words, min(lo) AS first_id
+FROM g GROUP BY doc_id, passage
+""")
 def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 or more words that occur in several documents, by a sparse suffix array."""
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
