@@ -7,7 +7,8 @@ copy, and every state with a ``u`` arc gets a ``w`` arc to where ``v`` led. All
 lead to one state, so a state is named by the token that was read last and is fully described by
 the arcs its lineage lost and when:
 
-* ``lost[t]``: the tokens whose arcs the state after ``t`` lost, with the merge that took them;
+* the state after ``t`` lost the arcs that later merges of ``t`` took, and those its right part's state
+  had lost when ``t`` was made;
 * a ``w`` arc exists where the arc on its left part still existed when ``w`` was made.
 
 Compilation builds the state table once (linear in the merges); arcs are table lookups, memoised.
@@ -19,6 +20,7 @@ Decoding emits the byte label of every arc.
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,49 +45,44 @@ class TokenAutomaton:
         for (left, right), order in tables.rank.items():
             takes.setdefault(left, {})[right] = order
         self._takes = takes
-        self._lost: dict[int, dict[int, int]] = {}
-        self._spine: dict[int, list[tuple[int, float]]] = {}
         self._arcs: dict[int, bool] = {}
         self._size = {t: len(b) for t, b in tables.labels.items()}
 
-    def lost(self, token: int) -> dict[int, int]:
-        """Arcs missing from the state after ``token``: symbol -> order of the merge that took it.
-        The state was copied from that of the token's right part when the token was made."""
-        got = self._lost.get(token)
-        if got is None:
-            got = {}
-            if token in self.tables.parts:
-                made = self.tables.birth[token]
-                got = {s: o for s, o in self.lost(self.tables.parts[token][1]).items() if o < made}
-            for s, o in self._takes.get(token, {}).items():
-                got[s] = min(o, got.get(s, o))
-            self._lost[token] = got
-        return got
+    def lost(self, token: int) -> Iterator[tuple[dict[int, int], float]]:
+        """The arcs that the state after ``token`` lost, as shared tables (symbol -> order of the merge
+        that took it), each with the order up to which it counts. The state was copied from that of the
+        token's right part when the token was made, so what that one lost later does not count."""
+        until = float("inf")
+        while True:
+            table = self._takes.get(token)
+            if table:
+                yield table, until
+            if token not in self.tables.parts:
+                return
+            until, token = self.tables.birth[token], self.tables.parts[token][1]
 
     def spine(self, token: int) -> list[tuple[int, float]]:
         """The token and its left parts down to a byte, each with the order at which its arc was
         turned into the next longer one's."""
-        got = self._spine.get(token)
-        if got is None:
-            got, until, t = [], float("inf"), token
-            while True:
-                got.append((t, until))
-                if t not in self.tables.parts:
-                    break
-                until, t = self.tables.birth[t], self.tables.parts[t][0]
-            self._spine[token] = got
-        return got
+        got, until = [], float("inf")
+        while True:
+            got.append((token, until))
+            if token not in self.tables.parts:
+                return got
+            until, token = self.tables.birth[token], self.tables.parts[token][0]
 
     def arc(self, state: int, token: int) -> bool:
-        """Whether the state after token ``state`` has an arc on ``token``."""
+        """Whether the state after token ``state`` has an arc on ``token``: no symbol on the way to it was
+        lost before it was turned into the next longer one."""
         key = state << 20 | token
         got = self._arcs.get(key)
         if got is None:
             if len(self._arcs) >= MAX_ARCS:
                 self._arcs.clear()
-            gone = self.lost(state)
-            got = not gone or all(s not in gone or gone[s] > until for s, until in self.spine(token))
-            self._arcs[key] = got
+            spine = self.spine(token)
+            got = self._arcs[key] = not any(
+                (order := table.get(symbol)) is not None and order < until and order <= turned
+                for table, until in self.lost(state) for symbol, turned in spine)
         return got
 
     def path(self, word: bytes) -> list[int]:

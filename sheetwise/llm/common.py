@@ -75,6 +75,7 @@ def map_column(df: DataFrame, source: str, fn: Callable[[pa.Array], list[pa.Arra
                     names=[*batch.schema.names[:-1], *names])
         if after is not None:
             after()
+        pa.default_memory_pool().release_unused()  # workers stay for other stages
 
     return rows.mapInArrow(run, schema)
 
