@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.llm.common import map_arrow
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -107,7 +109,7 @@ def format_conversations(turns: DataFrame, template: Template = turn_template, l
                  pa.array(rewrites, pa.bool_())],
                 names=["conv_id", "formatted", "spans", "rewrites_history"])
 
-    return talks.mapInArrow(run, f"conv_id {kind}, formatted string, spans {_TURN}, rewrites_history boolean")
+    return map_arrow(talks, run, f"conv_id {kind}, formatted string, spans {_TURN}, rewrites_history boolean")
 
 
 _ARROW_SPANS = pa.list_(pa.struct(

@@ -48,6 +48,18 @@ def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+#: Rows of an Arrow batch: texts are long, and both the JVM and the worker hold whole batches.
+ROWS_A_BATCH = 1000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, with the session's Arrow batches limited to :data:`ROWS_A_BATCH` rows."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= ROWS_A_BATCH:
+        conf.set(key, str(ROWS_A_BATCH))
+    return df.mapInArrow(run, schema)
+
+
 #: Rows that `map_column` hands over at a time: bounds what a worker holds beside its Arrow batch.
 ROWS_AT_ONCE = 64
 
@@ -77,7 +89,7 @@ def map_column(df: DataFrame, source: str, fn: Callable[[pa.Array], list[pa.Arra
             after()
         pa.default_memory_pool().release_unused()  # workers stay for other stages
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 #: Up to so many ids (of a long, 8 bytes each) `without_ids` broadcasts.

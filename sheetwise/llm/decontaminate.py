@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from sheetwise.llm.common import ROWS_AT_ONCE
+from sheetwise.llm.common import ROWS_AT_ONCE, map_arrow
 from sheetwise.llm.shingles import shingles, word_hashes
 
 SHINGLE = 5
@@ -248,4 +248,4 @@ def _search(docs: DataFrame, items: list[tuple], schema: str) -> DataFrame:
                      pa.array(similar, pa.float64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())],
                     names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import ROWS_AT_ONCE
+from sheetwise.llm.common import ROWS_AT_ONCE, map_arrow
 from sheetwise.llm.html_tree import BLOCK, Node, parse
 
 #: Elements, and words in class, id or role, that hold no main text.
@@ -291,7 +291,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
         yield _templates(held)
 
     schema = "host string, template string"
-    found = rows.mapInArrow(partial, schema)
+    found = map_arrow(rows, partial, schema)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         out = Template.loads(pdf["template"].iloc[0])
@@ -347,4 +347,4 @@ def extract(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", h
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())], names=["page", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema).withColumnsRenamed({"page": page_col, "url": url_col})
+    return map_arrow(rows, run, schema).withColumnsRenamed({"page": page_col, "url": url_col})

@@ -22,13 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetwise.llm.common import ROWS_AT_ONCE, map_column
+from sheetwise.llm.common import ROWS_AT_ONCE, map_arrow, map_column
 
 ORDER = 3
 #: Labelled texts a language is learnt from: about this many, chosen by a hash of the id.
 MAX_DOCS_PER_LANGUAGE = 3000
 UNDETERMINED = "und"
 _CHUNK = 1 << 18
+_NODES = 1024
 
 
 def gram_counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -51,7 +52,7 @@ def gram_counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     rows = sample.select(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")).where(
         F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
-    return rows.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -107,17 +108,25 @@ class PpmModel:
             keys.append(distinct)
             places.append(at)
         table = np.empty((sum(map(len, keys)) * size, n_lang), np.float32)
-        for lang in range(n_lang):  # one at a time: the working arrays are the largest part
-            lower, start = np.full((1, size), 1 / 256), 0
+        for lang in range(n_lang):
+            lower, first = np.full((1, size), 1 / 256), 0
             for order in range(ORDER + 1):
-                counts = np.zeros((len(keys[order]), size))
-                np.add.at(counts, (places[order], parts[ORDER]), self._counts[:, lang])
-                if order:
-                    lower = lower[np.searchsorted(keys[order - 1], keys[order] % size ** (order - 1))]
-                lower = mixed(counts, lower)
-                end = start + lower.size
-                table[start:end, lang] = -np.log2(np.maximum(lower, 1e-300)).ravel()
-                start = end
+                n_nodes = len(keys[order])
+                shorter = np.searchsorted(keys[order - 1], keys[order] % size ** (order - 1)) if order else np.zeros(1, np.int64)
+                by_node = np.argsort(places[order], kind="stable")
+                ends = np.searchsorted(places[order][by_node], np.arange(n_nodes + 1))
+                kept = []
+                for a in range(0, n_nodes, _NODES):  # some nodes at a time: the working arrays are large
+                    b = min(a + _NODES, n_nodes)
+                    grams = by_node[ends[a]:ends[b]]
+                    counts = np.zeros((b - a, size))
+                    np.add.at(counts, (places[order][grams] - a, parts[ORDER][grams]), self._counts[grams, lang])
+                    p = mixed(counts, lower[shorter[a:b]])
+                    table[(first + a) * size:(first + b) * size, lang] = -np.log2(np.maximum(p, 1e-300)).ravel()
+                    if order < ORDER:
+                        kept.append(p)
+                first += n_nodes
+                lower = np.concatenate(kept) if kept else lower
         # deepest known context of any ORDER symbols
         node = np.zeros(1, np.int64)
         first = 0

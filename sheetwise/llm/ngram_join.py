@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import written
+from sheetwise.llm.common import map_arrow, written
 from sheetwise.llm.components import connected_components
 from sheetwise.llm.shingles import mix, set_digest, shingle_set
 
@@ -116,7 +116,7 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
                 names=["id", "n_shingles", "d1", "d2"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, d1 long, d2 long")
+    return map_arrow(docs.select("id", "text"), run, f"id {kind}, n_shingles long, d1 long, d2 long")
 
 
 def signature_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -148,7 +148,7 @@ def signature_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)),
                                            pa.array(np.concatenate(vertex))], names=["sig", "vertex"])
 
-    return docs.select("text").mapInArrow(run, "sig long, vertex long")
+    return map_arrow(docs.select("text"), run, "sig long, vertex long")
 
 
 def pivot_pairs(sigs: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def compare_with_pivot(pairs: DataFrame, texts: DataFrame, n: int, num: int, den
     rows = (pairs.join(texts.withColumnRenamed("text", "text_v"), "vertex")
             .join(texts.select(F.col("vertex").alias("pivot"), F.col("text").alias("text_p")), "pivot")
             .select("pivot", "vertex", "crowded", "text_p", "text_v"))
-    return rows.mapInArrow(run, "pivot long, vertex long, size long, linked boolean, diff array<long>")
+    return map_arrow(rows, run, "pivot long, vertex long, size long, linked boolean, diff array<long>")
 
 
 def links_in_block(pdf: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
@@ -298,7 +298,7 @@ def _of_vertex(found: DataFrame, n: int) -> DataFrame:
             yield batch.filter(pa.array([set_digest(shingle_set(t, n))[0] == v
                                          for v, t in zip(vertex, text, strict=True)], pa.bool_()))
 
-    return found.mapInArrow(run, "vertex long, text string")
+    return map_arrow(found, run, "vertex long, text string")
 
 
 def _roots(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:

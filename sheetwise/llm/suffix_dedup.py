@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.common import written
+from sheetwise.llm.common import map_arrow, written
 from sheetwise.llm.shingles import POWERS, mix, shingles, word_hashes
 
 MIN_WORDS = 50
@@ -101,7 +101,7 @@ def retained_suffixes(docs: DataFrame, min_words: int, k: int) -> DataFrame:
                     docs_, held, n = [], [[] for _ in range(5)], 0
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, pos int, key long, context long, start int, end int")
+    return map_arrow(docs, run, f"doc {kind}, pos int, key long, context long, start int, end int")
 
 
 def runs_around(chosen: DataFrame, docs: DataFrame, min_words: int, k: int) -> DataFrame:
@@ -130,7 +130,7 @@ def runs_around(chosen: DataFrame, docs: DataFrame, min_words: int, k: int) -> D
                      pa.array(starts.astype(np.int32)), pa.array(pos[which]), pa.array(edge[which])],
                     names=["run", "doc", "hi", "start", "pos", "edge"])
 
-    return rows.mapInArrow(run, f"run long, doc {kind}, hi {kind}, start int, pos int, edge boolean")
+    return map_arrow(rows, run, f"run long, doc {kind}, hi {kind}, start int, pos int, edge boolean")
 
 
 def repeated_passages(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",

@@ -28,6 +28,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.llm.common import map_arrow
+
 #: Fixed values of the seekable Zstandard format and of WARC.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEK_TABLE_MAGIC = 0x8F92EAB1
@@ -213,7 +215,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 100, frame_
             writer.close()
         yield _index_batch(rows)
 
-    with_revisits(pages, min_revisit).mapInArrow(run, _INDEX).write.parquet(f"{target}/index")
+    map_arrow(with_revisits(pages, min_revisit), run, _INDEX).write.parquet(f"{target}/index")
     return spark.read.schema(_INDEX).parquet(f"{target}/index")
 
 
@@ -243,7 +245,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     reader, opened = BundleReader(store.open_input_file(f"{base}/bundles/{bundle}")), bundle
                 yield _record_batch([_facts(f, body) for f, body, _, _ in parse_records(reader.frame(frame))])
 
-    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(run, _RECORD)
+    return map_arrow(frames.sortWithinPartitions("bundle", "frame"), run, _RECORD)
 
 
 def _facts(fields: dict[str, str], body: bytes) -> tuple:
