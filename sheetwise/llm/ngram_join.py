@@ -31,7 +31,7 @@ from sheetwise.llm.common import map_arrow, written
 from sheetwise.llm.components import connected_components
 from sheetwise.llm.shingles import mix, set_digest, shingle_set
 
-#: Up to so many vertices to fetch texts for, their ids are broadcast (16 bytes each).
+#: Up to so many rows, tables of vertices to fetch texts for and of their roots are broadcast (16 bytes a row).
 MAX_BROADCAST_ROWS = 500_000
 #: Members of a block in the comparison of a pivot's members.
 BLOCK = 1500
@@ -248,8 +248,10 @@ def links_among_members(stars: DataFrame, roots: DataFrame, num: int, den: int)
     stars = stars.where("diff IS NOT NULL")
     sizes = (stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("linked").alias("all_linked"))
              .where("m > 1 and not all_linked").select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-             .checkpoint())  # a plain table beside the join, so that a hot pivot's side can be split
-    members = (stars.join(sizes, "pivot").join(roots, stars.vertex == roots.v, "left")
+             .checkpoint())
+    # beside small tables the differences are shuffled once only, by block
+    members = (stars.join(_broadcast_if_few(sizes), "pivot")
+               .join(_broadcast_if_few(roots), stars.vertex == roots.v, "left")
                .withColumn("root", F.coalesce("root", "vertex")).drop("v")
                .withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -290,6 +292,12 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return full.select(*out).unionByName(empty.select(*out))
 
 
+def _broadcast_if_few(small: DataFrame) -> DataFrame:
+    """A checkpointed table of a few numbers a row, broadcast when it has at most
+    :data:`MAX_BROADCAST_ROWS` rows; a plain table else, beside which a hot key's side can be split."""
+    return F.broadcast(small) if small.count() <= MAX_BROADCAST_ROWS else small
+
+
 def _of_vertex(found: DataFrame, n: int) -> DataFrame:
     """The rows whose text has the set of their vertex (ids may repeat with other texts)."""
     def run(batches):
@@ -304,8 +312,7 @@ def _of_vertex(found: DataFrame, n: int) -> DataFrame:
 def _roots(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     ends = pairs.select(F.explode(F.array("pivot", "vertex")).alias("vertex")).distinct()
     wanted = vertices.join(ends, "vertex").select("vertex", F.col("least_id").alias("id")).checkpoint()
-    few = wanted.count() <= MAX_BROADCAST_ROWS
-    found = docs.join(F.broadcast(wanted) if few else wanted, "id").select("vertex", "text")
+    found = docs.join(_broadcast_if_few(wanted), "id").select("vertex", "text")
     texts = written(_of_vertex(found, n).dropDuplicates(["vertex"]), "texts")
     stars = written(compare_with_pivot(pairs, texts, n, num, den), "stars")
     sure = stars.where("linked").select(F.col("pivot").alias("u"), F.col("vertex").alias("v"))
