@@ -13,7 +13,7 @@ first words goes on.
 
 **Extension.** Those are extended left and right: every run of ``MIN_WORDS`` words that holds them as
 its minimiser is ordered by content again, and equal neighbours from different documents are
-repeats. Overlapping repeats of a document join into maximal passages. The result is exact: the
+repeats. What was found around it holds for every suffix with its context. Overlapping repeats of a document join into maximal passages. The result is exact: the
 words that are covered by a run of at least ``MIN_WORDS`` words that occurs in another document.
 """
 
@@ -105,8 +105,8 @@ def retained_suffixes(docs: DataFrame, min_words: int, k: int) -> DataFrame:
 
 
 def runs_around(chosen: DataFrame, docs: DataFrame, min_words: int, k: int) -> DataFrame:
-    """(run, doc, hi, start, pos, edge): every run of ``min_words`` words whose minimiser is a chosen
-    suffix. ``chosen``: doc, and its suffixes ``at`` as array of (pos, hi, edge)."""
+    """(run, doc, hi, start, pos): every run of ``min_words`` words whose minimiser is a chosen
+    suffix. ``chosen``: doc, and its suffixes ``at`` as array of (pos, hi)."""
     rows = docs.join(chosen, "doc").select("doc", "text", "at")
     kind = docs.schema["doc"].dataType.simpleString()
 
@@ -117,7 +117,7 @@ def runs_around(chosen: DataFrame, docs: DataFrame, min_words: int, k: int) -> D
                 h = word_hashes(texts[i].as_py())
                 of_run, _ = minimisers(h, min_words, k)
                 want = ats[i].values.flatten()
-                pos, hi, edge = (c.to_numpy(zero_copy_only=False) for c in want)
+                pos, hi = (c.to_numpy(zero_copy_only=False) for c in want)
                 order = np.argsort(pos, kind="stable")
                 place = np.searchsorted(pos[order], of_run)
                 place = np.minimum(place, len(pos) - 1)
@@ -127,10 +127,10 @@ def runs_around(chosen: DataFrame, docs: DataFrame, min_words: int, k: int) -> D
                 own = np.zeros(len(starts), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.view(np.int64)), ids.take(pa.array(own + i)), pa.array(hi[which]),
-                     pa.array(starts.astype(np.int32)), pa.array(pos[which]), pa.array(edge[which])],
-                    names=["run", "doc", "hi", "start", "pos", "edge"])
+                     pa.array(starts.astype(np.int32)), pa.array(pos[which])],
+                    names=["run", "doc", "hi", "start", "pos"])
 
-    return map_arrow(rows, run, f"run long, doc {kind}, hi {kind}, start int, pos int, edge boolean")
+    return map_arrow(rows, run, f"run long, doc {kind}, hi {kind}, start int, pos int")
 
 
 def repeated_passages(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -156,7 +156,7 @@ def repeated_passages(df: DataFrame, text_col: str = "text", id_col: str = "doc_
         (F.col("n") > 1).alias("several")), "contexts")
 
     chosen = (sorted_out.where("several").groupBy(F.col("lo").alias("doc"))
-              .agg(F.collect_list(F.struct("pos", "hi", (F.col("lo") == F.col("hi")).alias("edge"))).alias("at")))
+              .agg(F.collect_list(F.struct("pos", "hi")).alias("at")))
     runs = written(runs_around(written(chosen, "chosen"), docs, min_words, k), "runs")
     # grouped with map-side combining and joined back, so that a run that very many documents share
     # does not meet in one task
@@ -166,14 +166,19 @@ def repeated_passages(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     extended = written(
         runs.join(repeated, "run").groupBy("doc", "pos").agg(
             F.min("start").alias("start"), (F.max("start") + min_words).alias("end"),
-            F.min("a").alias("first_id"), F.min("edge").alias("edge")), "extended")
-
-    elsewhere = extended.select(F.col("doc").alias("lo"), "pos", "first_id")
-    repeats = (sorted_out.where("lo <> hi").join(elsewhere, ["lo", "pos"], "left")
-               .select("key", "context", F.coalesce("first_id", "lo").alias("first_id")))
-    whole = suffixes.join(repeats, ["key", "context"]).select("doc", "start", "end", "first_id")
-    edges = extended.where("edge").select("doc", "start", "end", "first_id")
-    return _joined(whole.unionByName(edges)).withColumnRenamed("doc", id_col)
+            F.min("a").alias("first_id")), "extended")
+
+    # every suffix of an extended one's context has the same runs around it, be it in the same document
+    elsewhere = extended.select(F.col("doc").alias("lo"), "pos", (F.col("start") - F.col("pos")).alias("left"),
+                                (F.col("end") - F.col("pos")).alias("right"), "first_id")
+    repeats = (sorted_out.join(elsewhere, ["lo", "pos"], "left").where("lo <> hi or first_id is not null")
+               .select("key", "context", F.coalesce("first_id", "lo").alias("first_id"),
+                       F.when(F.col("lo") == F.col("hi"), F.col("left")).alias("left"),
+                       F.when(F.col("lo") == F.col("hi"), F.col("right")).alias("right")))
+    spans = suffixes.join(repeats, ["key", "context"]).select(
+        "doc", F.coalesce(F.col("pos") + F.col("left"), "start").alias("start"),
+        F.coalesce(F.col("pos") + F.col("right"), "end").alias("end"), "first_id")
+    return _joined(spans).withColumnRenamed("doc", id_col)
 
 
 def _joined(spans: DataFrame) -> DataFrame:

@@ -74,6 +74,15 @@ def test_nulls_clashes_empty(spark):
     assert repeated_passages(alone).count() == 0  # a document repeating itself shares nothing
 
 
+def test_every_copy_within_a_document(spark):
+    x = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join([*x, "sep", *x, "other", *x[20:180]])),
+            (2, " ".join([f"a{i}" for i in range(40)] + x[70:130] + [f"b{i}" for i in range(40)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, repeated_passages(df).collect())) == brute(rows)
+    assert len(brute(rows)) == 4
+
+
 def test_cutting(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, "start " + text), (2, "own words " + text + " end"), (3, "just this"), (4, None)]
