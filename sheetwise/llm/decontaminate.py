@@ -3,7 +3,8 @@ Hamming blocks, and exact weighted-shingle similarity of the candidates.
 
 **Window sizes.** An item of ``n`` words is sought by windows of one size class: the largest class
 not above the run of unchanged words that any passage of sufficient similarity must still share
-with the item (:func:`clean_run`). A window of that size inside the run has the very fingerprint
+with the item (:func:`clean_run`), nor above the shortest text that can be so similar
+(:func:`shortest_text`). A window of that size inside the run has the very fingerprint
 of one of the item's own windows, so edits elsewhere cannot hide the item; fingerprints within
 ``RADIUS`` bits are candidates too.
 
@@ -54,6 +55,12 @@ def clean_run(n: int) -> int:
     return max(1, min((n - lost - inside) // (inside + 1), n - lost)) if inside else max(1, n - lost)
 
 
+def shortest_text(n: int) -> int:
+    """The words of the shortest text whose similarity to an item of ``n`` words can reach ``NUM / DEN``."""
+    s = max(1, n - SHINGLE + 1)
+    return min(n, -(-s * NUM // DEN) + SHINGLE - 1)
+
+
 def size_classes(longest: int) -> list[int]:
     """Window sizes in words: every size up to the shingle's, then steps of about a third."""
     out = list(range(1, SHINGLE + 1))
@@ -154,7 +161,7 @@ class BenchmarkIndex:
         sizes = size_classes(max((len(h) for _, h in self.items), default=1))
         self.classes: dict[int, _SizeClass] = {}
         for k, (_, h) in enumerate(self.items):
-            words = max(s for s in sizes if s <= clean_run(len(h)))
+            words = max(s for s in sizes if s <= min(clean_run(len(h)), shortest_text(len(h))))
             self.classes.setdefault(words, _SizeClass(words)).add(k, h)
         self._by_shingle: dict[int, list[_SizeClass]] = defaultdict(list)
         for c in self.classes.values():

@@ -63,6 +63,22 @@ def test_every_similar_window_is_found(seed):
     assert hits > 50
 
 
+def test_texts_shorter_than_the_item():
+    rnd, hits = random.Random(5), 0
+    for n in range(1, 130):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        items = [(n, " ".join(words))]
+        parts = [words[a:b] for a in range(0, n // 4 + 2) for b in range(n - n // 4 - 1, n + 1) if a < b]
+        parts = rnd.sample(parts, min(len(parts), 25)) + [words[:k] for k in range(n * 3 // 4, n)]
+        parts += [edited(rnd, p) for p in parts if len(p) > 3]
+        texts = [" ".join(p) for p in parts]
+        for text, found in zip(texts, BenchmarkIndex(items).search(texts), strict=True):
+            want = brute(items, text)
+            assert {i: round(s, 9) for i, s, *_ in found} == {i: round(s, 9) for i, s in want.items()}
+            hits += len(want)
+    assert hits > 1000
+
+
 def test_clean_run_is_never_above_the_item():
     assert all(1 <= clean_run(n) <= n for n in range(1, 2000))
 
