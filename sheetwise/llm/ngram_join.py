@@ -309,11 +309,25 @@ def _of_vertex(found: DataFrame, n: int) -> DataFrame:
     return map_arrow(found, run, "vertex long, text string")
 
 
+def _with_vertex(texts: DataFrame, n: int) -> DataFrame:
+    """(vertex, text) of every row: for sets that no id leads to."""
+    def run(batches):
+        for batch in batches:
+            vertex = [set_digest(shingle_set(t, n))[0] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(vertex, pa.int64()), batch.column(0)], names=["vertex", "text"])
+
+    return map_arrow(texts, run, "vertex long, text string")
+
+
 def _roots(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     ends = pairs.select(F.explode(F.array("pivot", "vertex")).alias("vertex")).distinct()
     wanted = vertices.join(ends, "vertex").select("vertex", F.col("least_id").alias("id")).checkpoint()
-    found = docs.join(_broadcast_if_few(wanted), "id").select("vertex", "text")
-    texts = written(_of_vertex(found, n).dropDuplicates(["vertex"]), "texts")
+    found = _of_vertex(docs.join(_broadcast_if_few(wanted), "id").select("vertex", "text"), n)
+    nameless = wanted.where("id IS NULL").select("vertex").checkpoint()
+    if not nameless.isEmpty():
+        own = _with_vertex(docs.where("id IS NULL").select("text"), n)
+        found = found.unionByName(own.join(_broadcast_if_few(nameless), "vertex").select("vertex", "text"))
+    texts = written(found.dropDuplicates(["vertex"]), "texts")
     stars = written(compare_with_pivot(pairs, texts, n, num, den), "stars")
     sure = stars.where("linked").select(F.col("pivot").alias("u"), F.col("vertex").alias("v"))
     first = connected_components(sure).checkpoint()

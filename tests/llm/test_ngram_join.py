@@ -127,3 +127,18 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 0, 1), (None, 2, 5), (5, 2, 5), (5, 2, 5), (2, 0, 2)], key=str)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sets_without_an_id_link_others(spark):
+    base, rows, want = [f"w{i}" for i in range(100)], [], []
+    for g in range(6):  # the ends of each group are similar to the middle text only, which has no id
+        words = [f"g{g}{w}" for w in base]
+        for k, (doc, text) in enumerate(((10 * g + 1, ["y", *words[8:]]), (None, words), (10 * g + 2, [*words[:-8], "z"]))):
+            rows += [(doc, " ".join(text))] * (2 if k == 1 else 1)
+        sizes = [len(sets_of(t, 4)) for _, t in rows[-4:]]
+        want += [(d, s, 10 * g + 1) for (d, _), s in zip(rows[-4:], sizes, strict=True)]
+    for text in (base, base[1:]):  # none has an id
+        rows.append((None, " ".join(text)))
+        want.append((None, len(text) - 3, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near_duplicates(df).collect()), key=str) == sorted(want, key=str)
