@@ -44,8 +44,9 @@ CONTENT_MARKS = frozenset(("role=main", "articlebody", "article-body", "post-con
 #: A text is template when about nine pages in ten of at least so many show it.
 MIN_PAGES = 20
 MIN_VOTE = 0.8
-#: Hosts a task holds templates of before it hands them on, and slots of one template.
+#: Hosts a task holds templates of before it hands them on.
 MAX_HOSTS = 2000
+#: Slots of one template (four times those of its largest page where that is more) before its rarest go.
 MAX_SLOTS = 20_000
 #: Templates together up to so many bytes are broadcast; more are joined with the pages by host.
 MAX_BROADCAST_BYTES = 64 << 20
@@ -167,8 +168,9 @@ def _size(x, y, memo: dict) -> int:
     return memo[pair]
 
 
-def fold(slot: Slot, other, memo: dict, room: list[int]) -> None:
-    """Align ``other`` (a page's shape or another template's slot) with ``slot`` and add it."""
+def fold(slot: Slot, other, memo: dict, added: list[int]) -> None:
+    """Align ``other`` (a page's shape or another template's slot) with ``slot`` and add it.
+    ``added`` counts the new slots."""
     if type(other) is Slot:
         slot.pages += other.pages
         if other.votes:
@@ -185,11 +187,11 @@ def fold(slot: Slot, other, memo: dict, room: list[int]) -> None:
         if j in of:
             kids += slot.kids[done:of[j] + 1]
             done = of[j] + 1
-            fold(kids[-1], kid, memo, room)
-        elif room[0] > 0:
-            room[0] -= 1
+            fold(kids[-1], kid, memo, added)
+        else:
+            added[0] += 1
             fresh = Slot(kid.key)
-            fold(fresh, kid, memo, room)
+            fold(fresh, kid, memo, added)
             kids.append(fresh)
     slot.kids = kids + slot.kids[done:]
 
@@ -200,25 +202,60 @@ def own_text(nodes: list[Node]) -> int:
     return xxhash.xxh32_intdigest(text) if text else 0
 
 
+def supports(root) -> list[int]:
+    """The pages of every slot below ``root`` (1 for each of a page's shapes)."""
+    out, stack = [], list(root.kids)
+    while stack:
+        node = stack.pop()
+        out.append(node.pages if type(node) is Slot else 1)
+        stack += node.kids
+    return out
+
+
 class Template:
-    """The induced wrapper of one host."""
+    """The induced wrapper of one host.
 
-    def __init__(self, root: Slot | None = None):
+    When it has more slots than its bound, those on the fewest pages go until half the bound is left,
+    as in lossy counting: with ``s`` slots a page, a slot on more than ``2 * s / MAX_SLOTS`` of the
+    pages seen so far stays (one page in a hundred of 100 slots each), and one that went is learnt
+    anew when it comes again.
+    """
+
+    def __init__(self, root: Slot | None = None, widest: int = 0):
         self.root = root or Slot("#page")
-        self._room = [MAX_SLOTS]
+        self._slots = [len(supports(self.root))]
+        self._widest = widest
 
     def add_page(self, page: Node) -> None:
-        fold(self.root, Shape("#page", [page]), {}, self._room)
+        shape = Shape("#page", [page])
+        self._widest = max(self._widest, len(supports(shape)))
+        fold(self.root, shape, {}, self._slots)
+        self._prune()
 
     def add(self, other: Template) -> None:
-        fold(self.root, other.root, {}, self._room)
+        self._widest = max(self._widest, other._widest)
+        fold(self.root, other.root, {}, self._slots)
+        self._prune()
+
+    def _prune(self) -> None:
+        bound = max(MAX_SLOTS, 4 * self._widest)
+        if self._slots[0] <= bound:
+            return
+        floor = sorted(supports(self.root), reverse=True)[bound // 2]
+        stack = [self.root]
+        while stack:  # no slot is on more pages than the one that holds it
+            slot = stack.pop()
+            slot.kids = [k for k in slot.kids if k.pages > floor]
+            stack += slot.kids
+        self._slots[0] = len(supports(self.root))
 
     def dumps(self) -> str:
-        return json.dumps(self.root.pack(), separators=(",", ":"))
+        return json.dumps([self._widest, self.root.pack()], separators=(",", ":"))
 
     @staticmethod
     def loads(text: str) -> Template:
-        return Template(Slot.unpack(json.loads(text)))
+        widest, root = json.loads(text)
+        return Template(Slot.unpack(root), widest)
 
     def main_text(self, page: Node) -> str:
         """The page's varying slots in page order, without template and furniture."""
@@ -294,8 +331,9 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     found = map_arrow(rows, partial, schema)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = Template.loads(pdf["template"].iloc[0])
-        for text in sorted(pdf["template"].iloc[1:]):
+        first, *others = sorted(pdf["template"])
+        out = Template.loads(first)
+        for text in others:
             out.add(Template.loads(text))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [out.dumps()]})
 

@@ -92,6 +92,29 @@ def test_partial_templates_merge_to_the_same_pages():
     assert [text_of(shop(i), parts[0]) for i in range(80)] == [text_of(shop(i), whole) for i in range(80)]
 
 
+def test_parts_that_come_late_are_learnt_beside_ids_of_single_pages(monkeypatch):
+    monkeypatch.setattr(html_extract, "MAX_SLOTS", 100)
+
+    def post(i):
+        late = "<div class=late>Late offer</div>" if i >= 150 else ""
+        return f"<body><div class=top>Welcome</div><div id=post-{i}><h1>T{i}</h1><p>Own {i}.</p></div>{late}</body>"
+
+    whole, parts = Template(), [Template() for _ in range(3)]
+    for i in range(300):
+        whole.add_page(parse(post(i)))
+        parts[i % 3].add_page(parse(post(i)))
+    merged = Template.loads(parts[0].dumps())
+    for p in parts[1:]:
+        merged.add(Template.loads(p.dumps()))
+    for template in (whole, merged):
+        assert [text_of(post(i), template) for i in (3, 200, 299)] == [f"T{i} Own {i}." for i in (3, 200, 299)]
+        assert len(html_extract.supports(template.root)) <= 100
+    wide, page = Template(), "".join(f"<p class=c{k}>fixed {k}</p>" for k in range(300))
+    for _ in range(30):
+        wide.add_page(parse(page))
+    assert text_of(page, wide) == ""  # a page of more slots than the bound
+
+
 def test_fold_keeps_order_and_counts():
     root = Slot("#page")
     for html in ("<p>a</p><h1>t</h1>", "<h1>t</h1><p>b</p>", "<p>c</p>"):
