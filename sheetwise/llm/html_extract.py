@@ -42,6 +42,7 @@ FURNITURE_ROLES = frozenset(f"role={r}" for r in
 CONTENT_MARKS = frozenset(("role=main", "articlebody", "article-body", "post-content", "entry-content"))
 
 #: A text is template when about nine pages in ten of at least so many show it.
+#: Hosts of fewer pages have no template: there only furniture is left out.
 MIN_PAGES = 20
 MIN_VOTE = 0.8
 #: Hosts a task holds templates of before it hands them on.
