@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import (bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join,
+from sheetwise.llm import (bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join, packing,
                            suffix_dedup, token_counts, warc)
 from sheetwise.llm.common import shared_path, table
 from sheetwise.llm.exact_dedup import exact_dedup
@@ -208,3 +208,11 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return warc.read_archives(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op12_packing")
+def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, by first-fit decreasing in randomised groups."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = packing.encode_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(encoded).drop("row_key")
