@@ -14,7 +14,9 @@ the last step cut.
 from __future__ import annotations
 
 import json
+import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from sheetwise.llm.bpe_tables import _BLOCKS, _needs_library
+from sheetwise.llm.bpe_tables import _BLOCKS, _needs_library, byte_symbols
 from sheetwise.llm.common import MAX_BROADCAST_IDS, ROWS_AT_ONCE, map_arrow, map_column, written
 
 CAPACITY = 4096
@@ -35,69 +37,77 @@ END_ID = 2
 GROUP_ROWS = 20_000
 GROUP_PIECES = 100_000
 #: Words a worker remembers the ids of (in two generations); results do not depend on it.
-MAX_WORDS = 300_000
+MAX_WORDS = 500_000
+_LONG = 64
 
 #: Fixed value: the split pattern of the lower-case vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+# the same for characters that `re` classes alike (see bpe_tables)
+_FAST = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+").findall
+
+_SYMBOLS = byte_symbols()
 
 PIECES = ("row_key long, doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, `offset` long")
 
 
-class _WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self._tokenizer, self._older = tokenizer, {}
-
-    def __missing__(self, word: str) -> bytes:
-        got = self._older.get(word)
-        if got is None:
-            got = packed(self._tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            if len(self) >= MAX_WORDS:
-                self._older = dict(self)
-                self.clear()
-            self[word] = got
-        return got
-
-
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class IdEncoder:
     """Ids of whole texts exactly as the tokenizer library gives them, without added special tokens.
 
-    Words of texts in common scripts are looked up in a table of words that the library has encoded;
-    any other text, and one that holds a special string, is encoded by the library as a whole.
+    Texts in common scripts are split into words here; the library's model encodes every new word
+    once, and a table remembers it. Any other text, and one that holds a special string, is encoded
+    by the library as a whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        strings = [t["content"] for t in spec.get("added_tokens") or []]
-        self._fast = WORD_PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\") \
-            and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        # characters whose lower case the library and Python may see differently (also by context)
-        lower = self.tokenizer.normalizer.normalize_str if self._fast else str
-        odd = {"Σ"} | {c for b in _BLOCKS for c in map(chr, b)
-                       if not c.isspace() and (len(c.lower()) > 1 or lower(c) != unicodedata.normalize("NFC", c).lower())}
-        self._odd = re.compile("|".join([*map(re.escape, strings), "[" + "".join(map(re.escape, sorted(odd))) + "]"])).search
-        self._words = _WordIds(self.tokenizer)
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self._by_word = (steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split"
+                         and split.get("pattern") == {"Regex": WORD_PATTERN}
+                         and split.get("behavior") == "Removed" and split.get("invert") is True)
+        self._strings = [t["content"] for t in spec.get("added_tokens") or []]
+        # characters of common scripts that `re` and the library class alike and whose lower case
+        # Python and the library see alike (that of capital sigma depends on the context)
+        lower = self.tokenizer.normalizer.normalize_str if self._by_word else str
+        plain = [c for b in _BLOCKS for c in map(chr, b) if c != "Σ" and _needs_library()(c) is None
+                 and (c.isspace() or len(c.lower()) == 1 and lower(c) == unicodedata.normalize("NFC", c).lower())]
+        self._odd = re.compile("[^" + "".join(map(re.escape, plain)) + "]").search
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one lower-case word: the merges of its bytes' symbols."""
+        symbols = word if word.isascii() and word.isprintable() else "".join(map(_SYMBOLS.__getitem__, word.encode()))
+        return packed([t.id for t in self.tokenizer.model.tokenize(symbols)])
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if self._fast and _needs_library()(text) is None and self._odd(text) is None \
-                and unicodedata.is_normalized("NFC", text):
-            return b"".join(map(self._words.__getitem__, _FAST(text.lower())))
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not self._by_word or self._odd(text) or any(s in text for s in self._strings) \
+                or not unicodedata.is_normalized("NFC", text):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        words = _FAST(text.lower())
+        new = set(words).difference(self._known)
+        if new:
+            ids = {w: self._older[w] if w in self._older else self._word(w) for w in new}
+            if len(self._known) + len(new) > MAX_WORDS:
+                self._older, self._known = self._known, {w: self._known[w] for w in set(words).difference(new)}
+            self._known.update(ids)
+        out = b"".join(map(self._known.__getitem__, words))
+        for word in new:
+            if len(word) > _LONG:  # not worth remembering
+                del self._known[word]
+        return out
 
 
 @lru_cache(maxsize=2)

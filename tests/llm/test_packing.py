@@ -6,6 +6,7 @@ import zlib
 import pytest
 from tokenizers import Tokenizer
 
+from sheetwise.llm import packing
 from sheetwise.llm.packing import (CAPACITY, IdEncoder, encode_documents, fill_up, first_fit, pack, pack_group,
                                    packed, sequences)
 from sheetwise.llm.registry import tokenizer_path
@@ -18,15 +19,19 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-def test_ids_are_the_librarys(library):
+def test_ids_are_the_librarys(library, monkeypatch):
     mine = IdEncoder(PATH)
     rnd = random.Random(3)
     alphabet = ["a", "B", "é", "É", "é", "Σ", "ς", "ß", "İ", "ı", "1", "²", "½", "٣", "_", "-", "'s", "'LL", " ", "\n", " ",
-                " ", "…", "中", "文", "😀", "<|endoftext|>", "<|StartOfText|>", "<|", "ǅ", "ʰ", "̇", "ª", "Ⅷ", "ſ", "K", "\x85", "\x1c", "€"]
+                " ", "…", "中", "文", "😀", "<|endoftext|>", "<|StartOfText|>", "<|", "ǅ", "ʰ", "̇", "ª", "Ⅷ", "ſ", "K", "\x85", "\x1c", "€", "\x00", "\x7f"]
     texts = ["", "Hello, World! It's 2024; don't", "x" * 5000, "ΟΔΟΣ ΣΑΣ", "<|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>"]
+    texts += [f"a{chr(c)}b" for c in range(0x3001) if chr(c).isspace()]
     texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
     for text in texts:
         assert mine.encode(text) == packed(library.encode(text, add_special_tokens=False).ids), text
+    monkeypatch.setattr(packing, "MAX_WORDS", 5)  # the tables are emptied over and over
+    for text in ["a b c d e f g h", "a b", "h g f e d c b a i j k", "i", *texts[::20]]:
+        assert mine.encode(text) == packed(library.encode(text, add_special_tokens=False).ids), text
 
 
 def test_first_fit_is_the_plain_one():
