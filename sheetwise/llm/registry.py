@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.llm import (bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join, packing,
-                           suffix_dedup, token_counts, warc)
+                           phrases, suffix_dedup, token_counts, warc)
 from sheetwise.llm.common import shared_path, table
 from sheetwise.llm.exact_dedup import exact_dedup
 
@@ -216,3 +216,32 @@ def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = packing.encode_documents(docs, tokenizer_path("word_bpe_49k.json"))
     return packing.pack(encoded).drop("row_key")
+
+
+@register("op13_phrase_collocations", sql=r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+      FROM w, unnest(generate_series(1, 4)) AS s(k), unnest(generate_series(1, len(ws) - k + 1)) AS t(i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, j AS cut, x.f AS l, y.f AS r, 2000000::HUGEINT * c.f // (x.f + y.f) AS score
+  FROM f AS c, unnest(generate_series(1, c.k - 1)) AS t(j)
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(string_split(c.phrase, ' ')[1:j], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')
+  WHERE c.k > 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM cuts),
+kept AS (
+  SELECT * FROM best AS b WHERE i = 1 AND NOT EXISTS (
+    SELECT 1 FROM f AS o WHERE o.lang = b.lang AND o.k > b.k AND 100::HUGEINT * o.f >= 80 * b.a
+      AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""")
+def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of every language, by stripes over all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
