@@ -42,6 +42,7 @@ CHUNK_TEXT = 1 << 20
 ROOT_CUTS = 1024
 HOT_CUTS = 64
 HOT_SHARE = 1000
+RANK_CUTS = 32
 #: Bits of a bitmap for every frequent phrase, and at most (32 MB).
 BITS_PER_PHRASE = 32
 MAX_BITS = 1 << 28
@@ -113,14 +114,15 @@ class _Bitmap:
         return (self._bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _rows(chunk: _Chunk, words: pa.Array, lang: np.ndarray, prefix: pa.Array, cut: np.ndarray, nexts: np.ndarray,
+def _rows(chunk: _Chunk, lang: np.ndarray, prefix: pa.Array, cut: np.ndarray, nexts: pa.Array,
           counts: np.ndarray, stripe: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Stripes from entries: ``lang``, ``prefix`` and ``stripe`` by entry's stripe number, sorted here."""
+    """Stripes from entries (``cut``, ``nexts``, ``counts`` and the number of their ``stripe``);
+    ``lang`` and ``prefix`` are those of every stripe."""
     order = np.lexsort((cut, stripe))
     s, c = stripe[order], cut[order]
     first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])]) if len(s) else np.zeros(0, np.int64)
     ends = np.r_[first, len(s)].astype(np.int32)
-    nexts, counts = nexts[order], counts[order]
+    nexts, counts = nexts.take(pa.array(order)), counts[order]
     names = pa.array(chunk.lang_names, pa.string())
     step = 20_000  # stripes a batch
     for a in range(0, len(first), step):
@@ -129,13 +131,14 @@ def _rows(chunk: _Chunk, words: pa.Array, lang: np.ndarray, prefix: pa.Array, cu
         offsets = pa.array(ends[a:a + len(at) + 1] - lo, pa.int32())
         yield pa.RecordBatch.from_arrays([
             names.take(pa.array(lang[s[at]])), prefix.take(pa.array(s[at])), pa.array(c[at].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, words.take(pa.array(nexts[lo:hi]))),
+            pa.ListArray.from_arrays(offsets, nexts.slice(lo, hi - lo)),
             pa.ListArray.from_arrays(offsets, pa.array(counts[lo:hi].astype(np.int64)))],
             names=["lang", "prefix", "cut", "nexts", "counts"])
 
 
 def _count(chunk: _Chunk, level: int, frequent: _Bitmap | None, hot: set[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-    """The stripes of one chunk: level 1 those of the root, 2 of single words, 3 of two and of three."""
+    """The stripes of one chunk: level 1 those of the root, 2 of single words, 3 of two words (their
+    entries are the next word and the next two)."""
     a = chunk.stream()
     words = pa.array(chunk.words, pa.string())
     langs = np.array(chunk.langs, np.int64)
@@ -145,8 +148,9 @@ def _count(chunk: _Chunk, level: int, frequent: _Bitmap | None, hot: set[tuple[s
         counts = np.bincount(a, minlength=v)
         ids = np.flatnonzero(counts[1:]) + 1
         root = pa.array([""] * max(1, len(chunk.lang_names)), pa.string())
-        yield from _rows(chunk, words, np.arange(len(chunk.lang_names)), root,
-                         (hashes[ids] % np.uint64(ROOT_CUTS)).astype(np.int64), ids, counts[ids], langs[ids])
+        yield from _rows(chunk, np.arange(len(chunk.lang_names)), root,
+                         (hashes[ids] % np.uint64(ROOT_CUTS)).astype(np.int64), words.take(pa.array(ids)),
+                         counts[ids], langs[ids])
         return
     is_hot = np.fromiter(((chunk.lang_names[g], w) in hot if hot and w else False
                           for g, w in zip(chunk.langs, chunk.words, strict=True)), bool, v)
@@ -160,8 +164,8 @@ def _count(chunk: _Chunk, level: int, frequent: _Bitmap | None, hot: set[tuple[s
         key, counts = np.unique(a[at] * v + a[at + 1], return_counts=True)
         left, right = key // v, key % v
         ids, stripe = np.unique(left, return_inverse=True)
-        yield from _rows(chunk, words, langs[ids], words.take(pa.array(ids)), np.where(is_hot[left], cuts[right], 0),
-                         right, counts, stripe)
+        yield from _rows(chunk, langs[ids], words.take(pa.array(ids)), np.where(is_hot[left], cuts[right], 0),
+                         words.take(pa.array(right)), counts, stripe)
         return
     # level 3: bigrams that can be frequent, then runs of two and of three of them
     inside = (a[:-1] > 0) & (a[1:] > 0)
@@ -171,16 +175,19 @@ def _count(chunk: _Chunk, level: int, frequent: _Bitmap | None, hot: set[tuple[s
     pair, known = np.unique(a[at] * v + a[at + 1], return_inverse=True)  # known: the prefix at every place
     first, heat = pair // v, is_hot[pair // v] & is_hot[pair % v]
     prefix = pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(pair % v)), " ")
-    for n in (2, 3):
-        key, inverse, counts = np.unique(known * v + a[at + n], return_inverse=True, return_counts=True)
-        stripe, right = key // v, key % v
-        yield from _rows(chunk, words, langs[first], prefix, np.where(heat[stripe], cuts[right], 0), right, counts, stripe)
-        if n == 3:
-            return
-        prefix = pc.binary_join_element_wise(prefix.take(pa.array(stripe)), words.take(pa.array(right)), " ")
-        first, heat = first[stripe], heat[stripe] & is_hot[right]
-        more = two[at + 2]
-        at, known = at[more], inverse[more]
+    three, inverse, counts3 = np.unique(known * v + a[at + 2], return_inverse=True, return_counts=True)
+    more = two[at + 2]
+    four, counts4 = np.unique(inverse[more] * v + a[at[more] + 3], return_counts=True)
+    # entries of a stripe: its next word, and its next two
+    stripe, third = three // v, three % v
+    longer, fourth = four // v, four % v
+    nexts = words.take(pa.array(np.r_[third, third[longer]]))
+    tails = words.take(pa.array(fourth))
+    nexts = pa.concat_arrays([nexts.slice(0, len(three)),
+                              pc.binary_join_element_wise(nexts.slice(len(three)), tails, " ")])
+    stripes = np.r_[stripe, stripe[longer]]
+    yield from _rows(chunk, langs[first], prefix, np.where(heat[stripes], cuts[np.r_[third, third[longer]]], 0),
+                     nexts, np.r_[counts3, counts4], stripes)
 
 
 def _stripes(texts: DataFrame, level: int, frequent=None, hot: set[tuple[str, str]] = frozenset()) -> DataFrame:
@@ -252,7 +259,7 @@ def phrase_counts(df: DataFrame, min_count: int = MIN_COUNT, text_col: str = "te
     found = words.select("lang", F.col("next").alias("phrase"), F.lit(1).alias("n_words"), "f")
     for level in (pairs, longer):
         found = found.unionByName(level.select("lang", phrase.alias("phrase"),
-                                               (F.size(F.split("prefix", " ")) + 1).alias("n_words"), "f"))
+                                               F.size(F.split(phrase, " ")).alias("n_words"), "f"))
     return found, totals
 
 
@@ -286,8 +293,12 @@ def collocations(df: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, text
     most = inner.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = scored.join(most, ["lang", "phrase"], "left").where(
         F.expr("longer IS NULL OR cast(longer as decimal(20,0)) * 100 < cast(a as decimal(20,0)) * 80"))
-    ranked = kept.withColumn("rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    # first within parts of a language, so that the last window sees at most RANK_CUTS * top rows of it
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    for keys in (["lang", F.pmod(F.hash("phrase"), F.lit(RANK_CUTS))], ["lang"]):
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(
+            F.col("rank") <= top)
+    ranked = kept
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n",
         F.col("score").cast("long").alias("score"))
