@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import (bpe_automaton, chat_format, decontaminate, html_extract, language_id, ngram_join, packing,
-                           phrases, suffix_dedup, token_counts, warc)
+from sheetwise.llm import (bpe_automaton, chat_format, conversation_trie, decontaminate, html_extract, language_id,
+                           ngram_join, packing, phrases, suffix_dedup, token_counts, warc)
 from sheetwise.llm.common import shared_path, table
 from sheetwise.llm.exact_dedup import exact_dedup
 
@@ -245,3 +245,35 @@ SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranke
 def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of every language, by stripes over all documents."""
     return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@register("op11_conversation_trie", sql=r"""
+WITH said AS (
+  SELECT conv_id, list(sha256(coalesce(role, '') || chr(31) || coalesce(text, '')) || ':'
+                       || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+      lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
+  FROM said),
+seqs AS (SELECT a.conv_id, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts
+         FROM h AS a LEFT JOIN said AS b ON b.conv_id = a.conv_id - a.conv_id % 20),
+p AS (SELECT conv_id, d, ts[1:d] AS path, d = len(ts) AS ends FROM seqs, unnest(generate_series(0, len(ts))) AS s(d)),
+n AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM p GROUP BY d, path),
+k AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path[1:j] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+             CAST(sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * CAST(string_split(path[d], ':')[2] AS BIGINT) END) AS BIGINT) AS saved_tokens
+      FROM m, unnest(generate_series(0, d)) AS t(j) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.path = m.path LEFT JOIN n AS u ON m.d > 0 AND u.path = m.path[1:m.d - 1]
+""")
+def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt to share openings."""
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(talk)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
