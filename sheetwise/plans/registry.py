@@ -1299,21 +1299,28 @@ def q_s1_headers(spark, sf_dir):
 
 
 @register("s1_csv_mixed_encodings", r"""
-SELECT doc_id, regexp_replace(text, '[\s"\\\\]+', ' ', 'g') AS "text é" FROM documents WHERE text IS NOT NULL
+SELECT doc_id, nullif(text, '') AS "text é" FROM documents
 """)
 def q_s1_encodings(spark, sf_dir):
-    """Documents on one line each, under a header with a letter beyond ASCII: the French and Spanish ones
-    in latin-1, the others in UTF-8."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
-        "doc_id", F.regexp_replace("text", r'[\s"\\]+', " ").alias("text é"), "lang")
+    """Whole documents, with their line breaks and quotes, under a header with a letter beyond ASCII:
+    the French and Spanish ones in latin-1, the others in UTF-8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text é"), "lang")
     base = IO.scratch_dir(spark, "csv-encodings")
-    narrow = F.col("lang").isin("fr", "es") & ~F.col("text é").rlike("[^\x00-\xff]")
+    narrow = F.coalesce(F.col("lang").isin("fr", "es") & ~F.col("text é").rlike("[^\x00-\xff]"), F.lit(False))
     for folder, encoding, rows in (("narrow", "ISO-8859-1", docs.where(narrow)), ("wide", "UTF-8", docs.where(~narrow))):
-        (rows.drop("lang").write.option("header", True).option("encoding", encoding)
+        (rows.drop("lang").write.option("header", True).option("encoding", encoding).option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{folder}"))
     return IO.read_csv(spark, [f"{base}/narrow", f"{base}/wide"])
 
 
+@register("s1_csv_quoted_line_breaks", "SELECT page_id, nullif(url, '') AS url, nullif(html, '') AS html FROM pages")
+def q_s1_breaks(spark, sf_dir):
+    """Raw web pages, full of quotes, commas and line breaks, exported and read back."""
+    base = IO.scratch_dir(spark, "csv-pages")
+    IO.export_csv(table(spark, sf_dir, "pages").select("page_id", "url", "html"), base)
+    return IO.read_csv(spark, base)
+
+
 @register("s9_deleted_analysis_is_gone", "SELECT * FROM customer")
 def q_s9_delete(spark, sf_dir):
     root, cust = IO.scratch_dir(spark, "deleted"), table(spark, sf_dir, "customer")

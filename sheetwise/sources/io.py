@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from sheetwise.functions import naming as N
 from sheetwise.session import checkpoint_dir
+from sheetwise.sources import csv_records as CR
 
 # Text the pandas CSV reader treats as missing by default.
 PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -34,13 +35,15 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
-def infer_csv_types(df: DataFrame) -> DataFrame:
+def infer_csv_types(df: DataFrame, surplus: str | None = None) -> DataFrame:
     """Text columns as the pandas reader types them: NA tokens become NULL, then a column whose
     non-NULL values are all integers becomes LONG, all numbers DOUBLE, all True/False BOOLEAN;
-    anything else stays text. One aggregate decides every column."""
-    cols = df.columns
-    clean = df.select(*[F.when(~_q(c).isin(*PANDAS_NA_TOKENS), _q(c)).alias(c) for c in cols])
-    aggs = []
+    anything else stays text. One aggregate decides every column. A value in the column ``surplus``
+    (which is dropped) raises ValueError with the number of such rows."""
+    cols = [c for c in df.columns if c != surplus]
+    clean = df.select(*[F.when(~_q(c).isin(*PANDAS_NA_TOKENS), _q(c)).alias(c) for c in cols],
+                      *[_q(surplus)] * (surplus is not None))
+    aggs = [F.count(_q(surplus)).alias("surplus")] if surplus else []
     for i, c in enumerate(cols):
         v = F.trim(_q(c))
         nn = _q(c).isNotNull()
@@ -50,6 +53,8 @@ def infer_csv_types(df: DataFrame) -> DataFrame:
                  F.count_if(nn & v.rlike(_FLOAT)).alias(f"f{i}"),
                  F.count_if(nn & v.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b{i}")]
     r = clean.agg(*aggs).first()
+    if surplus and r["surplus"]:
+        raise ValueError(f"{r['surplus']} records have more fields than their header")
     sel = []
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
@@ -86,36 +91,39 @@ def header_names(header: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = True,
-             multi_line: bool = False) -> DataFrame:
-    """CSV files, each with a header line of its own, stacked by column name (a column that a file
+             multi_line: bool = True) -> DataFrame:
+    """CSV files, each with a header record of its own, stacked by column name (a column that a file
     lacks is NULL there, whatever the order of its columns).
 
-    Files are read as lines of bytes, so Spark splits large ones. One aggregate decides, for each file,
-    its header and its encoding: UTF-8 when every line is valid UTF-8, header included, else
-    windows-1252 (see :func:`fallback_encoding`), else, with bytes that windows-1252 leaves undefined,
-    latin-1. The decisions stay a table joined to the lines; only the different headers reach the
-    driver. A byte-order mark is dropped. Blank lines are skipped.
-
-    ``multi_line=True`` keeps quoted line breaks inside values; the files, which then must be UTF-8 with
-    one header, are read whole by one task each."""
+    Files are read as lines of bytes, so Spark splits large ones, also where quoted values hold line
+    breaks (:mod:`sheetwise.sources.csv_records`). One aggregate decides, for each file, its header and
+    its encoding: UTF-8 when every record is valid UTF-8, header included, else windows-1252 (see
+    :func:`fallback_encoding`), else, with bytes that windows-1252 leaves undefined, latin-1. The
+    decisions stay a table joined to the records; only the different headers reach the driver. A
+    byte-order mark is dropped. Blank lines are skipped, except inside quotes. Records may end with
+    a line feed, a return and a line feed, or, in files without quotes, a return alone.
+
+    Fields that a record lacks are NULL; one with text after its closing quote keeps its quotes
+    (``multi_line`` is accepted for older callers and changes nothing). A record with more fields than its header, or a file that
+    ends inside a quoted value, raises ValueError (the former when types are inferred)."""
     paths = [path] if isinstance(path, str) else list(path)
-    if multi_line:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
-        raw = raw.toDF(*[c.lstrip(_BOM) for c in raw.columns])
-        return infer_csv_types(raw) if infer_types else raw
-    # the text source hands over a line's bytes as they are
-    lines = (spark.read.text(paths)
-             .select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-             .where(F.decode("value", "ISO-8859-1").rlike(r"\S")))
-    place = F.struct("block", "line")
-    first = F.min_by(F.struct("line", "value"), place)
+    records = CR.records(spark, paths).withColumn("part", F.lit(0))
+    latin = F.decode("value", "ISO-8859-1")
+    if not records.where(latin.rlike("\r(?!$)") & ~latin.contains('"')).isEmpty():
+        old = F.when(latin.contains('"'), F.array(latin)).otherwise(F.split(latin, "\r"))
+        records = records.select("file", "block", "line", F.posexplode(old).alias("part", "t")).select(
+            F.encode("t", "ISO-8859-1").alias("value"), "file", "block", "line", "part")
+    else:
+        records = records.withColumn("value", F.when(
+            F.endswith("value", F.lit(b"\r")), F.substring("value", F.lit(1), F.octet_length("value") - 1)).otherwise(F.col("value")))
+    lines = records.where(latin.rlike(r"\S"))
+    place = F.struct("block", "line", "part")
     files = (lines.groupBy("file").agg(
-        first.alias("first"),
+        F.min_by(F.struct(place.alias("place"), "value"), place).alias("first"),
         F.bool_and(F.is_valid_utf8(F.col("value").cast("string"))).alias("utf8"),
-        F.bool_or(F.decode("value", "ISO-8859-1").rlike(_NOT_1252)).alias("odd")))
+        F.bool_or(latin.rlike(_NOT_1252)).alias("odd")))
     encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("odd"), "ISO-8859-1").otherwise(fallback_encoding(spark))
-    files = files.select("file", F.col("first.line").alias("header_line"), encoding.alias("encoding"),
+    files = files.select("file", F.col("first.place").alias("header_place"), encoding.alias("encoding"),
                          F.col("first.value").alias("header_bytes"))
 
     def decoded(column):
@@ -126,19 +134,19 @@ def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = Tru
 
     files = files.withColumn("header", decoded(F.col("header_bytes"))).drop("header_bytes").checkpoint()
     headers = [r["header"] for r in files.groupBy("header").count().orderBy(F.col("count").desc(), "header").collect()]
-    rows = (lines.join(files, "file").where(F.col("line") != F.col("header_line"))
+    rows = (lines.join(files, "file").where(place != F.col("header_place"))
             .select("header", decoded(F.col("value")).alias("text")))
-    out = None
+    out, surplus = None, "__more"
     for header in headers:
         names = header_names(header)
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        parsed = F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "mode": "PERMISSIVE"})
+        schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))  # one more shows surplus fields
+        parsed = F.from_csv("text", schema, {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"})
         part = (rows.where(F.col("header") == header).select(parsed.alias("r"))
-                .select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
+                .select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate([*names, surplus])]))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no lines in {paths}")
-    return infer_csv_types(out) if infer_types else out
+    return infer_csv_types(out, surplus) if infer_types else out.drop(surplus)
 
 
 def read_table(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
@@ -231,8 +239,10 @@ def drop_internal(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, max_records_per_file: int | None = None) -> None:
-    """The table without internal columns as CSV files with a header."""
-    w = drop_internal(df).write.mode("overwrite").option("header", True) \
+    """The table without internal columns as CSV files with a header. Quotes inside values are
+    doubled and white space at their ends is kept, so :func:`read_csv` gives them back."""
+    w = drop_internal(df).write.mode("overwrite").option("header", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
