@@ -1,13 +1,21 @@
 """Exact quantiles with bounded memory, one method for every table size.
 
 Spark's exact ``percentile`` keeps a value->count map per group, which cannot fit in one task for
-billions of distinct values. Here a sketch only *proposes* a bracket around the wanted rank; counts
-of the rows below and inside it decide, and the order statistics are read from value counts inside
-a settled bracket. ``percentile_approx`` values are returned only when a caller asks for an accuracy.
+billions of distinct values. Whole-table quantiles of any number of columns come from a radix selection
+over the values' bits; per-group ones from a sketch that only *proposes* a bracket around the
+wanted rank, while counts of the rows below and inside it decide. Either way the order statistics are
+read from value counts inside a settled bracket. ``percentile_approx`` values are returned only when a
+caller asks for an accuracy.
 """
 
 from __future__ import annotations
 
+import math
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,92 +33,158 @@ def quantile(col: Column | str, probs, accuracy: int | None = None) -> Column:
     return F.percentile(c.cast("double"), F.lit(float(probs))).cast("double")
 
 
-class _Rank:
-    """One wanted rank of one column and the bracket [lo, hi] that holds it: ``below`` rows are
-    smaller than ``lo``, ``inside`` rows lie in the bracket, so below <= rank < below + inside."""
+#: Bits of the values' image that the passes of the radix selection tell apart: the first covers sign,
+#: exponent and a sixteenth of an octave; later ones are narrower, since every task returns a histogram for
+#: each bracket (4,096 counters are a few percent of the task's rows; 65,536 could be as many).
+RADIX_BITS = (16, 12, 12, 12, 12)
+#: Columns whose first histograms (512 KB each) a task holds at a time.
+COLUMNS_AT_ONCE = 200
+_SIGN = 1 << 63
+
+
+def order_image(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers in the order of the doubles ``x`` (no NaN; -0.0 and 0.0 are equal)."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >= np.uint64(_SIGN), ~bits, bits | np.uint64(_SIGN))
+
+
+def image_value(image: int) -> float:
+    """The double of an image; those beyond the infinities are the infinities."""
+    bits = image - _SIGN if image >= _SIGN else image ^ (2 ** 64 - 1)
+    value = struct.unpack("<d", struct.pack("<Q", bits))[0]
+    return value if value == value else math.copysign(math.inf, image - _SIGN)
 
-    def __init__(self, col: int, rank: int, lo: float, hi: float, n: int):
-        self.col, self.rank, self.lo, self.hi, self.below, self.inside = col, rank, lo, hi, 0, n
 
-    def settled(self, max_bracket: int) -> bool:
-        return self.inside <= max_bracket or self.lo == self.hi
+def _inside(batch: pa.RecordBatch, brackets: list[tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """For every bracket (column, the image's first ``known`` bits, known) the images of its values."""
+    images: dict[int, np.ndarray] = {}
+    for k, (col, prefix, known) in enumerate(brackets):
+        if col not in images:
+            x = batch.column(col).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            images[col] = order_image(x[~np.isnan(x)])
+        u = images[col]
+        u = u[u >> np.uint64(64 - known) == np.uint64(prefix)] if known else u
+        if len(u):
+            yield k, u
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10_000,
+def _counts(k: int, values: np.ndarray, counts: np.ndarray, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, np.int32)), pa.array(values), pa.array(counts)],
+                                      names=["k", name, "c"])
+
+
+def _histograms(data: DataFrame, brackets: list[tuple[int, int, int]], bits: int) -> DataFrame:
+    """``k, bucket, c``: how many values of bracket k have which next ``bits`` bits. Tasks count in
+    arrays; equal buckets are added up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(brackets), 1 << bits), np.int64)
+        for batch in batches:
+            for k, u in _inside(batch, brackets):
+                u = (u >> np.uint64(64 - brackets[k][2] - bits)) & np.uint64((1 << bits) - 1)
+                counts[k] += np.bincount(u.astype(np.int64), minlength=1 << bits)
+        for k in range(len(brackets)):
+            at = np.flatnonzero(counts[k])
+            if len(at):
+                yield _counts(k, at, counts[k][at], "bucket")
+
+    return data.mapInArrow(run, "k int, bucket long, c long").groupBy("k", "bucket").agg(F.sum("c").alias("c"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int | None = None,
                     max_bracket: int = 50_000) -> dict[str, list[float | None]]:
-    """Exact quantiles (linear interpolation between order statistics, as NumPy / pandas) of
-    several columns, with bounded memory at any table size. NULL and NaN are left out.
-
-    Each order statistic needed has a bracket, first the column's whole range. While a bracket holds
-    more than ``max_bracket`` rows, one aggregate proposes a narrower one (a sketch over the bracket's
-    own rows) and one counts the rows before, inside and after the proposal: the rank lies in exactly
-    one of the three, which becomes the bracket, with its counts. So brackets always hold their rank
-    and shrink every round until few rows or one value are left. A last grouped count gives the values
-    inside (at most ``max_bracket`` a bracket), from which the statistics are read."""
+    """Exact quantiles (linear interpolation between order statistics, as NumPy / pandas) of several
+    columns, with bounded memory at any table size. NULL and NaN are left out; a column without
+    values has None.
+
+    A radix selection: doubles have 64-bit images in the same order. A pass counts the values by the first bits
+    of their image, for all columns at once; the bucket that holds a wanted rank is its bracket, and the next pass
+    counts inside the brackets by the next bits (:data:`RADIX_BITS`). No histogram leaves the cluster, only the
+    buckets of the ranks. After at most five passes, and as soon as a bracket holds ``max_bracket``
+    rows or one value, one grouped count of the values left inside gives the order statistics. (``accuracy``
+    is accepted for older callers and changes nothing.)"""
+    out: dict[str, list[float | None]] = {}
+    for a in range(0, len(cols), COLUMNS_AT_ONCE):
+        out.update(_selected(df, cols[a:a + COLUMNS_AT_ONCE], probs, max_bracket))
+    return out
+
+
+class _Rank:
+    """One wanted rank of one column and its bracket: the values whose image begins with the ``known``
+    bits ``prefix``; ``before`` values are smaller, ``inside`` lie in it."""
+
+    def __init__(self, col: int, rank: int, n: int):
+        self.col, self.rank, self.prefix, self.known, self.before, self.inside = col, rank, 0, 0, 0, n
+
+    def narrow(self, bucket: int, bits: int, upto: int, count: int) -> None:
+        self.prefix, self.known = self.prefix << bits | bucket, self.known + bits
+        self.before, self.inside = self.before + upto - count, count
+
+    @property
+    def bracket(self) -> tuple[int, int, int]:
+        return self.col, self.prefix, self.known
+
+
+def _selected(df: DataFrame, cols: list[str], probs: list[float], max_bracket: int) -> dict[str, list[float | None]]:
+    spark = df.sparkSession
     x = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in cols]
-    first = df.agg(*[a for i, v in enumerate(x) for a in (F.count(v).alias(f"n{i}"), F.min(v).alias(f"l{i}"),
-                                                         F.max(v).alias(f"h{i}"))]).first() if cols else None
-    ranks: dict[tuple[int, int], _Rank] = {}
-    for i in range(len(cols)):
-        n = first[f"n{i}"]
-        for p in probs if n else ():
-            for r in {int(p * (n - 1) // 1), min(int(p * (n - 1) // 1) + 1, n - 1)}:
-                ranks[i, r] = _Rank(i, r, first[f"l{i}"], first[f"h{i}"], n)
-    while open_ := [t for t in ranks.values() if not t.settled(max_bracket)]:
-        inside = [(x[t.col] >= t.lo) & (x[t.col] <= t.hi) for t in open_]
-        proposals = []
-        for t, here in zip(open_, inside, strict=True):
-            q, d = (t.rank - t.below) / max(t.inside - 1, 1), 2.0 / accuracy
-            proposals.append(F.percentile_approx(F.when(here, x[t.col]), [max(0.0, q - d), min(1.0, q + d)], accuracy))
-        got = df.agg(*[a.alias(f"q{k}") for k, a in enumerate(proposals)]).first()
-        aggs = []
-        for k, (t, here) in enumerate(zip(open_, inside, strict=True)):
-            lo, hi = got[f"q{k}"]
-            v = x[t.col]
-            before, after = here & (v < lo), here & (v > hi)
-            aggs += [F.count_if(before).alias(f"b{k}"), F.count_if(after).alias(f"a{k}"),
-                     F.max(F.when(before, v)).alias(f"lb{k}"), F.min(F.when(after, v)).alias(f"fa{k}")]
-        count = df.agg(*aggs).first()
-        for k, t in enumerate(open_):
-            lo, hi = got[f"q{k}"]
-            n_before, n_after = count[f"b{k}"], count[f"a{k}"]
-            n_in, at = t.inside - n_before - n_after, t.rank - t.below
-            if at < n_before:
-                t.hi, t.inside = count[f"lb{k}"], n_before
-            elif at < n_before + n_in:
-                t.lo, t.hi, t.below, t.inside = lo, hi, t.below + n_before, n_in
-            else:
-                t.lo, t.below, t.inside = count[f"fa{k}"], t.below + n_before + n_in, n_after
-    values = _values_at(df, x, list(ranks.values()))
+    data = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)])
+    ranks, n = None, [0] * len(cols)
+    for bits in RADIX_BITS:
+        open_ = None if ranks is None else [t for t in ranks if t.inside > max_bracket]
+        brackets = [(i, 0, 0) for i in range(len(cols))] if ranks is None else sorted({t.bracket for t in open_})
+        if not brackets:
+            break
+        found = _histograms(data, brackets, bits).checkpoint()
+        if ranks is None:
+            for r in found.groupBy("k").agg(F.sum("c").alias("n")).collect():
+                n[r["k"]] = r["n"]
+            open_ = ranks = [_Rank(i, r, n[i]) for i in range(len(cols)) if n[i] for r in sorted(
+                {r for p in probs for r in (int(p * (n[i] - 1)), min(int(p * (n[i] - 1)) + 1, n[i] - 1))})]
+        if not open_:
+            break
+        number = {b: k for k, b in enumerate(brackets)}
+        wanted = spark.createDataFrame([(number[t.bracket], j, t.rank - t.before) for j, t in enumerate(open_)],
+                                       "k int, j int, place long")  # two rows a column and probability
+        upto = F.sum("c").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        at = found.withColumn("upto", upto).join(F.broadcast(wanted), "k").where(
+            (F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place")))
+        for r in at.collect():
+            open_[r["j"]].narrow(r["bucket"], bits, r["upto"], r["c"])
+    values = _values_at(data, ranks)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        n, out[c] = first[f"n{i}"], []
-        for p in probs:
-            pos = p * (n - 1) if n else 0.0
-            if not n:
-                out[c].append(None)
-                continue
-            v0, v1 = values[i, int(pos // 1)], values[i, min(int(pos // 1) + 1, n - 1)]
-            out[c].append(v0 + (v1 - v0) * (pos - int(pos // 1)))
+        out[c] = [None] * len(probs)
+        for j, p in enumerate(probs if n[i] else ()):
+            pos = p * (n[i] - 1)
+            v0, v1 = values[i, int(pos)], values[i, min(int(pos) + 1, n[i] - 1)]
+            out[c][j] = v0 + (v1 - v0) * (pos - int(pos)) if v1 != v0 else v0
     return out
 
 
-def _values_at(df: DataFrame, x: list[Column], ranks: list[_Rank]) -> dict[tuple[int, int], float]:
-    """The value at every rank, from counts of the values inside its settled bracket."""
-    out = {(t.col, t.rank): t.lo for t in ranks if t.lo == t.hi}
-    open_ = [t for t in ranks if t.lo != t.hi]
-    if open_:
-        entry = F.filter(F.array(*[
-            F.when((x[t.col] >= t.lo) & (x[t.col] <= t.hi), F.struct(F.lit(k).alias("k"), x[t.col].alias("v")))
-            for k, t in enumerate(open_)]), lambda e: e.isNotNull())
-        counted = (df.select(F.explode(entry).alias("e")).select("e.k", "e.v").groupBy("k", "v")
-                   .agg(F.count("*").alias("m")).orderBy("k", "v").collect())
-        seen = [t.below for t in open_]
-        for r in counted:
-            t = open_[r["k"]]
-            seen[r["k"]] += r["m"]
-            if seen[r["k"]] > t.rank:
-                out.setdefault((t.col, t.rank), r["v"])
+def _values_at(data: DataFrame, ranks: list[_Rank]) -> dict[tuple[int, int], float]:
+    """The value at every rank, from counts of the values inside its bracket (few, or one value)."""
+    out = {(t.col, t.rank): image_value(t.prefix) for t in ranks if t.known == 64}
+    brackets = sorted({t.bracket for t in ranks if t.known < 64})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[] for _ in brackets]
+        for batch in batches:
+            for k, u in _inside(batch, brackets):
+                parts[k].append(u)
+        for k, part in enumerate(parts):
+            if part:
+                values, counts = np.unique(np.concatenate(part), return_counts=True)
+                yield _counts(k, (values ^ np.uint64(_SIGN)).view(np.int64), counts, "v")
+
+    if brackets:
+        counted = data.mapInArrow(run, "k int, v long, c long").groupBy("k", "v").agg(F.sum("c").alias("c")).orderBy("k", "v")
+        waiting = [[t for t in ranks if t.bracket == b] for b in brackets]
+        seen = [ts[0].before for ts in waiting]
+        for r in counted.collect():
+            seen[r["k"]] += r["c"]
+            for t in waiting[r["k"]]:
+                if seen[r["k"]] > t.rank:
+                    out.setdefault((t.col, t.rank), image_value(r["v"] + _SIGN))
     return out
 
 

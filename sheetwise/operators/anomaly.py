@@ -7,8 +7,9 @@
 * trees grown per tree group with ``groupBy(tree).applyInPandas`` (at most ``psi`` rows each);
 * the forest (at most ``n_trees * (2 psi - 1)`` nodes, a proven bound) is collected once and
   shipped with a vectorised pandas UDF that scores Arrow batches of the feature columns only;
-* the cut is the ``contamination`` quantile of the scores - exact, from sketch brackets and
-  counts - and a row is flagged when its score is below it.
+* rows are scored in one pass and kept with their scores in the checkpoint folder, which everything
+  after reads; the cut is the ``contamination`` quantile of the scores - exact, by radix selection -
+  and a row is flagged when its score is below it.
 
 Splits are uniform between a node's minimum and maximum, so the forest does not depend on
 per-column affine scaling; the reference's standardisation step is therefore not needed.
@@ -179,7 +180,8 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.05, n_trees: int =
     """A1: ``df`` plus ``_anomaly`` (boolean) and ``_anomaly_score`` (lower is stranger), and a
     one-row summary ``total_anomalies, anomaly_pct (round 1), cols_used``. All numeric,
     non-internal columns are used; with none, ``df`` comes back unchanged and summary ``None``.
-    NULL feature values are scored at the column mean."""
+    NULL feature values are scored at the column mean. The scored rows are written to the checkpoint
+    folder: scoring runs once, whatever reads the result."""
     cols = cols or N.numeric_columns(df)
     if not cols:
         return df, None
@@ -194,9 +196,9 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.05, n_trees: int =
     fill = {c: float(stats[f"m{i}"]) if stats[f"m{i}"] is not None else 0.0 for i, c in enumerate(cols)}
     trees, psi_eff = fit_forest(df, cols, n_trees, psi, seed, n)
     score = score_column(cols, trees, psi_eff, fill)
-    scored = df.withColumn("_anomaly_score", score(*[F.col(f"`{c}`").cast("double") for c in cols]))
-    # the cut needs several passes over the scores: they alone are kept (8 bytes a row)
-    cut = low_quantile(written(scored.select("_anomaly_score"), "scores"), "_anomaly_score", contamination, n, accuracy)
+    # scored once: rows and scores are kept, and cut, flags, samples and top-k all read them
+    scored = written(df.withColumn("_anomaly_score", score(*[F.col(f"`{c}`").cast("double") for c in cols])), "scored")
+    cut = low_quantile(scored.select("_anomaly_score"), "_anomaly_score", contamination, n, accuracy)
     out = scored.withColumn("_anomaly", F.col("_anomaly_score") < F.lit(cut))
     cols_order = [c for c in df.columns] + ["_anomaly", "_anomaly_score"]
     out = out.select(*[F.col(f"`{c}`") for c in cols_order])
@@ -210,7 +212,7 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.05, n_trees: int =
 
 def low_quantile(df: DataFrame, col: str, q: float, n: int, accuracy="auto") -> float | None:
     """The ``q`` quantile (linear interpolation, as NumPy) of ``col``, exact with bounded memory
-    (:func:`exact_quantiles`: sketch brackets and counts, no top-k funnel into one task); an int
+    (:func:`exact_quantiles`: radix selection, no top-k funnel into one task); an int
     ``accuracy`` gives the sketch's value."""
     if n == 0:
         return None

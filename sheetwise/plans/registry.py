@@ -685,6 +685,17 @@ def q_a1_planted(spark, sf_dir):
     return AN.anomalous_rows(scored).where("l_quantity > 50").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+@register("a1_no_false_alarms", """
+SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08
+""")
+def q_a1_exactly(spark, sf_dir):
+    """All other rows alike: the rows flagged are the planted ones and no others."""
+    odd = (F.col("l_discount") == 0.1) & (F.col("l_tax") == 0.08)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(odd, 5000.0).otherwise(10.0).alias("q"))
+    scored, _ = AN.detect_anomalies(lines, cols=["q"])
+    return AN.anomalous_rows(scored).select("l_orderkey", "l_linenumber")
+
+
 @register("a2_strangest_rows_lineitem")
 def q_a2(spark, sf_dir):
     scored, _ = AN.detect_anomalies(table(spark, sf_dir, "lineitem"))
