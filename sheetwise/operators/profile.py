@@ -9,6 +9,10 @@ per pair) so they stay DataFrames; only per-column scalars reach the driver wher
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,74 +67,87 @@ def _round_half_even(v: float, digits: int) -> float:
     return float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_EVEN))
 
 
-#: Column pairs summed in one aggregate of `correlations`.
-PAIRS_AT_ONCE = 300
+#: Columns of a block of the matrices that `correlations` sums: a block row of 64 by p columns.
+GRAM_BLOCK = 64
 
 
 def correlations(df: DataFrame, cols: list[str] | None = None, digits: int | None = 2) -> DataFrame:
     """Pearson correlation ``[x, y, r]`` for every ordered pair of the numeric columns (or of
     ``cols``), pairwise-complete (a row counts for a pair when both values are present; NaN is
-    missing). Many columns are taken in blocks of pairs, one aggregate each. A constant column gives NULL, never a division error.
-
-    Two passes of plain sums: the first gets each column's mean and NULL count, the second sums
-    products of values centred on those means (well conditioned, and a multiply-add per pair
-    instead of a full covariance state). Pairs of columns without NULLs share per-column sums;
-    pairs with NULLs carry their own masked sums and are corrected to their pairwise means."""
+    missing). A pair with a constant column, or with fewer than one common row, has NULL.
+
+    Two scans for any number of columns. The first gets each column's count, mean, variance and whether it
+    is constant. In the second, tasks multiply Arrow batches of values centred on those means (well
+    conditioned) into Gram matrices: X'X and, where columns have missing values, their products with the
+    masks and the squares (at most six p by p matrices a task: 12 MB for 500 columns). They are cut
+    into rows of blocks and added up in two rounds, first within groups of tasks; coefficients are
+    computed from the summed blocks in tasks as well."""
     cols = cols or N.numeric_columns(df)
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], "x string, y string, r double")
-    df = nan_to_null(df.select(*[F.col(f"`{c}`") for c in cols]))
-    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    first = df.agg(F.count("*").alias("n"),
-                   *[F.count(x[c]).alias(f"k{i}") for i, c in enumerate(cols)],
-                   *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        return spark.createDataFrame([], "x string, y string, r double")
+    p = len(cols)
+    data = nan_to_null(df.select(*[F.col(f"`{c}`") for c in cols])).select(
+        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    first = data.agg(F.count("*").alias("n"), *[a for i in range(p) for a in (
+        F.count(f"x{i}").alias(f"k{i}"), F.avg(f"x{i}").alias(f"m{i}"), F.var_pop(f"x{i}").alias(f"s{i}"),
+        (F.min(f"x{i}") < F.max(f"x{i}")).alias(f"v{i}"))]).first()
     n = first["n"]
-    full = {c: first[f"k{i}"] == n for i, c in enumerate(cols)}
-    d = {c: x[c] - F.lit(first[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
-    def sums(i, j):
-        a_, b_ = cols[i], cols[j]
-        if full[a_] and full[b_] or i == j:
-            return [F.sum(d[a_] * d[b_]).alias(f"sp{i}_{j}")]
-        both = x[a_].isNotNull() & x[b_].isNotNull()
-        da, db = F.when(both, d[a_]), F.when(both, d[b_])
-        return [F.count_if(both).alias(f"n{i}_{j}"), F.sum(da).alias(f"sa{i}_{j}"), F.sum(db).alias(f"sb{i}_{j}"),
-                F.sum(da * db).alias(f"sp{i}_{j}"), F.sum(da * da).alias(f"saa{i}_{j}"), F.sum(db * db).alias(f"sbb{i}_{j}")]
-
-    def r_expr(i, j):
-        a_, b_ = cols[i], cols[j]
-        if i == j:
-            k = first[f"k{i}"]
-            va = F.try_divide(F.col(f"sp{i}_{i}"), F.lit(k)) if k else F.lit(None).cast("double")
-            return F.try_divide(va, F.nullif(va, F.lit(0.0)))
-        if full[a_] and full[b_]:
-            cov = F.col(f"sp{i}_{j}") / n
-            va, vb = F.col(f"sp{i}_{i}") / n, F.col(f"sp{j}_{j}") / n
-        else:
-            m = F.col(f"n{i}_{j}").cast("double")
-            ma, mb = F.try_divide(F.col(f"sa{i}_{j}"), m), F.try_divide(F.col(f"sb{i}_{j}"), m)
-            cov = F.try_divide(F.col(f"sp{i}_{j}"), m) - ma * mb
-            va = F.try_divide(F.col(f"saa{i}_{j}"), m) - ma * ma
-            vb = F.try_divide(F.col(f"sbb{i}_{j}"), m) - mb * mb
-        den = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
-        return F.try_divide(cov, F.nullif(den, F.lit(0.0)))
-
-    def block(pairs):
-        diagonal = sorted({k for p in pairs for k in p})
-        wide = df.agg(*[a for k in diagonal for a in sums(k, k)], *[a for i, j in pairs if i != j for a in sums(i, j)])
-        rows = []
-        for i, j in pairs:
-            r = r_expr(i, j)
-            r = (F.bround(r, digits) + F.lit(0.0)) if digits is not None else r  # no -0.0
-            for a_, b_ in {(cols[i], cols[j]), (cols[j], cols[i])}:
-                rows += [F.lit(a_), F.lit(b_), r]
-        return wide.select(F.stack(F.lit(len(rows) // 3), *rows).alias("x", "y", "r"))
-
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    out = None
-    for start in range(0, len(pairs), PAIRS_AT_ONCE):
-        part = block(pairs[start:start + PAIRS_AT_ONCE])
-        out = part if out is None else out.unionByName(part)
-    return out
+    means = np.array([first[f"m{i}"] or 0.0 for i in range(p)])
+    varies = np.array([bool(first[f"v{i}"]) for i in range(p)])
+    spread = np.array([first[f"s{i}"] or 0.0 for i in range(p)])
+    full = all(first[f"k{i}"] == n for i in range(p))
+    kinds = ("sp",) if full else ("n", "sa", "sb", "sp", "saa", "sbb")
+    starts = range(0, p, GRAM_BLOCK)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(kinds), p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for c in batch.columns]) - means
+            if full:
+                total[0] += x.T @ x
+                continue
+            m = (~np.isnan(x)).astype(np.float64)
+            x = np.where(m == 1, x, 0.0)
+            here, sums, squares = m.T @ m, x.T @ m, (x * x).T @ m
+            total += np.stack([here, sums, sums.T, x.T @ x, squares, squares.T])
+        for a in starts:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a], pa.int32()), pa.array([total[:, a:a + GRAM_BLOCK].tobytes()], pa.binary())], names=["block", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        parts = iter(table["sums"])
+        total = np.frombuffer(next(parts).as_py()).copy()
+        for part in parts:
+            total += np.frombuffer(part.as_buffer())
+        return pa.table({"block": table["block"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    def coefficients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(cols, object)
+        for batch in batches:
+            for a, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = dict(zip(kinds, np.frombuffer(sums.as_buffer()).reshape(len(kinds), -1, p), strict=True))
+                rows = np.arange(a, a + len(s["sp"]))
+                with np.errstate(all="ignore"):
+                    if full:
+                        cov, va, vb = s["sp"] / n, spread[rows][:, None], spread[None, :]
+                    else:
+                        ma, mb = s["sa"] / s["n"], s["sb"] / s["n"]
+                        cov, va, vb = s["sp"] / s["n"] - ma * mb, s["saa"] / s["n"] - ma * ma, s["sbb"] / s["n"] - mb * mb
+                    den = np.sqrt(np.maximum(va, 0) * np.maximum(vb, 0))
+                    r = np.where(rows[:, None] == np.arange(p)[None, :], 1.0, cov / den)
+                known = (den > 0) & varies[rows][:, None] & varies[None, :] & np.isfinite(r)
+                for i, row in enumerate(rows):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([cols[row]] * p, pa.string()), pa.array(names, pa.string()),
+                         pa.array(r[i], pa.float64(), mask=~known[i])], names=["x", "y", "r"])
+
+    schema = "block int, sums binary"
+    parts = data.mapInArrow(grams, schema).withColumn("part", F.spark_partition_id() % 32)
+    merged = parts.groupBy("block", "part").applyInArrow(added, schema).groupBy("block").applyInArrow(added, schema)
+    out = merged.mapInArrow(coefficients, "x string, y string, r double")
+    # no -0.0
+    return out.withColumn("r", F.bround("r", digits) + F.lit(0.0)) if digits is not None else out
 
 
 def category_breakdown(df: DataFrame, column: str, top_n: int = 15) -> DataFrame:

@@ -1342,6 +1342,32 @@ def q_s9_delete(spark, sf_dir):
     return IO.load_analysis(spark, root, "user-1", kept)[0]
 
 
+@register("s9_odd_user_names_keep_their_analyses", """
+SELECT c_custkey, c_name, c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'a/b' WHEN 'MACHINERY' THEN 'a:b'
+       WHEN 'FURNITURE' THEN 'a%b' ELSE '../x = y' END AS saved_for
+FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'
+""")
+def q_s9_odd_users(spark, sf_dir):
+    """Users whose names are no file names: each saves two tables, deletes the first and, after the log was
+    compacted, loads the second."""
+    root = IO.scratch_dir(spark, "odd-users")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    users = {"a/b": ("BUILDING",), "a:b": ("MACHINERY",), "a%b": ("FURNITURE",), "../x = y": ("HOUSEHOLD",)}
+    kept = {}
+    for user, segments in users.items():
+        mine = cust.where(F.col("c_mktsegment").isin(*segments))
+        first = IO.save_analysis(spark, root, user, "wrong", cust, {"cleaned_rows": 1})
+        kept[user] = IO.save_analysis(spark, root, user, "right", mine, {"cleaned_rows": mine.count()})
+        assert IO.delete_analysis(spark, root, user, first)
+    assert IO.compact_analyses(spark, root) == len(users)
+    out = None
+    for user, analysis in kept.items():
+        assert [r["analysis_id"] for r in IO.list_saved_analyses(spark, root, user).collect()] == [analysis]
+        part = IO.load_analysis(spark, root, user, analysis)[0].withColumn("saved_for", F.lit(user))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("u3_closed_days_streaming", """
 SELECT CAST(ts AS DATE) AS day, COUNT(*) AS events, COUNT(DISTINCT user_id) AS sessions
 FROM events WHERE CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT MAX(ts) FROM events) GROUP BY 1

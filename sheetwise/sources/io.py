@@ -10,7 +10,10 @@ from __future__ import annotations
 import csv
 import datetime as _dt
 import json
+import re
+import time
 import uuid
+import zlib
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -266,59 +269,133 @@ def export_report(base: str, cleaned: DataFrame, stats: DataFrame | None = None,
 
 
 # --- S7-S9 saved analyses --------------------------------------------------------------------
+#
+# An append-only log: every save and every delete appends one row to root/log; nothing is rewritten in
+# place. Of the rows of one analysis the newest version wins, and a tombstone hides it. A job that stops
+# anywhere leaves either the old state or the new one: data is written before its log row, a
+# tombstone before its data goes. Users are told apart by a column, files by a hash of
+# the user, so no path is ever built from a caller's text.
 
-META_SCHEMA = ("analysis_id string, user_id string, name string, created_at timestamp, "
-               "rows long, cols int, report string")
+LOG_SCHEMA = ("analysis_id string, user_id string, name string, created_at timestamp, rows long, cols int, "
+              "report string, deleted boolean, version string, data string, user_part int")
+#: Parts of the log by a hash of the user: a listing reads one of them.
+USER_PARTS = 64
+
+
+def _user_part(user_id: str) -> int:
+    return zlib.crc32(user_id.encode()) % USER_PARTS
+
+
+def _version() -> str:
+    """Later versions are larger; two in the same nanosecond differ."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+
+def _append(spark: SparkSession, root: str, row: tuple) -> None:
+    (spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").partitionBy("user_part")
+     .parquet(_log_folder(spark, root)))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _log_folder(spark: SparkSession, root: str) -> str:
+    """The folder of the log's newest generation: ``log/g<number>``, complete once ``log/g<number>.ready``
+    is there. The first needs no mark."""
+    base = f"{root.rstrip('/')}/log"
+    fs, path = _hadoop(spark, base)
+    ready = [0]
+    if fs.exists(path):
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        ready += [int(n[1:-6]) for n in names if re.fullmatch(r"g[0-9]+\.ready", n)]
+    return f"{base}/g{max(ready)}"
+
+
+def _entries(spark: SparkSession, root: str, user_id: str | None = None) -> DataFrame:
+    """The newest row of every analysis, deleted ones too (of one user, reading that user's part only)."""
+    folder = _log_folder(spark, root)
+    fs, path = _hadoop(spark, folder)
+    if not fs.exists(path):
+        return spark.createDataFrame([], LOG_SCHEMA)
+    log = spark.read.schema(LOG_SCHEMA).parquet(folder)
+    if user_id is not None:
+        log = log.where((F.col("user_part") == _user_part(user_id)) & (F.col("user_id") == user_id))
+    newest = F.max_by(F.struct(*[c for c in log.columns if c not in ("user_id", "analysis_id")]), "version")
+    return log.groupBy("user_id", "analysis_id").agg(newest.alias("e")).select("user_id", "analysis_id", "e.*")
 
 
 def save_analysis(spark: SparkSession, root: str, user_id: str, name: str, cleaned: DataFrame,
                   report: dict, analysis_id: str | None = None) -> str:
-    """The cleaned table as Parquet under ``root/data/<analysis_id>`` and one metadata row
-    appended to ``root/meta`` (partitioned by user). Returns the analysis id."""
-    analysis_id = analysis_id or uuid.uuid4().hex
-    data_path = f"{root.rstrip('/')}/data/analysis_id={analysis_id}"
-    cleaned.write.mode("overwrite").parquet(data_path)
-    meta = spark.createDataFrame(
-        [(analysis_id, str(user_id), name, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
-          int(report.get("cleaned_rows", 0)), int(report.get("original_cols", len(cleaned.columns))),
-          json.dumps(report, default=str))], META_SCHEMA)
-    meta.write.mode("append").partitionBy("user_id").parquet(f"{root.rstrip('/')}/meta")
+    """The cleaned table as Parquet in a new folder under ``root/data``, then one row appended to
+    the log. Returns the analysis id. Saving under an id that the user already has makes a new version of it;
+    the old table stays until :func:`compact_analyses`."""
+    analysis_id, user_id, version = analysis_id or uuid.uuid4().hex, str(user_id), _version()
+    data = f"data/{version}"
+    cleaned.write.parquet(f"{root.rstrip('/')}/{data}")
+    _append(spark, root, (analysis_id, user_id, name, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
+                          int(report.get("cleaned_rows", 0)), int(report.get("original_cols", len(cleaned.columns))),
+                          json.dumps(report, default=str), False, version, data, _user_part(user_id)))
     return analysis_id
 
 
 def list_saved_analyses(spark: SparkSession, root: str, user_id: str) -> DataFrame:
-    """Metadata of one user's analyses, newest first (the user filter prunes partitions)."""
-    return (spark.read.parquet(f"{root.rstrip('/')}/meta")
-                 .where(F.col("user_id") == str(user_id))
-                 .select("analysis_id", "name", "created_at", "rows", "cols")
-                 .orderBy(F.col("created_at").desc()))
+    """Metadata of one user's analyses, newest first (only that user's part of the log is read)."""
+    return (_entries(spark, root, str(user_id)).where(~F.col("deleted"))
+            .select("analysis_id", "name", "created_at", "rows", "cols")
+            .orderBy(F.col("created_at").desc(), "analysis_id"))
+
+
+def _entry(spark: SparkSession, root: str, user_id: str, analysis_id: str):
+    return _entries(spark, root, str(user_id)).where((F.col("analysis_id") == analysis_id) & ~F.col("deleted")).first()
 
 
 def load_analysis(spark: SparkSession, root: str, user_id: str, analysis_id: str) -> tuple[DataFrame, dict]:
-    """The saved table and its report."""
-    meta = (spark.read.parquet(f"{root.rstrip('/')}/meta")
-                 .where((F.col("user_id") == str(user_id)) & (F.col("analysis_id") == analysis_id))
-                 .select("report").first())
-    if meta is None:
+    """The saved table and its report (the newest version)."""
+    entry = _entry(spark, root, user_id, analysis_id)
+    if entry is None:
         raise ValueError(f"no analysis {analysis_id} for user {user_id}")
-    data = spark.read.parquet(f"{root.rstrip('/')}/data/analysis_id={analysis_id}")
-    return data, json.loads(meta["report"])
+    return spark.read.parquet(f"{root.rstrip('/')}/{entry['data']}"), json.loads(entry["report"])
 
 
 def delete_analysis(spark: SparkSession, root: str, user_id: str, analysis_id: str) -> bool:
-    """Remove one user's saved analysis; False when the user has none of that id. The user's
-    metadata is rewritten without it (other users' partitions are not touched), then its table goes."""
-    meta = spark.read.parquet(f"{root.rstrip('/')}/meta").where(F.col("user_id") == str(user_id))
-    if meta.where(F.col("analysis_id") == analysis_id).isEmpty():
+    """Remove one user's saved analysis; False when the user has none of that id. A tombstone is
+    appended first, then the table goes: a job stopped in between leaves an unlisted table, which
+    :func:`compact_analyses` removes."""
+    entry = _entry(spark, root, user_id, analysis_id)
+    if entry is None:
         return False
-    kept = meta.where(F.col("analysis_id") != analysis_id).drop("user_id").checkpoint()
-    folder = f"{root.rstrip('/')}/meta/user_id={user_id}"
-    kept.write.mode("overwrite").parquet(folder)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/data/analysis_id={analysis_id}")
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _append(spark, root, tuple({**entry.asDict(), "deleted": True, "version": _version()}[c.split()[0]]
+                               for c in LOG_SCHEMA.split(", ")))
+    fs, path = _hadoop(spark, f"{root.rstrip('/')}/{entry['data']}")
+    fs.delete(path, True)
     return True
 
 
+def compact_analyses(spark: SparkSession, root: str) -> int:
+    """Rewrites the log with one row for every analysis that is there, and removes tables that no row
+    names. The new generation is written whole and marked ready before anything old goes; a stopped
+    compaction changes nothing that a reader sees. Returns the number of analyses. Run it while
+    nobody saves: rows appended to the old generation meanwhile would be lost."""
+    old = _log_folder(spark, root)
+    number = int(old.rsplit("/g", 1)[1]) + 1
+    base = old.rsplit("/", 1)[0]
+    fs, target = _hadoop(spark, f"{base}/g{number}")
+    fs.delete(target, True)  # what a stopped compaction left
+    kept = _entries(spark, root).where(~F.col("deleted")).select(*[c.split()[0] for c in LOG_SCHEMA.split(", ")]).checkpoint()
+    kept.repartition("user_part").write.partitionBy("user_part").parquet(f"{base}/g{number}")
+    fs.create(_hadoop(spark, f"{base}/g{number}.ready")[1]).close()
+    fs.delete(_hadoop(spark, old)[1], True)
+    _, data = _hadoop(spark, f"{root.rstrip('/')}/data")
+    if fs.exists(data):
+        folders = [f"data/{f.getPath().getName()}" for f in fs.listStatus(data)]
+        unused = spark.createDataFrame([(f,) for f in folders], "data string").join(kept, "data", "left_anti")
+        for row in unused.toLocalIterator():
+            fs.delete(_hadoop(spark, f"{root.rstrip('/')}/{row['data']}")[1], True)
+    return kept.count()
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's checkpoint folder (shared by all executors)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/sheetwise-{purpose}-{uuid.uuid4().hex}"

@@ -113,3 +113,25 @@ def test_sample_values_of_every_type(spark):
     assert got == {"n": {1: "1", 2: "2"}, "s": {1: "a", 2: "b"}, "f": {1: "false", 2: "true"},
                    "d": {1: "-1.0", 2: "2.5"}, "w": {1: "2020-01-01", 2: "2020-01-02"}}
     assert P.sample_values(df.limit(0)).count() == 0
+
+
+def test_correlations_of_many_columns_in_two_scans(spark):
+    import numpy as np
+    import pandas as pd
+
+    from sheetwise.operators import profile as P
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 150)) @ rng.normal(size=(150, 150)) * 100 + 1e6
+    for missing in (False, True):
+        frame = pd.DataFrame(base, columns=[f"c {i}" for i in range(150)])
+        frame["c 7"] = 0.1
+        frame["c 9"] = -2 * frame["c 3"]
+        if missing:
+            frame = frame.mask(rng.random(frame.shape) < 0.1)
+            frame["c 11"] = np.where(frame["c 12"].isna(), 1.0 * np.arange(400), np.nan)  # nothing in common with c 12
+        df = spark.createDataFrame(frame).repartition(5)
+        got = P.correlations(df, digits=None).toPandas().pivot(index="x", columns="y", values="r")
+        want = frame.corr()
+        got = got.loc[want.index, want.columns].astype(float)
+        assert np.allclose(got, want, atol=1e-9, equal_nan=True)
+    assert P.correlations(df.limit(0)).where("r IS NOT NULL").count() == 0
