@@ -9,8 +9,11 @@ sufficiently similar sets share one. A set gives the signatures of its own band
 ends across which a partner is possible. ``n1`` has a few spare partitions, so that empty
 projections (which everything shares) are only needed of sets with more empty ones than spare.
 
-**Links.** Sets with one digest are one vertex. Within a signature's bucket every member is
-compared, on the exact sets, with one pivot only. Where a bucket has more members, those not linked
+**Links.** Sets with one 64-bit digest are one vertex. Within a signature's bucket every member is
+compared with one pivot only. Pairs that cannot be similar fall out first, without their texts: a
+set's *odd sketch* holds, for every cell of the hash domain, whether it has an odd number of elements there, so two
+sketches differ in at most as many bits as the sets differ in elements. What is left is decided on
+the exact sets. Where a bucket has more members, those not linked
 to their pivot are then compared with the rest of the pivot's members through their *differences* from the pivot, which are
 small and give the exact intersection of any two members; that runs in blocks of bounded size and
 returns a spanning forest of links, so no pair list of a group is ever formed and no link between
@@ -35,6 +38,7 @@ from sheetwise.llm.shingles import mix, set_digest, shingle_set
 MAX_BROADCAST_ROWS = 500_000
 #: Members of a block in the comparison of a pivot's members.
 BLOCK = 1500
+MAX_SKETCH = 1 << 16
 _MAX_SEEN = 200_000
 _U = np.uint64
 
@@ -100,23 +104,54 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def sketch_bits(size: int) -> int:
+    """Cells of the sketch of a set: the power of two above twice its size, 256 to 65,536."""
+    return min(MAX_SKETCH, max(256, 1 << (2 * size).bit_length()))
+
+
+def odd_sketch(s: np.ndarray) -> bytes:
+    """One bit for every cell: whether an odd number of the set's hashes falls there. Cell = hash modulo
+    the number of cells, so a sketch folds to half its cells by combining its halves."""
+    m = sketch_bits(len(s))
+    odd = np.bincount((s & _U(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, cells: int) -> int:
+    """The sketch as an integer of ``cells`` bits."""
+    bits, have = int.from_bytes(sketch, "little"), 8 * len(sketch)
+    while have > cells:
+        have //= 2
+        bits = (bits >> have) ^ (bits & ((1 << have) - 1))
+    return bits
+
+
+def can_be_similar(size_a: int, a: bytes | None, size_b: int, b: bytes | None, num: int, den: int) -> bool:
+    """Whether two sets can reach the threshold, by their sizes and sketches (no sketch: they can)."""
+    if a is None or b is None:
+        return True
+    cells = 8 * min(len(a), len(b))
+    differ = max((folded(a, cells) ^ folded(b, cells)).bit_count(), abs(size_a - size_b))
+    both = size_a + size_b
+    return (both - differ) * den >= (both + differ) * num
+
+
 def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, d1, d2) of every row of ``docs`` (``id``, ``text``)."""
+    """(id, n_shingles, d1, sketch) of every row of ``docs`` (``id``, ``text``)."""
     def run(batches):
         for batch in batches:
-            size, d1, d2 = [], [], []
+            size, d1, sketch = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, n)
-                a, b = set_digest(s)
                 size.append(len(s))
-                d1.append(a)
-                d2.append(b)
+                d1.append(set_digest(s)[0])
+                sketch.append(odd_sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, d1, d2))],
-                names=["id", "n_shingles", "d1", "d2"])
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(sketch, pa.binary())],
+                names=["id", "n_shingles", "d1", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs.select("id", "text"), run, f"id {kind}, n_shingles long, d1 long, d2 long")
+    return map_arrow(docs.select("id", "text"), run, f"id {kind}, n_shingles long, d1 long, sketch binary")
 
 
 def signature_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -160,6 +195,74 @@ def pivot_pairs(sigs: DataFrame) -> DataFrame:
             .groupBy("pivot", "vertex").agg(F.max("crowded").alias("crowded")))
 
 
+def possible_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``pairs`` that need their texts: those whose sets can be similar, and members of a crowded bucket
+    that can be similar to another member of their pivot. ``sketches``: vertex, size, sketch."""
+    def run(batches):
+        for batch in batches:
+            p, v, crowded, size_p, sk_p, size_v, sk_v = (c.to_pylist() for c in batch.columns)
+            can = [can_be_similar(*t, num, den) for t in zip(size_p, sk_p, size_v, sk_v, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(can, pa.bool_()), batch.column(5), batch.column(6)],
+                names=["pivot", "vertex", "crowded", "can", "size", "sketch"])
+
+    of_pivot = sketches.select(F.col("vertex").alias("pivot"), F.col("size").alias("size_p"), F.col("sketch").alias("sk_p"))
+    rows = (pairs.join(sketches, "vertex", "left").join(of_pivot, "pivot", "left")
+            .select("pivot", "vertex", "crowded", "size_p", "sk_p", "size", "sketch"))
+    judged = written(map_arrow(rows, run, "pivot long, vertex long, crowded boolean, can boolean, size long, sketch binary"),
+                     "judged")
+    lone = (judged.where("crowded").groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("can").alias("all_can"))
+            .where("m > 1 and not all_can").select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")).checkpoint())
+    members = _in_blocks(judged.where("crowded").join(_broadcast_if_few(lone), "pivot"),
+                         "vertex", "can", "size", "sketch")
+
+    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = flagged_in_block(pdf, num, den)
+        return pd.DataFrame({"pivot": pdf["pivot"].iloc[:1].repeat(len(found)), "vertex": found})
+
+    flagged = (members.groupBy("pivot", "lo", "hi").applyInPandas(flag, "pivot long, vertex long").distinct()
+               .withColumn("flagged", F.lit(True)))
+    return (judged.select("pivot", "vertex", "crowded", "can").join(flagged, ["pivot", "vertex"], "left")
+            .where("can or flagged").select("pivot", "vertex", "crowded"))
+
+
+def flagged_in_block(pdf: pd.DataFrame, num: int, den: int) -> np.ndarray:
+    """Vertices of a block (vertex, can, size, sketch, part) that can be similar to another one of it,
+    at least one of the two not to their pivot. Members without a sketch go with any."""
+    pdf = pdf.drop_duplicates("vertex").reset_index(drop=True)
+    can, part, vertex = (pdf[c].to_numpy() for c in ("can", "part", "vertex"))
+    rows = np.flatnonzero(~can.astype(bool))
+    known = pdf["sketch"].notna().to_numpy()
+    if len(pdf) < 2 or not len(rows):
+        return vertex[:0]
+    size = pdf["size"].fillna(0).to_numpy().astype(np.int64)
+    cells = 8 * min(len(x) for x in pdf["sketch"][known]) if known.any() else 256
+    signs = np.stack([np.frombuffer(folded(x, cells).to_bytes(cells // 8, "little") if ok else bytes(cells // 8), np.uint8)
+                      for x, ok in zip(pdf["sketch"], known, strict=True)])
+    signs = np.unpackbits(signs, axis=1).astype(np.float32) * 2 - 1
+    two = len(set(part)) > 1
+    hit = np.zeros(len(pdf), bool)
+    for a in range(0, len(rows), 256):
+        some = rows[a:a + 256]
+        differ = ((cells - signs[some] @ signs.T) / 2).round().astype(np.int64)
+        differ = np.maximum(differ, np.abs(size[some][:, None] - size[None, :]))
+        both = size[some][:, None] + size[None, :]
+        near = (both - differ) * den >= (both + differ) * num
+        near |= ~known[some][:, None] | ~known[None, :]
+        near &= (part[some][:, None] != part[None, :]) if two else (some[:, None] != np.arange(len(pdf))[None, :])
+        hit[some] |= near.any(axis=1)
+        hit |= near.any(axis=0)
+    return vertex[hit]
+
+
+def _in_blocks(members: DataFrame, *columns: str) -> DataFrame:
+    """Members of a pivot (with its number of ``blocks``) dealt into all pairs of its blocks."""
+    return (members.withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("pivot", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                    F.col("own").alias("part"), *columns))
+
+
 def compare_with_pivot(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(pivot, vertex, size, linked, diff): exact comparison of every pair; ``diff`` is the symmetric
     difference of the two sets of a crowded pair, NULL of others."""
@@ -250,13 +353,10 @@ def links_among_members(stars: DataFrame, roots: DataFrame, num: int, den: int)
              .where("m > 1 and not all_linked").select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
              .checkpoint())
     # beside small tables the differences are shuffled once only, by block
-    members = (stars.join(_broadcast_if_few(sizes), "pivot")
-               .join(_broadcast_if_few(roots), stars.vertex == roots.v, "left")
-               .withColumn("root", F.coalesce("root", "vertex")).drop("v")
-               .withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("pivot", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                       F.col("own").alias("part"), "vertex", "size", "linked", "diff", "root"))
+    members = _in_blocks(stars.join(_broadcast_if_few(sizes), "pivot")
+                         .join(_broadcast_if_few(roots), stars.vertex == roots.v, "left")
+                         .withColumn("root", F.coalesce("root", "vertex")).drop("v"),
+                         "vertex", "size", "linked", "diff", "root")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(links_in_block(pdf, num, den), columns=["u", "v"], dtype="int64")
@@ -280,7 +380,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     vertices = (sets.where("n_shingles > 0").groupBy(F.col("d1").alias("vertex"))
                 .agg(F.min("id").alias("least_id")))
     pairs = written(pivot_pairs(signature_table(docs, n, num, den)), "pairs")
-    roots = _roots(docs, vertices, pairs, n, num, den)
+    roots = _roots(docs, sets, vertices, pairs, n, num, den)
     labelled = (vertices.join(roots, vertices.vertex == roots.v, "left")
                 .select("vertex", "least_id", F.coalesce("root", "vertex").alias("root")))
     component = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -319,9 +419,19 @@ def _with_vertex(texts: DataFrame, n: int) -> DataFrame:
     return map_arrow(texts, run, "vertex long, text string")
 
 
-def _roots(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _wanted(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(vertex, id) of every end of a pair, with the smallest id of its rows."""
     ends = pairs.select(F.explode(F.array("pivot", "vertex")).alias("vertex")).distinct()
-    wanted = vertices.join(ends, "vertex").select("vertex", F.col("least_id").alias("id")).checkpoint()
+    return vertices.join(ends, "vertex").select("vertex", F.col("least_id").alias("id")).checkpoint()
+
+
+def _roots(docs: DataFrame, sets: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    # sketches are fetched by id as well as by digest: one row for each vertex, however many have its set
+    named = _wanted(vertices, pairs).where("id IS NOT NULL").withColumnsRenamed({"id": "of_id"})
+    sketches = (sets.join(_broadcast_if_few(named), (sets.id == named.of_id) & (sets.d1 == named.vertex))
+                .select("vertex", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["vertex"]))
+    pairs = written(possible_pairs(pairs, written(sketches, "sketches"), num, den), "possible")
+    wanted = _wanted(vertices, pairs)
     found = _of_vertex(docs.join(_broadcast_if_few(wanted), "id").select("vertex", "text"), n)
     nameless = wanted.where("id IS NULL").select("vertex").checkpoint()
     if not nameless.isEmpty():

@@ -9,7 +9,8 @@ import pytest
 
 from sheetwise.llm import ngram_join
 from sheetwise.llm.components import connected_components
-from sheetwise.llm.ngram_join import Bands, links_in_block, near_duplicates, signatures
+from sheetwise.llm.ngram_join import (Bands, can_be_similar, flagged_in_block, folded, links_in_block, near_duplicates,
+                                      odd_sketch, signatures, sketch_bits)
 
 
 def sets_of(text, n):
@@ -142,3 +143,54 @@ def test_sets_without_an_id_link_others(spark):
         want.append((None, len(text) - 3, None))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, near_duplicates(df).collect()), key=str) == sorted(want, key=str)
+
+
+def sets_in_chains(seed, count=60):
+    """Sets of many sizes, each a small change of an earlier one or a new one."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(count):
+        if out and rng.random() < 0.7:
+            old = out[rng.integers(len(out))]
+            keep = old[rng.random(len(old)) > rng.choice([0.0, 0.05, 0.1, 0.3])]
+            more = rng.integers(0, 2 ** 64, max(1, int(len(old) * rng.choice([0.0, 0.05, 0.1]))), np.uint64)
+            out.append(np.unique(np.concatenate([keep, more])))
+        else:
+            out.append(np.unique(rng.integers(0, 2 ** 64, int(rng.choice([1, 5, 40, 300, 3000, 9000])), np.uint64)))
+    return out
+
+
+def similar(a, b, num, den):
+    inter = len(np.intersect1d(a, b))
+    return inter * den >= (len(a) + len(b) - inter) * num
+
+
+def test_sketches_never_lose_a_similar_pair():
+    kept = dropped = 0
+    for seed in range(4):
+        sets = sets_in_chains(seed)
+        for i, a in enumerate(sets):
+            assert sketch_bits(len(a)) == 8 * len(odd_sketch(a)) and folded(odd_sketch(a), 256) < 1 << 256
+            for b in sets[:i]:
+                can = can_be_similar(len(a), odd_sketch(a), len(b), odd_sketch(b), 4, 5)
+                assert can or not similar(a, b, 4, 5)
+                kept, dropped = kept + can, dropped + (not can)
+    assert dropped > 10 * kept
+    assert can_be_similar(1, None, 9, odd_sketch(sets[0]), 4, 5)
+
+
+def test_blocks_flag_every_member_with_a_similar_one():
+    for seed in range(4):
+        sets = sets_in_chains(seed, 50)
+        rng = np.random.default_rng(seed)
+        can = rng.random(len(sets)) < 0.3
+        for parts in (1, 2):
+            part = rng.integers(0, parts, len(sets))
+            pdf = pd.DataFrame({"vertex": np.arange(len(sets)), "can": can, "size": [len(s) for s in sets], "part": part,
+                                "sketch": [None if i == 3 else odd_sketch(s) for i, s in enumerate(sets)]})
+            got = set(flagged_in_block(pdf, 4, 5).tolist())
+            for i in range(len(sets)):
+                for j in range(i):
+                    if similar(sets[i], sets[j], 4, 5) and not (can[i] and can[j]) and (parts == 1 or part[i] != part[j]):
+                        assert {i, j} <= got
+    assert flagged_in_block(pdf[:0], 4, 5).tolist() == []
