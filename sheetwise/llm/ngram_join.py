@@ -44,7 +44,8 @@ _U = np.uint64
 
 
 class Bands:
-    """Size bands for similarity ``num / den``, each half as wide again as its smallest size. A pair of
+    """Size bands for similarity ``num / den``, each up to twice its smallest size (which
+    needs the fewest signatures: wider bands allow more differences, narrower ones have more ends). A pair of
     similar sets lies inside a band or has one set on either side of a band's lower end."""
 
     def __init__(self, num: int, den: int):
@@ -61,7 +62,7 @@ class Bands:
         while self._high[-1] * self.num < size * self.den:
             low = self._high[-1] + 1
             self._low.append(low)
-            self._high.append(max(low, low * 3 // 2))
+            self._high.append(2 * low)
         out = []
         for i, (low, high) in enumerate(zip(self._low, self._high, strict=True)):
             if low <= size <= high:
