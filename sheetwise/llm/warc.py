@@ -229,12 +229,19 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
 _RECORD = "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
+#: Bytes of records that a task reads back, about.
+READ_BYTES = 32 << 20
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the committed bundles, frame by frame: id, page, target, type, and the length
+    """Every record of the committed bundles, frame by frame, by tasks of about :data:`READ_BYTES` bytes of
+    records (runs of frames of a bundle, so large bundles are read by several): id, page, target, type, and the length
     and SHA-256 of the full payload (computed from a response's payload and held against its header;
     a revisit's from its header) and the page that a revisit refers to."""
     target = _uri(folder).rstrip("/")
-    frames = spark.read.schema(_INDEX).parquet(f"{target}/index").select("bundle", "frame").distinct()
+    index = spark.read.schema(_INDEX).parquet(f"{target}/index")
+    size = index.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0
+    frames = index.select("bundle", "frame").distinct().repartitionByRange(max(1, -(-size // READ_BYTES)), "bundle", "frame")
 
     def run(batches):
         store, base = _file_system(target)

@@ -5,6 +5,7 @@ import io
 
 import zstandard
 
+from sheetwise.llm import warc
 from sheetwise.llm.common import shared_path
 from sheetwise.llm.warc import BundleReader, BundleWriter, make_record, parse_records, read_archives, read_record, write_archives
 
@@ -19,7 +20,6 @@ def pages(spark):
 
 
 def test_round_trip_and_revisits(spark, monkeypatch):
-    from sheetwise.llm import warc
     rows, df = pages(spark)
     for limit in (200_000, 0):
         monkeypatch.setattr(warc, "MAX_BROADCAST_REVISITS", limit)
@@ -51,6 +51,20 @@ def test_empty_table(spark):
     assert read_archives(spark, folder).count() == 0
 
 
+def test_tasks_read_in_proportion_to_bytes(spark, monkeypatch):
+    rows = [(i, f"http://x/{i}", f"{i} " * 500) for i in range(300)]
+    folder = shared_path(spark, "warc-test")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    index = write_archives(df, folder, frame_bytes=5000)
+    assert index.select("bundle").distinct().count() == 1
+    size = index.agg({"length": "sum"}).first()[0]
+    monkeypatch.setattr(warc, "READ_BYTES", size // 7)
+    back = read_archives(spark, folder)
+    assert back.rdd.getNumPartitions() >= 7 and back.count() == 300
+    held = back.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(held) >= 7 and max(r["count"] for r in held) < 100
+
+
 def test_bundles_seek_and_read_as_plain_zstandard():
     class Kept(io.BytesIO):
         def close(self):
