@@ -264,8 +264,12 @@ class Template:
         self._place(self.root, shape, {})
         inside_only = _has_main(page)
         out: list[str] = []
-        self._collect(page, out, False, inside_only)
-        return " ".join("".join(out).split())
+        self._collect(page, out, False, inside_only, frozenset())
+        text = " ".join("".join(out).split())
+        if not text and (wrappers := mixed_wrappers(page)):
+            self._collect(page, out := [], False, inside_only, wrappers)
+            text = " ".join("".join(out).split())
+        return text
 
     def _place(self, slot: Slot, shape: Shape, memo: dict) -> None:
         constant = slot.pages >= MIN_PAGES and slot.text and slot.votes >= MIN_VOTE * slot.pages
@@ -276,9 +280,9 @@ class Template:
             for i, j in matching(slot.kids, shape.kids, memo)[1]:
                 self._place(slot.kids[i], shape.kids[j], memo)
 
-    def _collect(self, node: Node, out: list[str], inside: bool, inside_only: bool) -> None:
+    def _collect(self, node: Node, out: list[str], inside: bool, inside_only: bool, wrappers: frozenset[int]) -> None:
         inside = inside or is_main(node)
-        if is_furniture(node.tag, node.marks, inside):
+        if is_furniture(node.tag, node.marks, inside) and id(node) not in wrappers:
             return
         block = node.tag in BLOCK
         if block:
@@ -286,7 +290,7 @@ class Template:
         show = (inside or not inside_only) and node.slot is None
         for kid in node.kids:
             if type(kid) is Node:
-                self._collect(kid, out, inside, inside_only)
+                self._collect(kid, out, inside, inside_only, wrappers)
             elif show:
                 out.append(kid)
         if block:
@@ -297,6 +301,30 @@ def is_main(node) -> bool:
     return node.tag in ("article", "main") or not CONTENT_MARKS.isdisjoint(node.marks)
 
 
+def mixed_wrappers(page: Node) -> frozenset[int]:
+    """Elements (by identity) that hold at least half of the page's text and count as furniture only as a
+    form around it or by a listed word beside others (``layout has-sidebar``, ``post tags-linux``). They are
+    looked at where a page would have no text without them."""
+    order, stack = [], [page]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [k for k in node.kids if type(k) is Node and (k.tag == "form" or k.tag not in FURNITURE_TAGS)]
+    held: dict[int, int] = {}
+    for node in reversed(order):
+        held[id(node)] = sum(held.get(id(k), 0) if type(k) is Node else len("".join(k.split())) for k in node.kids)
+
+    def mixed(node: Node) -> bool:
+        if node.tag == "form":
+            return True
+        marks = [m for m in node.marks if not m.startswith("role=")]
+        words = [w for m in marks for w in _WORD.findall(m)]
+        return FURNITURE_ROLES.isdisjoint(node.marks) and not FURNITURE_WORDS.issuperset(words)
+
+    return frozenset(id(n) for n in order if n is not page and 2 * held[id(n)] >= held[id(page)] > 0
+                     and n.tag != "header" and is_furniture(n.tag, n.marks, True) and mixed(n))
+
+
 def _has_main(page: Node) -> bool:
     stack = [page]
     while stack:

@@ -48,6 +48,22 @@ def slow_matching(a, b):
     return best
 
 
+def test_wrappers_around_all_text_are_no_furniture():
+    def text(html):
+        return Template().main_text(parse(html))
+
+    for html in ('<div class="layout has-sidebar"><p>Own words.</p></div>', '<div id="page" class="no-sidebar"><p>Own words.</p></div>',
+                 '<div class="post tags-linux"><p>Own words.</p></div>', "<main><form><p>Own words.</p></form></main>",
+                 '<div class="page has-sidebar"><div class="sidebar">x</div><article><p>Own words.</p></article></div>',
+                 '<form><div class="page no-ads"><nav>Menu of many more words than that</nav><p>Own words.</p></div></form>'):
+        assert text(html) == "Own words.", html
+    for html in ('<div class="navbar">Menu</div>', '<div class="cookie-notice"><p>We use cookies.</p></div>', "<nav>Menu</nav>",
+                 '<div id="comments"><p>First!</p></div>', '<div role="navigation" class="a b">Menu</div>', "", "<form></form>"):
+        assert text(html) == "", html
+    # where there is other text, a listed word still decides
+    assert text('<p>Own words.</p><div class="my-sidebar"><p>Much more text than the page itself has.</p></div>') == "Own words."
+
+
 def test_matching_is_the_largest():
     rnd = random.Random(2)
 
