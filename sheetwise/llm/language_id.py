@@ -9,7 +9,9 @@ language is exact and is a sum of table look-ups: the trees of all languages are
 table (context node, byte) -> code length for each language.
 
 A text's language is the one with the shortest code for the whole text. ``score`` is its posterior
-probability under equal priors.
+probability under equal priors. The posterior compares the learnt languages only and is near 1 for any longer
+text, so whether a text is in its language at all is judged by figures a byte: its code length, and the
+distance to the second language, against those of labelled texts that were not learnt from (`fit_limits`).
 """
 
 from __future__ import annotations
@@ -28,6 +30,14 @@ ORDER = 3
 #: Labelled texts a language is learnt from: about this many, chosen by a hash of the id.
 MAX_DOCS_PER_LANGUAGE = 3000
 UNDETERMINED = "und"
+#: Bits of a text's code that do not count, whatever its length: about forty odd bytes (a key, an address, a name).
+SLACK_BITS = 320.0
+#: Bits that its distance to the second language may be shorter, whatever its length.
+MARGIN_SLACK_BITS = 64.0
+#: A text is in its language up to so many spreads from the median of the labelled texts. The spread is the distance
+#: of their hundredth furthest from the median, at least the given share of the median.
+SPREADS = 3.0
+MIN_SPREAD = 0.25
 _CHUNK = 1 << 18
 _NODES = 1024
 
@@ -163,23 +173,40 @@ class PpmModel:
         best = int(bits.argmin())
         return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
 
+    def figures(self, text: str | None) -> tuple[str, float | None, float | None]:
+        """Language, code length a byte (less :data:`SLACK_BITS`, not below 0) and distance to the second
+        language a byte (plus :data:`MARGIN_SLACK_BITS`). Without a language both are None; with one learnt language the distance is."""
+        if not text or not self.langs or not any(map(str.isalpha, text)):
+            return UNDETERMINED, None, None
+        bits, n = self.code_lengths(text), len(text.encode())
+        best = int(bits.argmin())
+        second = np.delete(bits, best).min() if len(bits) > 1 else None
+        return (self.langs[best], max(0.0, float(bits[best]) - SLACK_BITS) / n,
+                None if second is None else (float(second - bits[best]) + MARGIN_SLACK_BITS) / n)
+
+
+def _sampled(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int) -> tuple[DataFrame, list[str]]:
+    """About ``max_docs`` rows a language that have text, language and id (all of languages with fewer), chosen by
+    a hash of the id; and the languages."""
+    rows = labelled.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull()
+                          & F.col(f"`{id_col}`").isNotNull())
+    sizes = {r[0]: r[1] for r in rows.groupBy(f"`{lang_col}`").count().collect()}
+    chance = F.lit(0.0)
+    for lang in sorted(sizes):
+        chance = F.when(F.col(f"`{lang_col}`") == lang, F.lit(min(1.0, max_docs / sizes[lang]))).otherwise(chance)
+    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(draw < chance), sorted(sizes)
+
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           max_docs: int = MAX_DOCS_PER_LANGUAGE) -> PpmModel:
     """Learn from the whole texts of about ``max_docs`` labelled rows a language (all rows of
     languages with fewer). Rows without text, language or id are not learnt from. The n-gram counts
     are summed by Spark; their table (distinct runs of four bytes in the sample) is collected."""
-    rows = labelled.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull()
-                          & F.col(f"`{id_col}`").isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(f"`{lang_col}`").count().collect()}
-    langs = sorted(sizes)
+    rows, langs = _sampled(labelled, text_col, lang_col, id_col, max_docs)
     if not langs:
         return PpmModel([], np.zeros(0), np.zeros((0, 0)))
-    chance = F.lit(0.0)
-    for lang in langs:
-        chance = F.when(F.col(f"`{lang_col}`") == lang, F.lit(min(1.0, max_docs / sizes[lang]))).otherwise(chance)
-    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    pdf = gram_counts(rows.where(draw < chance), text_col, lang_col).toPandas()
+    pdf = gram_counts(rows, text_col, lang_col).toPandas()
     grams, at = np.unique(pdf["gram"].to_numpy(np.int64), return_inverse=True)
     counts = np.zeros((len(grams), len(langs)))
     counts[at, pdf["lang"].map({n: i for i, n in enumerate(langs)}).to_numpy(np.int64)] = pdf["n"].to_numpy()
@@ -194,6 +221,12 @@ def identify(df: DataFrame, model: PpmModel, text_col: str = "text", lang_out: s
     """``df`` with the predicted language of every whole text and its score (0 to 1). NULL, empty
     and letterless texts give ``und`` and 0. Columns of those names are replaced; only the text is
     read. The model (gram counts, a few MB) is broadcast; each worker builds its table once."""
+    return _with_model(df, model, text_col, PpmModel.predict, (lang_out, T.StringType()), (score_out, T.DoubleType()),
+                       drop_source=drop_text)
+
+
+def _with_model(df: DataFrame, model: PpmModel, text_col: str, fn, *targets, drop_source: bool = False) -> DataFrame:
+    """``df`` with ``fn(model, text)`` of every text as columns ``targets``; each worker builds the table once."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
@@ -201,11 +234,58 @@ def identify(df: DataFrame, model: PpmModel, text_col: str = "text", lang_out: s
         if key not in _LOADED:
             _LOADED.clear()
             _LOADED[key] = shared.value
-        got = [_LOADED[key].predict(t) for t in texts.to_pylist()]
-        return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-
-    return map_column(df, text_col, run, (lang_out, T.StringType()), (score_out, T.DoubleType()),
-                      drop_source=drop_text)
+        got = [fn(_LOADED[key], t) for t in texts.to_pylist()]
+        return [pa.array([g[k] for g in got], pa.string() if type(t) is T.StringType else pa.float64())
+                for k, (_, t) in enumerate(targets)]
+
+    return map_column(df, text_col, run, *targets, drop_source=drop_source)
+
+
+def measure(df: DataFrame, model: PpmModel, text_col: str = "text", lang_out: str = "lang_pred",
+            bits_out: str = "bits", margin_out: str = "margin", drop_text: bool = False) -> DataFrame:
+    """``df`` with :meth:`PpmModel.figures` of every whole text. Columns of those names are replaced."""
+    return _with_model(df, model, text_col, PpmModel.figures, (lang_out, T.StringType()), (bits_out, T.DoubleType()),
+                       (margin_out, T.DoubleType()), drop_source=drop_text)
+
+
+def fit_limits(labelled: DataFrame, model: PpmModel, text_col: str = "text", lang_col: str = "lang",
+               id_col: str = "doc_id", max_docs: int = MAX_DOCS_PER_LANGUAGE) -> dict[str, tuple[float, float]]:
+    """{language: (longest code a byte, shortest distance a byte)} from about ``max_docs`` labelled texts a
+    language that the model has not learnt from. Texts of which the model finds another language do not count. A
+    learnt language without such texts takes the widest limits of the others; without any, everything is within them."""
+    rows, _ = _sampled(labelled, text_col, lang_col, id_col, max_docs)
+    rows = rows.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    at = measure(rows, model, drop_text=True).where("lang_pred = lang").groupBy("lang").agg(
+        F.percentile("bits", F.array(F.lit(0.5), F.lit(0.99))).alias("bits"),
+        F.percentile("margin", F.array(F.lit(0.5), F.lit(0.01))).alias("margin")).collect()
+    limits = {}
+    for r in at:  # one row a language
+        middle, far = r["bits"]
+        near, low = r["margin"] or (0.0, 0.0)
+        limits[r["lang"]] = (middle + SPREADS * max(far - middle, MIN_SPREAD * middle),
+                             near - SPREADS * max(near - low, MIN_SPREAD * near))
+    widest = (max((v[0] for v in limits.values()), default=np.inf), min((v[1] for v in limits.values()), default=-np.inf))
+    return {lang: limits.get(lang, widest) for lang in model.langs}
+
+
+def in_language(df: DataFrame, model: PpmModel, limits: dict[str, tuple[float, float]], text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text is in a learnt language by ``limits`` (:func:`fit_limits`), columns unchanged.
+    NULL, empty and letterless texts go, and so do those in no learnt language or in two of them. Texts of a few
+    bytes stay unless they are far off (:data:`SLACK_BITS`); every row of a repeated text is judged alike."""
+    taken = {c.lower() for c in df.columns}
+    out = "__fits"
+    while out in taken:
+        out += "_"
+
+    def fits(model: PpmModel, text: str | None) -> tuple[float]:
+        lang, bits, margin = model.figures(text)
+        if lang == UNDETERMINED:
+            return (0.0,)
+        longest, shortest = limits[lang]
+        return (float(bits <= longest and (margin is None or margin >= shortest)),)
+
+    rows = _with_model(df, model, text_col, fits, (out, T.DoubleType()))
+    return rows.where(F.col(out) > 0).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def held_out(id_col: Column) -> Column:

@@ -1,5 +1,6 @@
 """op5: exact code lengths, held-out accuracy, defined results for odd input."""
 
+import random
 import zlib
 
 import numpy as np
@@ -100,3 +101,47 @@ def test_sample_is_bounded_and_by_id(labelled):
     whole = train(labelled, max_docs=1000)
     assert 0 < small._counts.sum() < whole._counts.sum()
     assert np.array_equal(train(labelled, max_docs=5)._counts, small._counts)
+
+
+def test_texts_in_no_language_or_in_two_go(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    apart = language_id.held_out(given["doc_id"])
+    model = train(given.where(~apart))
+    limits = language_id.fit_limits(given.where(apart), model)
+    assert sorted(limits) == model.langs and all(a > 0 for a, _ in limits.values())
+    rnd = random.Random(4)
+    german, english = (given.where(f"lang = '{lang}' AND length(text) > 3000").orderBy("doc_id").first()["text"]
+                       for lang in ("de", "en"))
+    odd = {"noise": "".join(rnd.choice("asdfghjklqwertyuiop zxcvbnm") for _ in range(600)),
+           "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+           "cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+           "code": "for name, fn in queries().items():\n    if only and not any(o in name for o in only):\n        continue\n" * 3,
+           "half": german[:1500] + english[:1500], "none": "12 34 !!", "empty": "", "null": None}
+    good = {"german": german, "english": english, "short": english[:20], "letter": "a",
+            "secret": english[:60] + ' token = "9dd3c80004c73dc9e548fee51b23b527780d4f20"',
+            "long": english * 40}
+    rows = spark.createDataFrame([(k, v, "x") for k, v in {**odd, **good}.items()] + [("german", german, None)],
+                                 "name string, text string, `__fits` string")
+    got = language_id.in_language(rows, model, limits)
+    assert got.columns == rows.columns
+    assert sorted(r.name for r in got.collect()) == sorted([*good, "german"])
+    # hardly a given document goes: only some that are written in two languages or in capitals
+    kept = language_id.in_language(given, model, limits).count()
+    assert kept >= 0.999 * given.count()
+
+
+def test_limits_without_rows(spark):
+    docs = spark.createDataFrame([(i, "the cat and the hat " * 9, "en") for i in range(8)] + [(9, "le chat", "fr")],
+                                 "doc_id long, text string, lang string")
+    model = train(docs)
+    assert language_id.fit_limits(docs.limit(0), model) == {"en": (np.inf, -np.inf), "fr": (np.inf, -np.inf)}
+    some = language_id.fit_limits(docs.where("lang = 'en'"), model)
+    assert some["fr"] == some["en"]  # none of its own: the widest of the others
+    assert language_id.in_language(docs, model, some).count() == 9
+    assert language_id.in_language(docs.limit(0), model, some).count() == 0
+    none = train(docs.limit(0))
+    assert language_id.fit_limits(docs, none) == {}
+    assert language_id.in_language(docs, none, {}).count() == 0
+    alone = train(docs.where("lang = 'en'"))  # one language has no second one
+    assert language_id.in_language(docs.where("lang = 'en'"), alone,
+                                   language_id.fit_limits(docs, alone)).count() == 8
