@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetwise.functions import naming as N
+from sheetwise.functions.date_shapes import date_shapes, has_date_shape, infer_layouts, with_dates
 from sheetwise.functions.dates import date_reading_flags, parse_timestamp
 from sheetwise.functions.missing import nan_to_null
 from sheetwise.functions.numeric_text import (bool_tokens, normalise_bool_text, parse_bool_text,
@@ -200,6 +201,8 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
         shared, mf, dfo = date_reading_flags(_q(c))
         flag_cols += [shared.alias(f"__ds{j}"), mf.alias(f"__dm{j}"), dfo.alias(f"__dd{j}")]
         nn = _q(c).isNotNull()
+        flag_cols.append(F.when(nn & ~(shared | mf | dfo), has_date_shape(_q(c))).alias(f"__do{j}"))
+        aggs.append(F.count_if(F.col(f"__do{j}")).alias(f"do{j}"))
         aggs += [F.count_if(nn & (F.col(f"__ds{j}") | F.col(f"__dm{j}"))).alias(f"mf{j}"),
                  F.count_if(nn & (F.col(f"__ds{j}") | F.col(f"__dd{j}"))).alias(f"df{j}")]
     stats_src = typed.select("*", *flag_cols) if flag_cols else typed
@@ -228,6 +231,7 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
             parse_timestamp(F.lit(fills[c]), True).isNotNull().alias(f"d{k}"))]).first()
         fill_parse = {c: (probe[f"m{k}"], probe[f"d{k}"]) for k, c in enumerate(text_fills)}
     date_cols: dict[str, bool] = {}
+    shaped: dict[str, DataFrame] = {}
     for j, c in enumerate(cat_cols):
         if rows == 0:
             continue
@@ -235,7 +239,16 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
         mf = stats[f"mf{j}"] + (extra if fill_parse.get(c, (False, False))[0] else 0)
         dfc = stats[f"df{j}"] + (extra if fill_parse.get(c, (False, False))[1] else 0)
         day_first = dfc > mf
-        if max(mf, dfc) / rows > DATE_SHARE:
+        read = max(mf, dfc)
+        # values of other forms: their layouts are inferred where they could make or complete a date column
+        odd = stats[f"do{j}"]
+        if odd and (read + odd + (extra if c in fills else 0)) / rows > DATE_SHARE:
+            text = typed.select((F.coalesce(_q(c), F.lit(fills[c])) if c in fills else _q(c)).alias(c))
+            layouts = infer_layouts(date_shapes(text, [c], day_first=day_first).checkpoint(), day_first).checkpoint()
+            if not layouts.where("layout IS NOT NULL").isEmpty():
+                shaped[c] = layouts
+                read = with_dates(text, c, layouts, "__read", day_first).agg(F.count("__read")).first()[0]
+        if read / rows > DATE_SHARE:
             date_cols[c] = day_first
 
     out = []
@@ -243,10 +256,13 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
         e = _q(c)
         if c in fills:
             e = F.coalesce(e, F.lit(fills[c]))
-        if c in date_cols:
+        if c in date_cols and c not in shaped:
             e = parse_timestamp(e, date_cols[c])
         out.append(e.alias(c))
     cleaned = typed.select(*out)
+    for c in shaped:
+        if c in date_cols:
+            cleaned = with_dates(cleaned, c, shaped[c], c, date_cols[c]).select(*[_q(n) for n in typed.columns])
 
     report = {
         "original_rows": int(original_rows), "original_cols": original_cols,

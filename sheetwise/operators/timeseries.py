@@ -15,7 +15,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.functions.dates import as_timestamp
+from sheetwise.functions.date_shapes import with_timestamp
 from sheetwise.functions.missing import nan_to_null
 from sheetwise.functions.naming import is_rate_like, require_columns
 from sheetwise.operators.sequence import with_position
@@ -63,10 +63,10 @@ def time_trend(df: DataFrame, date_col: str, metric: str, freq: str = "D") -> Da
     if freq not in FREQS:
         raise ValueError(f"freq must be one of {FREQS}")
     how = "mean" if is_rate_like(metric) else "sum"
-    dtype = df.schema[date_col].dataType
-    data = (nan_to_null(df.select(date_col, metric), metric)
-              .where(F.col(date_col).isNotNull() & F.col(metric).isNotNull())
-              .select(_period(as_timestamp(F.col(date_col), dtype), freq).alias("period"),
+    there = (nan_to_null(df.select(date_col, metric), metric)
+               .where(F.col(date_col).isNotNull() & F.col(metric).isNotNull()))
+    data = (with_timestamp(there, date_col)
+              .select(_period(F.col(date_col), freq).alias("period"),
                       F.col(metric).cast("double").alias("m"))
               .where(F.col("period").isNotNull()))
     agg = F.sum("m") if how == "sum" else F.avg("m")
@@ -135,10 +135,8 @@ def forecast(df: DataFrame, date_col: str, value_col: str, periods: int = 30) ->
     value) or 'Forecast' (value -/+ 1.96 sample std of the trend residual)."""
     require_columns(df, date_col, value_col)
     spark = df.sparkSession
-    dtype = df.schema[date_col].dataType
-    series = (nan_to_null(df.select(date_col, value_col), value_col)
-                .select(as_timestamp(F.col(date_col), dtype).alias(date_col),
-                        F.col(value_col).cast("double").alias(value_col))
+    series = (with_timestamp(nan_to_null(df.select(date_col, value_col), value_col), date_col)
+                .select(date_col, F.col(value_col).cast("double").alias(value_col))
                 .where(F.col(date_col).isNotNull() & F.col(value_col).isNotNull())
                 .groupBy(date_col).agg(F.sum(value_col).alias(value_col)))
     # one row per distinct timestamp, read by several small passes below
@@ -210,12 +208,11 @@ def forecast(df: DataFrame, date_col: str, value_col: str, periods: int = 30) ->
 
 
 def unread_dates(df: DataFrame, date_col: str) -> DataFrame:
-    """One row ``rows, unread``: how many rows have a date and how many of those no listed pattern
-    reads (T1 and T2 leave them out)."""
+    """One row ``rows, unread``: how many rows have a date and how many of those are read neither by a listed
+    pattern nor by shape (T1 and T2 leave them out)."""
     require_columns(df, date_col)
-    read = as_timestamp(F.col(date_col), df.schema[date_col].dataType)
-    there = F.col(date_col).isNotNull()
-    return df.agg(F.count_if(there).alias("rows"), F.count_if(there & read.isNull()).alias("unread"))
+    dates = with_timestamp(df.where(F.col(date_col).isNotNull()).select(date_col), date_col)
+    return dates.agg(F.count("*").alias("rows"), F.count_if(F.col(date_col).isNull()).alias("unread"))
 
 
 def trend_direction(slope: float) -> str:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetwise.functions import date_shapes as DS
 from sheetwise.functions.dates import parse_timestamp
 from sheetwise.operators import aggregate as G
 from sheetwise.operators import timeseries as TS
@@ -1298,6 +1299,57 @@ def q_t1_unread(spark, sf_dir):
     return TS.unread_dates(odd, "day")
 
 
+def orders_with_odd_dates(spark, sf_dir):
+    """Order days as text in one other form for each priority, none of them a listed pattern."""
+    day, p = F.to_date("o_orderdate"), F.substring("o_orderpriority", 1, 1)
+
+    def form(f):
+        return F.date_format(day, f)
+
+    text = (F.when(p == "1", F.concat(form("EEEE, d"), F.lit("th of "), form("MMMM yyyy")))
+            .when(p == "2", form("yyyy.MM.dd HH:mm"))
+            .when(p == "3", form("yyyy年M月d日"))
+            .when(p == "4", form("d.M.yy HH:mm:ss"))
+            .otherwise(F.concat(form("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", text.alias("day"))
+
+
+@register("c7_dates_read_by_shape", """
+SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, COUNT(*) AS rows
+FROM orders GROUP BY 1, 2
+""")
+def q_c7_shapes(spark, sf_dir):
+    read = DS.read_dates(orders_with_odd_dates(spark, sf_dir), "day")
+    return read.groupBy("o_orderpriority", F.to_date("day").alias("day")).agg(F.count("*").alias("rows"))
+
+
+@register("c7_unread_shapes", """
+SELECT CASE WHEN o_orderpriority LIKE '1%' THEN '999.999.9.9' WHEN o_orderpriority LIKE '2%' THEN NULL END AS shape, COUNT(*) AS n
+FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' GROUP BY 1
+""")
+def q_c7_unread(spark, sf_dir):
+    p = F.substring("o_orderpriority", 1, 1)
+    odd = orders_with_odd_dates(spark, sf_dir).withColumn(
+        "day", F.when(p == "1", F.lit("192.168.0.1")).when(p == "2", F.concat(F.lit("in the week of "), F.col("day")))
+        .otherwise(F.col("day")))
+    return DS.unread_shapes(odd, "day")
+
+
+@register("t1_daily_from_odd_dates", ORACLE_SQL["t1_orders_daily_revenue"])
+def q_t1_odd(spark, sf_dir):
+    return _r(TS.time_trend(orders_with_odd_dates(spark, sf_dir), "day", "o_totalprice", "D"), 2, "total")
+
+
+@register("c12_clean_finds_odd_date_columns", """
+SELECT MIN(CAST(o_orderdate AS DATE)) AS first_day, MAX(CAST(o_orderdate AS DATE)) AS last_day, COUNT(*) AS rows,
+       COUNT(*) AS read FROM orders
+""")
+def q_c12_odd(spark, sf_dir):
+    cleaned, _, _ = C.clean(orders_with_odd_dates(spark, sf_dir))
+    return cleaned.agg(F.to_date(F.min("day")).alias("first_day"), F.to_date(F.max("day")).alias("last_day"),
+                       F.count("*").alias("rows"), F.count("day").alias("read"))
+
+
 @register("s1_csv_mixed_headers", """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
        CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority FROM orders
