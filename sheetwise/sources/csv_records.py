@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheetwise.session import written
+
 # A line that begins at a field and ends outside quotes. A field is quoted only if a quote is its
 # first character; after its closing quote, and in other fields, quotes are ordinary characters.
 _FIELD = rb'(?:(?:"[^"]*+")++(?!")[^,]*+|[^",][^,]*+|)'
@@ -66,6 +68,13 @@ def splits(lines: DataFrame) -> DataFrame:
     quoted = lines.where(F.decode("value", "ISO-8859-1").contains('"')).select("file", "block", "value")
     found = quoted.mapInArrow(_split_functions, "file string, block long, from_out boolean, from_in boolean, "
                                                 "open_out boolean, open_in boolean").checkpoint()
+    return _combined(found).select(
+        "file", "block", "starts_in", F.when(F.col("starts_in"), F.col("from_in")).otherwise(F.col("from_out")).alias("ends_in"),
+        F.when(F.col("starts_in"), F.col("open_in")).otherwise(F.col("open_out")).alias("opens"))
+
+
+def _combined(found: DataFrame) -> DataFrame:
+    """Split functions (``file``, ``block``, ``from_out``, ``from_in``) with every split's true ``starts_in``."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     # a split either fixes the state at its end, or keeps it, or turns it round
@@ -74,9 +83,7 @@ def splits(lines: DataFrame) -> DataFrame:
     last = F.last(F.when(fixes, F.struct(F.col("from_out").cast("int").alias("state"), "n")), ignorenulls=True).over(before)
     rows = rows.withColumn("last", last).withColumn("turned", F.coalesce(F.sum(turns.cast("int")).over(before), F.lit(0)))
     start = (F.coalesce("last.state", F.lit(0)) + F.col("turned") - F.coalesce("last.n", F.lit(0))) % 2 == 1
-    return rows.withColumn("starts_in", start).select(
-        "file", "block", "starts_in", F.when(start, F.col("from_in")).otherwise(F.col("from_out")).alias("ends_in"),
-        F.when(start, F.col("open_in")).otherwise(F.col("open_out")).alias("opens"))
+    return rows.withColumn("starts_in", start).drop("n", "last", "turned")
 
 
 class _Side:
@@ -103,6 +110,14 @@ class _Side:
         return self.take("tail" if self.part == "whole" else "middle") if self.lines else None
 
 
+def _left(at, sides: list[_Side]) -> list[tuple]:
+    """What the sides leave open, and the split's function as two parts ``end`` (line 1: inside)."""
+    if not sides:
+        return []
+    ends = [(state, "end", int(side.inside), b"") for state, side in zip((False, True), (sides[0], sides[-1]), strict=True)]
+    return [(*at, *got) for got in [*(s.rest() for s in sides), *ends] if got]
+
+
 _PARTS = "file string, block long, assumed boolean, part string, line long, value binary"
 
 
@@ -118,7 +133,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, block, line, value in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if (file, block) != at:
-                out += [(*at, *got) for s in sides if (got := s.rest())]
+                out += _left(at, sides)
                 at, sides = (file, block), [_Side(False), _Side(True)]
             out += [(*at, *got) for s in sides if (got := s.feed(line, value))]
             if len(sides) == 2 and not sides[0].inside and not sides[1].inside:
@@ -127,21 +142,23 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             yield batch_of(out)
             out = []
-    out += [(*at, *got) for s in sides if (got := s.rest())]
+    out += _left(at, sides)
     if out:
         yield batch_of(out)
 
 
-def assembled(lines: DataFrame, states: DataFrame) -> DataFrame:
+def assembled(lines: DataFrame) -> DataFrame:
     """The records of ``lines`` (whole splits, in order; see :func:`raw_lines`): ``value``, ``file``,
-    ``block``, ``line``, with the line breaks inside quoted values as they are in the file. ``states`` has the
-    ``starts_in`` of the splits with quotes; one without is as the split before it left off."""
-    parts = lines.select("file", "block", "line", "value").mapInArrow(_assemble, _PARTS)
-    known = lines.select("file", "block").distinct().join(states, ["file", "block"], "left")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = known.select("file", "block", F.coalesce(
-        "starts_in", F.last("ends_in", ignorenulls=True).over(before), F.lit(False)).alias("starts_in"))
-    true = parts.join(starts, ["file", "block"]).where(F.col("assumed").isNull() | (F.col("assumed") == F.col("starts_in")))
+    ``block``, ``line``, with the line breaks inside quoted values as they are in the file. Parts and split functions
+    are written in one reading: how a file is split depends on the files read with it and on the cores at hand, so
+    states of one reading say nothing about the splits of another."""
+    parts = written(lines.select("file", "block", "line", "value").mapInArrow(_assemble, _PARTS), "csv-parts")
+    ends = parts.where("part = 'end'").groupBy("file", "block").agg(
+        F.bool_or(~F.col("assumed") & (F.col("line") == 1)).alias("from_out"),
+        F.bool_or(F.col("assumed") & (F.col("line") == 1)).alias("from_in"))
+    starts = _combined(ends).select("file", "block", "starts_in")
+    true = parts.where("part <> 'end'").join(starts, ["file", "block"]).where(
+        F.col("assumed").isNull() | (F.col("assumed") == F.col("starts_in")))
     whole = true.where("part = 'whole'").select("value", "file", "block", "line")
     order = F.struct("block", F.when(F.col("part") == "tail", 1).otherwise(0).alias("place"))
     number = F.sum(F.when(F.col("part") == "tail", 1).otherwise(0)).over(
@@ -169,4 +186,4 @@ def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not names:
         return lines
     again = raw_lines(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(n)) for n in names])
-    return lines.join(opened, "file", "left_anti").unionByName(assembled(again, states))
+    return lines.join(opened, "file", "left_anti").unionByName(assembled(again))

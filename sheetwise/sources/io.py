@@ -29,6 +29,8 @@ PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
                     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 EXCEL_MAX_ROWS_PER_SHEET = 1_048_575
 FALLBACK_ENCODING = "windows-1252"
+#: Tables of up to so many files (header, encoding) are broadcast to the records; larger ones are joined by a shuffle.
+MAX_BROADCAST_FILES = 1000
 
 _INT = r"^[+-]?[0-9]+$"
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|Inf|INF|infinity|Infinity)$"
@@ -137,7 +139,9 @@ def read_csv(spark: SparkSession, path: str | list[str], infer_types: bool = Tru
 
     files = files.withColumn("header", decoded(F.col("header_bytes"))).drop("header_bytes").checkpoint()
     headers = [r["header"] for r in files.groupBy("header").count().orderBy(F.col("count").desc(), "header").collect()]
-    rows = (lines.join(files, "file").where(place != F.col("header_place"))
+    # a row a file: sending it to the records saves a shuffle of every record
+    small = F.broadcast(files) if files.count() <= MAX_BROADCAST_FILES else files
+    rows = (lines.join(small, "file").where(place != F.col("header_place"))
             .select("header", decoded(F.col("value")).alias("text")))
     out, surplus = None, "__more"
     for header in headers:

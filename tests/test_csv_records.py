@@ -87,6 +87,22 @@ def test_a_value_over_many_splits_and_states_that_never_meet(small_splits, tmp_d
     assert got == sorted((int(a), b) for a, b in rows[1:]) + [(200, "\n"), (201, "\n")]
 
 
+def test_some_files_with_breaks_among_many_without(spark, tmp_dir):
+    # splits are a share of all files' bytes: a second reading of the files with breaks cuts them elsewhere
+    rnd, old = random.Random(5), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        want = []
+        for k in range(4):
+            rows = [[str(1000 * k + i), ", ".join(rnd.choice(["a", 'b "c"', "d\n"[:1 + (k == 0)], "\n" if k == 0 else "e"])
+                                                 for _ in range(6))] for i in range(300)]
+            write(os.path.join(tmp_dir, f"{k}.csv"), [["id", "text"], *rows], "utf-8")
+            want += [(int(a), b) for a, b in rows]
+        assert sorted(tuple(r) for r in IO.read_csv(spark, tmp_dir).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
 def test_unquoted_quotes_blank_lines_and_old_line_ends(small_splits, tmp_dir):
     spark = small_splits
     p = os.path.join(tmp_dir, "odd.csv")
