@@ -200,6 +200,8 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accurac
     return exact_quantiles(df, cols, list(probs))
 
 
+#: Tables of up to so many groups are sent to the rows; with more, rows are dealt by their group.
+MAX_BROADCAST_GROUPS = 10_000
 #: Value ranges that a group's bracket is counted in before single values are.
 _STEPS = 256
 
@@ -209,8 +211,8 @@ def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     """Exact per-group quantiles (linear interpolation) as a DataFrame ``keys + [q0, q1, ...]``.
 
     Everything stays distributed: a per-group sketch proposes a bracket around each wanted rank, the
-    brackets are joined back on the keys (AQE splits a hot group's partition), and rows below and
-    inside are counted. Inside, rows are counted by steps of the bracket first, then by value in the
+    brackets are joined back on the keys (broadcast up to :data:`MAX_BROADCAST_GROUPS`, else AQE splits a hot
+    group's partition), and rows below and inside are counted. Inside, rows are counted by steps of the bracket first, then by value in the
     step that holds the rank, so a hot group's values do not meet in one task. Groups of which a
     bracket misses its rank are done again with brackets ten times as wide, in the end their whole
     range. An int ``accuracy`` gives the sketch instead. ``extra`` are more aggregates over ``_v`` (the
@@ -240,7 +242,10 @@ def _bracketed(data: DataFrame, keys: list[str], probs: list[float], d: float, a
         cols += [low.alias(f"_lo{j}"), high.alias(f"_hi{j}"), at.alias(f"_r{j}"),
                  (F.lit(p) * (F.col("_n") - 1) - at).alias(f"_f{j}")]
     info = info.select(*cols).checkpoint()
-    joined = data.join(info.drop(*more), keys)
+    # few groups hold many rows each: dealt by group, all of a group's rows would be sorted in one task
+    few = info.count() <= MAX_BROADCAST_GROUPS
+    brackets = info.drop(*more)
+    joined = data.join(F.broadcast(brackets) if few else brackets, keys)
     # one pass: of every row, for each bracket, that it lies below (step -1) or its step and value
     below_or_inside = []
     for j in range(m):
@@ -280,5 +285,5 @@ def _bracketed(data: DataFrame, keys: list[str], probs: list[float], d: float, a
         (F.col(f"_v{2 * j}") + (F.col(f"_v{2 * j + 1}") - F.col(f"_v{2 * j}")) * F.col(f"_f{j}")).alias(f"q{j}")
         for j in range(m)])
     if d < 1 and not again.isEmpty():
-        out = out.unionByName(_bracketed(data.join(again, keys, "left_semi"), keys, probs, d * 10, accuracy, extra))
+        out = out.unionByName(_bracketed(data.join(F.broadcast(again) if few else again, keys, "left_semi"), keys, probs, d * 10, accuracy, extra))
     return out

@@ -43,3 +43,17 @@ def test_no_columns_no_rows_many_columns(spark, monkeypatch):
     assert Q.exact_quantiles(df, df.columns, [0.5]) == {f"c{k}": [5.0 * k] for k in range(8)}
     assert Q.exact_quantiles(df, [], [0.5]) == {}
     assert Q.exact_quantiles(df.limit(0), ["c1"], [0.5]) == {"c1": [None]}
+
+
+def test_rows_of_few_groups_are_not_dealt_by_group(spark, monkeypatch):
+    rows = [(k, float(v * v % 37)) for k in ("a", "b") for v in range(90)] + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    sent, broadcast = [], Q.F.broadcast
+    monkeypatch.setattr(Q.F, "broadcast", lambda d: sent.append(d.columns) or broadcast(d))
+    few = sorted(map(tuple, Q.grouped_quantiles(df, ["k"], "v", [0.5, 0.9]).collect()))
+    assert any("_lo0" in c for c in sent)
+    sent.clear()
+    monkeypatch.setattr(Q, "MAX_BROADCAST_GROUPS", 0)
+    assert sorted(map(tuple, Q.grouped_quantiles(df, ["k"], "v", [0.5, 0.9]).collect())) == few and not sent
+    want = np.quantile([r[1] for r in rows if r[0] == "a"], [0.5, 0.9])
+    assert few[0][0] == "a" and np.allclose(few[0][1:], want)
