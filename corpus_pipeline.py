@@ -21,7 +21,7 @@ from sheetwise.llm.registry import tokenizer_path
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learnt language: letterless ones go, those in no learnt language (by code length a byte) and
-    those in two (by the distance to the second language). Three quarters of the labelled rows train, the others
+    those in two (by the distance to the second language). Three quarters of the labelled rows train, all the others
     give the limits."""
     apart = held_out(F.col("doc_id"))
     model = train(docs.where(~apart))

@@ -24,11 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetwise.llm.common import ROWS_AT_ONCE, map_arrow, map_column
+from sheetwise.functions.quantiles import grouped_quantiles
+from sheetwise.llm.common import ROWS_AT_ONCE, map_arrow, map_column, written
 
 ORDER = 3
-#: Labelled texts a language is learnt from: about this many, chosen by a hash of the id.
-MAX_DOCS_PER_LANGUAGE = 3000
 UNDETERMINED = "und"
 #: Bits of a text's code that do not count, whatever its length: about forty odd bytes (a key, an address, a name).
 SLACK_BITS = 320.0
@@ -42,7 +41,7 @@ _CHUNK = 1 << 18
 _NODES = 1024
 
 
-def gram_counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n): how often each run of ``ORDER + 1`` bytes (packed, first byte highest)
     occurs in the whole texts of each language; a text's start counts as preceded by spaces."""
     schema = "lang string, gram long, n long"
@@ -60,7 +59,7 @@ def gram_counts(sample: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                         [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)),
                          pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    rows = sample.select(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")).where(
+    rows = labelled.select(F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")).where(
         F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
     return map_arrow(rows, run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -185,12 +184,15 @@ class PpmModel:
                 None if second is None else (float(second - bits[best]) + MARGIN_SLACK_BITS) / n)
 
 
-def _sampled(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, max_docs: int) -> tuple[DataFrame, list[str]]:
-    """About ``max_docs`` rows a language that have text, language and id (all of languages with fewer), chosen by
-    a hash of the id; and the languages."""
+def _labelled(labelled: DataFrame, text_col: str, lang_col: str, id_col: str,
+              max_docs: int | None) -> tuple[DataFrame, list[str]]:
+    """The rows that have text, language and id, and their languages. With ``max_docs`` about so many rows a language
+    (all of languages with fewer), chosen by a hash of the id."""
     rows = labelled.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull()
                           & F.col(f"`{id_col}`").isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(f"`{lang_col}`").count().collect()}
+    if max_docs is None:
+        return rows, sorted(sizes)
     chance = F.lit(0.0)
     for lang in sorted(sizes):
         chance = F.when(F.col(f"`{lang_col}`") == lang, F.lit(min(1.0, max_docs / sizes[lang]))).otherwise(chance)
@@ -199,11 +201,11 @@ def _sampled(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, max
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          max_docs: int = MAX_DOCS_PER_LANGUAGE) -> PpmModel:
-    """Learn from the whole texts of about ``max_docs`` labelled rows a language (all rows of
-    languages with fewer). Rows without text, language or id are not learnt from. The n-gram counts
-    are summed by Spark; their table (distinct runs of four bytes in the sample) is collected."""
-    rows, langs = _sampled(labelled, text_col, lang_col, id_col, max_docs)
+          max_docs: int | None = None) -> PpmModel:
+    """Learn from the whole texts of all labelled rows (with ``max_docs`` of about so many a language, for a quick
+    look). Rows without text, language or id are not learnt from. The n-gram counts are summed by Spark; their
+    table (distinct runs of four bytes, which grow far slower than the texts) is collected."""
+    rows, langs = _labelled(labelled, text_col, lang_col, id_col, max_docs)
     if not langs:
         return PpmModel([], np.zeros(0), np.zeros((0, 0)))
     pdf = gram_counts(rows, text_col, lang_col).toPandas()
@@ -249,19 +251,18 @@ def measure(df: DataFrame, model: PpmModel, text_col: str = "text", lang_out: st
 
 
 def fit_limits(labelled: DataFrame, model: PpmModel, text_col: str = "text", lang_col: str = "lang",
-               id_col: str = "doc_id", max_docs: int = MAX_DOCS_PER_LANGUAGE) -> dict[str, tuple[float, float]]:
-    """{language: (longest code a byte, shortest distance a byte)} from about ``max_docs`` labelled texts a
-    language that the model has not learnt from. Texts of which the model finds another language do not count. A
+               id_col: str = "doc_id", max_docs: int | None = None) -> dict[str, tuple[float, float]]:
+    """{language: (longest code a byte, shortest distance a byte)} from all labelled texts (with ``max_docs`` about
+    so many a language); the model must not have learnt from them. The percentiles are exact. Texts of which the model finds another language do not count. A
     learnt language without such texts takes the widest limits of the others; without any, everything is within them."""
-    rows, _ = _sampled(labelled, text_col, lang_col, id_col, max_docs)
+    rows, _ = _labelled(labelled, text_col, lang_col, id_col, max_docs)
     rows = rows.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    at = measure(rows, model, drop_text=True).where("lang_pred = lang").groupBy("lang").agg(
-        F.percentile("bits", F.array(F.lit(0.5), F.lit(0.99))).alias("bits"),
-        F.percentile("margin", F.array(F.lit(0.5), F.lit(0.01))).alias("margin")).collect()
+    at = written(measure(rows, model, drop_text=True).where("lang_pred = lang").select("lang", "bits", "margin"), "figures")
+    margins = {r["lang"]: (r["q0"], r["q1"]) for r in grouped_quantiles(at, ["lang"], "margin", [0.5, 0.01]).collect()}
     limits = {}
-    for r in at:  # one row a language
-        middle, far = r["bits"]
-        near, low = r["margin"] or (0.0, 0.0)
+    for r in grouped_quantiles(at, ["lang"], "bits", [0.5, 0.99]).collect():  # one row a language
+        middle, far = r["q0"], r["q1"]
+        near, low = margins.get(r["lang"], (0.0, 0.0))
         limits[r["lang"]] = (middle + SPREADS * max(far - middle, MIN_SPREAD * middle),
                              near - SPREADS * max(near - low, MIN_SPREAD * near))
     widest = (max((v[0] for v in limits.values()), default=np.inf), min((v[1] for v in limits.values()), default=-np.inf))

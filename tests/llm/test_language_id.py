@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheetwise.llm import language_id
 from sheetwise.llm.language_id import ORDER, PpmModel, _grams, identify, train
@@ -145,3 +146,14 @@ def test_limits_without_rows(spark):
     alone = train(docs.where("lang = 'en'"))  # one language has no second one
     assert language_id.in_language(docs.where("lang = 'en'"), alone,
                                    language_id.fit_limits(docs, alone)).count() == 8
+
+
+def test_every_labelled_row_is_learnt_from_and_measured(spark, monkeypatch):
+    docs = spark.range(3400).select("id", F.concat(F.lit("abcd "), F.lpad(F.hex("id"), 4, "0")).alias("text"),
+                                    F.lit("en").alias("lang")).withColumnRenamed("id", "doc_id")
+    model = train(docs)
+    assert model._counts.sum() == 9 * 3400  # every byte of every text
+    seen, quantiles = [], language_id.grouped_quantiles
+    monkeypatch.setattr(language_id, "grouped_quantiles", lambda df, *a: seen.append(df.count()) or quantiles(df, *a))
+    assert sorted(language_id.fit_limits(docs, model)) == ["en"]
+    assert set(seen) == {3400}
