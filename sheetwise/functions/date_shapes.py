@@ -147,21 +147,25 @@ def layouts(shape: str) -> list[str]:
     return ["|".join((clock + zone + d if clock_first else d + clock + zone, marks)) for d in dates]
 
 
-def date_shapes(df: DataFrame, cols: Iterable[str], unread_only: bool = True, day_first: bool = False) -> DataFrame:
+def date_shapes(df: DataFrame, cols: Iterable[str], unread_only: bool = True, day_first: bool = False,
+                rows: str | None = None) -> DataFrame:
     """``column, shape, n, small, middling``: the shapes of the text columns ``cols`` with their rows, and for every
     number of a shape how often it is at most 12 and at most 31. Texts that cannot be dates have shape NULL; NULL
-    texts are not counted. ``unread_only`` leaves out what the fixed patterns read. One aggregate for all columns;
+    texts are not counted. ``unread_only`` leaves out what the fixed patterns read. ``rows`` names a column with the
+    number of rows that a text stands for. One aggregate for all columns;
     equal shapes are summed before the shuffle."""
     cols = list(cols)
-    texts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text"))
-                                          for c in cols])).alias("x")).select("x.column", "x.text").where("text IS NOT NULL")
+    weight = F.lit(1) if rows is None else F.col(f"`{rows}`")
+    texts = df.select(weight.cast("long").alias("w"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text"))
+                                          for c in cols])).alias("x")).select("w", "x.column", "x.text").where("text IS NOT NULL")
     if unread_only:
         texts = texts.where(parse_timestamp(F.col("text"), day_first).isNull())
-    long = texts.select("column", _parts(F.col("text")).alias("p")).select(
-        "column", F.col("p.shape").alias("shape"), F.posexplode_outer("p.numbers").alias("at", "number"))
+    long = texts.select("w", "column", _parts(F.col("text")).alias("p")).select(
+        "w", "column", F.col("p.shape").alias("shape"), F.posexplode_outer("p.numbers").alias("at", "number"))
     value = F.col("number").try_cast("int")
     counts = long.groupBy("column", "shape", "at").agg(
-        F.count("*").alias("n"), F.count_if(value.between(1, 12)).alias("small"), F.count_if(value.between(1, 31)).alias("middling"))
+        F.sum("w").alias("n"), F.sum(F.when(value.between(1, 12), F.col("w")).otherwise(0)).alias("small"),
+        F.sum(F.when(value.between(1, 31), F.col("w")).otherwise(0)).alias("middling"))
     return counts.groupBy("column", "shape").agg(
         F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "small", "middling"))).alias("by_number")).select(
         "column", "shape", "n", F.transform("by_number", lambda x: x["small"]).alias("small"),

@@ -3,13 +3,14 @@ C7 dates, C8 missing profile, C9-C11 fills, C12 the whole ``clean``.
 
 Plan: NaN -> NULL, a group-by on all columns with a row count (hash aggregate with map-side
 combine: a hot repeated row collapses inside each task before the shuffle; the input row count is
-the sum of the counts), parsed once and checkpointed; then
+the sum of the counts), written as Parquet; then
 
-1. one profile aggregate over every column (counts, yes/no checks, numeric parse rates,
-   currency sets of at most six codes);
-2. one fill-statistics aggregate (boolean counts, date parse counts), the medians, and one grouped
-   count for text modes (unpivot -> count per value -> top-1 per column);
-3. one final ``select`` that converts, renames, fills and parses.
+1. a table of the text columns' distinct values with their rows (one unpivot and grouped count, written):
+   numbers, yes/no words, dates and modes are read from it, so an equal value is tried against the patterns
+   once for all its rows, and columns without repeats cost one more shuffle;
+2. counts of the other columns, then the typed table (numbers parsed once, written);
+3. boolean counts and medians on the typed table, date counts and text modes on the values;
+4. one final ``select`` that fills and parses dates.
 
 Only per-column scalars reach the driver.
 """
@@ -27,6 +28,7 @@ from sheetwise.functions.missing import nan_to_null
 from sheetwise.functions.numeric_text import (bool_tokens, normalise_bool_text, parse_bool_text,
                                               with_numeric_parse)
 from sheetwise.functions.quantiles import column_quantiles
+from sheetwise.session import written
 
 NUMERIC_SHARE = 0.7   # share of non-NULL values that must read as numbers
 DATE_SHARE = 0.7      # share of values that must read as dates (strictly more)
@@ -76,31 +78,63 @@ def _parse_map(df: DataFrame) -> dict[str, str]:
     return {c: f"__p{i}" for i, c in enumerate(text) if not N.has_identifier_name(c)}
 
 
-def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
-    """One aggregate over every column. ``parsed`` may be ``df`` with the parse columns already
-    added (and persisted), so the text is parsed once for all later passes."""
+def _value_aggs(v, parsed, i, parses: bool, weight=None) -> list:
+    """Aggregates of text values ``v``: yes/no words and, with ``parses``, numbers read as ``parsed``."""
+    norm = F.when(v.isNotNull(), normalise_bool_text(v))
+    aggs = [F.bool_and(norm.isin(*bool_tokens())).alias(f"ball{i}"), F.min(norm).alias(f"bmin{i}"),
+            F.max(norm).alias(f"bmax{i}")]
+    if parses:
+        read = parsed["value"]
+        ok = F.count(read) if weight is None else F.coalesce(F.sum(F.when(read.isNotNull(), weight)), F.lit(0))
+        aggs += [ok.alias(f"ok{i}"), F.collect_set(parsed["currency"]).alias(f"cur{i}"),  # at most six codes
+                 F.bool_or(parsed["is_percent"]).alias(f"pct{i}")]
+    return aggs
+
+
+def _profile_pass(df: DataFrame) -> dict:
+    """One aggregate over every column."""
     text = N.text_columns(df, include_internal=True)
     parse_map = _parse_map(df)
-    if parsed is None:
-        parsed = with_numeric_parse(df, parse_map) if parse_map else df
-    tokens = bool_tokens()
+    parsed = with_numeric_parse(df, parse_map) if parse_map else df
     aggs = [F.count("*").alias("rows")]
-    if "__dup_n" in parsed.columns:
-        aggs.append(F.coalesce(F.sum("__dup_n"), F.lit(0)).alias("input_rows"))
-    idx = {c: i for i, c in enumerate(df.columns)}
-    for c, i in idx.items():
+    for i, c in enumerate(df.columns):
         aggs.append(F.count(_q(c)).alias(f"n{i}"))
-    for c in text:
-        i = idx[c]
-        norm = F.when(_q(c).isNotNull(), normalise_bool_text(_q(c)))
-        aggs += [F.bool_and(norm.isin(*tokens)).alias(f"ball{i}"), F.min(norm).alias(f"bmin{i}"),
-                 F.max(norm).alias(f"bmax{i}")]
-        if c in parse_map:
-            p = F.col(parse_map[c])
-            aggs += [F.count(p["value"]).alias(f"ok{i}"),
-                     F.collect_set(p["currency"]).alias(f"cur{i}"),  # at most six codes
-                     F.bool_or(p["is_percent"]).alias(f"pct{i}")]
-    row = parsed.agg(*aggs).first().asDict()
+        if c in text:
+            aggs += _value_aggs(_q(c), F.col(parse_map[c]) if c in parse_map else None, i, c in parse_map)
+    return _decided(df, text, parse_map, parsed.agg(*aggs).first().asDict())
+
+
+def _value_counts(df: DataFrame, text: list[str]) -> DataFrame:
+    """``k, v, n``: every distinct non-NULL value of the text columns (``k``: its place in ``df``) with its rows."""
+    at = {c: i for i, c in enumerate(df.columns)}
+    pairs = F.explode(F.array(*[F.struct(F.lit(at[c]).alias("k"), _q(c).cast("string").alias("v")) for c in text]))
+    return (df.select(pairs.alias("x")).select("x.k", "x.v").where("v IS NOT NULL")
+              .groupBy("k", "v").agg(F.count("*").alias("n")))
+
+
+def _profile_values(counted: DataFrame, df: DataFrame, values: DataFrame | None) -> dict:
+    """The profile of ``df`` (``counted`` without ``__dup_n``), its text columns from their distinct values."""
+    text, parse_map = N.text_columns(df, include_internal=True), _parse_map(df)
+    aggs = [F.count("*").alias("rows"), F.coalesce(F.sum("__dup_n"), F.lit(0)).alias("input_rows")]
+    row = counted.agg(*aggs, *[F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first().asDict()
+    places = {i for i, c in enumerate(df.columns) if c in text}
+    found = {}
+    if values is not None:
+        # identifiers skip the numeric reading
+        ids = [i for i in places if df.columns[i] not in parse_map]
+        rows = values.withColumn("read", F.when(~F.col("k").isin(*ids), F.col("v")).otherwise(F.lit(None))) if ids else \
+            values.withColumn("read", F.col("v"))
+        parsed = with_numeric_parse(rows, {"read": "p"})
+        found = {r["k"]: r.asDict() for r in parsed.groupBy("k").agg(
+            *_value_aggs(F.col("v"), F.col("p"), "", True, F.col("n"))).collect()}  # one row a column
+    for i in places:
+        for name in ("ball", "bmin", "bmax", "ok", "cur", "pct"):
+            row[f"{name}{i}"] = found.get(i, {}).get(name)
+    return _decided(df, text, parse_map, row)
+
+
+def _decided(df: DataFrame, text: list[str], parse_map: dict[str, str], row: dict) -> dict:
+    idx = {c: i for i, c in enumerate(df.columns)}
     rows = row["rows"]
     kinds, names, nonnull = {}, {}, {}
     currency_cols, percent_cols, boolean_cols = {}, [], []
@@ -134,12 +168,9 @@ def _profile_pass(df: DataFrame, parsed: DataFrame | None = None) -> dict:
                        "boolean_columns_converted": boolean_cols}}
 
 
-def _apply_types(df: DataFrame, prof: dict, parsed: DataFrame | None = None) -> DataFrame:
+def _apply_types(df: DataFrame, prof: dict) -> DataFrame:
     nums = {c: prof["parse_map"][c] for c, k in prof["kinds"].items() if k == "num"}
-    if parsed is not None:
-        base = parsed
-    else:
-        base = with_numeric_parse(df, nums) if nums else df
+    base = with_numeric_parse(df, nums) if nums else df
     sel = []
     for c in df.columns:
         k, name = prof["kinds"][c], prof["names"][c]
@@ -162,18 +193,18 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     spark = df.sparkSession
     original_cols = len(df.columns)
     src = nan_to_null(df)
+    keep = _kept if persist else (lambda d: d)
     # distinct rows with their multiplicity: the original row count is their sum (no extra scan)
-    counted = distinct_rows_counted(src)
+    counted = keep(distinct_rows_counted(src))
     dedup = counted.drop("__dup_n")
-    pmap = _parse_map(dedup)
-    # the de-duplicated rows with every number-text column parsed once, kept for all passes
-    parsed = with_numeric_parse(counted, pmap) if pmap else counted
-    if persist:  # read by every pass below: kept in the cluster's checkpoint folder, not on executors
-        parsed = parsed.checkpoint()
-    prof = _profile_pass(dedup, parsed)
+    text = N.text_columns(dedup, include_internal=True)
+    values = keep(_value_counts(dedup, text)) if text else None
+    prof = _profile_values(counted, dedup, values)
     rows = prof["rows"]
     original_rows = prof["input_rows"]
-    typed = _apply_types(dedup, prof, parsed)
+    typed = _apply_types(dedup, prof)
+    if "num" in prof["kinds"].values():  # read by every pass of the medians: parsed once
+        typed = keep(typed)
     names = prof["names"]
 
     # NULLs after type recovery.
@@ -194,19 +225,9 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     for j, c in enumerate(bool_cols):
         if missing.get(c, 0) > 0:
             aggs += [F.count_if(_q(c)).alias(f"bt{j}"), F.count_if(~_q(c)).alias(f"bf{j}")]
-    # date readings as a projection first (each text value is tried against the shared patterns
-    # once), then counted in the same aggregate
-    flag_cols = []
-    for j, c in enumerate(cat_cols):
-        shared, mf, dfo = date_reading_flags(_q(c))
-        flag_cols += [shared.alias(f"__ds{j}"), mf.alias(f"__dm{j}"), dfo.alias(f"__dd{j}")]
-        nn = _q(c).isNotNull()
-        flag_cols.append(F.when(nn & ~(shared | mf | dfo), has_date_shape(_q(c))).alias(f"__do{j}"))
-        aggs.append(F.count_if(F.col(f"__do{j}")).alias(f"do{j}"))
-        aggs += [F.count_if(nn & (F.col(f"__ds{j}") | F.col(f"__dm{j}"))).alias(f"mf{j}"),
-                 F.count_if(nn & (F.col(f"__ds{j}") | F.col(f"__dd{j}"))).alias(f"df{j}")]
-    stats_src = typed.select("*", *flag_cols) if flag_cols else typed
-    stats = stats_src.agg(*aggs).first().asDict() if aggs else {}
+    stats = typed.agg(*aggs).first().asDict() if aggs else {}
+    place = {c: dedup.columns.index(orig_of[c]) for c in cat_cols}
+    dates = _date_counts(values, list(place.values())) if cat_cols else {}
 
     fills: dict[str, object] = {}
     for c, q in column_quantiles(typed.select(*[_q(c) for c in need_median]), need_median, [0.5], accuracy).items():
@@ -218,7 +239,7 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
             if t_ + f_ > 0:
                 fills[c] = bool(t_ > f_)  # ties go to False, the smaller value
     need_mode = [c for c in cat_cols if missing.get(c, 0) > 0]
-    modes = text_modes(typed, need_mode)
+    modes = _value_modes(values, {place[c]: c for c in need_mode})
     for c in need_mode:
         fills[c] = modes.get(c, UNKNOWN)
 
@@ -232,22 +253,27 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
         fill_parse = {c: (probe[f"m{k}"], probe[f"d{k}"]) for k, c in enumerate(text_fills)}
     date_cols: dict[str, bool] = {}
     shaped: dict[str, DataFrame] = {}
-    for j, c in enumerate(cat_cols):
+    for c in cat_cols:
         if rows == 0:
             continue
         extra = missing.get(c, 0)
-        mf = stats[f"mf{j}"] + (extra if fill_parse.get(c, (False, False))[0] else 0)
-        dfc = stats[f"df{j}"] + (extra if fill_parse.get(c, (False, False))[1] else 0)
+        found = dates.get(place[c], {"mf": 0, "df": 0, "odd": 0})
+        mf = found["mf"] + (extra if fill_parse.get(c, (False, False))[0] else 0)
+        dfc = found["df"] + (extra if fill_parse.get(c, (False, False))[1] else 0)
         day_first = dfc > mf
         read = max(mf, dfc)
         # values of other forms: their layouts are inferred where they could make or complete a date column
-        odd = stats[f"do{j}"]
+        odd = found["odd"]
         if odd and (read + odd + (extra if c in fills else 0)) / rows > DATE_SHARE:
-            text = typed.select((F.coalesce(_q(c), F.lit(fills[c])) if c in fills else _q(c)).alias(c))
-            layouts = infer_layouts(date_shapes(text, [c], day_first=day_first).checkpoint(), day_first).checkpoint()
+            # the column's values after the fills, with their rows
+            filled = F.when(F.col("v") == F.lit(fills[c]), F.lit(extra)).otherwise(F.lit(0)) if c in fills else F.lit(0)
+            texts = values.where(F.col("k") == place[c]).select(F.col("v").alias(c), (F.col("n") + filled).alias("__n"))
+            layouts = infer_layouts(date_shapes(texts, [c], day_first=day_first, rows="__n").checkpoint(),
+                                    day_first).checkpoint()
             if not layouts.where("layout IS NOT NULL").isEmpty():
                 shaped[c] = layouts
-                read = with_dates(text, c, layouts, "__read", day_first).agg(F.count("__read")).first()[0]
+                read = with_dates(texts, c, layouts, "__read", day_first).agg(
+                    F.coalesce(F.sum(F.when(F.col("__read").isNotNull(), F.col("__n"))), F.lit(0))).first()[0]
         if read / rows > DATE_SHARE:
             date_cols[c] = day_first
 
@@ -275,20 +301,43 @@ def clean(df: DataFrame, accuracy="auto", persist: bool = True) -> tuple[DataFra
     return cleaned, report_frame(spark, report), report
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` kept in the cluster's checkpoint folder: as Parquet, so that a pass reads only its columns, or as a
+    checkpoint where it has types that Parquet has not."""
+    if any(word in f.dataType.simpleString() for f in df.schema.fields for word in ("void", "interval", "variant")):
+        return df.checkpoint()
+    plain = written(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), "clean")  # any names
+    return plain.toDF(*df.columns)
+
+
+def _date_counts(values: DataFrame, places: list[int]) -> dict[int, dict]:
+    """For the columns ``places``: rows read month first (``mf``) and day first (``df``) by the fixed patterns,
+    and rows of other forms that may hold dates (``odd``). Each distinct value is read once."""
+    shared, mf, dfo = date_reading_flags(F.col("v"))
+    rows = values.where(F.col("k").isin(*places)).select("*", shared.alias("s"), mf.alias("m"), dfo.alias("d"))
+    rows = rows.withColumn("o", F.when(~(F.col("s") | F.col("m") | F.col("d")), has_date_shape(F.col("v"))))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return {r["k"]: r.asDict() for r in rows.groupBy("k").agg(
+        total(F.col("s") | F.col("m")).alias("mf"), total(F.col("s") | F.col("d")).alias("df"),
+        total(F.col("o")).alias("odd")).collect()}  # one row a column
+
+
+def _value_modes(values: DataFrame, names: dict[int, str]) -> dict[str, str]:
+    """Most frequent value per column, the smallest on ties, of counted values."""
+    if not names:
+        return {}
+    w = Window.partitionBy("k").orderBy(F.col("n").desc(), F.col("v").asc())
+    top = values.where(F.col("k").isin(*names)).withColumn("r", F.row_number().over(w)).where(F.col("r") == 1).collect()
+    return {names[r["k"]]: r["v"] for r in top}
+
+
 def text_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
     """Most frequent non-NULL value per column, the smallest on ties. One unpivot, one
     grouped count (map-side combined), one top-1 per column (the window group limit keeps one
     row per column per task before the final shuffle)."""
     if not cols:
         return {}
-    long = (df.select(F.explode(F.array(*[
-                F.struct(F.lit(k).alias("k"), _q(c).cast("string").alias("v")) for k, c in enumerate(cols)
-            ])).alias("kv"))
-              .select("kv.k", "kv.v").where(F.col("v").isNotNull()))
-    counts = long.groupBy("k", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("k").orderBy(F.col("n").desc(), F.col("v").asc())
-    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1).collect()
-    return {cols[r["k"]]: r["v"] for r in top}
+    return _value_modes(_value_counts(df, cols), {df.columns.index(c): c for c in cols})
 
 
 def report_frame(spark, report: dict) -> DataFrame:

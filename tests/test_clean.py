@@ -108,3 +108,18 @@ def test_nested_columns_pass_through(spark):
     cleaned, _, rep = C.clean(df)
     assert rep["duplicates_removed"] == 1 and cleaned.count() == 2
     assert dict(cleaned.dtypes)["m"] == "map<string,int>" and dict(cleaned.dtypes)["v"] == "array<double>"
+
+
+def test_values_are_read_once_for_all_their_rows(spark, monkeypatch):
+    rows = [(i, "$1,000.50" if i % 2 else "$2", "31/12/2020", f"x{i % 3}") for i in range(60)] + [(60, None, None, None)]
+    df = spark.createDataFrame(rows, "i int, `a, (b)` string, day string, t string")
+    read = []
+    monkeypatch.setattr(C, "_date_counts", lambda values, places, f=C._date_counts: read.append(
+        values.where(F.col("k").isin(*places)).count()) or f(values, places))
+    cleaned, _, report = C.clean(df)
+    assert read == [4]  # one date and three words, not 61 rows each
+    assert report["date_cols"] == ["day"] and report["currency_columns_converted"] == {"a, (b)": "a, (b) (USD)"}
+    last = cleaned.where("i = 60").first()
+    assert last[1] == 501.25 and str(last["day"]) == "2020-12-31 00:00:00" and last["t"] == "x0"
+    odd = spark.createDataFrame([(None, "x")], "v void, s string")  # a type that Parquet has not
+    assert C.clean(odd)[0].count() == 1
